@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, urlfilter, warc
+from codeloom.llm import bpe, html, langid, urlfilter, warc
 
 
 def queries() -> dict:
     """name -> (spark, sf_dir) -> DataFrame."""
-    return {"op1_warc": warc.op1_warc, "op5_bpe": bpe.op5_bpe, "op8_url_filter": urlfilter.op8_url_filter}
+    return {
+        "op1_warc": warc.op1_warc,
+        "op3_html_text": html.op3_html_text,
+        "op5_bpe": bpe.op5_bpe,
+        "op7_language_id": langid.op7_language_id,
+        "op8_url_filter": urlfilter.op8_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
