@@ -54,11 +54,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text worked on at a time.
+BLOCK = 1 << 20
+
+
+def _cut(data: np.ndarray, at: int) -> int:
+    """Where a block that begins at ``at`` ends: after white space, so that no word is cut."""
+    end = at + BLOCK
+    if end >= len(data):
+        return len(data)
+    back = np.flatnonzero(SPACE[data[at:end]])
+    if len(back):
+        return at + int(back[-1]) + 1
+    while end < len(data):
+        ahead = np.flatnonzero(SPACE[data[end : end + BLOCK]])
+        if len(ahead):
+            return end + int(ahead[0]) + 1
+        end += BLOCK
+    return len(data)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word in order, and each row's offsets into them (rows + 1)."""
+    hashes, starts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    while at < len(data):
+        end = _cut(data, at)
+        inner = np.clip(offsets, at, end) - at
+        found, start = _words(data[at:end], inner)
+        hashes.append(found)
+        starts.append(start + at)
+        at = end
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(start, offsets)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of a block."""
     n = len(data)
-    if not n:
-        return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
     solid = ~SPACE[data]
     first, last = np.empty(n, bool), np.empty(n, bool)
     first[0], last[-1] = True, True
@@ -69,9 +101,9 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = np.flatnonzero(solid & first), np.flatnonzero(solid & last)
     value = _LOWER_BYTE[data] * _power(_BASE, n)
     total = np.cumsum(value)
-    # The sum over a word, shifted back to the start of the text.
+    # The sum over a word, shifted back to the start of the block.
     own = (total[end] - total[start] + value[start]) * _power(_BASE_INVERSE, n)[start]
-    return mix(own + (end - start + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(start, offsets)
+    return mix(own + (end - start + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, html, langid, urlfilter, warc
+from codeloom.llm import bpe, ctw, html, langid, urlfilter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5_bpe,
         "op7_language_id": langid.op7_language_id,
         "op8_url_filter": urlfilter.op8_url_filter,
+        "op9_lm_score": ctw.op9_lm_score,
     }
 
 
