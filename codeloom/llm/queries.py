@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, ctw, html, langid, urlfilter, warc
+from codeloom.llm import bpe, ctw, decontam, html, langid, urlfilter, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_language_id": langid.op7_language_id,
         "op8_url_filter": urlfilter.op8_url_filter,
         "op9_lm_score": ctw.op9_lm_score,
+        "op10_decontaminate": decontam.op10_decontaminate,
     }
 
 
