@@ -66,9 +66,13 @@ def valued_template(text: Column) -> Column:
     return F.filter(F.split(t, " "), lambda w: w != "")
 
 
+def _is_slot(w: Column) -> Column:
+    return (w >= F.lit(NAME)) & (w < F.lit(INNER))
+
+
 def templates(valued: Column) -> Column:
     """Template tokens without their values."""
-    return F.transform(valued, lambda w: F.when(w >= F.lit(NAME), F.when(w < F.lit(""), F.substring(w, 1, 1)).otherwise(w)).otherwise(w))
+    return F.transform(valued, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
 
 
 def _bits(h: Column, bits: int) -> list[Column]:
@@ -112,10 +116,6 @@ def _windows(valued: Column, size: int, keep: Callable[[Column], Column] | None)
     return let(valued, body)
 
 
-def _is_slot(w: Column) -> Column:
-    return (w >= F.lit(NAME)) & (w < F.lit(INNER))
-
-
 def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
     """item_id, ipos, size, h, islots, n_windows of every benchmark item (item_id, text)."""
     rows = items.filter("text is not null").select(F.monotonically_increasing_id().alias("item_row"), "item_id", valued_template(F.col("text")).alias("v"))
