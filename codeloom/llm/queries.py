@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, ctw, decontam, html, langid, pii, urlfilter, warc
+from codeloom.llm import bpe, ctw, decontam, html, langid, neardup, pii, urlfilter, warc
 
 
 def queries() -> dict:
     """name -> (spark, sf_dir) -> DataFrame."""
     return {
         "op1_warc": warc.op1_warc,
+        "op2_ngram_join": neardup.op2_ngram_join,
         "op3_html_text": html.op3_html_text,
         "op5_bpe": bpe.op5_bpe,
         "op6_pii": pii.op6_pii,
