@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, ctw, decontam, html, langid, neardup, pii, urlfilter, warc
+from codeloom.llm import bpe, ctw, decontam, fingerprint, html, langid, neardup, pii, urlfilter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_ngram_join": neardup.op2_ngram_join,
         "op3_html_text": html.op3_html_text,
+        "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_bpe": bpe.op5_bpe,
         "op6_pii": pii.op6_pii,
         "op7_language_id": langid.op7_language_id,
