@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -337,18 +339,19 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary, ranks.value, pattern)
         for batch in batches:
-            sizes, coded, decoded, kept = [], [], [], []
+            sizes, coded, decoded = [], [], []
+            kept = array("i")
             for text in batch.column(1).to_pylist():
                 ids, shown = bpe.encode_with_text(text or "")
                 sizes.append(len(ids))
                 coded.append(hashlib.sha256(shown.encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
                 if keep_ids:
-                    kept.append(pa.array(ids, pa.int32()))
+                    kept.extend(ids)
             columns = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                columns.append(pa.array([x.to_pylist() for x in kept], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), pa.array(np.frombuffer(kept, np.int32) if kept else np.empty(0, np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -360,3 +363,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage, the last: the token ids of every document, with the digests of op5."""
+    import public_tokenizers
+
+    return encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=True)
