@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm._tables import table
+from codeloom.plans.shared import materialize
 from codeloom.plans.skew import salted_lookup
 
 #: Placeholders, from the private use area; a text's own are taken out first.
@@ -144,7 +145,8 @@ def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     # Only windows that pass the filter leave the scan.
     met = rows.filter("text is not null").select("row", "doc_id", F.inline(near))
     pairs = salted_lookup(met, wanted, ["h"], F.col("row"), "inner").filter(F.size("slots") == F.size("islots"))
-    pairs = pairs.withColumn("shift", F.col("pos") - F.col("ipos"))
+    # Two branches read the pairs; written once, they cost one scan of the texts.
+    pairs = materialize(pairs.withColumn("shift", F.col("pos") - F.col("ipos")), "decontam-pairs")
     slots = pairs.select(
         "row", "item_row", "shift", F.explode(F.filter(F.arrays_zip("islots", "slots"), lambda s: _is_slot(s["islots"]))).alias("s")
     ).groupBy("row", "item_row", "shift", F.col("s.islots").alias("own")).agg(F.min("s.slots").alias("a"), F.max("s.slots").alias("b"))
