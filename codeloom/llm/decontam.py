@@ -54,15 +54,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def valued_template(text: Column) -> Column:
-    """The template tokens of a text, each placeholder followed by its value."""
+def valued_template(text: Column, names: bool = True) -> Column:
+    """The template tokens of a text, each placeholder followed by its value; without ``names`` these stay words."""
     step = lambda t, pattern, to: F.regexp_replace(t, F.lit(pattern), F.lit(to))
     # Marks that stand in or between words say nothing of where a sentence starts.
     t = step(text, r"[^\p{L}\p{N}\s.,:;!?/-]+", " ")
     t = step(t, r"(?<=[0-9])[.,:/-](?=[0-9])", INNER)
-    t = step(t, rf"(?<![\p{{L}}\p{{N}}{INNER}])([0-9][0-9{INNER}]*) ?(?:({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2")
+    t = step(t, rf"(?<![\p{{L}}\p{{N}}{INNER}])([0-9][0-9{INNER}]*)\s{{0,4}}(?:((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2")
     t = step(t, rf"(?<![\p{{L}}\p{{N}}{NUMBER}{INNER}])([0-9][0-9{INNER}]*)(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1")
-    t = step(t, r"(?<=[^\s.!?:]\s{1,3})(?=\p{Lu}\p{Ll})", NAME)
+    if names:
+        t = step(t, r"(?<=[^\s.!?:]\s{1,3})(?=\p{Lu}\p{Ll})", NAME)
     t = step(F.lower(t), rf"[^\p{{L}}\p{{N}}{NAME}-{INNER}]+", " ")
     return F.filter(F.split(t, " "), lambda w: w != "")
 
@@ -118,15 +119,20 @@ def _windows(valued: Column, size: int, keep: Callable[[Column], Column] | None)
 
 
 def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
-    """item_id, ipos, size, h, islots, n_windows of every benchmark item (item_id, text)."""
-    rows = items.filter("text is not null").select(F.monotonically_increasing_id().alias("item_row"), "item_id", valued_template(F.col("text")).alias("v"))
+    """item_row, item_id, ipos, size, h, islots, n_windows of every benchmark item (item_id, text).
+
+    Each item has its windows twice where it has names: as placeholders, and as
+    words for documents whose spelling does not show names.
+    """
+    numbered = items.filter("text is not null").select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text")
+    rows = numbered.select("item_row", "item_id", F.explode(F.array(valued_template(F.col("text")), valued_template(F.col("text"), names=False))).alias("v"))
     rows = rows.filter(F.size("v") > 0).withColumn("size", F.least(F.size("v"), F.lit(settings.window)))
     # A short item's one window is the whole item.
     long = rows.filter(F.col("size") == settings.window).select("item_row", "item_id", "size", F.inline(_windows(F.col("v"), settings.window, None)))
     short = rows.filter(F.col("size") < settings.window).select("item_row", "item_id", "size", F.lit(0).alias("pos"), F.xxhash64(templates(F.col("v"))).alias("h"), F.col("v").alias("slots"))
     literal = F.size(F.filter("slots", lambda w: ~_is_slot(w)))
-    kept = long.unionByName(short).filter(literal >= F.least(F.lit(settings.literals), F.col("size")))
-    totals = kept.groupBy("item_row").agg(F.count("*").alias("n_windows"))
+    kept = long.unionByName(short).filter(literal >= F.least(F.lit(settings.literals), F.col("size"))).dropDuplicates(["item_row", "pos", "h"])
+    totals = kept.groupBy("item_row").agg(F.countDistinct("pos").alias("n_windows"))
     return kept.join(totals, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "n_windows")
 
 
