@@ -34,6 +34,18 @@ def verdict(violations: Column, incomplete: Column) -> Column:
     return F.when(violations > 0, "rejected").when(incomplete > 0, "unknown").otherwise("approved")
 
 
+def staged_audit(baseline: DataFrame, staged: DataFrame, policy: DataFrame, strict: bool = True) -> DataFrame:
+    """Violations of a commit: the baseline's edges (file, src, dst) without the staged files', and the staged files' own.
+
+    ``staged`` has file, status (D for deleted), src and dst; only edges of
+    staged files are reported.
+    """
+    touched = staged.select("file").distinct()
+    own = staged.filter("status <> 'D' and dst is not null").select("file", "src", "dst")
+    after = baseline.select("file", "src", "dst").join(touched, "file", "left_anti").unionByName(own)
+    return audit(after, policy, strict).join(touched, "file", "left_semi")
+
+
 def proposed(imports: DataFrame, domains: DataFrame, policy: DataFrame, strict: bool = True) -> DataFrame:
     """Violations of proposed imports (file, src, dst, line): an unmapped source is one violation at line 1."""
     known = domains.select(F.col("name").alias("src"), F.lit(True).alias("mapped"))
