@@ -5,10 +5,15 @@ such decision a context tree over the ``DEPTH`` bytes before it holds the counts
 both outcomes; a node's Krichevsky-Trofimov estimate and the product of its
 children's weighted probabilities are mixed half and half, over all depths from
 none to ``DEPTH``. The counts are of every training document; text begins after,
-and ends with, the byte 0xFF, which UTF-8 never has. A tree keeps its
-``MAX_CONTEXTS`` most frequent contexts of three bytes or more; what a kept
-context has besides its kept children is one child, so the tree is a proper one
-of bounded size.
+and ends with, the byte 0xFF, which UTF-8 never has. Every context has its node.
+
+The tree is dealt over ``BUCKETS`` buckets by the last two bytes of a context, so
+all that lies below such a pair is in one bucket; what all pairs have together,
+the depths none and one, has at most 2**16 nodes and is broadcast. Texts are read
+in chunks. The distinct grams of a chunk go to their buckets and come back with
+their log probabilities, so no task holds more than a bucket or a chunk.
+``fit`` and ``weigh`` hold a tree of ``MAX_CONTEXTS`` contexts on one machine;
+the tests compare the two.
 
 The base needs a count for every word of every text. The ``FREQUENT`` most
 frequent words are looked up where the text is read; all others, of which none
@@ -22,16 +27,17 @@ and scored; an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm._bytes import BLOCK, utf8, words
+from codeloom.llm._bytes import BLOCK, mix, utf8, words
 from codeloom.llm._tables import bound_batches, remainder5, table
 from codeloom.plans.shared import materialize
 
@@ -39,12 +45,14 @@ from codeloom.plans.shared import materialize
 FREQUENT = 1 << 19
 #: Bytes of context at most.
 DEPTH = 5
-#: Contexts of three bytes or more with a node of their own: at most 3 KB each, 96 MB a worker.
+#: Contexts of three bytes or more that :func:`fit` keeps.
 MAX_CONTEXTS = 1 << 15
 #: Bins to a doubling, where a count's rank is sought.
 BINS = 8
 #: Distinct keys that a task gathers before it hands them on.
 HELD = 1 << 20
+#: Bytes of text of a chunk, about, and parts of the tree.
+CHUNK, BUCKETS = 1 << 24, 256
 EDGE = 0xFF
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5EED0FED0E11D0C5)
@@ -97,7 +105,20 @@ class Tally:
         return self.keys[0], self.counts[0]
 
 
-def count_keys(docs: DataFrame) -> DataFrame:
+def own_grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """The grams of each text, a block at a time."""
+    text, bounds = framed(data, offsets)
+    for at in range(0, len(text) - DEPTH, BLOCK):
+        stop = min(at + BLOCK, len(text) - DEPTH)
+        # Grams that end in another text's edge bytes are no text's.
+        own = np.ones(stop - at, bool)
+        for k in range(DEPTH):
+            ends = bounds[1:-1] + k - DEPTH - at
+            own[ends[(ends >= 0) & (ends < stop - at)]] = False
+        yield grams(text[at : stop + DEPTH])[own]
+
+
+def count_keys(docs: DataFrame, kinds: tuple[int, ...] = (0, 1)) -> DataFrame:
     """(kind, key, n): counts of the words (kind 0) and byte grams (kind 1) of all texts."""
 
     def rows(kind: int, tally: Tally) -> pa.RecordBatch:
@@ -109,17 +130,12 @@ def count_keys(docs: DataFrame) -> DataFrame:
         tallies = [Tally(), Tally()]
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            tallies[0].add(words(data, offsets)[0])
-            tallies[0].add(np.array([END]), np.array([batch.num_rows]))
-            text, bounds = framed(data, offsets)
-            for at in range(0, len(text) - DEPTH, BLOCK):
-                stop = min(at + BLOCK, len(text) - DEPTH)
-                # Grams that end in another text's edge bytes are no text's.
-                own = np.ones(stop - at, bool)
-                for k in range(DEPTH):
-                    ends = bounds[1:-1] + k - DEPTH - at
-                    own[ends[(ends >= 0) & (ends < stop - at)]] = False
-                tallies[1].add(grams(text[at : stop + DEPTH])[own])
+            if 0 in kinds:
+                tallies[0].add(words(data, offsets)[0])
+                tallies[0].add(np.array([END]), np.array([batch.num_rows]))
+            if 1 in kinds:
+                for found in own_grams(data, offsets):
+                    tallies[1].add(found)
             for kind, tally in enumerate(tallies):
                 if tally.size > HELD and len(tally.merge()[0]) > HELD // 2:
                     yield rows(kind, tally)
@@ -304,30 +320,247 @@ def fit(counted: DataFrame) -> Model:
     return weigh(nodes)
 
 
-#: The index of the model that a worker used last.
-_indexes: dict[str, tuple] = {}
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers as bytes, a plane for each place, so that small ones cost little."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<u8")
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their distances."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def bucket_of(keys: np.ndarray) -> np.ndarray:
+    """The part of the tree that a gram's two-byte context lies in."""
+    return (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+READ = "chunk bigint, row bigint, doc_id bigint, held_out boolean, text string, bucket int, keys binary, counts binary, logs binary"
+_NAMES = [c.split()[0] for c in READ.split(", ")]
+_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    """A batch of ``READ``; columns that are not given are null."""
+    types = [_TYPES[c.split()[1]] for c in READ.split(", ")]
+    own = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, types, strict=True)]
+    return pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(own, types, strict=True)], _NAMES)
 
 
-def _scores(model: Model, name: str, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def read_chunks(docs: DataFrame, train) -> DataFrame:
+    """One scan: every text with its chunk, and (chunk, bucket, keys, counts) of the distinct grams of each chunk; only training texts count."""
+
+    def parts(chunk: int, tally: Tally) -> Iterator[pa.RecordBatch]:
+        keys, counts = tally.merge()
+        buckets = bucket_of(keys)
+        order = np.argsort(buckets, kind="stable")
+        ends = np.searchsorted(buckets[order], np.arange(BUCKETS + 1))
+        for bucket in np.flatnonzero(np.diff(ends)):
+            own = order[ends[bucket] : ends[bucket + 1]]
+            yield _batch(1, chunk=[chunk], bucket=[int(bucket)], keys=[pack_keys(keys[own])], counts=[pack(counts[own])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size, tally = None, 0, Tally()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if chunk is None:
+                # No other chunk has the row.
+                chunk = batch.column(0)[0].as_py()
+            learned = batch.column(4).fill_null(False)
+            for mine, wanted in ((learned, True), (pa.compute.invert(learned), False)):
+                for found in own_grams(*utf8(batch.column(3).filter(mine))):
+                    if wanted:
+                        tally.add(found)
+                    else:
+                        keys = np.unique(found)
+                        tally.add(keys, np.zeros(len(keys), np.int64))
+                if tally.size > 4 * HELD:
+                    tally.merge()
+            size += batch.column(3).nbytes
+            yield _batch(batch.num_rows, chunk=[chunk] * batch.num_rows, row=batch.column(0), doc_id=batch.column(1), held_out=batch.column(2), text=batch.column(3))
+            if size > CHUNK:
+                yield from parts(chunk, tally)
+                chunk, size, tally = None, 0, Tally()
+        if chunk is not None:
+            yield from parts(chunk, tally)
+
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "held_out", "text", train.alias("train"))
+    return materialize(own.mapInArrow(run, READ), "ctw-read")
+
+
+def _summed(keys: np.ndarray, *numbers: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
+    return keys[first], *(np.add.reduceat(n[order], first) if len(first) else n for n in numbers)
+
+
+def _decision(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """A gram's node at a level, its context above the node's number, and the bit that is decided."""
+    byte = keys & np.uint64(255)
+    node = np.uint64(1 << level) | byte >> np.uint64(8 - level)
+    return keys >> np.uint64(8) << np.uint64(8) | node, (byte >> np.uint64(7 - level)) & np.uint64(1) == 1
+
+
+def _mask(depth: int) -> np.uint64:
+    return np.uint64((1 << 8 * (depth + 1)) - 1)
+
+
+def _node(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chance of a one, weight of stopping here and log of the weighted probability."""
+    own = _kt(zeros, ones)
+    return (ones + 0.5) / (zeros + ones + 1), 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.log(0.5) + np.logaddexp(own, below)
+
+
+def grow(keys: np.ndarray, counts: np.ndarray) -> tuple[list[tuple], tuple]:
+    """The nodes (keys, chance, stop) of ``DEPTH`` bytes, then fewer, to two; and the sums (keys, zeros, ones, below) of one byte."""
+    nodes, zeros, ones = [], [], []
+    for level in range(8):
+        node, one = _decision(keys, level)
+        nodes.append(node)
+        ones.append(np.where(one, counts, 0).astype(float))
+        zeros.append(np.where(one, 0, counts).astype(float))
+    own, zeros, ones = _summed(np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones))
+    weight = _kt(zeros, ones)
+    levels = [(own, (ones + 0.5) / (zeros + ones + 1), np.ones(len(own)))]
+    for depth in range(DEPTH - 1, 1, -1):
+        own, zeros, ones, below = _summed(own & _mask(depth), zeros, ones, weight)
+        chance, stop, weight = _node(zeros, ones, below)
+        levels.append((own, chance, stop))
+    return levels, _summed(own & _mask(1), zeros, ones, weight)
+
+
+def byte_logs(levels: list[tuple], keys: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's last byte; ``levels`` are those of all depths, the longest contexts first.
+
+    A node that was never counted, and all below it, has chance a half.
+    """
+    total = np.zeros(len(keys))
+    for level in range(8):
+        nodes, one = _decision(keys, level)
+        p = np.full(len(keys), 0.5)
+        for depth, (own, chance, stop) in zip(range(DEPTH, -1, -1), levels, strict=True):
+            if not len(own):
+                continue
+            wanted = nodes & _mask(depth)
+            at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+            p = np.where(own[at] == wanted, stop[at] * chance[at] + (1 - stop[at]) * p, p)
+        total += np.log10(np.where(one, p, 1 - p))
+    return total
+
+
+def merge_buckets(parts: DataFrame) -> DataFrame:
+    """(bucket, keys, counts, top) of each bucket: its distinct grams, and its sums for contexts of one byte."""
+    schema = "bucket int, keys binary, counts binary, node array<bigint>, zeros array<double>, ones array<double>, below array<double>"
+
+    def finish(bucket: int, tally: Tally) -> pa.RecordBatch:
+        keys, counts = tally.merge()
+        learned = counts > 0
+        node, *sums = grow(keys[learned], counts[learned])[1]
+        own = [pa.array([bucket], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack(counts)], pa.binary()), pa.array([node.astype(np.int64)], pa.list_(pa.int64()))]
+        own += [pa.array([x], pa.list_(pa.float64())) for x in sums]
+        return pa.RecordBatch.from_arrays(own, ["bucket", "keys", "counts", "node", "zeros", "ones", "below"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, tally = None, Tally()
+        for batch in batches:
+            for own, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if own != bucket:
+                    if bucket is not None:
+                        yield finish(bucket, tally)
+                    bucket, tally = own, Tally()
+                tally.add(unpack_keys(keys), unpack(counts).astype(np.int64))
+                if tally.size > 2 * HELD and tally.size > 2 * len(tally.keys[0]):
+                    tally.merge()
+        if bucket is not None:
+            yield finish(bucket, tally)
+
+    own = parts.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
+    return materialize(own.mapInArrow(run, schema), "ctw-buckets")
+
+
+def top_levels(merged: DataFrame) -> list[tuple]:
+    """The nodes of one byte and of none; at most 2**16 rows reach the driver."""
+    each = merged.select(F.inline(F.arrays_zip("node", "zeros", "ones", "below")))
+    rows = each.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    levels = []
+    own, zeros, ones, below = rows["node"].to_numpy().astype(np.uint64), *(rows[c].to_numpy() for c in ("zeros", "ones", "below"))
+    for depth in (1, 0):
+        own, zeros, ones, below = _summed(own & _mask(depth), zeros, ones, below)
+        chance, stop, below = _node(zeros, ones, below)
+        levels.append((own, chance, stop))
+    return levels
+
+
+def chunk_logs(parts: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows of ``READ`` with the log probability of each gram of each chunk."""
+    top = parts.sparkSession.sparkContext.broadcast(top_levels(merged))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = logs = None
+        for batch in batches:
+            for bucket, chunk, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if chunk is None:
+                    # A bucket's own row comes before those of its chunks.
+                    every, n = unpack_keys(keys), unpack(counts).astype(np.int64)
+                    logs = byte_logs(grow(every[n > 0], n[n > 0])[0] + top.value, every).astype("<f4")
+                else:
+                    yield _batch(1, chunk=[chunk], bucket=[bucket], keys=[keys], logs=[logs[np.searchsorted(every, unpack_keys(keys))].tobytes()])
+
+    own = merged.select("bucket", F.lit(None).cast("bigint").alias("chunk"), "keys", "counts").unionByName(parts.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("counts")))
+    return own.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(run, READ)
+
+
+class Lookup:
+    """Numbers by key, by open addressing; every key asked for is there."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        self.keys, self.numbers = keys, numbers
+        self.shift = np.uint64(64 - max(int(4 * len(keys)).bit_length(), 4))
+        self.slots = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        left = np.arange(len(keys), dtype=np.int32)
+        at = self._place(keys)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            more = self.slots[at] != left
+            left, at = left[more], (at[more] + 1) & (len(self.slots) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._place(keys)
+        found = self.slots[at]
+        left = np.flatnonzero(self.keys[found] != keys)
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            found[left] = self.slots[at[left]]
+            left = left[self.keys[found[left]] != keys[left]]
+        return self.numbers[found]
+
+
+def _scores(logs: Lookup, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """log10 probability of each text, its end included."""
-    if name not in _indexes:
-        _indexes.clear()
-        _indexes[name] = model.index()
-    index, logs = _indexes[name], model.table.reshape(-1)
-    text, bounds = framed(data, offsets)
-    out = np.zeros(len(offsets) - 1)
-    # The edge bytes that open a text are context and have no probability.
-    last = np.zeros(len(bounds), np.int64)
-    last[-1] = DEPTH
-    for at in range(0, max(len(text) - DEPTH, 0), BLOCK):
-        found = grams(text[at : at + BLOCK + DEPTH])
-        logs_at = logs[model.find(index, found).astype(np.int64) * 256 + (found & np.uint64(255)).astype(np.int64)].astype(float)
-        for k in range(DEPTH):
-            ends = bounds[1:-1] + k - DEPTH - at
-            logs_at[ends[(ends >= 0) & (ends < len(logs_at))]] = 0.0
-        sums = np.concatenate([[0.0], np.cumsum(logs_at)])
-        inner = np.clip(bounds - last - at, 0, len(logs_at))
+    sizes = np.diff(offsets) + 1
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    out, at = np.zeros(len(sizes)), 0
+    for found in own_grams(data, offsets):
+        sums = np.concatenate([[0.0], np.cumsum(logs(found).astype(float))])
+        inner = np.clip(bounds - at, 0, len(found))
         out += sums[inner[1:]] - sums[inner[:-1]]
+        at += len(found)
     return out
 
 
@@ -335,44 +568,63 @@ def score(docs: DataFrame, train) -> DataFrame:
     """Score every row of (doc_id, text, held_out), learning from the rows that ``train`` selects."""
     spark = docs.sparkSession
     bound_batches(spark)
-    counted = materialize(count_keys(docs.filter(train)), "ctw-counts")
-    word_counts = counted.filter("kind = 0").select("key", "n")
+    word_counts = materialize(count_keys(docs.filter(train), (0,)).select("key", "n"), "ctw-counts")
     total = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = least_frequent(word_counts, FREQUENT)
     often = word_counts.filter(F.col("n") >= least).toArrow()
     keys, ns = often["key"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(keys)
-    model = fit(counted.filter("kind = 1").select("key", "n"))
-    shared = spark.sparkContext.broadcast((keys[order], np.log10(ns[order] + 0.5), model, uuid.uuid4().hex))
+    shared = spark.sparkContext.broadcast((keys[order], np.log10(ns[order] + 0.5)))
+    chunks = read_chunks(docs, train)
+    parts = chunks.filter("bucket is not null")
+    logs_of = chunk_logs(parts, merge_buckets(parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs, tree, name = shared.value
+        known, logs = shared.value
+        held, tree = [], None
         for batch in batches:
-            data, offsets = utf8(batch.column(3))
-            hashes, bounds = words(data, offsets)
-            # A text's tokens are its words and one end.
-            hashes = np.insert(hashes, bounds[1:], END)
-            bounds = bounds + np.arange(len(bounds))
-            at = np.searchsorted(known, hashes)
-            at[at == len(known)] = 0
-            hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-            sums = np.concatenate([[0.0], np.cumsum(np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(hashes)))])
-            hits = np.concatenate([[0], np.cumsum(hit)])
-            rest = np.flatnonzero(~hit)
-            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, bounds).astype(np.int32)), pa.array(hashes[rest].view(np.int64)))
-            own = [
-                *(batch.column(i) for i in range(3)),
-                pa.array(np.diff(bounds).astype(np.int64)),
-                pa.array(np.diff(offsets).astype(np.int64)),
-                pa.array(hits[bounds[1:]] - hits[bounds[:-1]]),
-                pa.array(sums[bounds[1:]] - sums[bounds[:-1]]),
-                pa.array(_scores(tree, name, data, offsets)),
-                rare,
-            ]
-            yield pa.RecordBatch.from_arrays(own, ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_often", "often", "score", "rare"])
+            # Each chunk's log probabilities come before its texts.
+            dictionary = batch.column("bucket").is_valid()
+            chunk_of = batch.column("chunk").to_numpy()
+            cuts = np.flatnonzero(np.diff(chunk_of, prepend=chunk_of[:1]) | np.diff(dictionary.to_numpy(zero_copy_only=False).astype(int), prepend=0)) if batch.num_rows else []
+            edges = sorted({0, *map(int, cuts), batch.num_rows})
+            for start, stop in zip(edges, edges[1:], strict=False):
+                piece = batch.slice(start, stop - start)
+                if dictionary[start].as_py():
+                    held += zip(piece.column("keys").to_pylist(), piece.column("logs").to_pylist(), strict=True)
+                    continue
+                if held:
+                    tree = Lookup(np.concatenate([unpack_keys(k) for k, _ in held]), np.concatenate([np.frombuffer(x, "<f4") for _, x in held]))
+                    held = []
+                yield score_batch(piece, known, logs, tree)
+
+    def score_batch(batch: pa.RecordBatch, known: np.ndarray, logs: np.ndarray, tree: Lookup) -> pa.RecordBatch:
+        data, offsets = utf8(batch.column("text"))
+        hashes, bounds = words(data, offsets)
+        # A text's tokens are its words and one end.
+        hashes = np.insert(hashes, bounds[1:], END)
+        bounds = bounds + np.arange(len(bounds))
+        at = np.searchsorted(known, hashes)
+        at[at == len(known)] = 0
+        hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+        sums = np.concatenate([[0.0], np.cumsum(np.where(hit, logs[at], 0.0) if len(known) else np.zeros(len(hashes)))])
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        rest = np.flatnonzero(~hit)
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, bounds).astype(np.int32)), pa.array(hashes[rest].view(np.int64)))
+        own = [
+            *(batch.column(c) for c in ("row", "doc_id", "held_out")),
+            pa.array(np.diff(bounds).astype(np.int64)),
+            pa.array(np.diff(offsets).astype(np.int64)),
+            pa.array(hits[bounds[1:]] - hits[bounds[:-1]]),
+            pa.array(sums[bounds[1:]] - sums[bounds[:-1]]),
+            pa.array(_scores(tree, data, offsets)),
+            rare,
+        ]
+        return pa.RecordBatch.from_arrays(own, ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_often", "often", "score", "rare"])
 
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, n_often bigint, often double, score double, rare array<bigint>"
-    read = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), "held_out", "text").mapInArrow(run, schema), "ctw-read")
+    every = logs_of.unionByName(chunks.filter("bucket is null")).drop("counts")
+    read = materialize(every.repartition("chunk").sortWithinPartitions("chunk", F.desc_nulls_last("bucket")).mapInArrow(run, schema), "ctw-scored")
     # Rare words meet their counts by hash; what a text gathers is summed before it is sent to it.
     rare = read.select("row", F.explode("rare").alias("key")).join(word_counts.filter(F.col("n") < least), "key", "left")
     summed = rare.groupBy("row").agg(F.count("n").alias("n_rare"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("seldom"))

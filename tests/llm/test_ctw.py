@@ -109,5 +109,20 @@ def test_a_bounded_tree_is_a_distribution(spark, monkeypatch, most):
     assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_no_context_is_dropped(spark, folder, monkeypatch):
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abcd e", k=60)) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1], "text string")
+    model = ctw.fit(ctw.count_keys(docs).filter("kind = 1").select("key", "n"))
+    index = model.index()
+    monkeypatch.setattr(ctw, "MAX_CONTEXTS", 3)
+    monkeypatch.setattr(ctw, "CHUNK", 700)
+    monkeypatch.setattr(ctw, "BLOCK", 50)
+    for r in ctw.op9_lm_score(spark, folder(documents=(doc_rows(texts), DOCS))).collect():
+        data = np.frombuffer(EDGES + texts[r.doc_id].encode() + b"\xff", np.uint8)
+        want = model.table[model.find(index, ctw.grams(data)), data[ctw.DEPTH :]].astype(float).sum()
+        assert r.score == pytest.approx(want, rel=1e-5)
+
+
 def test_empty(spark, empty_folder):
     assert ctw.op9_lm_score(spark, empty_folder).collect() == []
