@@ -16,6 +16,10 @@ prefix shingle, the class that has it earliest, and the links make components.
 Then the remaining pairs, those across components, are joined, counted and
 verified. Pairs inside a component could not change it.
 
+The links of a class are counted afterwards, over all pairs inside its
+component: blocks of classes meet, a product of their incidence matrices gives
+all intersections, and only the counts leave a task.
+
 Shingles are compared by 64-bit hashes; class digests have 128 bits.
 
 Cases: a null or empty text, or one of white space, has no shingles, no class and
@@ -28,6 +32,7 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,11 +47,14 @@ from codeloom.llm._tables import bound_batches, table
 from codeloom.llm.decontam import window_filter
 from codeloom.operators.components import connected_components
 from codeloom.plans.shared import materialize
+from codeloom.plans.skew import salted_lookup
 
 #: Counters of the document-count sketch, and in how many parts tasks hand it on: 8 MB whatever the input.
 SKETCH, PARTS = 1 << 21, 64
 #: Bits of the filters of shared shingles and of candidate texts: 8 MB whatever the input.
 FILTER = 1 << 26
+#: Classes of a block whose pairs one task counts, about, and shingles of a block's matrix.
+MEMBERS, COLUMNS = 512, 4096
 #: Partial sketches that one task of the first round adds up.
 FAN_IN = 64
 
@@ -260,8 +268,8 @@ def verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) between classes with the same components as all links, and no pair that is none."""
+def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between classes with the same components as all links, and no pair that is none; and the classes' texts."""
     met = buckets(nodes)
     hubs = met.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "matches")).alias("h"), F.count("*").alias("rows")).filter("rows > 1").select("token", "h.*")
     hubs = materialize(hubs, "nd-hubs")
@@ -280,14 +288,98 @@ def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), asked).distinct()
     known = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = match_prefixes(across.join(known, ["a", "b"], "left_anti"), wanted, settings)
-    return linked.unionByName(materialize(verify(left, texts, settings), "nd-links"))
+    return linked.unionByName(materialize(verify(left, texts, settings), "nd-links")), texts
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each set of ``x`` with each of ``y``."""
+    out = np.zeros((len(x), len(y)), np.float64)
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+
+    def incidence(sets_of: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+        rows = np.zeros((len(sets_of), len(columns)), np.float32)
+        for row, own in zip(rows, sets_of, strict=True):
+            part = own[np.searchsorted(own, columns[0]) : np.searchsorted(own, columns[-1], "right")]
+            at = np.searchsorted(columns, part)
+            row[at[columns[at] == part]] = 1
+        return rows
+
+    for start in range(0, len(common), COLUMNS):
+        columns = common[start : start + COLUMNS]
+        out += incidence(x, columns) @ incidence(y, columns).T
+    return out
+
+
+def block_pairs(labels: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(component, sa, ba, sb, bb, side, node): the pairs of blocks in which all similar pairs of a component meet, each with its classes.
+
+    Sizes are cut into steps that similar sets are at most one apart.
+    """
+    width = -math.log(settings.percent / 100) * (1 + 1e-9)
+    step = F.floor(F.log("n") / width) if settings.percent < 100 else F.col("n")
+    sized = labels.join(nodes.select("node", "n"), "node").select("component", "node", step.cast("bigint").alias("step"))
+    # Two classes of one component are linked to each other.
+    most = sized.groupBy("component").count().filter("count > 2").select("component")
+    groups = sized.groupBy("component", "step").count().join(most, "component")
+    groups = materialize(groups.select("component", "step", F.ceil(F.col("count") / MEMBERS).cast("int").alias("blocks")), "nd-blocks")
+    own = salted_lookup(sized, groups, ["component", "step"], F.col("node"), "inner")
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("component", "step", "block", "node")
+    each = groups.select("component", "step", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    meets = (F.col("y.step") == F.col("x.step") + 1) | ((F.col("y.step") == F.col("x.step")) & (F.col("y.block") >= F.col("x.block")))
+    pairs = each.alias("x").join(each.alias("y"), "component").filter(meets)
+    pairs = pairs.select("component", F.col("x.step").alias("sa"), F.col("x.block").alias("ba"), F.col("y.step").alias("sb"), F.col("y.block").alias("bb"))
+    first = pairs.withColumn("side", F.lit(0)).withColumn("step", F.col("sa")).withColumn("block", F.col("ba"))
+    second = pairs.filter("sa <> sb or ba <> bb").withColumn("side", F.lit(1)).withColumn("step", F.col("sb")).withColumn("block", F.col("bb"))
+    return own.join(first.unionByName(second), ["component", "step", "block"]).select("component", "sa", "ba", "sb", "bb", "side", "node")
+
+
+def link_counts(labels: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """(node, n_links): how many classes each class of a component is similar to."""
+    key = ["component", "sa", "ba", "sb", "bb"]
+
+    def counted(members: dict[int, tuple[int, np.ndarray]], both: bool) -> pa.RecordBatch:
+        x, y = ([n for n, (side, _) in members.items() if side == own] for own in (0, 1))
+        if not both:
+            y = x
+        nodes_of, found = [*x, *y] if both else x, np.zeros(0, np.int64)
+        if x and y:
+            sizes = lambda part: np.array([len(members[n][1]) for n in part])
+            met = intersections([members[n][1] for n in x], [members[n][1] for n in y])
+            linked = 100 * met >= settings.percent * (sizes(x)[:, None] + sizes(y)[None] - met)
+            if not both:
+                np.fill_diagonal(linked, False)
+            found = np.concatenate([linked.sum(1), linked.sum(0)]) if both else linked.sum(1)
+        else:
+            nodes_of = []
+        return pa.RecordBatch.from_arrays([pa.array(nodes_of, pa.int64()), pa.array(found, pa.int64())], ["node", "n_links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, members = None, {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            for k, side, node, own, name in zip(keys, batch.column(5).to_pylist(), batch.column(6).to_pylist(), sets(batch.column(8), settings.words), batch.column(7).to_pylist(), strict=True):
+                if k != held:
+                    if members:
+                        yield counted(members, held[1:3] != held[3:5])
+                    held, members = k, {}
+                # Another text with the same key is no text of this class.
+                if digest(own) == name:
+                    members[node] = (side, own)
+        if members:
+            yield counted(members, held[1:3] != held[3:5])
+
+    rows = block_pairs(labels, nodes, settings).join(texts.select("node", "class", "text"), "node").select(*key, "side", "node", "class", "text")
+    counts = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "node bigint, n_links bigint")
+    two = labels.groupBy("component").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("members = 2")
+    return counts.unionByName(two.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("bigint").alias("n_links"))).groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def near_duplicates(docs: DataFrame, settings: Settings = Settings(), count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_size, n_links) of every row of (doc_id, text).
 
-    ``class_size`` is how many rows share the row's shingle set, ``n_links`` how
-    many links between classes its class has among those that made the components.
+    ``class_size`` is how many rows share the row's shingle set, ``n_links`` to
+    how many other classes its class is similar; without ``count_links`` only
+    the links that made the components count, which are none where it has none.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -296,9 +388,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     counts = sketch(read.filter("part is not null").select("part", "counts"))
     found = prefixes(docs, counts, settings).groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "matches", "text_key", "prefix")])
     nodes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "nd-nodes")
-    made = materialize(links(docs, nodes, settings), "nd-made")
+    made, texts = links(docs, nodes, settings)
+    made = materialize(made, "nd-made")
     labels = materialize(connected_components(made, "a", "b"), "nd-labels")
-    degrees = made.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    if count_links:
+        degrees = link_counts(labels, nodes, texts, settings)
+    else:
+        degrees = made.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     own = classes.join(nodes.select("class", "node"), "class").join(labels, "node", "left").join(degrees, "node", "left")
     own = own.filter("class_size > 1 or component is not null")
@@ -333,7 +429,7 @@ def kept_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     # A key of its own per row: ids may repeat or be null.
     row = F.xxhash64("doc_id", "text")
-    found = materialize(near_duplicates(docs.select(row.alias("doc_id"), "text"), STAGE), "nd-stage")
+    found = materialize(near_duplicates(docs.select(row.alias("doc_id"), "text"), STAGE, count_links=False), "nd-stage")
     ids = docs.select(row.alias("key"), "doc_id").groupBy("key").agg(F.min("doc_id").alias("id"))
     groups = found.filter("n_shingles > 0 and (class_size > 1 or n_links > 0)").join(ids, F.col("doc_id") == F.col("key")).select("key", "id", "component_id")
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("b"))

@@ -67,6 +67,17 @@ def test_components(spark, seed, size, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == components(rows, size, percent)
 
 
+@pytest.mark.parametrize(("seed", "size", "percent", "members"), [(1, 4, 85, 512), (2, 4, 85, 3), (4, 2, 50, 4)])
+def test_every_link_is_counted(spark, monkeypatch, seed, size, percent, members):
+    monkeypatch.setattr(neardup, "MEMBERS", members)
+    rows = corpus(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: frozenset(shingles(t, size)) for i, t in rows}
+    want = {i: sum(100 * len(a & b) >= percent * len(a | b) for b in set(sets.values()) if b and b != a) if a else 0 for i, a in sets.items()}
+    out = neardup.near_duplicates(docs, neardup.Settings(size, percent, cost=1))
+    assert {r.doc_id: r.n_links for r in out.collect()} == want and max(want.values()) > 2
+
+
 def test_odd_texts(spark, docs_folder, odd_texts):
     out = neardup.op2_ngram_join(spark, docs_folder).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == components(list(enumerate(odd_texts)), 4, 85)
