@@ -3,8 +3,9 @@
 A text is a vector of hashed byte trigrams of its lower-cased letters, weighted
 by TF-IDF and normalised. Each language has several centroids, from spherical
 k-means over labelled texts, and a text takes the language of the centroid
-nearest by cosine. It is rejected when that cosine is far below what training
-texts of its length reach.
+nearest by cosine. It is rejected when that cosine is below what all but a few
+labelled texts of its length reach with centroids that have not seen them: half
+of the sample is held against the other half, whole and by its beginnings.
 
 The classifier is fitted on a bounded sample of labelled rows
 (``Settings.sample_rows``, spread evenly over the languages, chosen by a hash of
@@ -19,6 +20,7 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +49,7 @@ class Settings:
     sample_rows: int = 2400
     #: Languages learned, the most frequent first.
     max_languages: int = 200
-    #: A text is rejected below this part of the least usual cosine of texts of its length.
-    slack: float = 0.1
+    #: The part of unseen labelled texts of a length that would be rejected.
     usual: float = 0.005
 
 
@@ -126,16 +127,20 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n = [], []
-            for text in batch.column(1).to_pylist():
-                found = counts(text, dims)
-                kept = np.flatnonzero(found)
-                at.append(kept.astype(np.uint16).tobytes())
-                n.append(np.minimum(found[kept], 65535).astype(np.uint16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "at", "n"])
-
-    rows = sample.mapInArrow(sparse, "lang string, at binary, n binary").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["at"], r["n"]))
+            made = []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fold = zlib.crc32(text.encode("utf-8", "replace")) & 1
+                # The whole text, and its beginnings of 8, 16, 32 ... letters.
+                for stop in [len(text), *(1 << k for k in range(3, 31) if 1 << k < len(text))]:
+                    found = counts(text[:stop], dims)
+                    kept = np.flatnonzero(found)
+                    made.append((lang, fold, stop == len(text), kept.astype(np.uint16).tobytes(), np.minimum(found[kept], 65535).astype(np.uint16).tobytes()))
+            columns = list(zip(*made, strict=True)) if made else [()] * 5
+            types = [pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "fold", "whole", "at", "n"])
+
+    every = sample.mapInArrow(sparse, "lang string, fold int, whole boolean, at binary, n binary").toArrow().to_pylist()
+    rows = sorted((r for r in every if r["whole"]), key=lambda r: (r["lang"], r["at"], r["n"]))
     seen = np.zeros(dims)
     for r in rows:
         seen[np.frombuffer(r["at"], np.uint16)] += 1
@@ -149,17 +154,33 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
         return tf
 
     # One language at a time is dense: some 40 MB for 600 texts.
-    centres = [_means(_vectors(dense([r for r in rows if r["lang"] == g]), idf), settings.centroids, settings.rounds) for g in languages]
-    model = Model(languages, np.repeat(np.arange(len(languages)), [len(c) for c in centres]), np.vstack(centres).astype(np.float32), idf, np.zeros(32))
-    nearest, lengths = np.zeros(len(rows)), np.zeros(len(rows), int)
-    for at in range(0, len(rows), 64):
-        tf = dense(rows[at : at + 64])
-        nearest[at : at + 64] = (_vectors(tf, idf) @ model.centroids.T).max(1)
-        lengths[at : at + 64] = [_length(n) for n in tf.sum(1)]
+    def centroids(part: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        by = {g: [r for r in part if r["lang"] == g] for g in languages}
+        centres = {g: _means(_vectors(dense(own), idf), settings.centroids, settings.rounds) for g, own in by.items() if own}
+        return np.repeat([languages.index(g) for g in centres], [len(c) for c in centres.values()]), np.vstack(list(centres.values())).astype(np.float32)
+
+    owner, centres = centroids(rows)
+    nearest, lengths = [], []
+    for fold in (0, 1):
+        other = [r for r in rows if r["fold"] != fold]
+        known = {r["lang"] for r in other}
+        unseen = [r for r in every if r["fold"] == fold and r["lang"] in known]
+        if unseen:
+            apart = centroids(other)[1]
+        for at in range(0, len(unseen), 64):
+            tf = dense(unseen[at : at + 64])
+            nearest += (_vectors(tf, idf) @ apart.T).max(1).tolist()
+            lengths += [_length(n) for n in tf.sum(1)]
+    return Model(languages, owner, centres, idf, _floor(np.array(nearest), np.array(lengths), settings.usual))
+
+
+def _floor(nearest: np.ndarray, lengths: np.ndarray, usual: float) -> np.ndarray:
+    """The limit by length. Longer texts than were seen have the limit of the longest: cosines grow with the length."""
+    floor = np.zeros(32)
     for at in range(32):
-        near = nearest[np.abs(lengths - at) <= 1]
-        model.floor[at] = settings.slack * float(np.quantile(near, settings.usual)) if len(near) >= 20 else 0.0
-    return model
+        near = nearest[lengths == at]
+        floor[at] = float(np.quantile(near, usual)) if len(near) >= 20 else floor[at - 1] if at else 0.0
+    return floor
 
 
 def learnable(docs: DataFrame) -> Column:

@@ -47,6 +47,22 @@ def test_stage_drops_rejected(spark, folder, odd_texts):
     assert {2000, 2001, 2002} & kept == set() and 2003 in kept and len(kept) >= 400
 
 
+def test_unlearned_latin_text_is_rejected(spark, folder):
+    rnd = random.Random(3)
+    finnish = "tämän talon vesi on hyvin kylmää mutta aurinko lämmittää pihan kun kesäkuu alkaa ja lapset juoksevat rannalle uimaan yhdessä"
+    letters = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(3, 9))) for _ in range(60))
+    junk = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=400))
+    code = "for (int i = 0; i < n; ++i) { buf[i] = ptr->next ? malloc(sizeof(*ptr)) : NULL; } return errno;"
+    dutch = "het water van dit huis is erg koud maar de zon verwarmt de tuin wanneer de zomer begint en kinderen onder de straat lopen"
+    italian = "la casa della signora era molto bella e il giardino che si apre sulla strada dove giocano i bambini con le loro palle"
+    swedish = "det här husets vatten är mycket kallt men solen värmer gården när sommaren börjar och barnen springer över stranden"
+    rows = labelled() + [(3000 + i, t, None, "s", 0, None, 0, "x") for i, t in enumerate([finnish, letters, junk, code, dutch, italian, swedish])]
+    out = {r.doc_id: r for r in langid.op7_language_id(spark, folder(documents=(rows, DOCS))).collect()}
+    assert all(out[i].rejected for i in range(3000, 3007))
+    held = [r for r in out.values() if r.held_out and r.doc_id is not None and r.doc_id < 3000]
+    assert sum(r.rejected for r in held) <= 0.05 * len(held)
+
+
 def test_nothing_labelled(spark, folder, odd_texts, empty_folder):
     assert langid.op7_language_id(spark, empty_folder).collect() == []
     rows = [(*r[:2], None, *r[3:]) for r in doc_rows(odd_texts)]
