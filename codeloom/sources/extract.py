@@ -157,11 +157,11 @@ def _external(language: str, target: str) -> bool:
 
 
 def _symbol(name, kind, signature, visibility, start, end, nesting=1) -> dict:
-    return {"name": name, "kind": kind, "signature": " ".join(signature.split())[:400], "visibility": visibility, "line_start": start, "line_end": end, "line_count": max(1, end - start + 1), "nesting_depth": nesting}
+    return {"name": name, "kind": kind, "signature": " ".join(signature.split()), "visibility": visibility, "line_start": start, "line_end": end, "line_count": max(1, end - start + 1), "nesting_depth": nesting}
 
 
 def _dependency(language, target, statement, line) -> dict:
-    return {"target": target, "statement": " ".join(statement.split())[:400], "line_number": line, "is_external": _external(language, target)}
+    return {"target": target, "statement": " ".join(statement.split()), "line_number": line, "is_external": _external(language, target)}
 
 
 def _visibility(language: str, name: str, given: str | None, usual: str) -> str:

@@ -159,3 +159,9 @@ def test_table_function(spark):
     assert {r.path: r.status for r in out.collect()} == {"a.py": "degraded", "b.ts": "parsed", "c.kt": "unsupported", "d.py": "unsupported", "e.py": "parsed"}
     assert {(r.path, r.name) for r in symbols_of(out).collect()} == {("b.ts", "X"), ("e.py", "X")}
     assert [(r.source, r.target) for r in dependencies_of(out).collect()] == [("e.py", "os")]
+
+
+def test_long_signatures_and_imports_stay_whole():
+    many = ", ".join(f"argument{i}: Type{i}" for i in range(60))
+    symbols, needs = extract_file("f.ts", "typescript", f"import {{ {many.replace(':', ' as')} }} from './types';\nexport function wide({many}) {{\n  return 1;\n}}\n")[2:]
+    assert symbols[0]["signature"].endswith("argument59: Type59)") and "argument59 as Type59 } from './types'" in needs[0]["statement"]
