@@ -8,11 +8,15 @@ consistent: equal values in the item have equal values in the document. An item
 is found in a document when enough of its windows meet consistently, so a
 question with other numbers or names is found too.
 
+A capital inside a sentence makes a name. At the start of a sentence it may be
+one: windows that hold such a word come twice, with the word and with a name.
+
 A window needs ``Settings.literals`` tokens that are no placeholder. An item of
-fewer tokens than a window is one window of its own length.
+fewer tokens than a window is one window of its own length. An item without a
+window of enough literals is found where all its tokens stand, values included.
 
-Cases: null and empty texts, and items without a window of enough literals, have
-no windows and find nothing; an item that occurs several times in a text counts
+Cases: null and empty texts, and items without a single word, have no windows
+and find nothing; an item that occurs several times in a text counts
 once; equal items are each found; repeated rows each give their rows; an empty
 table on either side gives none; extra columns are ignored. Everything runs as
 DataFrame expressions.
@@ -33,6 +37,8 @@ from codeloom.plans.skew import salted_lookup
 
 #: Placeholders, from the private use area; a text's own are taken out first.
 NAME, NUMBER, UNIT, INNER = "\ue000", "\ue001", "\ue002", "\ue003"
+#: Marks a word that may be a name, since it starts a sentence with a capital.
+START = "\ue004"
 #: Units of measure and money, in lower case.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal ms s sec min h hr hrs hours minutes seconds days weeks months years meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres percent degrees dollars cents euros usd eur gbp kb mb gb tb hz khz mhz ghz w kw kwh v mph kmh".split()
 #: Bits of the window filter, at most 128 KB of the plan, and probes of each window.
@@ -54,8 +60,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def valued_template(text: Column, names: bool = True) -> Column:
-    """The template tokens of a text, each placeholder followed by its value; without ``names`` these stay words."""
+def valued_template(text: Column, names: bool = True, starts: bool = False) -> Column:
+    """The template tokens of a text, each placeholder followed by its value; without ``names`` these stay words, with ``starts`` possible names are marked."""
     step = lambda t, pattern, to: F.regexp_replace(t, F.lit(pattern), F.lit(to))
     # Marks that stand in or between words say nothing of where a sentence starts.
     t = step(text, r"[^\p{L}\p{N}\s.,:;!?/-]+", " ")
@@ -64,7 +70,9 @@ def valued_template(text: Column, names: bool = True) -> Column:
     t = step(t, rf"(?<![\p{{L}}\p{{N}}{NUMBER}{INNER}])([0-9][0-9{INNER}]*)(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1")
     if names:
         t = step(t, r"(?<=[^\s.!?:]\s{1,3})(?=\p{Lu}\p{Ll})", NAME)
-    t = step(F.lower(t), rf"[^\p{{L}}\p{{N}}{NAME}-{INNER}]+", " ")
+    if starts:
+        t = step(t, r"(?:^|(?<=[\s.!?:]))(?=\p{Lu}\p{Ll})", START)
+    t = step(F.lower(t), rf"[^\p{{L}}\p{{N}}{NAME}-{START}]+", " ")
     return F.filter(F.split(t, " "), lambda w: w != "")
 
 
@@ -77,6 +85,21 @@ def templates(valued: Column) -> Column:
     return F.transform(valued, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
 
 
+def _plain(marked: Column) -> Column:
+    """Marked words as words."""
+    return F.transform(marked, lambda w: F.translate(w, START, ""))
+
+
+def _named(marked: Column) -> Column:
+    """Marked words as names."""
+    return F.transform(marked, lambda w: F.translate(w, START, NAME))
+
+
+def _exact(marked: Column) -> Column:
+    """Every token as it is, without what kind it has."""
+    return F.transform(marked, lambda w: F.translate(w, NAME + NUMBER + UNIT + START, ""))
+
+
 def _bits(h: Column, bits: int) -> list[Column]:
     """The places in the filter of a window's hash."""
     return [F.shiftrightunsigned(h, 20 * p).bitwiseAND(F.lit(bits - 1)) for p in range(PROBES)]
@@ -104,36 +127,58 @@ def window_filter(hashes: DataFrame, distinct: int) -> Callable[[Column], Column
     return passes
 
 
-def _windows(valued: Column, size: int, keep: Callable[[Column], Column] | None) -> Column:
-    """Windows (pos, h, slots) of ``size`` tokens whose hash ``keep`` passes."""
+def _every_place(tokens: Column, size: int) -> Column:
+    return F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
+
+
+def _marked_places(marked: Column, size: int) -> Column:
+    """Where windows of ``size`` tokens hold a marked word."""
+    last = F.size(marked) - size
+    at = F.filter(F.transform(marked, lambda w, i: F.when(w.startswith(START), i)), lambda i: i.isNotNull())
+    around = F.transform(at, lambda i: F.sequence(F.least(F.greatest(i - size + 1, F.lit(0)), last), F.least(i, last)))
+    return F.when(last >= 0, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+
+
+def _windows(valued: Column, size: int, keep: Callable[[Column], Column] | None, places: Column | None = None, exact: bool = False) -> Column:
+    """Windows (pos, h, slots) of ``size`` tokens whose hash ``keep`` passes, at ``places``; those of ``exact`` tokens are told apart."""
 
     def body(v: Column) -> Column:
         def of(t: Column) -> Column:
-            places = F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
-            hashed = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(t, i + 1, size)).alias("h")))
+            hashed = F.transform(
+                _every_place(t, size) if places is None else places,
+                lambda i: F.struct(i.alias("pos"), F.xxhash64(*([F.lit("=")] if exact else []), F.slice(t, i + 1, size)).alias("h")),
+            )
             return hashed if keep is None else F.filter(hashed, lambda w: keep(w["h"]))
 
-        return F.transform(let(templates(v), of), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.slice(v, w["pos"] + 1, size).alias("slots")))
+        return F.transform(let(v if exact else templates(v), of), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.slice(v, w["pos"] + 1, size).alias("slots")))
 
     return let(valued, body)
 
 
 def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
-    """item_row, item_id, ipos, size, h, islots, n_windows of every benchmark item (item_id, text).
+    """item_row, item_id, ipos, size, h, islots, exact, iloose, n_windows of every benchmark item (item_id, text).
 
-    Each item has its windows twice where it has names: as placeholders, and as
-    words for documents whose spelling does not show names.
+    Each item has its windows thrice where it has names: with those inside
+    sentences as placeholders, with those at their starts as well, and as words
+    for documents whose spelling does not show names.
     """
     numbered = items.filter("text is not null").select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text")
-    rows = numbered.select("item_row", "item_id", F.explode(F.array(valued_template(F.col("text")), valued_template(F.col("text"), names=False))).alias("v"))
-    rows = rows.filter(F.size("v") > 0).withColumn("size", F.least(F.size("v"), F.lit(settings.window)))
+    marked = numbered.select("item_row", "item_id", "text", valued_template(F.col("text"), starts=True).alias("marked"))
+    variants = ((_plain(F.col("marked")), False), (_named(F.col("marked")), True), (valued_template(F.col("text"), names=False), False))
+    rows = marked.select("item_row", "item_id", F.explode(F.array(*[F.struct(v.alias("v"), F.lit(loose).alias("loose")) for v, loose in variants])).alias("s")).select("item_row", "item_id", "s.*")
+    sized = lambda r: r.filter(F.size("v") > 0).withColumn("size", F.least(F.size("v"), F.lit(settings.window)))
     # A short item's one window is the whole item.
-    long = rows.filter(F.col("size") == settings.window).select("item_row", "item_id", "size", F.inline(_windows(F.col("v"), settings.window, None)))
-    short = rows.filter(F.col("size") < settings.window).select("item_row", "item_id", "size", F.lit(0).alias("pos"), F.xxhash64(templates(F.col("v"))).alias("h"), F.col("v").alias("slots"))
+    long = lambda r, exact: r.filter(F.col("size") == settings.window).select("item_row", "item_id", "loose", "size", F.inline(_windows(F.col("v"), settings.window, None, exact=exact)))
+    short = lambda r, h: r.filter(F.col("size") < settings.window).select("item_row", "item_id", "loose", "size", F.lit(0).alias("pos"), h.alias("h"), F.col("v").alias("slots"))
+    rows = sized(rows)
     literal = F.size(F.filter("slots", lambda w: ~_is_slot(w)))
-    kept = long.unionByName(short).filter(literal >= F.least(F.lit(settings.literals), F.col("size"))).dropDuplicates(["item_row", "pos", "h"])
+    kept = long(rows, False).unionByName(short(rows, F.xxhash64(templates(F.col("v"))))).filter(literal >= F.least(F.lit(settings.literals), F.col("size")))
+    kept = kept.groupBy("item_row", "pos", "h").agg(*[F.min(c).alias(c) for c in ("item_id", "loose", "size", "slots")]).withColumn("exact", F.lit(False))
+    worded = marked.filter(F.exists(_plain(F.col("marked")), lambda w: ~_is_slot(w)))
+    bare = sized(worded.select("item_row", "item_id", F.lit(False).alias("loose"), _exact(F.col("marked")).alias("v")).join(kept.select("item_row").distinct(), "item_row", "left_anti"))
+    kept = kept.unionByName(long(bare, True).unionByName(short(bare, F.xxhash64(F.lit("="), F.col("v")))).withColumn("exact", F.lit(True)))
     totals = kept.groupBy("item_row").agg(F.countDistinct("pos").alias("n_windows"))
-    return kept.join(totals, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "n_windows")
+    return kept.join(totals, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "exact", F.col("loose").alias("iloose"), "n_windows")
 
 
 def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -142,28 +187,41 @@ def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     ``docs`` has doc_id and text; ``row`` tells rows with equal ids apart.
     """
     wanted = item_windows(items, settings).cache()
-    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())
-    if not sizes:
+    asked = sorted((r["exact"], r["size"]) for r in wanted.select("exact", "size").distinct().collect())
+    if not asked:
         return docs.sparkSession.createDataFrame([], "row bigint, doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, coverage double, reparameterised boolean")
     passes = window_filter(wanted.select("h"), wanted.select("h").distinct().count())
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    near = let(valued_template(F.col("text")), lambda v: F.concat(*[_windows(v, size, passes) for size in sizes]))
+
+    def windows(marked: Column) -> Column:
+        plain = [_windows(_plain(marked), size, passes) for exact, size in asked if not exact]
+        named = [_windows(_named(marked), size, passes, _marked_places(marked, size)) for exact, size in asked if not exact]
+        whole = [_windows(_exact(marked), size, passes, exact=True) for exact, size in asked if exact]
+        flagged = lambda found, loose: F.transform(found, lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), w["slots"].alias("slots"), F.lit(loose).alias("loose")))
+        return F.concat(*[flagged(w, False) for w in (*plain, *whole)], *[flagged(w, True) for w in named])
+
+    near = let(valued_template(F.col("text"), starts=True), windows)
     # Only windows that pass the filter leave the scan.
     met = rows.filter("text is not null").select("row", "doc_id", F.inline(near))
     pairs = salted_lookup(met, wanted, ["h"], F.col("row"), "inner").filter(F.size("slots") == F.size("islots"))
     # Two branches read the pairs; written once, they cost one scan of the texts.
     pairs = materialize(pairs.withColumn("shift", F.col("pos") - F.col("ipos")), "decontam-pairs")
+    # What starts a sentence may be no name, so its clash spares the windows that do without it.
+    certain = F.when(F.col("loose") | F.col("iloose"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
+    pairs = pairs.withColumn("broad", F.explode(certain))
     slots = pairs.select(
-        "row", "item_row", "shift", F.explode(F.filter(F.arrays_zip("islots", "slots"), lambda s: _is_slot(s["islots"]))).alias("s")
-    ).groupBy("row", "item_row", "shift", F.col("s.islots").alias("own")).agg(F.min("s.slots").alias("a"), F.max("s.slots").alias("b"))
-    alignments = slots.groupBy("row", "item_row", "shift").agg(F.max(F.col("a") != F.col("b")).alias("clash"), F.max(F.col("a") != F.col("own")).alias("changed"))
-    matched = pairs.groupBy("row", "doc_id", "item_row", "item_id", "n_windows", "shift").agg(F.collect_set("ipos").alias("at"))
-    fits = matched.join(alignments, ["row", "item_row", "shift"], "left").filter(~F.coalesce("clash", F.lit(False)))
-    found = fits.groupBy("row", "doc_id", "item_row", "item_id", "n_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("bigint").alias("n_matched"), F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised")
+        "row", "item_row", "shift", "broad", F.explode(F.filter(F.arrays_zip("islots", "slots"), lambda s: _is_slot(s["islots"]))).alias("s")
+    ).groupBy("row", "item_row", "shift", "broad", F.col("s.islots").alias("own")).agg(F.min("s.slots").alias("a"), F.max("s.slots").alias("b"))
+    alignments = slots.groupBy("row", "item_row", "shift", "broad").agg(F.max(F.col("a") != F.col("b")).alias("clash"), F.max(F.col("a") != F.col("own")).alias("changed"))
+    matched = pairs.groupBy("row", "doc_id", "item_row", "item_id", "exact", "n_windows", "shift", "broad").agg(F.collect_set("ipos").alias("at"))
+    fits = matched.join(alignments, ["row", "item_row", "shift", "broad"], "left").filter(~F.coalesce("clash", F.lit(False)))
+    # Exact items have all their windows on one alignment.
+    union, best = F.size(F.array_distinct(F.flatten(F.collect_list("at")))), F.max(F.size("at"))
+    found = fits.groupBy("row", "doc_id", "item_row", "item_id", "exact", "n_windows").agg(
+        F.when(F.col("exact"), best).otherwise(union).cast("bigint").alias("n_matched"), F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised")
     )
     cover = F.col("n_matched") / F.col("n_windows")
-    return found.filter(cover >= settings.coverage).select("row", "doc_id", "item_id", "n_matched", "n_windows", cover.alias("coverage"), "reparameterised")
+    return found.filter(cover >= F.when(F.col("exact"), F.lit(1.0)).otherwise(F.lit(settings.coverage))).select("row", "doc_id", "item_id", "n_matched", "n_windows", cover.alias("coverage"), "reparameterised")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

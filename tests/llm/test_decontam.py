@@ -51,3 +51,15 @@ def test_empty(spark, empty_folder, folder):
 
 def test_empty_documents(spark, folder):
     assert decontam.op10_decontaminate(spark, docs(folder, [])).collect() == []
+
+
+def test_names_that_start_sentences_and_items_short_of_words(spark):
+    items = [(1, "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"), (2, "What is 12 + 15 * 3?"), (3, "Solve 3 x + 4 = 19")]
+    docs = [
+        (10, "Anna has 7 apples. Anna buys 4 more. How many apples does Anna have?"),
+        (11, "Some text. What is 12 + 15 * 3? More text."),
+        (12, "please solve 3 x + 4 = 19 now"),
+        (13, "What is 12 + 16 * 3? Solve 3 x + 4 = 18"),
+    ]
+    found = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.reparameterised) for r in found.collect()} == {(10, 1, True), (11, 2, False), (12, 3, False)}
