@@ -7,10 +7,12 @@ compatible. That nondeterministic transducer (a place in the trie, the token
 before it) is determinised while texts are read: a state is the set of places
 still possible, and exactly one of them ends a token, which is the last token
 of the text read so far. A token is emitted once the ways back from all places
-of the state meet behind it, after a bounded lookahead. Transitions are kept,
-up to a bound at which they are dropped and made again. Decoding is a second
-transducer, from tokens to text, over the states of an incremental UTF-8
-machine.
+of the state meet behind it, after a bounded lookahead. Many pieces are read
+side by side, a byte of each at a time, by a table of transitions that are made
+when first met, up to a bound at which all are dropped and made again. Decoding
+is a second transducer, from tokens to text, over the states of an incremental
+UTF-8 machine. Long texts are worked on in segments, whose digests go on from
+one to the next.
 
 Cases: a null text is an empty one, with no tokens and the digests of an empty
 string; repeated rows each give a row; an empty table gives none; extra columns
@@ -32,13 +34,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm._tables import bound_batches, table
 
-#: Transitions, pieces and chunks kept by one worker; beyond, they are dropped and made again.
-MAX_TRANSITIONS = 200_000
-MAX_PIECES = 250_000
+#: Transitions and states kept by one worker (some 80 MB); beyond, they are dropped and made again.
+MAX_STEPS = 1 << 19
+MAX_STATES = 1 << 18
+#: Pairs of tokens kept whose compatibility is known.
+MAX_PAIRS = 1 << 18
+#: Bytes of known chunks kept by one worker, about; beyond, those not used since half of them were read are dropped.
+MAX_STORE = 64 << 20
 #: Bytes read between two looks for certain tokens.
 LOOKAHEAD = 256
-#: Tokens decoded at a time.
-DECODE_BLOCK = 1 << 16
+#: Bytes of pieces that are read side by side.
+ABREAST = 1 << 15
+#: Characters of a text that are worked on at a time, and of the texts of one round.
+SEGMENT = 1 << 20
+#: Stands between chunks of a text; no UTF-8 text has it.
+BETWEEN = "\ud800"
+#: Where a text may be cut: no piece reaches over a single space or line feed between characters that are not white space.
+BORDER = regex.compile(r"(?<=\S)[ \n](?=\S)")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -85,20 +97,37 @@ class Bpe:
             self.token_at[at] = rank
         self.inner = inner
         self.pair_rank = {h: rank for rank, h in self.halves.items()}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
-        # What was in use before the last time that a store was full.
-        self.older_pieces: dict[str, tuple[int, ...]] = {}
-        self.older_chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        most = max(ranks.values()) + 1
+        #: Each id as one object, as decimal text, and the length of its bytes.
+        self.numbers = np.array(range(most), object)
+        self.names = [str(i) for i in range(most)]
+        self.size = np.zeros(most, np.int32)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+        #: Ids of the chunks met last, and of those met before the store was half full the last time.
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.stored = 0
         self._forget()
-        self.text_steps: dict[tuple[int, int], tuple[int, str]] = {}
+        #: Per state of the UTF-8 machine, the state after a token and the characters it ends.
+        self.text_steps: dict[int, dict[int, tuple[int, str]]] = {}
+        #: The characters of the tokens that lead from between two characters to between two characters.
+        self.whole = [None] * most
+        for token, rank in ranks.items():
+            state, text = utf8_feed(0, token)
+            if not state:
+                self.whole[rank] = text
 
     def _forget(self) -> None:
-        self.pairs: dict[tuple[int, int], bool] = {}
-        start = ((0, -1),)
+        self.pairs: dict[int, bool] = {}
+        # A state is a flat tuple of its places: node, token before, node, ...
+        start = (0, -1)
         self.state_ids, self.states = {start: 0}, [start]
-        self.last = [(-1, 0)]
-        self.steps: dict[int, int] = {}
+        self.ended = np.zeros(1 << 10, np.int32)
+        # Open addressing by state << 8 | byte; no transition leads to the first state, so 0 is none.
+        self.step_keys = np.zeros(2 * MAX_STEPS, np.int64)
+        self.step_to = np.zeros(2 * MAX_STEPS, np.int32)
+        self.made = 0
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE of the joined bytes of ``a`` and ``b`` is ``[a, b]``.
@@ -107,7 +136,7 @@ class Bpe:
         apart, and a merge across the border that came earlier than it rules
         the pair out. Of equal ranks the left one was merged first.
         """
-        if (known := self.pairs.get((a, b))) is not None:
+        if (known := self.pairs.get(a << 32 | b)) is not None:
             return known
         left, right, before, answer = a, b, 1 << 60, True
         while True:
@@ -123,153 +152,282 @@ class Bpe:
                 before, left = left, self.halves[left][1]
             else:
                 before, right = right + 1, self.halves[right][0]
-        self.pairs[a, b] = answer
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs = {}
+        self.pairs[a << 32 | b] = answer
         return answer
 
     def _step(self, state: int, byte: int) -> int:
-        """The state after ``state`` on ``byte``."""
+        """Make the transition from ``state`` on ``byte``."""
         places, ended = [], -1
-        children, pairs = self.children.get, self.pairs.get
-        for node, before in self.states[state]:
-            after = children(node << 8 | byte)
+        children, pairs, inner, token_at = self.children.get, self.pairs.get, self.inner, self.token_at
+        own = self.states[state]
+        for i in range(0, len(own), 2):
+            after = children(own[i] << 8 | byte)
             if after is None:
                 continue
-            token = self.token_at[after]
-            if ended < 0 <= token and (before < 0 or pairs((before, token)) or self.compatible(before, token)):
+            before, token = own[i + 1], token_at[after]
+            if ended < 0 <= token and (before < 0 or pairs(before << 32 | token) or self.compatible(before, token)):
                 ended = token
-            if after in self.inner:
-                places.append((after, before))
-        places.append((0, ended))
-        key = tuple(places)
-        if (found := self.state_ids.get(key)) is None:
-            found = self.state_ids[key] = len(self.states)
-            self.states.append(key)
-            self.last.append((ended, len(self.text_of[ended])))
-        self.steps[state << 8 | byte] = found
+            if after in inner:
+                places.append(after)
+                places.append(before)
+        places.append(0)
+        places.append(ended)
+        found = self._intern(tuple(places))
+        key = state << 8 | byte
+        at = self._slot(key)
+        while self.step_to[at]:
+            at = (at + 1) % len(self.step_to)
+        self.step_keys[at], self.step_to[at] = key, found
+        self.made += 1
+        return found
+
+    def _intern(self, places: tuple[int, ...]) -> int:
+        """The number of a state; the last of its places tells the token that ends there."""
+        if (found := self.state_ids.get(places)) is None:
+            found = self.state_ids[places] = len(self.states)
+            self.states.append(places)
+            if found == len(self.ended):
+                self.ended = np.concatenate([self.ended, np.zeros_like(self.ended)])
+            self.ended[found] = places[-1]
+        return found
+
+    def _slot(self, key: int) -> int:
+        return (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 20 & len(self.step_to) - 1
+
+    def _after(self, state: int, byte: int) -> int:
+        """The state after ``state`` on ``byte``."""
+        key = state << 8 | byte
+        at = self._slot(key)
+        while found := int(self.step_to[at]):
+            if self.step_keys[at] == key:
+                return found
+            at = (at + 1) % len(self.step_to)
+        return self._step(state, byte)
+
+    def _all_after(self, keys: np.ndarray) -> np.ndarray:
+        """The states after many (state << 8 | byte); 0 where no transition is made yet."""
+        last = len(self.step_to) - 1
+        at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20) & np.uint64(last)).astype(np.int64)
+        found = self.step_to[at]
+        open_ = np.flatnonzero((self.step_keys[at] != keys) & (found != 0))
+        while len(open_):
+            at[open_] = at[open_] + 1 & last
+            found[open_] = self.step_to[at[open_]]
+            open_ = open_[(self.step_keys[at[open_]] != keys[open_]) & (found[open_] != 0)]
         return found
 
-    def _read(self, data: bytes, trail: list[int]) -> None:
-        """Append to ``trail`` the state after each byte."""
-        state, known, make = trail[-1], self.steps.get, self._step
-        for byte in data:
-            state = known(state << 8 | byte) or make(state, byte)
-            trail.append(state)
+    def _room(self, new: int) -> None:
+        """Make room for ``new`` transitions."""
+        if len(self.states) + new > MAX_STATES or self.made + new > MAX_STEPS:
+            self._forget()
+
+    def _abreast(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Tokens of pieces of :data:`LOOKAHEAD` bytes at most, read side by side, a byte of each at a time."""
+        sizes = np.array([len(p) for p in pieces])
+        order = np.argsort(-sizes, kind="stable")
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        first = starts[order]
+        lengths = sizes[order]
+        trail = np.zeros(len(data), np.int32)
+        state = np.zeros(len(pieces), np.int32)
+        self._room(len(data))
+        for i in range(lengths[0]):
+            reading = int(np.searchsorted(-lengths, -i, "left"))
+            at, now = first[:reading] + i, state[:reading]
+            keys = now.astype(np.int64) << 8 | data[at]
+            after = self._all_after(keys)
+            if len(unknown := keys[after == 0]):
+                for k in np.unique(unknown).tolist():
+                    self._step(k >> 8, k & 255)
+                after = self._all_after(keys)
+            state[:reading] = after
+            trail[at] = self.ended[after]
+        # Back from the ends: every piece gives its last token, then the one before it.
+        piece, at = order, first + lengths - 1
+        pieces_of, tokens_of = [], []
+        while len(piece):
+            tokens = trail[at]
+            pieces_of.append(piece)
+            tokens_of.append(tokens)
+            at = at - self.size[tokens]
+            # Pieces lie one behind the other; the byte before a piece's first is another's.
+            left = at >= starts[piece]
+            piece, at = piece[left], at[left]
+        owner, tokens = np.concatenate(pieces_of)[::-1], np.concatenate(tokens_of)[::-1]
+        by = np.argsort(owner, kind="stable")
+        tokens = self.numbers[tokens[by]].tolist()
+        ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+        return [tuple(tokens[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _back(self, trail: list[int], at: int, least: int = 0) -> list[tuple[int, int]]:
         """The tokens that end at ``at`` or before, last first, each with its end, down to ``least``."""
-        found, last = [], self.last
+        found = []
         while at > least:
-            token, size = last[trail[at]]
+            token = trail[at]
             found.append((token, at))
-            at -= size
+            at -= int(self.size[token])
         return found
 
-    def _certain(self, trail: list[int]) -> int:
+    def _certain(self, trail: list[int], state: int) -> int:
         """The last place in the text at which the ways back from all places of the state meet."""
         at = len(trail) - 1
-        ways = [{end for _, end in self._back(trail, at - self.depth[node])} for node, _ in self.states[trail[at]]]
+        ways = [{end for _, end in self._back(trail, at - self.depth[node])} for node in self.states[state][::2]]
         return max(set.intersection(*ways), default=0)
 
     def stream(self, data: bytes) -> Iterator[int]:
         """Tokens of one piece, each after a lookahead of some :data:`LOOKAHEAD` bytes at most."""
-        if len(self.steps) > MAX_TRANSITIONS:
-            self._forget()
-        trail = [0]
+        trail, state = [-1], 0
         for at in range(0, len(data), LOOKAHEAD):
-            self._read(data[at : at + LOOKAHEAD], trail)
-            if at + LOOKAHEAD < len(data) and (cut := self._certain(trail)):
+            if len(self.states) + LOOKAHEAD > MAX_STATES or self.made + LOOKAHEAD > MAX_STEPS:
+                places = self.states[state]
+                self._forget()
+                state = self._intern(places)
+            for byte in data[at : at + LOOKAHEAD]:
+                state = self._after(state, byte)
+                trail.append(int(self.ended[state]))
+            if at + LOOKAHEAD < len(data) and (cut := self._certain(trail, state)):
                 yield from [token for token, _ in reversed(self._back(trail, cut))]
-                trail = self._rest(trail, cut)
+                # What stands for all that came before the certain place.
+                trail = [-1, *trail[cut + 1 :]]
         yield from [token for token, _ in reversed(self._back(trail, len(trail) - 1))]
 
-    def _rest(self, trail: list[int], cut: int) -> list[int]:
-        """The trail behind a certain place; its first entry stands for all that came before."""
-        return [0, *trail[cut + 1 :]]
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        if len(self.pieces) >= MAX_PIECES:
-            self.older_pieces, self.pieces = self.pieces, {}
-        if (found := self.older_pieces.get(piece)) is not None:
-            self.pieces[piece] = found
-            return found
-        data = piece.encode()
-        whole = self.ranks.get(data)
-        found = self.pieces[piece] = (whole,) if whole is not None else tuple(self.stream(data))
-        return found
-
-    def _ids(self, text: str) -> list[int]:
-        known, make = self.pieces.get, self._piece
-        return list(chain.from_iterable([known(p) or make(p) for p in self.pattern.findall(text)]))
-
-    def _chunk(self, part: str) -> tuple[tuple[int, ...], str] | None:
-        """Ids of a part with the space before it; none if its ends could join a run of white space."""
-        if len(self.chunks) >= MAX_PIECES:
-            self.older_chunks, self.chunks = self.chunks, {}
-        if (found := self.older_chunks.get(part)) is not None:
-            self.chunks[part] = found
-            return found
-        body = part[1:] if part[:1] == "\n" else part
-        if not body or body[0].isspace() or body[-1].isspace():
-            return None
-        ids = tuple(self._ids(part if body is not part else " " + part))  # the space before a line feed is not of the text
-        found = self.chunks[part] = (ids, ",".join(map(str, ids)))
+    def _keep(self, key: str, ids: tuple[int, ...]) -> None:
+        self.known[key] = ids
+        self.stored += 220 + len(key) + 8 * len(ids)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Store the ids of pieces that are not known."""
+        abreast, held = [], 0
+        for piece in pieces:
+            data = piece.encode()
+            if (whole := self.ranks.get(data)) is not None:
+                self._keep(piece, (self.numbers[whole],))
+            elif len(data) > LOOKAHEAD:
+                self._keep(piece, tuple([self.numbers[i] for i in self.stream(data)]))
+            else:
+                abreast.append((piece, data))
+                held += len(data)
+            if held >= ABREAST:
+                self._learn_abreast(abreast)
+                abreast, held = [], 0
+        if abreast:
+            self._learn_abreast(abreast)
+
+    def _learn_abreast(self, pieces: list[tuple[str, bytes]]) -> None:
+        for (piece, _), ids in zip(pieces, self._abreast([d for _, d in pieces]), strict=True):
+            self._keep(piece, ids)
+
+    def _lacking(self, keys: set[str]) -> list[str]:
+        """The keys that are not known; those known before are taken over."""
+        found, older, known = [], self.older, self.known
+        for key in keys:
+            if key not in known:
+                if (ids := older.get(key)) is not None:
+                    self._keep(key, ids)
+                else:
+                    found.append(key)
         return found
 
-    def _found(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids of the chunks of a text.
+    def encode_segments(self, segments: list[str]) -> list[list[int]]:
+        """The ids of segments that :func:`cut_text` made.
 
-        No piece of the pattern reaches from a character that is not white
-        space over a single space or line feed to the next, so texts are cut
-        there and equal chunks are looked up. A text with longer runs of white
-        space is taken as one chunk.
+        A segment is cut before its spaces and line feeds, and equal chunks are
+        looked up. Chunks that touch a longer run of white space are joined
+        again to what stands on both sides of it.
         """
-        if not text:
-            return []
-        head, *parts = text.replace("\n", " \n").split(" ")
-        if head and not head[-1].isspace() and not head[0].isspace():
-            known, make = self.chunks.get, self._chunk
-            found = [known(part) or make(part) for part in parts]
-            if None not in found:
-                ids = self._ids(head)
-                return [(tuple(ids), ",".join(map(str, ids))), *found]
-        ids = self._ids(text)
-        return [(tuple(ids), ",".join(map(str, ids)))]
+        if self.stored > MAX_STORE // 2:
+            self.known, self.older, self.stored = {}, self.known, 0
+        findall = self.pattern.findall
+        texts = [s.replace(" ", BETWEEN + " ").replace("\n", BETWEEN + "\n").split(BETWEEN) for s in segments]
+        lacking = self._lacking(set().union(*texts))
+        loose = {part for part in lacking if not is_chunk(part)}
+        read, pieces = [], set()
+        for parts in texts:
+            joined: list[list[int]] = []
+            if not loose.isdisjoint(parts):
+                for i in [i for i, part in enumerate(parts) if part in loose]:
+                    if joined and joined[-1][1] >= i:
+                        joined[-1][1] = i + 2
+                    else:
+                        joined.append([max(0, i - 1), i + 2])
+            whole = [findall("".join(parts[lo:hi])) for lo, hi in joined]
+            pieces.update(*whole)
+            read.append((parts, joined, whole))
+        split = {chunk: findall(chunk) for chunk in lacking if chunk not in loose}
+        pieces.update(*split.values())
+        self._learn(set(self._lacking(pieces)))
+        ids_of = self.known.__getitem__
+        for chunk, found in split.items():
+            if len(found) > 1:
+                self._keep(chunk, tuple(chain.from_iterable(map(ids_of, found))))
+        out = []
+        for parts, joined, whole in read:
+            at, runs = 0, []
+            for (lo, hi), found in zip(joined, whole, strict=True):
+                runs.extend(map(ids_of, parts[at:lo]))
+                runs.extend(map(ids_of, found))
+                at = hi
+            runs.extend(map(ids_of, parts[at:] if at else parts))
+            out.append(list(chain.from_iterable(runs)))
+        return out
 
     def encode(self, text: str) -> list[int]:
         """The ids of a whole text."""
-        return list(chain.from_iterable([x[0] for x in self._found(text)]))
-
-    def encode_with_text(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the ids in decimal joined by commas."""
-        found = self._found(text)
-        return list(chain.from_iterable([x[0] for x in found])), ",".join([x[1] for x in found])
-
-    def _text_step(self, state: int, token: int) -> tuple[int, str]:
-        after, text = utf8_feed(state, self.text_of[token])
-        self.text_steps[state, token] = step = (after, text)
-        if len(self.text_steps) > MAX_TRANSITIONS:
-            self.text_steps.clear()
-        return step
-
-    def decode_stream(self, ids) -> Iterator[str]:
-        """Text of a stream of ids; a character is held back until its last byte."""
-        state, known, make = 0, self.text_steps.get, self._text_step
-        for token in ids:
-            state, text = known((state, token)) or make(state, token)
-            if text:
-                yield text
-        if state:
-            yield "�"
+        return list(chain.from_iterable([self.encode_segments([s])[0] for s in cut_text(text)]))
+
+    def decode_stream(self, ids: list[int], state: int = 0) -> tuple[str, int]:
+        """Feed ids to the UTF-8 machine: the characters that they end, and the state after them.
+
+        A character is held back, in the state, until its last byte.
+        """
+        texts = list(map(self.whole.__getitem__, ids))
+        if not state and None not in texts:
+            return "".join(texts), 0
+        out, at = [], 0
+        while at < len(ids):
+            if not state:
+                try:
+                    stop = texts.index(None, at)
+                except ValueError:
+                    stop = len(ids)
+                out.extend(texts[at:stop])
+                at = stop
+                if at == len(ids):
+                    break
+            steps = self.text_steps.setdefault(state, {})
+            if (step := steps.get(ids[at])) is None:
+                if len(self.text_steps) > MAX_STEPS >> 8:
+                    self.text_steps = {}
+                    steps = self.text_steps.setdefault(state, {})
+                step = steps[ids[at]] = utf8_feed(state, self.text_of[ids[at]])
+            state, text = step
+            out.append(text)
+            at += 1
+        return "".join(out), state
 
     def decode(self, ids: list[int]) -> str:
-        """The text of a list of ids, block by block: what a block leaves of its last character waits for the next."""
-        out, waiting, bytes_of = [], b"", self.text_of.__getitem__
-        for at in range(0, len(ids), DECODE_BLOCK):
-            data = waiting + b"".join(map(bytes_of, ids[at : at + DECODE_BLOCK]))
-            cut = whole_characters(data)
-            out.append(data[:cut].decode("utf-8", "replace"))
-            waiting = data[cut:]
-        return "".join(out) + waiting.decode("utf-8", "replace")
+        """The text of a list of ids; a character without its last byte gives U+FFFD."""
+        text, state = self.decode_stream(ids)
+        return text + "�" if state else text
+
+
+def is_chunk(part: str) -> bool:
+    """Whether neither end of a part, but for one space or line feed at its beginning, could belong to a run of white space."""
+    body = part[1:] if part[:1] in (" ", "\n") else part
+    return bool(body) and not body[0].isspace() and not body[-1].isspace()
+
+
+def cut_text(text: str) -> Iterator[str]:
+    """Segments of a text, of some :data:`SEGMENT` characters, cut where no piece reaches over."""
+    at = 0
+    while len(text) - at > SEGMENT and (border := BORDER.search(text, at + SEGMENT)):
+        yield text[at : border.start()]
+        at = border.start()
+    if at < len(text):
+        yield text[at:]
 
 
 def utf8_feed(state: int, data: bytes) -> tuple[int, str]:
@@ -306,16 +464,6 @@ def utf8_feed(state: int, data: bytes) -> tuple[int, str]:
     return state, "".join(out)
 
 
-def whole_characters(data: bytes) -> int:
-    """Length of ``data`` without a character begun in its last three bytes and not ended."""
-    for back in range(1, min(3, len(data)) + 1):
-        if data[-back] >= 0xC0:
-            return len(data) - back if utf8_feed(0, data[-back:])[0] else len(data)
-        if data[-back] < 0x80:
-            break
-    return len(data)
-
-
 _made: dict[str, Bpe] = {}
 
 
@@ -336,18 +484,37 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: b
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
+    def rounds(texts: list[str | None]) -> Iterator[list[tuple[int, str]]]:
+        """Segments (row, text) of a round, in order."""
+        held, size = [], 0
+        for row, text in enumerate(texts):
+            for segment in cut_text(text or ""):
+                held.append((row, segment))
+                size += len(segment)
+                if size >= SEGMENT:
+                    yield held
+                    held, size = [], 0
+        yield held
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary, ranks.value, pattern)
+        name = bpe.names.__getitem__
         for batch in batches:
-            sizes, coded, decoded = [], [], []
-            kept = array("i")
-            for text in batch.column(1).to_pylist():
-                ids, shown = bpe.encode_with_text(text or "")
-                sizes.append(len(ids))
-                coded.append(hashlib.sha256(shown.encode()).hexdigest())
-                decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                if keep_ids:
-                    kept.extend(ids)
+            rows = batch.num_rows
+            sizes, coded, decoded = [0] * rows, [hashlib.sha256() for _ in range(rows)], [hashlib.sha256() for _ in range(rows)]
+            states, kept = [0] * rows, array("i")
+            for part in rounds(batch.column(1).to_pylist()):
+                for (row, _), ids in zip(part, bpe.encode_segments([s for _, s in part]), strict=True):
+                    coded[row].update(("," * (sizes[row] > 0) + ",".join(map(name, ids))).encode())
+                    text, states[row] = bpe.decode_stream(ids, states[row])
+                    decoded[row].update(text.encode())
+                    sizes[row] += len(ids)
+                    if keep_ids:
+                        kept.extend(ids)
+            for state, digest in zip(states, decoded, strict=True):
+                if state:
+                    digest.update("�".encode())
+            coded, decoded = [d.hexdigest() for d in coded], [d.hexdigest() for d in decoded]
             columns = [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
