@@ -41,8 +41,9 @@ NAME, NUMBER, UNIT, INNER = "\ue000", "\ue001", "\ue002", "\ue003"
 START = "\ue004"
 #: Units of measure and money, in lower case.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal ms s sec min h hr hrs hours minutes seconds days weeks months years meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres percent degrees dollars cents euros usd eur gbp kb mb gb tb hz khz mhz ghz w kw kwh v mph kmh".split()
-#: Bits of the window filter, at most 128 KB of the plan, and probes of each window.
-LEAST_BITS, MOST_BITS, PROBES = 1 << 12, 1 << 20, 3
+#: Bits of a window filter, at most 512 KB of the plan, and probes of each window. Beyond some 500,000 distinct windows
+#: more others pass, which costs their join and no result.
+LEAST_BITS, MOST_BITS, PROBES = 1 << 12, 1 << 22, 3
 
 
 @dataclass(frozen=True)
@@ -65,44 +66,59 @@ def valued_template(text: Column, names: bool = True, starts: bool = False) -> C
     step = lambda t, pattern, to: F.regexp_replace(t, F.lit(pattern), F.lit(to))
     # Marks that stand in or between words say nothing of where a sentence starts.
     t = step(text, r"[^\p{L}\p{N}\s.,:;!?/-]+", " ")
-    t = step(t, r"(?<=[0-9])[.,:/-](?=[0-9])", INNER)
-    t = step(t, rf"(?<![\p{{L}}\p{{N}}{INNER}])([0-9][0-9{INNER}]*)\s{{0,4}}(?:((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2")
-    t = step(t, rf"(?<![\p{{L}}\p{{N}}{NUMBER}{INNER}])([0-9][0-9{INNER}]*)(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1")
+    # Each pattern asks first for what is rare, so that most places fail at their first character.
+    t = step(t, r"[.,:/-](?=[0-9])(?<=[0-9].)", INNER)
+    number = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}{INNER}])([0-9][0-9{INNER}]*)"
+    t = step(t, rf"{number}\s{{0,4}}(?:((?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}))(?![\p{{L}}\p{{N}}]))", f"{NUMBER}$1 {UNIT}$2")
+    t = step(t, rf"{number.replace(INNER, NUMBER + INNER, 1)}(?![\p{{L}}\p{{N}}])", f"{NUMBER}$1")
+    capital = r"(?=\p{Lu}\p{Ll})"
     if names:
-        t = step(t, r"(?<=[^\s.!?:]\s{1,3})(?=\p{Lu}\p{Ll})", NAME)
+        t = step(t, rf"{capital}(?<=[^\s.!?:]\s{{1,3}})", NAME)
     if starts:
-        t = step(t, r"(?:^|(?<=[\s.!?:]))(?=\p{Lu}\p{Ll})", START)
-    t = step(F.lower(t), rf"[^\p{{L}}\p{{N}}{NAME}-{START}]+", " ")
-    return F.filter(F.split(t, " "), lambda w: w != "")
+        t = step(t, rf"{capital}(?:^|(?<=[\s.!?:]))", START)
+    return F.filter(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NAME}-{START}]+"), lambda w: w != "")
 
 
 def _is_slot(w: Column) -> Column:
     return (w >= F.lit(NAME)) & (w < F.lit(INNER))
 
 
-def templates(valued: Column) -> Column:
-    """Template tokens without their values."""
-    return F.transform(valued, lambda w: F.when(_is_slot(w), F.substring(w, 1, 1)).otherwise(w))
+def _plain(w: Column) -> Column:
+    """A marked word as a word."""
+    return F.when(w.startswith(START), F.substring(w, 2, 1 << 30)).otherwise(w)
 
 
-def _plain(marked: Column) -> Column:
-    """Marked words as words."""
-    return F.transform(marked, lambda w: F.translate(w, START, ""))
+def _named(w: Column) -> Column:
+    """A marked word as a name."""
+    return F.when(w.startswith(START), F.concat(F.lit(NAME), F.substring(w, 2, 1 << 30))).otherwise(w)
 
 
-def _named(marked: Column) -> Column:
-    """Marked words as names."""
-    return F.transform(marked, lambda w: F.translate(w, START, NAME))
+def _exact(w: Column) -> Column:
+    """A token as it is, without what kind it has."""
+    return F.translate(w, NAME + NUMBER + UNIT + START, "")
 
 
-def _exact(marked: Column) -> Column:
-    """Every token as it is, without what kind it has."""
-    return F.transform(marked, lambda w: F.translate(w, NAME + NUMBER + UNIT + START, ""))
+def _template_hash(token: Column, marked: Column) -> Column:
+    """Hash of a template token, without its value; that of a marked word is ``marked``."""
+    return F.when(token.startswith(START), marked).when(_is_slot(token), F.xxhash64(F.substring(token, 1, 1))).otherwise(F.xxhash64(token))
+
+
+#: How the tokens of a text are read, and the hash of each: marked words as words, as names, and all tokens literally.
+READINGS: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "plain": (_plain, lambda w: _template_hash(w, F.xxhash64(F.substring(w, 2, 1 << 30)))),
+    "named": (_named, lambda w: _template_hash(w, F.xxhash64(F.lit(NAME)))),
+    "exact": (_exact, lambda w: F.xxhash64(_exact(w))),
+}
+
+
+def _window_hash(hashes: list[Column], exact: bool) -> Column:
+    """Hash of a window's token hashes; windows of literal tokens are told apart."""
+    return F.xxhash64(F.lit("="), *hashes) if exact else F.xxhash64(*hashes)
 
 
 def _bits(h: Column, bits: int) -> list[Column]:
     """The places in the filter of a window's hash."""
-    return [F.shiftrightunsigned(h, 20 * p).bitwiseAND(F.lit(bits - 1)) for p in range(PROBES)]
+    return [(F.shiftrightunsigned(h, 20 * p) if p else h).bitwiseAND(F.lit(bits - 1)) for p in range(PROBES)]
 
 
 def window_filter(hashes: DataFrame, distinct: int) -> Callable[[Column], Column]:
@@ -127,36 +143,32 @@ def window_filter(hashes: DataFrame, distinct: int) -> Callable[[Column], Column
     return passes
 
 
-def _every_place(tokens: Column, size: int) -> Column:
-    return F.when(F.size(tokens) >= size, F.sequence(F.lit(0), F.size(tokens) - size)).otherwise(F.array().cast("array<int>"))
+def _ends(first: Column, last: Column) -> Column:
+    """One number of the first and last token hash of a window, which a filter tests before the window's hash is made."""
+    return first.bitwiseXOR(F.shiftrightunsigned(last, 7))
 
 
-def _marked_places(marked: Column, size: int) -> Column:
-    """Where windows of ``size`` tokens hold a marked word."""
-    last = F.size(marked) - size
-    at = F.filter(F.transform(marked, lambda w, i: F.when(w.startswith(START), i)), lambda i: i.isNotNull())
-    around = F.transform(at, lambda i: F.sequence(F.least(F.greatest(i - size + 1, F.lit(0)), last), F.least(i, last)))
-    return F.when(last >= 0, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+def _windows(marked: Column, size: int, reading: str, keep: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None) -> Column:
+    """Windows (pos, h, slots, loose, ends) of ``size`` tokens whose ends and hash ``keep`` passes; as names, only those that hold a marked word."""
+    read, token_hash = READINGS[reading]
 
+    def of(hashes: Column) -> Column:
+        # The hash of an array is that of its elements; a slice for each place would cost far more.
+        h = lambda i: _window_hash([F.get(hashes, i + k) for k in range(size)], reading == "exact")
+        # Null where fewer tokens follow.
+        ends = F.transform(hashes, lambda x, i: _ends(x, F.get(hashes, i + (size - 1))))
+        at = F.transform(ends, lambda e, i: F.when(e.isNotNull() if keep is None else keep[0](e), i))
+        at = F.filter(at, lambda i: i.isNotNull() if keep is None else i.isNotNull() & keep[1](h(i)))
+        if reading == "named":
+            at = F.filter(at, lambda i: F.exists(F.slice(marked, i + 1, size), lambda w: w.startswith(START)))
+        slots = lambda i: F.transform(F.slice(marked, i + 1, size), read)
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), h(i).alias("h"), slots(i).alias("slots"), F.lit(reading == "named").alias("loose"), _ends(F.get(hashes, i), F.get(hashes, i + (size - 1))).alias("ends")))
 
-def _windows(valued: Column, size: int, keep: Callable[[Column], Column] | None, places: Column | None = None, exact: bool = False) -> Column:
-    """Windows (pos, h, slots) of ``size`` tokens whose hash ``keep`` passes, at ``places``; those of ``exact`` tokens are told apart."""
-
-    def body(v: Column) -> Column:
-        def of(t: Column) -> Column:
-            hashed = F.transform(
-                _every_place(t, size) if places is None else places,
-                lambda i: F.struct(i.alias("pos"), F.xxhash64(*([F.lit("=")] if exact else []), F.slice(t, i + 1, size)).alias("h")),
-            )
-            return hashed if keep is None else F.filter(hashed, lambda w: keep(w["h"]))
-
-        return F.transform(let(v if exact else templates(v), of), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.slice(v, w["pos"] + 1, size).alias("slots")))
-
-    return let(valued, body)
+    return let(F.transform(marked, token_hash), of)
 
 
 def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
-    """item_row, item_id, ipos, size, h, islots, exact, iloose, n_windows of every benchmark item (item_id, text).
+    """item_row, item_id, ipos, size, h, islots, exact, iloose, n_windows, ends of every benchmark item (item_id, text).
 
     Each item has its windows thrice where it has names: with those inside
     sentences as placeholders, with those at their starts as well, and as words
@@ -164,21 +176,28 @@ def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
     """
     numbered = items.filter("text is not null").select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text")
     marked = numbered.select("item_row", "item_id", "text", valued_template(F.col("text"), starts=True).alias("marked"))
-    variants = ((_plain(F.col("marked")), False), (_named(F.col("marked")), True), (valued_template(F.col("text"), names=False), False))
-    rows = marked.select("item_row", "item_id", F.explode(F.array(*[F.struct(v.alias("v"), F.lit(loose).alias("loose")) for v, loose in variants])).alias("s")).select("item_row", "item_id", "s.*")
-    sized = lambda r: r.filter(F.size("v") > 0).withColumn("size", F.least(F.size("v"), F.lit(settings.window)))
-    # A short item's one window is the whole item.
-    long = lambda r, exact: r.filter(F.col("size") == settings.window).select("item_row", "item_id", "loose", "size", F.inline(_windows(F.col("v"), settings.window, None, exact=exact)))
-    short = lambda r, h: r.filter(F.col("size") < settings.window).select("item_row", "item_id", "loose", "size", F.lit(0).alias("pos"), h.alias("h"), F.col("v").alias("slots"))
-    rows = sized(rows)
+    named = F.exists("marked", lambda w: w.startswith(START))
+    variants = ((F.col("marked"), "plain", F.lit(True)), (F.col("marked"), "named", named), (valued_template(F.col("text"), names=False), "plain", F.lit(True)))
+    sized = lambda v, when: marked.withColumn("v", v).filter(when).withColumn("size", F.least(F.size("v"), F.lit(settings.window))).filter("size > 0")
+
+    def windows(v: Column, reading: str, when: Column) -> DataFrame:
+        rows, loose = sized(v, when), F.lit(reading == "named").alias("loose")
+        long = rows.filter(F.col("size") == settings.window).select("item_row", "item_id", "size", F.inline(_windows(F.col("v"), settings.window, reading)))
+        # A short item's one window is the whole item.
+        hashes = F.transform("v", READINGS[reading][1])
+        whole, ends = _window_hash([hashes], reading == "exact"), _ends(F.element_at(hashes, 1), F.element_at(hashes, -1))
+        short = rows.filter(F.col("size") < settings.window).select("item_row", "item_id", "size", F.lit(0).alias("pos"), whole.alias("h"), F.transform("v", READINGS[reading][0]).alias("slots"), loose, ends.alias("ends"))
+        return long.unionByName(short)
+
     literal = F.size(F.filter("slots", lambda w: ~_is_slot(w)))
-    kept = long(rows, False).unionByName(short(rows, F.xxhash64(templates(F.col("v"))))).filter(literal >= F.least(F.lit(settings.literals), F.col("size")))
-    kept = kept.groupBy("item_row", "pos", "h").agg(*[F.min(c).alias(c) for c in ("item_id", "loose", "size", "slots")]).withColumn("exact", F.lit(False))
-    worded = marked.filter(F.exists(_plain(F.col("marked")), lambda w: ~_is_slot(w)))
-    bare = sized(worded.select("item_row", "item_id", F.lit(False).alias("loose"), _exact(F.col("marked")).alias("v")).join(kept.select("item_row").distinct(), "item_row", "left_anti"))
-    kept = kept.unionByName(long(bare, True).unionByName(short(bare, F.xxhash64(F.lit("="), F.col("v")))).withColumn("exact", F.lit(True)))
+    several = [windows(*v) for v in variants]
+    kept = several[0].unionByName(several[1]).unionByName(several[2]).filter(literal >= F.least(F.lit(settings.literals), F.col("size")))
+    kept = kept.groupBy("item_row", "pos", "h").agg(*[F.min(c).alias(c) for c in ("item_id", "loose", "size", "slots", "ends")]).withColumn("exact", F.lit(False))
+    worded = F.exists("marked", lambda w: ~_is_slot(w))
+    bare = windows(F.col("marked"), "exact", worded).join(kept.select("item_row").distinct(), "item_row", "left_anti")
+    kept = kept.unionByName(bare.withColumn("exact", F.lit(True)))
     totals = kept.groupBy("item_row").agg(F.countDistinct("pos").alias("n_windows"))
-    return kept.join(totals, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "exact", F.col("loose").alias("iloose"), "n_windows")
+    return kept.join(totals, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "exact", F.col("loose").alias("iloose"), "n_windows", "ends")
 
 
 def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -186,24 +205,21 @@ def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
 
     ``docs`` has doc_id and text; ``row`` tells rows with equal ids apart.
     """
-    wanted = item_windows(items, settings).cache()
+    wanted = materialize(item_windows(items, settings), "decontam-items")
     asked = sorted((r["exact"], r["size"]) for r in wanted.select("exact", "size").distinct().collect())
     if not asked:
         return docs.sparkSession.createDataFrame([], "row bigint, doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, coverage double, reparameterised boolean")
-    passes = window_filter(wanted.select("h"), wanted.select("h").distinct().count())
+    distinct = wanted.select("h").distinct().count()
+    passes = (window_filter(wanted.select(F.col("ends").alias("h")), distinct), window_filter(wanted.select("h"), distinct))
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
 
     def windows(marked: Column) -> Column:
-        plain = [_windows(_plain(marked), size, passes) for exact, size in asked if not exact]
-        named = [_windows(_named(marked), size, passes, _marked_places(marked, size)) for exact, size in asked if not exact]
-        whole = [_windows(_exact(marked), size, passes, exact=True) for exact, size in asked if exact]
-        flagged = lambda found, loose: F.transform(found, lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), w["slots"].alias("slots"), F.lit(loose).alias("loose")))
-        return F.concat(*[flagged(w, False) for w in (*plain, *whole)], *[flagged(w, True) for w in named])
+        return F.concat(*[_windows(marked, size, reading, passes) for exact, size in asked for reading in (("exact",) if exact else ("plain", "named"))])
 
     near = let(valued_template(F.col("text"), starts=True), windows)
     # Only windows that pass the filter leave the scan.
-    met = rows.filter("text is not null").select("row", "doc_id", F.inline(near))
-    pairs = salted_lookup(met, wanted, ["h"], F.col("row"), "inner").filter(F.size("slots") == F.size("islots"))
+    met = rows.filter("text is not null").select("row", "doc_id", F.inline(near)).drop("ends")
+    pairs = salted_lookup(met, wanted.drop("ends"), ["h"], F.col("row"), "inner").filter(F.size("slots") == F.size("islots"))
     # Two branches read the pairs; written once, they cost one scan of the texts.
     pairs = materialize(pairs.withColumn("shift", F.col("pos") - F.col("ipos")), "decontam-pairs")
     # What starts a sentence may be no name, so its clash spares the windows that do without it.
