@@ -1,11 +1,12 @@
 """Tables and lineage cuts in the folder that every executor shares.
 
-The cluster names the folder in ``spark.checkpoint.dir``; only a session that
-names none (tests, a laptop) gets a folder of its own.
+The cluster names the folder in ``spark.checkpoint.dir``; only a local session
+that names none (tests, a laptop) gets a folder of its own.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,11 @@ LOCAL_SHARED_DIR = "/tmp/checkpoints/codeloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder: the session's own setting, else a local default."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder: the session's own setting, else its checkpoint folder, else, in one JVM alone, a local default."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     return (named or LOCAL_SHARED_DIR).rstrip("/")
 
 
@@ -33,7 +37,9 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -42,7 +48,7 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def remove_table(df: DataFrame) -> None:
-    """Delete the files behind a frame that :func:`materialize` returned."""
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, parent)
+def remove_table(*tables: DataFrame) -> None:
+    """Delete the files behind frames that :func:`materialize` returned, when nothing reads them any more."""
+    for df in tables:
+        remove(df.sparkSession, df._scratch_path)
