@@ -46,7 +46,7 @@ from codeloom.llm._bytes import mix, utf8, windows, words
 from codeloom.llm._tables import bound_batches, table
 from codeloom.llm.decontam import window_filter
 from codeloom.operators.components import connected_components
-from codeloom.plans.shared import materialize
+from codeloom.plans.shared import materialize, remove_table
 from codeloom.plans.skew import salted_lookup
 
 #: Counters of the document-count sketch, and in how many parts tasks hand it on: 8 MB whatever the input.
@@ -55,6 +55,8 @@ SKETCH, PARTS = 1 << 21, 64
 FILTER = 1 << 26
 #: Classes of a block whose pairs one task counts, about, and shingles of a block's matrix.
 MEMBERS, COLUMNS = 512, 4096
+#: Groups that the pairs of one class are dealt over.
+SALTS = 16
 #: Partial sketches that one task of the first round adds up.
 FAN_IN = 64
 
@@ -216,12 +218,14 @@ def _could_meet(a: str, b: str, percent: int) -> Column:
     return (F.col(f"{a}.pos") <= F.col(f"{a}.n") - least) & (F.col(f"{b}.pos") <= F.col(f"{b}.n") - least)
 
 
-def match_prefixes(pairs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+def match_prefixes(pairs: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
     """The pairs (a, b, asked) whose prefixes share as many shingles as the pair must.
 
-    A pair has met in one; only pairs that are asked for more fetch their prefixes.
+    A pair has met in one; only pairs that are asked for more fetch their
+    prefixes, and only classes with longer ones are in such pairs.
     """
-    one = lambda side: wanted.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "prefix")])
+    longer = nodes.filter("matches > 1")
+    one = lambda side: longer.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "prefix")])
     both = pairs.filter("asked > 1").join(one("a"), "a").join(one("b"), "b")
     least = _least("n_a", "n_b", settings.percent)
     asked = F.least("asked", least)
@@ -245,50 +249,91 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) of classes that are similar enough, by their whole sets."""
-    one = lambda side: texts.select(F.col("node").alias(side), F.col("class").alias(f"class_{side}"), F.col("text").alias(f"text_{side}"))
-    both = pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "class_a", "class_b", "text_a", "text_b")
+    """The distinct pairs (a, b) of classes that are similar enough, by their whole sets.
+
+    The pairs of one ``a`` are dealt over :data:`SALTS` groups, and its text
+    goes once to each group in use, not to each pair.
+    """
+    keyed = pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    own = texts.select(F.col("node").alias("other"), "class", "text")
+    first = keyed.select("a", "salt").distinct().withColumn("other", F.col("a")).withColumn("kind", F.lit(0))
+    second = keyed.select("a", "salt", F.col("b").alias("other"), F.lit(1).alias("kind"))
+    rows = first.unionByName(second).join(own, "other").select("a", "salt", "kind", "other", "class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held, hub = None, None
         for batch in batches:
-            first, hubs = batch.column(0).to_pylist(), []
-            # Pairs come sorted by their first class, whose set is made once.
-            for i, node in enumerate(first):
-                if node not in held:
-                    held = {node: next(sets(batch.column(4).slice(i, 1), settings.words))}
-                hubs.append(held[node])
-            good = []
-            for x, y, class_x, class_y in zip(hubs, sets(batch.column(5), settings.words), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                met = len(np.intersect1d(x, y, assume_unique=True))
+            a, b = [], []
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for own_a, salt, kind, other, name, found in zip(*columns, sets(batch.column(5), settings.words), strict=True):
                 # Another text with the same key is no text of this class.
-                good.append(100 * met >= settings.percent * (len(x) + len(y) - met) and digest(x) == class_x and digest(y) == class_y)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                if digest(found) != name:
+                    continue
+                if kind == 0:
+                    held, hub = (own_a, salt), found
+                elif held == (own_a, salt):
+                    met = len(np.intersect1d(hub, found, assume_unique=True))
+                    if 100 * met >= settings.percent * (len(hub) + len(found) - met):
+                        a.append(own_a)
+                        b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between classes with the same components as all links, and no pair that is none; and the classes' texts."""
+def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) between classes with the same components as all links, and no pair that is none; the components (node, component); and the classes' texts."""
     met = buckets(nodes)
     hubs = met.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "matches")).alias("h"), F.count("*").alias("rows")).filter("rows > 1").select("token", "h.*")
     hubs = materialize(hubs, "nd-hubs")
     shared = materialize(met.join(hubs.select("token"), "token"), "nd-shared")
-    wanted = materialize(nodes.join(shared.select("node").distinct(), "node"), "nd-wanted")
+    remove_table(met)
+    wanted = materialize(nodes.select("node", "class", "text_key").join(shared.select("node").distinct(), "node"), "nd-wanted")
     texts = candidate_texts(docs, wanted)
     star = shared.alias("x").join(hubs.alias("y"), "token").filter("x.node <> y.node").filter(_could_meet("x", "y", settings.percent))
     asked = F.least("x.matches", "y.matches").alias("asked")
     star = materialize(star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), asked).distinct(), "nd-star")
-    linked = materialize(verify(match_prefixes(star, wanted, settings), texts, settings), "nd-links")
-    labels = connected_components(linked, "a", "b")
+    linked = materialize(verify(match_prefixes(star, nodes, settings), texts, settings), "nd-links")
+    labels = materialize(connected_components(linked, "a", "b"), "nd-labels")
     labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     rest = materialize(labelled.join(open_tokens, "token"), "nd-rest")
-    across = rest.alias("x").join(rest.alias("y"), "token").filter("x.component < y.component").filter(_could_meet("x", "y", settings.percent))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), asked).distinct()
+    remove_table(hubs, shared, wanted)
+    across = across_pairs(rest, settings)
     known = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = match_prefixes(across.join(known, ["a", "b"], "left_anti"), wanted, settings)
-    return linked.unionByName(materialize(verify(left, texts, settings), "nd-links")), texts
+    left = match_prefixes(across.join(known, ["a", "b"], "left_anti"), nodes, settings)
+    later = materialize(verify(left, texts, settings), "nd-links")
+    remove_table(star, rest)
+    if later.isEmpty():
+        return linked, labels, texts
+    return linked.unionByName(later), joined_components(labels, later), texts
+
+
+def across_pairs(rest: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (a, b, asked) of classes of two components that share a prefix shingle.
+
+    The classes of a shingle are dealt over blocks, and each two blocks of it
+    meet in a task of their own.
+    """
+    blocks = rest.groupBy("token").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    dealt = rest.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    low = dealt.withColumn("lo", F.col("block")).withColumn("hi", F.explode(every))
+    high = dealt.withColumn("hi", F.col("block")).withColumn("lo", F.explode(every))
+    across = low.alias("x").join(high.alias("y"), ["token", "lo", "hi"]).filter("x.component < y.component").filter(_could_meet("x", "y", settings.percent))
+    return across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.least("x.matches", "y.matches").alias("asked")).distinct()
+
+
+def joined_components(labels: DataFrame, later: DataFrame) -> DataFrame:
+    """Components (node, component) when the links ``later`` come to those of ``labels``: only components are linked anew."""
+    ends = later.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.unionByName(ends.select("node", F.col("node").alias("component")))
+    one = lambda side: every.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    merged = connected_components(later.join(one("a"), "a").join(one("b"), "b"), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    found = salted_lookup(every, merged, ["component"], F.col("node")).select("node", F.coalesce("into", "component").alias("component"))
+    made = materialize(found, "nd-labels")
+    remove_table(labels)
+    return made
 
 
 def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -388,9 +433,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), count_link
     counts = sketch(read.filter("part is not null").select("part", "counts"))
     found = prefixes(docs, counts, settings).groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "matches", "text_key", "prefix")])
     nodes = materialize(found.withColumn("node", F.monotonically_increasing_id()), "nd-nodes")
-    made, texts = links(docs, nodes, settings)
-    made = materialize(made, "nd-made")
-    labels = materialize(connected_components(made, "a", "b"), "nd-labels")
+    made, labels, texts = links(docs, nodes, settings)
     if count_links:
         degrees = link_counts(labels, nodes, texts, settings)
     else:
@@ -401,6 +444,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), count_link
     least = own.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_least"))
     # Rows of a class or component of one need no lookup.
     lookup = materialize(own.join(least, "component", "left").select("class", "class_size", F.coalesce("component_least", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "nd-lookup")
+    remove_table(nodes, labels, texts)
     joined = rows.join(lookup, "class", "left")
     return joined.select(
         "doc_id",
