@@ -9,8 +9,10 @@ before the points are given.
 
 Cases: a null page is an empty one with empty text; a page cut off anywhere,
 with tags unclosed or closed twice, is read to its end; a page without markup
-is one paragraph; of equal containers the first in the page is kept; repeated
-rows each give a row; an empty table gives none; extra columns are ignored.
+is one paragraph; a quote that opens no attribute's value ends none; very long
+and very deep pages take time in proportion to their length; of equal containers
+the first in the page is kept; repeated rows each give a row; an empty table
+gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,10 +42,12 @@ SCOPE = frozenset("ul ol dl table div article section main body html td th block
 UNLIKELY = re.compile(
     r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|breadcrumbs?|comments?|commentlist|disqus|replies|reply|responses|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|menus?|menubar|nav|navbar|navigation|pager|pagination|sidebars?|side-?bar|widgets?|related|recommended|share|sharing|social|footer|foot|header|masthead|toolbar|skip|login|search|contentinfo|complementary|discussion|feedback|outbrain|taboola|shoutbox)(?![a-z])"
 )
+#: Those of them that may as well name an article's subject: what they leave out comes back when nearly all of the page's points are in it.
+WEAK = re.compile(r"(?<![a-z])(?:alert|discussion|feedback|foot|notices?|promo(?:tion)?s?|related|replies|reply|responses|search|share|sharing|skip|social|subscription|widgets?)(?![a-z])")
 LIKELY = re.compile(r"(?<![a-z])(?:article|body|content|entry|main|post|story|text)(?![a-z])")
 #: Never left out for their class: they hold the whole page.
 WHOLE = frozenset(("html", "body", "article", "main"))
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 #: Points: a paragraph of at least so many characters gives any; it gives one, one a comma and one for each so many characters up to a limit.
@@ -52,49 +56,82 @@ LEAST_CHARS, CHARS_A_POINT, MOST_POINTS = 25, 100, 3
 SHARES = (1.0, 0.5, 1 / 3, 0.25)
 #: A sibling is kept when it has this part of the best container's points, or when it reads like a paragraph.
 SIBLING_SHARE, SIBLING_LINKS = 0.2, 0.25
+#: What weak words left out comes back when the best container then has so many times the points.
+WEAK_GAIN = 5
+#: Elements that are paragraphs: their text counts for the element around them.
+PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6 li td blockquote dd dt figcaption".split())
 
 
 class Node:
     """An element: children are nodes and, as strings, text."""
 
-    __slots__ = ("children", "order", "parent", "points", "tag")
+    __slots__ = ("chars", "children", "container", "kept", "linked", "order", "parent", "points", "tag")
 
     def __init__(self, tag: str, parent: Node | None, order: int):
         self.tag, self.parent, self.order = tag, parent, order
         self.children: list[Node | str] = []
-        self.points = 0.0
+        #: The nearest element around it that is no part of a line.
+        self.container = None if parent is None else parent if parent.tag not in INLINE else parent.container
+        #: Points, and the characters in it and those of them in links.
+        self.points, self.chars, self.linked, self.kept = 0.0, 0, 0, False
 
+    def score(self) -> float:
+        return self.points * (1 - self.linked / self.chars) if self.chars else 0.0
 
-def _unlikely(tag: str, attributes: str) -> bool:
-    """Whether an element and all in it is left out."""
+
+class Open:
+    """The open elements' tags, with how many there are of each."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str) -> None:
+        self.tags.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.count[tag] -= 1
+        return tag
+
+    def __contains__(self, tag: str) -> bool:
+        return self.count.get(tag, 0) > 0
+
+
+def _unlikely(tag: str, attributes: str) -> re.Pattern | bool:
+    """Whether an element and all in it is left out; the weak words if for these alone."""
     if tag in DROPPED:
         return True
     if not attributes or tag in WHOLE:
         return False
+    weak = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id", "role", "itemprop", "data-role"):
             words = value.replace("_", "-")
             if UNLIKELY.search(words) and not (LIKELY.search(words) and name != "role" and not re.search(r"comment|sidebar|advert|(?<![a-z])ads?(?![a-z])", words)):
-                return True
+                if name == "role" or UNLIKELY.search(WEAK.sub("", words)):
+                    return True
+                weak = True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
-    return False
+    return WEAK if weak else False
 
 
-def parse(page: str) -> Node:
-    """The tree of a page, without what is never the article's."""
-    root = Node("#root", None, 0)
-    at, here, order, end, dropped = 0, root, 0, len(page), 0
-    stack = [root]
-    skip: list[str] = []  # open elements inside a left-out one, itself first
+def parse(page: str, keep_weak: bool = False) -> tuple[list[Node], bool]:
+    """The elements of a page in order, the root first, without what is never the article's; and whether weak words left any out."""
+    nodes, weak = [Node("#root", None, 0)], False
+    at, here, end = 0, nodes[0], len(page)
+    stack, known = [here], Open()
+    skip = Open()  # open elements inside a left-out one, itself first
     while at < end:
         found = TOKEN.search(page, at)
         if found is None:
-            if not skip:
+            if not skip.tags:
                 here.children.append(page[at:])
             break
-        if found.start() > at and not skip:
+        if found.start() > at and not skip.tags:
             here.children.append(page[at : found.start()])
         at = found.end()
         tag = found[2]
@@ -102,17 +139,16 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if found[1]:
-            if skip:
+            if skip.tags:
                 if tag in skip:
                     while skip.pop() != tag:
                         pass
-                elif tag in SCOPE and any(n.tag == tag for n in stack):  # the left-out element was never closed
-                    skip.clear()
-            if not skip and any(n.tag == tag for n in stack):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                if len(stack) > 1:
+                elif tag in SCOPE and tag in known:  # the left-out element was never closed
+                    skip = Open()
+            if not skip.tags and tag in known:
+                while known.pop() != tag:
                     stack.pop()
+                stack.pop()
                 here = stack[-1]
             continue
         attributes = found[3] or ""
@@ -121,33 +157,41 @@ def parse(page: str) -> Node:
             close = re.compile(rf"</{tag}\s*>|</{tag}\Z", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if skip:
+        if skip.tags:
             if not closed:
-                skip.append(tag)
+                skip.push(tag)
             continue
         if tag in BLOCK_IN_P or tag in SAME_END:
             ends = {"p"} if tag in BLOCK_IN_P else SAME_END[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+            if any(t in known for t in ends):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in ends:
+                        for _ in range(len(stack) - i):
+                            stack.pop()
+                            known.pop()
+                        break
+                    if stack[i].tag in SCOPE:
+                        break
             here = stack[-1]
         if closed:
             if tag in ("br", "hr"):
-                here.children.append("\n" if tag == "br" else Node(tag, here, order))
+                if tag == "hr":
+                    nodes.append(Node(tag, here, len(nodes)))
+                here.children.append("\n" if tag == "br" else nodes[-1])
             continue
-        if _unlikely(tag, attributes):
-            skip.append(tag)
-            dropped += 1
+        unlikely = _unlikely(tag, attributes)
+        if unlikely is WEAK:
+            weak = True
+        if unlikely and not (unlikely is WEAK and keep_weak):
+            skip.push(tag)
             continue
-        order += 1
-        node = Node(tag, here, order)
+        node = Node(tag, here, len(nodes))
+        nodes.append(node)
         here.children.append(node)
         stack.append(node)
+        known.push(tag)
         here = node
-    return root
+    return nodes, weak
 
 
 def _blocks(top: Node) -> list[tuple[Node, str, int]]:
@@ -185,41 +229,35 @@ def _blocks(top: Node) -> list[tuple[Node, str, int]]:
     return out
 
 
-def main_text(page: str) -> str:
-    """The article's text: its blocks in page order, joined by one space."""
-    root = parse(page)
-    blocks = _blocks(root)
-    if not blocks:
-        return ""
-    chars: dict[Node, list[int]] = {}
+def weigh(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
+    """Give every element its points and characters."""
     for owner, text, linked in blocks:
-        links = linked / len(text)
-        points = 0.0
-        if len(text) >= LEAST_CHARS:
-            points = (1 + text.count(",") + min(len(text) / CHARS_A_POINT, MOST_POINTS)) * (1 - links)
-        node, step = owner, 0
+        owner.chars += len(text)
+        owner.linked += linked
+        if len(text) < LEAST_CHARS:
+            continue
+        points = (1 + text.count(",") + min(len(text) / CHARS_A_POINT, MOST_POINTS)) * (1 - linked / len(text))
         # A text of its own in a container counts for the container itself.
-        if owner.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "dd", "dt", "figcaption") and owner.parent:
-            node = owner.parent
-            sum_of = chars.setdefault(owner, [0, 0])
-            sum_of[0] += len(text)
-            sum_of[1] += linked
-        while node is not None:
-            if points and node.tag not in INLINE and step < len(SHARES):
-                node.points += points * SHARES[step]
-                step += 1
-            sum_of = chars.setdefault(node, [0, 0])
-            sum_of[0] += len(text)
-            sum_of[1] += linked
-            node = node.parent
-
-    def score(node: Node) -> float:
-        whole, linked = chars.get(node, (0, 0))
-        return node.points * (1 - linked / whole) if whole else 0.0
-
-    best = max((n for n in chars if n.points), key=lambda n: (score(n), -n.order), default=None)
+        node = owner.container if owner.tag in PARAGRAPHS and owner.parent else owner
+        for share in SHARES:
+            if node is None:
+                break
+            node.points += points * share
+            node = node.container
+    # Elements come after those around them.
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+
+
+def article(nodes: list[Node]) -> tuple[str, float]:
+    """The article's text, its blocks in page order joined by one space, and the points of its best container."""
+    blocks = _blocks(nodes[0])
+    weigh(nodes, blocks)
+    best = max((n for n in nodes if n.points), key=lambda n: (n.score(), -n.order), default=None)
     if best is None:
-        return " ".join(text for _, text, _ in blocks)
+        return " ".join(text for _, text, _ in blocks), 0.0
+    points = best.score()
     # An article or main element around the best container is the container.
     up = best
     while up is not None:
@@ -227,24 +265,34 @@ def main_text(page: str) -> str:
             best = up
             break
         up = up.parent
-    kept = {best}
+    best.kept, own = True, None
     if best.parent is not None and best.tag not in ("article", "main", "body", "html", "#root"):
         for other in best.parent.children:
-            if isinstance(other, Node) and other is not best and other in chars:
-                whole, linked = chars[other]
-                reads = other.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol") and linked / whole < SIBLING_LINKS
-                if reads or score(other) >= SIBLING_SHARE * score(best):
-                    kept.add(other)
-
-    def inside(node: Node | None) -> bool:
-        while node is not None:
-            if node in kept:
-                return True
-            node = node.parent
-        return False
+            if isinstance(other, Node) and other is not best and other.chars:
+                reads = other.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol") and other.linked / other.chars < SIBLING_LINKS
+                if reads or other.score() >= SIBLING_SHARE * best.score():
+                    other.kept, own = True, best.parent
+        # Sections further up belong to it when they score like its siblings.
+        inner, outer = best.parent, best.parent.parent
+        while outer is not None and inner.tag not in ("body", "html", "#root"):
+            for other in outer.children:
+                if isinstance(other, Node) and other is not inner and other.tag in ("section", "div") and other.score() >= SIBLING_SHARE * best.score() and other.linked < SIBLING_LINKS * other.chars:
+                    other.kept = True
+            inner, outer = outer, outer.parent
+    for node in nodes[1:]:
+        node.kept = node.kept or node.parent.kept
+    return " ".join(text for owner, text, linked in blocks if owner.kept or owner is own and linked < SIBLING_LINKS * len(text)), points
+
 
-    own = best.parent if len(kept) > 1 else None
-    return " ".join(text for owner, text, linked in blocks if inside(owner) or owner is own and linked < SIBLING_LINKS * len(text))
+def main_text(page: str) -> str:
+    """The article's text."""
+    nodes, weak = parse(page)
+    text, points = article(nodes)
+    if weak:
+        other, gained = article(parse(page, keep_weak=True)[0])
+        if gained > WEAK_GAIN * points:
+            return other
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

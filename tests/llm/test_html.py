@@ -1,6 +1,10 @@
 """Main text of pages."""
 
+import time
+
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from codeloom.llm import html
 
@@ -32,6 +36,53 @@ def test_siblings_that_read_like_the_best_are_kept():
     assert text.count(LONG) == 5
 
 
+def naive(nodes, blocks):
+    """Points and characters by walking up from every block."""
+    points, chars = {}, {}
+    for owner, text, linked in blocks:
+        own = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text)) if len(text) >= 25 else 0
+        up, shares = owner, [1, 1 / 2, 1 / 3, 1 / 4]
+        while up is not None:
+            whole, links = chars.get(up, (0, 0))
+            chars[up] = whole + len(text), links + linked
+            if up.tag not in html.INLINE and not (up is owner and owner.tag in html.PARAGRAPHS) and shares:
+                points[up] = points.get(up, 0) + own * shares.pop(0)
+            up = up.parent
+    return points, chars
+
+
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<a href=x>", "</a>", "<section>", "</section>", LONG, "short, text", "<li>", "<td>"]), max_size=40))
+def test_points_equal_those_of_a_plain_walk(parts):
+    nodes, _ = html.parse(" ".join(parts))
+    blocks = html._blocks(nodes[0])
+    points, chars = naive(nodes, blocks)
+    html.weigh(nodes, blocks)
+    assert all(abs(n.points - points.get(n, 0)) < 1e-9 and (n.chars, n.linked) == chars.get(n, (0, 0)) for n in nodes)
+
+
+def test_stray_quotes_end_with_their_tag():
+    assert html.main_text(f"<p class=don't>{LONG}</p><p>{LONG}") == f"{LONG} {LONG}"
+    assert html.main_text(f"<a title=\"5\" tall\">x</a><p title='a>b' id=q>{LONG}</p>").endswith(LONG)
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<b><p>x, y", "<nav><b></i>", "<li><span>x"])
+def test_deep_pages_take_linear_time(part):
+    began = time.process_time()
+    html.main_text(part * 100_000)
+    assert time.process_time() - began < 20
+
+
+def test_weak_words_do_not_drop_the_article():
+    page = f"<div class=social-history><p>{LONG}</p><p>{LONG}</p></div>"
+    assert html.main_text(page) == f"{LONG} {LONG}"
+    assert html.main_text(f"<div><p>{LONG}</p></div>" + page) == LONG
+
+
+def test_sections_beside_the_best_ones_parent_are_kept():
+    page = f"<body><div><section><div><p>{LONG} {LONG}</p><p>{LONG}</p></div></section><section><p>{LONG}</p><p>{LONG}</p></section></div></body>"
+    assert html.main_text(page).count(LONG) == 5
+
+
 def test_query(spark, folder):
     rows = [(1, "u", f"<article><p>{LONG}</p></article>", "t"), (2, None, None, "t"), (None, "u", "<p>x", "t"), (1, "u", f"<article><p>{LONG}</p></article>", "t")]
     out = html.op3_html_text(spark, folder(pages=(rows, "page_id long, url string, html string, text string"))).collect()
