@@ -6,6 +6,11 @@ without a rule take part in connected components over redirect and
 canonical-link edges: one blocked URL in a component blocks its aliases, except
 those that a rule allows. What neither reaches is allowed.
 
+A URL is one node with those that differ from it in the case of scheme and host
+or in the fragment. Targets are read from the tags of the page, not from
+comments, scripts or other attributes, and resolved by RFC 3986 against the
+page's URL or its base element; one that cannot be resolved links nothing.
+
 Cases: a null URL or one without ``://`` has empty host and path, fits no rule
 and is allowed; repeated rows each get a verdict; an empty table or no edges
 give the rules' verdicts alone; extra input columns are ignored.
@@ -13,11 +18,19 @@ give the rules' verdicts alone; extra input columns are ignored.
 
 from __future__ import annotations
 
+import html as entities
+import re
+from collections.abc import Iterator
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm._tables import table
+from codeloom.llm._tables import bound_batches, table
+from codeloom.llm.html import ATTRIBUTE, RAW, TOKEN
 from codeloom.operators.components import connected_components
+from codeloom.plans.shared import materialize
 from codeloom.plans.skew import salted_lookup
 
 #: The production rules: (rule, verdict).
@@ -65,30 +78,81 @@ def apply_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host", "path").agg(F.max_by("rule", rank).alias("rule"), F.max_by("rule_verdict", rank).alias("rule_verdict"))
 
 
+ORIGIN = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*"
+REFRESH = re.compile(r"url\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"';]\S*))", re.I)
+
+
+def node_of(url: Column) -> Column:
+    """The node of a URL: scheme and host in lower case, without the fragment."""
+    origin = F.regexp_extract(url, ORIGIN, 0)
+    return F.concat(F.translate(origin, UPPER, LOWER), F.regexp_replace(F.substring(url, F.length(origin) + 1, F.length(url)), "#.*", ""))
+
+
+def page_links(url: str, page: str) -> list[str]:
+    """Nodes that a page names as its canonical URL or sends its readers to."""
+    found, base, at = [], url, 0
+    while (token := TOKEN.search(page, at)) is not None:
+        at, tag = token.end(), (token[2] or "").lower()
+        if token[1] or not tag:
+            continue
+        if tag in RAW:
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = close.end() if close else len(page)
+        if tag not in ("link", "meta", "base"):
+            continue
+        given: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(token[3] or ""):
+            given.setdefault(name.lower(), entities.unescape("".join(values)).strip())
+        if tag == "base":
+            target = given.get("href", "")
+        elif tag == "link":
+            target = given.get("href", "") if "canonical" in given.get("rel", "").lower().split() else ""
+        else:
+            sent = REFRESH.search(given.get("content", "")) if given.get("http-equiv", "").lower() == "refresh" else None
+            target = "".join(x or "" for x in sent.groups()).strip() if sent else ""
+        if not target:
+            continue
+        try:
+            target = urljoin(base, target).partition("#")[0]
+        except ValueError:
+            continue
+        if tag == "base":
+            base = target
+        elif origin := re.match(ORIGIN, target):
+            # Only A-Z, as in the pages' own URLs.
+            found.append(origin[0].translate(str.maketrans(UPPER, LOWER)) + target[origin.end() :])
+    return found
+
+
 def link_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """Edges (src, dst) from each page's canonical link and meta refresh.
+    """Distinct edges (src, dst) from the node of each page to those of its canonical link and meta refresh.
 
-    A target may be absolute, start with ``//`` or start with ``/``; other
-    targets name no URL of their own and are left out.
+    Only pages that have either word are read tag by tag.
     """
-    tag = lambda t: F.regexp_extract_all(html, F.lit(rf"(?i)<{t}\b[^>]*>"), F.lit(0))
-    canonical = F.transform(F.filter(tag("link"), lambda t: F.regexp_like(t, F.lit(r"(?i)\brel\s*=\s*[\"']?canonical\b"))), lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.transform(F.filter(tag("meta"), lambda t: F.regexp_like(t, F.lit(r"(?i)http-equiv\s*=\s*[\"']?refresh\b"))), lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    bound_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst = [], []
+            for node, own, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                for target in page_links(own, page):
+                    src.append(node)
+                    dst.append(target)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(dst, pa.string())], ["src", "dst"])
+
     has = F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh"))
-    found = pages.filter(F.col(url).isNotNull() & has).select(F.col(url).alias("src"), F.explode(F.concat(canonical, refresh)).alias("href"))
-    scheme, origin = F.regexp_extract("src", r"^([^:/?#]+:)//", 1), F.regexp_extract("src", r"^[^:/?#]+://[^/?#]*", 0)
-    href = F.replace("href", F.lit("&amp;"), F.lit("&"))
-    target = F.when(F.contains(href, F.lit("://")), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(origin, href))
-    return found.select("src", target.alias("dst")).filter("dst is not null and src <> dst").distinct()
+    found = pages.filter(F.col(url).isNotNull() & has).select(node_of(F.col(url)).alias("node"), F.col(url).alias("url"), F.col(html).alias("html"))
+    return found.mapInArrow(run, "src string, dst string").filter("src <> dst").distinct()
 
 
 def judge(pages: DataFrame, url: str, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Add host, path, rule and verdict to every row of ``pages``.
 
     ``edges`` (src, dst) are URLs that redirect to, or name as canonical, one
-    another; both ends are judged by the rules, then the components carry the
-    blocks.
+    another, as :func:`node_of` has them; both ends are judged by the rules, then
+    the components carry the blocks.
     """
+    edges = materialize(edges, "url-edges")
     rows = with_host_path(pages, url)
     ends = with_host_path(edges.select(F.explode(F.array("src", "dst")).alias("__url")).distinct(), "__url")
     found = apply_rules(rows.select("host", "path").unionByName(ends.select("host", "path")), rules)
@@ -99,8 +163,8 @@ def judge(pages: DataFrame, url: str, edges: DataFrame, rules: DataFrame) -> Dat
         labels = connected_components(edges)
         verdicts = labels.join(ends.join(found, ["host", "path"]).select(F.col("__url").alias("node"), "rule_verdict"), "node")
         blocked = verdicts.filter("rule_verdict = 'block'").select("component").distinct()
-        aliases = salted_lookup(labels, blocked, ["component"], F.col("node"), "inner").select(F.col("node").alias(url), F.lit("block").alias("alias_verdict"))
-        judged = salted_lookup(judged, aliases, [url], F.struct("host", "path"))
+        aliases = salted_lookup(labels, blocked, ["component"], F.col("node"), "inner").select(F.col("node").alias("__node"), F.lit("block").alias("alias_verdict"))
+        judged = salted_lookup(judged.withColumn("__node", node_of(F.col(url))), aliases, ["__node"], F.monotonically_increasing_id())
     return judged.select(*pages.columns, "host", "path", "rule", F.coalesce("rule_verdict", "alias_verdict", F.lit("allow")).alias("verdict"))
 
 
@@ -110,6 +174,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages.select("page_id", "url"), "url", link_edges(pages, "url", "html"), rule_table(spark)).drop("url")
 
 
+#: The rules alone: SQL does not read links out of pages, so it holds for tables whose pages have none, as the given ones.
 OP8_SQL = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
