@@ -22,3 +22,11 @@ def bound_batches(spark: SparkSession) -> None:
 def remainder5(doc_id="doc_id"):
     """crc32 of the id as text, mod 5 (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a working column that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

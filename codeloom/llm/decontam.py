@@ -31,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm._tables import table
+from codeloom.llm._tables import spare, table
 from codeloom.plans.shared import materialize
 from codeloom.plans.skew import salted_lookup
 
@@ -252,5 +252,6 @@ def kept_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts share their fate whatever their ids.
     """
     keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = find(keyed, table(spark, sf_dir, "benchmark", "item_id", "text")).select(F.col("doc_id").alias("__text_key")).distinct()
-    return docs.withColumn("__text_key", F.xxhash64("text")).join(found, "__text_key", "left_anti").select(*docs.columns)
+    key = spare(docs, "text_key")
+    found = find(keyed, table(spark, sf_dir, "benchmark", "item_id", "text")).select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("text")).join(found, key, "left_anti").select(*docs.columns)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm._bytes import mix, utf8, windows, words
-from codeloom.llm._tables import bound_batches, table
+from codeloom.llm._tables import bound_batches, spare, table
 from codeloom.llm.decontam import window_filter
 from codeloom.operators.components import connected_components
 from codeloom.plans.shared import materialize, remove_table
@@ -471,6 +471,7 @@ def kept_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     shingles stay. The rows that go are few against the corpus, so what is
     joined to the texts is the list of those.
     """
+    key, flag = spare(docs, "key"), spare(docs, "once")
     # A key of its own per row: ids may repeat or be null.
     row = F.xxhash64("doc_id", "text")
     found = materialize(near_duplicates(docs.select(row.alias("doc_id"), "text"), STAGE, count_links=False), "nd-stage")
@@ -482,7 +483,7 @@ def kept_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     once = materialize(best.select(F.col("b.key").alias("key")), "nd-once")
     # Texts whose key passes the filter meet the lists; all others stay where they are.
     passes = window_filter(gone.unionByName(once).select(F.col("key").alias("h")), gone.count() + once.count())
-    listed = docs.filter(passes(row)).withColumn("__key", row).join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti")
-    listed = listed.join(once.select(F.col("key").alias("__key"), F.lit(True).alias("__once")), "__key", "left")
-    repeated = listed.filter("__once").dropDuplicates(["__key"])
-    return docs.filter(~passes(row)).unionByName(listed.filter("__once is null").unionByName(repeated).select(*docs.columns))
+    listed = docs.filter(passes(row)).withColumn(key, row).join(gone.withColumnRenamed("key", key), key, "left_anti")
+    listed = listed.join(once.select(F.col("key").alias(key), F.lit(True).alias(flag)), key, "left")
+    repeated = listed.filter(F.col(flag)).dropDuplicates([key])
+    return docs.filter(~passes(row)).unionByName(listed.filter(F.col(flag).isNull()).unionByName(repeated).select(*docs.columns))

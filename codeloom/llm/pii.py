@@ -2,15 +2,20 @@
 
 The base finds emails, IP addresses, payment cards and phone numbers by regular
 expressions and checks. Its finds are seeds: the two words before a seed are a
-lexical pattern for the seed's kind. Patterns and the identifier-like words that
-follow them form a graph. Scores go round it: a pattern's score is the mean
-score of its distinct instances, an instance's the chance that not all its
-patterns are wrong. An instance that is no seed is reported when a pattern with
-enough seeds is all but sure of it.
+lexical pattern for the seed's kind. Patterns and the identifiers that follow
+them, words with digits or an ``@`` and groups of digits, form a graph. Scores
+go round it. For a kind, an instance speaks for a pattern by its own score (a
+seed of the kind: one), and against it when it is a seed of another kind or has
+a shape that the kind cannot have; what is merely unknown says nothing. A
+pattern's score is the part of the weight that speaks for it, and it needs the
+weight of some seeds; an instance's score is the chance that not all its
+patterns are wrong. So what a pattern reveals helps the next patterns. An
+instance that is no seed is reported, behind such a pattern, when they are all
+but sure of it.
 
 Cases: a null text is empty and has no spans; a text without a digit or ``@``
-has none; repeated values count once in a pattern, repeated rows each give a
-row; ties between kinds go to the first listed; an empty table gives none; extra
+has none; words of more than some 250 characters are in no pattern; repeated
+values count once in a pattern, repeated rows each give a row; ties between kinds go to the first listed; an empty table gives none; extra
 columns are ignored. Positions are code points, ends exclusive. Everything runs
 as DataFrame expressions.
 """
@@ -23,8 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm._tables import table
-from codeloom.plans.shared import materialize
+from codeloom.llm._tables import spare, table
+from codeloom.plans.shared import materialize, remove_table
 from codeloom.plans.skew import salted_lookup
 
 KINDS = ("email", "ip", "card", "phone")
@@ -38,8 +43,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Matches whose lengths are summed one by one.
 SUM_BLOCK = 64
-#: Words that may hold an identifier.
-IDENTIFIER = r"\S*[0-9@]\S*"
+#: What may be an identifier: groups of digits parted by single spaces, or a word with a digit or ``@``.
+IDENTIFIER = r"(?<!\S)(?:[(]?[0-9][0-9()./-]*+(?:\x20[(]?[0-9][0-9()./-]*+)++|(?=\S*[0-9@])\S++)"
+#: The shapes that an identifier of each kind may have, and how many digits.
+SHAPES = ((r"^\S+@\S+$", 0, 1 << 30), (r"^[0-9a-f]+(?:[.:]+[0-9a-f]+){3,}$", 4, 32), (r"^[0-9][0-9\x20-]+$", 12, 19), (r"^\+?[0-9][0-9\x20()./-]+$", 6, 15))
+#: Characters before an identifier in which its two words are looked for.
+CONTEXT = 256
 
 
 @dataclass(frozen=True)
@@ -47,12 +56,10 @@ class Settings:
     """Rounds over the graph, and what a discovery needs."""
 
     rounds: int = 3
-    #: Distinct seeds behind a pattern, its score, and the score of what it reveals.
+    #: The weight of seeds behind a pattern, its score, and the score of what it reveals.
     seeds: int = 10
     precision: float = 0.9
     accept: float = 0.9
-    #: Digits of a revealed identifier of any kind but email.
-    digits: int = 6
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -123,7 +130,9 @@ def base_spans(text: Column) -> Column:
 
 def _left(text: Column, s: Column) -> Column:
     """The two words before a place, lower-cased, digits alike; empty unless there are two letters in them."""
-    before = F.substring(text, F.greatest(s - 63, F.lit(1)), F.least(s, F.lit(64)))
+    before = F.substring(text, F.greatest(s - (CONTEXT - 1), F.lit(1)), F.least(s, F.lit(CONTEXT)))
+    # What is cut off at the left is no whole word.
+    before = F.when(s > CONTEXT, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
     two = F.regexp_replace(F.lower(F.regexp_extract(before, r"(\S+\s+\S+)[\s\"'(\[<]*$", 1)), r"[0-9]", "0")
     return F.when(two.rlike(r"\p{L}{2}"), F.regexp_replace(two, r"\s+", " ")).otherwise("")
 
@@ -155,27 +164,39 @@ def read_spans(docs: DataFrame, *keep: str) -> DataFrame:
     return found.select("row", *keep, "base", identifiers(F.col("__text"), F.col("base")).alias("others"))
 
 
+def _fits(value: Column, kind: int) -> Column:
+    """Whether a value could be an identifier of a kind."""
+    pattern, least, most = SHAPES[kind]
+    return value.rlike(pattern) & F.length(_digits(value)).between(least, most)
+
+
 def discover(read: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(row, kind, s, e) of the identifiers that patterns reveal."""
+    kinds = range(len(KINDS))
     seen = read.filter(F.size("base") + F.size("others") > 0).select("row", F.inline(F.concat("base", "others"))).filter("left <> ''")
     edges = materialize(seen.groupBy("left", "value").agg(F.min("kind").alias("seed")), "pii-edges")
-    kinds = F.broadcast(edges.sparkSession.range(len(KINDS)).select(F.col("id").cast("int").alias("kind")))
-    # An instance has a score for each kind; a seed's is 1 for its own and stays so.
-    scores = materialize(edges.groupBy("value").agg(F.min("seed").alias("own")).crossJoin(kinds).select("value", "kind", "own", F.coalesce((F.col("own") == F.col("kind")).cast("double"), F.lit(0.0)).alias("score")), "pii-scores")
-    patterns = None
+    # For each kind an instance's score, null where the instance cannot be of the kind.
+    own = edges.groupBy("value").agg(F.min("seed").alias("own"))
+    start = [F.when(F.col("own") == k, F.lit(1.0)).when(F.col("own").isNull() & _fits(F.col("value"), k), F.lit(0.0)).alias(f"s{k}") for k in kinds]
+    scores = materialize(own.select("value", "own", *start), "pii-scores")
+    patterns, held = None, []
     for _ in range(settings.rounds):
-        graph = edges.select("left", "value").join(scores, "value")
-        patterns = graph.groupBy("left", "kind").agg(F.avg("score").alias("pattern_score"), F.sum((F.col("own") == F.col("kind")).cast("int")).alias("seeds"))
-        patterns = materialize(patterns.filter((F.col("seeds") >= settings.seeds) & (F.col("pattern_score") >= settings.precision)).drop("seeds"), "pii-patterns")
-        doubt = salted_lookup(edges.select("left", "value"), patterns.groupBy("left").agg(F.collect_list(F.struct("kind", "pattern_score")).alias("p")), ["left"], F.col("value"), "inner")
-        doubt = doubt.select("value", F.inline("p")).groupBy("value", "kind").agg(F.sum(F.log1p(-F.least("pattern_score", F.lit(0.99)))).alias("doubt"))
-        kept = scores.drop("score").join(doubt, ["value", "kind"], "left")
-        scores = materialize(kept.select("value", "kind", "own", F.when(F.col("own").isNotNull(), (F.col("own") == F.col("kind")).cast("double")).otherwise(1 - F.exp(F.coalesce("doubt", F.lit(0.0)))).alias("score")), "pii-scores")
-    best = scores.filter(F.col("own").isNull() & (F.col("score") >= settings.accept)).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("found"))
-    shaped = F.when(F.col("found") == 0, F.col("value").contains("@")).otherwise(F.length(_digits(F.col("value"))) >= settings.digits)
-    own = salted_lookup(seen.filter("kind is null").drop("kind"), best, ["value"], F.col("row"), "inner").filter(shaped)
-    sure = salted_lookup(own, patterns.select("left", F.col("kind").alias("found")), ["left", "found"], F.col("row"), "inner")
-    return sure.select("row", F.col("found").alias("kind"), "s", "e").distinct()
+        # One row for each value: a value behind many patterns is spread.
+        graph = salted_lookup(edges.select("left", "value"), scores, ["value"], F.col("left"), "inner")
+        sums = graph.groupBy("left").agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0.0)).alias(f"for{k}") for k in kinds], *[F.sum(F.col(f"s{k}").isNull().cast("int")).alias(f"no{k}") for k in kinds])
+        rate = lambda k: F.col(f"for{k}") / (F.col(f"for{k}") + F.col(f"no{k}"))
+        good = [F.when((F.col(f"for{k}") >= settings.seeds) & (rate(k) >= settings.precision), F.least(rate(k), F.lit(0.99))).alias(f"p{k}") for k in kinds]
+        patterns = materialize(sums.select("left", *good).filter(" or ".join(f"p{k} is not null" for k in kinds)), "pii-patterns")
+        doubt = salted_lookup(edges.select("left", "value"), patterns, ["left"], F.col("value"), "inner").groupBy("value").agg(*[F.sum(F.log1p(-F.col(f"p{k}"))).alias(f"d{k}") for k in kinds])
+        better = [F.when(F.col(f"s{k}").isNotNull() & F.col("own").isNull(), 1 - F.exp(F.coalesce(f"d{k}", F.lit(0.0)))).otherwise(F.col(f"s{k}")).alias(f"s{k}") for k in kinds]
+        held.append(scores)
+        scores = materialize(scores.join(doubt, "value", "left").select("value", "own", *better), "pii-scores")
+    best = F.array_max(F.array(*[F.struct(F.coalesce(f"s{k}", F.lit(0.0)).alias("score"), F.lit(-k).alias("kind")) for k in kinds]))
+    found = scores.filter("own is null").select("value", best.alias("b")).filter(F.col("b.score") >= settings.accept).select("value", (-F.col("b.kind")).alias("found"))
+    revealed = salted_lookup(seen.filter("kind is null").drop("kind"), found, ["value"], F.col("row"), "inner")
+    behind = patterns.select("left", F.explode(F.filter(F.array(*[F.when(F.col(f"p{k}").isNotNull(), k) for k in kinds]), lambda k: k.isNotNull())).alias("found"))
+    remove_table(*held)
+    return salted_lookup(revealed, behind, ["left", "found"], F.col("row"), "inner").select("row", F.col("found").alias("kind"), "s", "e").distinct()
 
 
 def _shown(spans: Column) -> Column:
@@ -223,10 +244,11 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     keyed = docs.select(F.xxhash64("text").alias("key"), "text")
     read = materialize(read_spans(keyed, "key").filter(F.size("base") + F.size("others") > 0), "pii-read")
-    more = discover(read).join(read.select("row", "key"), "row").groupBy("key").agg(F.collect_set(F.struct("kind", "s", "e")).alias("__more"))
-    joined = docs.withColumn("key__", F.xxhash64("text")).join(more.withColumnRenamed("key", "key__"), "key__", "left")
+    key, extra = spare(docs, "key"), spare(docs, "more")
+    more = discover(read).join(read.select("row", F.col("key").alias(key)), "row").groupBy(key).agg(F.collect_set(F.struct("kind", "s", "e")).alias(extra))
+    joined = salted_lookup(docs.withColumn(key, F.xxhash64("text")), more, [key], F.monotonically_increasing_id())
     plain = F.transform(base_spans(F.col("text")), lambda m: F.struct(m["kind"].alias("kind"), m["s"].alias("s"), m["e"].alias("e")))
-    spans = F.concat(plain, F.coalesce("__more", F.array().cast("array<struct<kind:int,s:int,e:int>>")))
+    spans = F.concat(plain, F.coalesce(extra, F.array().cast("array<struct<kind:int,s:int,e:int>>")))
     fixed = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(F.col("text").rlike("[0-9@]"), _let(spans, lambda s: redact(F.col("text"), s))).otherwise(F.col("text"))
     size = F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")) if "n_chars" in docs.columns else None
     out = joined.withColumn("text", fixed)
