@@ -62,18 +62,18 @@ def test_patterns_reveal_unseen_identifiers(spark, folder):
 def test_recall_and_precision_of_planted_identifiers(spark, folder):
     rnd = random.Random(8)
     seeds = [f"Please call me at +49 30 {rnd.randrange(10**6, 10**7)} today" for _ in range(30)]
-    unseen = [("(030) %03d %03d" if i % 2 else "030 %03d%03d") % (rnd.randrange(100, 1000), rnd.randrange(100, 1000)) for i in range(10)]
+    unseen = [("(030) %03d %03d" if i % 2 else "030 %03d%03d") % (rnd.randrange(100, 1000), rnd.randrange(100, 1000)) for i in range(14)]
     # What the first pattern reveals carries a second one, whose own seeds are too few.
     bridge = [f"reach us under {u} always" for u in unseen] + ["reach us under 030 555777 always"]
     clean = [f"ordered in total {rnd.randrange(10**6, 10**7)} pieces" for _ in range(40)] + ["we call me at noon", "call me at x12345678 now", "me at a@b"]
     texts = [*seeds, *[f"Please call me at {u} today" for u in unseen], *bridge, *clean]
     out = {r.doc_id: r.spans for r in pii.op6_pii(spark, folder(documents=(doc_rows(texts), DOCS))).collect()}
     cut = lambda i: ["".join(texts[i][int(a) : int(b)]) for _, a, b in (x.split(":") for x in out[i].split(",") if x)]
-    planted = [cut(i) for i in range(30, 40)]
+    planted = [cut(i) for i in range(30, 44)]
     hit = sum(found == [u] or found == [u.lstrip("(")] for found, u in zip(planted, unseen, strict=True))
-    wrong = sum(bool(out[i]) for i in range(51, len(texts)))
-    assert hit >= 9 and hit / (hit + wrong) >= 0.9
-    assert cut(50) == ["030 555777"]
+    wrong = sum(bool(out[i]) for i in range(59, len(texts)))
+    assert hit >= 13 and hit / (hit + wrong) >= 0.9
+    assert cut(58) == ["030 555777"]
 
 
 def test_stage_keeps_columns_of_clashing_names(spark):
