@@ -1,47 +1,69 @@
-"""Behavioural facts of method bodies: guards, transactions, events, jobs and mutations, natively."""
+"""Behavioural facts of method bodies: guards, transactions, events, jobs and mutations, natively.
+
+A body is read as its calls: who is called on, by what mark, the name, and what
+the first argument begins with. Tables of names decide what a call says.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What a line of a body says; group 1 is the fact's name.
-FACTS = {
-    "guards": (r"(?:\$this->authorize|Gate::authorize)\s*\(\s*['\"]([^'\"]+)['\"]", r"@UseGuards\s*\(\s*([^),]+)"),
-    "events": (r"\bevent\s*\(\s*new\s+(\w+)", r"Event::dispatch\s*\(\s*(?:new\s+)?(\w+)", r"broadcast\s*\(\s*new\s+(\w+)", r"(?:eventEmitter|\$emit)\.emit\s*\(\s*['\"]([^'\"]+)['\"]"),
-    "jobs": (r"([A-Z]\w*(?:Job|Queue|Task|Process)\w*)::dispatch", r"dispatch\s*\(\s*new\s+(\w+)", r"(?:queue|queueService)\.add\s*\(\s*['\"]([^'\"]+)['\"]"),
-}
-TRANSACTION = r"DB::transaction|DB::beginTransaction|\.transaction\("
-ABORT = r"abort_(?:if|unless)\("
+#: A call: receiver, mark, name; ahead of it, whether an object is made, a quote, and the first argument's beginning.
+CALL = r"(?:([\\$\w]+(?:(?:->|::|\.)\w+)*)(->|::|\.))?(@?\w+)\s*\((?=\s*(new\s+)?(['\"]?)([\w\\:./-]*))"
+PARTS = ("on", "mark", "name", "made", "quote", "first")
+#: An assignment to a property of a variable.
+ASSIGNED = r"\$(\w+)->(\w+)\s*=(?![=>])"
+#: Who sends events by name, and who takes jobs by name.
+EMITTERS, QUEUES = ("eventEmitter", "$emit"), ("queue", "queueService")
+#: Parts of a class name that make it a job.
+JOB_WORDS = ("Job", "Queue", "Task", "Process")
+
+
+def without_comments(code: Column) -> Column:
+    """The code without block comments and lines that are a comment whole."""
+    return F.regexp_replace(F.regexp_replace(code, r"(?s)/\*.*?(?:\*/|\z)", " "), r"(?m)^[ \t]*(?://|#(?!\[)|\*)[^\n]*$", "")
+
+
+def calls(code: Column) -> Column:
+    """The calls of a code in order, as structs of :data:`PARTS`; an absent part is empty."""
+    each = F.arrays_zip(*[F.regexp_extract_all(code, F.lit(CALL), F.lit(i + 1)).alias(p) for i, p in enumerate(PARTS)])
+    return F.transform(each, lambda c: F.struct(*[F.coalesce(c[p], F.lit("")).alias(p) for p in PARTS]))
+
+
+def _last(name: Column) -> Column:
+    """The part of a name behind its last mark."""
+    return F.regexp_extract(name, r"(\$?\w+)$", 1)
 
 
 def facts(body: Column) -> Column:
-    """A struct of guards, has_transaction, events, jobs and mutations (each distinct, first seen first); lines of comment are left out."""
-    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("//")) & ~F.startswith(x, F.lit("#")))
-
-    def found(patterns: tuple[str, ...], name=lambda g: g) -> Column:
-        per_line = F.transform(lines, lambda x: F.filter(F.array(*[F.regexp_extract(x, p, 1) for p in patterns]), lambda g: g != ""))
-        return F.array_distinct(F.transform(F.flatten(per_line), name))
-
-    named = {k: found(p) for k, p in FACTS.items()}
-    aborts = F.when(F.exists(lines, lambda x: x.rlike(ABORT)), F.array(F.lit("abort_guard"))).otherwise(F.array().cast("array<string>"))
-    changed = F.flatten(
-        F.transform(
-            lines,
-            lambda x: F.filter(
-                F.array(
-                    F.when(x.rlike(r"\$\w+->update\s*\("), F.concat(F.regexp_extract(x, r"\$(\w+)->update\s*\(", 1), F.lit(".update()"))),
-                    F.when(x.rlike(r"\$\w+->delete\s*\("), F.concat(F.regexp_extract(x, r"\$(\w+)->delete\s*\(", 1), F.lit(".delete()"))),
-                    F.when(x.rlike(r"\$(?!this\b|request\b)\w+->\w+\s*=\s*[^;]+;"), F.regexp_replace(F.regexp_extract(x, r"\$((?!this\b|request\b)\w+->\w+)\s*=\s*[^;]+;", 1), "->", ".")),
-                ),
-                lambda v: v.isNotNull(),
-            ),
-        )
+    """A struct of guards, has_transaction, events, jobs and mutations (each distinct, first seen first); comments are left out."""
+    code = without_comments(body)
+    found = calls(code)
+
+    def named(*rules) -> Column:
+        """For each call the first name that a rule gives."""
+        return F.array_distinct(F.filter(F.transform(found, lambda c: F.coalesce(*[r(c) for r in rules])), lambda n: n.isNotNull() & (n != "")))
+
+    quoted = lambda c: c["quote"] != ""
+    makes = lambda c: (c["made"] != "") & (c["quote"] == "")
+    guards = named(
+        lambda c: F.when((c["name"] == "authorize") & quoted(c) & _last(c["on"]).isin("$this", "Gate"), c["first"]),
+        lambda c: F.when(c["name"] == "@UseGuards", c["first"]),
+        lambda c: F.when(c["name"].isin("abort_if", "abort_unless"), "abort_guard"),
+    )
+    events = named(
+        lambda c: F.when(c["name"].isin("event", "broadcast") & makes(c), c["first"]),
+        lambda c: F.when((c["name"] == "dispatch") & (c["mark"] == "::") & (_last(c["on"]) == "Event") & ~quoted(c), F.regexp_extract(c["first"], r"^\w+", 0)),
+        lambda c: F.when((c["name"] == "emit") & quoted(c) & _last(c["on"]).isin(*EMITTERS), c["first"]),
     )
-    return F.struct(
-        F.array_distinct(F.concat(named["guards"], aborts)).alias("guards"),
-        F.exists(lines, lambda x: x.rlike(TRANSACTION)).alias("has_transaction"),
-        named["events"].alias("events"),
-        named["jobs"].alias("jobs"),
-        F.array_distinct(changed).alias("mutations"),
+    jobs = named(
+        lambda c: F.when((c["name"] == "dispatch") & (c["mark"] == "::") & F.exists(F.array(*map(F.lit, JOB_WORDS)), lambda w: F.contains(_last(c["on"]), w)), _last(c["on"])),
+        lambda c: F.when((c["name"] == "dispatch") & (c["mark"] != "::") & makes(c), c["first"]),
+        lambda c: F.when((c["name"] == "add") & quoted(c) & _last(c["on"]).isin(*QUEUES), c["first"]),
     )
+    starts = lambda c: ((c["on"] == "DB") & (c["mark"] == "::") & c["name"].isin("transaction", "beginTransaction")) | ((c["mark"] == ".") & (c["name"] == "transaction"))
+    pairs = F.arrays_zip(F.regexp_extract_all(code, F.lit(ASSIGNED), F.lit(1)).alias("o"), F.regexp_extract_all(code, F.lit(ASSIGNED), F.lit(2)).alias("p"))
+    assigned = F.transform(F.filter(pairs, lambda p: ~p["o"].isin("this", "request")), lambda p: F.concat_ws(".", p["o"], p["p"]))
+    changed = named(lambda c: F.when((c["mark"] == "->") & c["name"].isin("update", "delete") & c["on"].rlike(r"^\$\w+$"), F.concat(F.substring(c["on"], 2, 1 << 20), F.lit("."), c["name"], F.lit("()"))))
+    return F.struct(guards.alias("guards"), F.exists(found, starts).alias("has_transaction"), events.alias("events"), jobs.alias("jobs"), F.array_distinct(F.concat(assigned, changed)).alias("mutations"))

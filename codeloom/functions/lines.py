@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def explode_lines(files: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """key, line_number (from 1), line; a final line feed ends with an empty line."""
-    return files.select(key, F.posexplode(F.split(content, "\n")).alias("pos", "line")).select(key, (F.col("pos") + 1).alias("line_number"), "line")
+    """key, line_number (from 1), line; lines end with CRLF, LF or CR, and a final line end gives an empty line."""
+    return files.select(key, F.posexplode(F.split(content, "\r\n|\n|\r")).alias("pos", "line")).select(key, (F.col("pos") + 1).alias("line_number"), "line")
 
 
 def brace_depths(lines: DataFrame, key: str) -> DataFrame:

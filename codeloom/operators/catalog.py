@@ -44,10 +44,14 @@ def enclosing(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def longest_prefix(paths: DataFrame, path: str, domains: DataFrame) -> DataFrame:
-    """The domain whose root is the longest folder prefix of each path; null when none is."""
-    roots = F.broadcast(domains.select(F.col("name").alias("owner"), F.col("root_path").alias("root")))
-    fits = (F.col(path) == F.col("root")) | F.startswith(path, F.concat("root", F.lit("/")))
-    met = paths.select(path).distinct().join(roots, fits)
+    """The domain whose root is the longest folder prefix of each path; null when none is.
+
+    Each path meets the roots by equality, on the path itself and its folders.
+    """
+    parts = F.split(path, "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    each = paths.select(path).filter(F.col(path).isNotNull()).distinct().withColumn("root", F.explode(folders))
+    met = each.join(domains.select(F.col("name").alias("owner"), F.col("root_path").alias("root")), "root")
     best = met.groupBy(path).agg(F.max_by("owner", F.struct(F.length("root"), "owner")).alias("owner"))
     return paths.join(best, path, "left")
 
@@ -72,13 +76,16 @@ def impact(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def inbound(edges: DataFrame, top: int = 5) -> DataFrame:
-    """Per file of an edge list: inbound files, a level (5 high, 2 medium) and the first consumers."""
-    return edges.groupBy(F.col("dst").alias("file")).agg(F.countDistinct("src").alias("n_inbound"), F.array_sort(F.collect_set("src")).alias("all")).select(
-        "file",
-        "n_inbound",
-        F.when(F.col("n_inbound") >= 5, "high").when(F.col("n_inbound") >= 2, "medium").otherwise("low").alias("level"),
-        F.array_join(F.transform(F.slice("all", 1, top), lambda x: x.cast("string")), ",").alias("consumers"),
-    )
+    """Per file of an edge list: inbound files, a level (5 high, 2 medium) and the first consumers.
+
+    Only the first consumers of a file are gathered; each source is counted once.
+    """
+    once = edges.select(F.col("dst").alias("file"), "src").distinct()
+    counted = once.groupBy("file").agg(F.count("src").alias("n_inbound"))
+    first = once.withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy(F.col("src").asc_nulls_last()))).filter(F.col("k") <= top)
+    shown = first.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list("src")), lambda x: x.cast("string")), ",").alias("consumers"))
+    level = F.when(F.col("n_inbound") >= 5, "high").when(F.col("n_inbound") >= 2, "medium").otherwise("low")
+    return counted.join(shown, "file").select("file", "n_inbound", level.alias("level"), "consumers")
 
 
 def connections(edges: DataFrame) -> DataFrame:

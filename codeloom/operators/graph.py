@@ -23,7 +23,8 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = 5, most: int | N
     start, nearest first.
     """
     depth = min(max(int(depth or 5), 1), 8)
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    # Every round reads the edges, so they are written once.
+    steps = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "edges")
     seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for level in range(1, depth + 1):
@@ -44,7 +45,7 @@ def cycle_members(edges: DataFrame, length: int = 6) -> DataFrame:
     Searches forward from each node with the least node of the path kept, so a
     cycle is found from its least node only.
     """
-    steps = edges.filter("src <> dst").select("src", "dst").distinct()
+    steps = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
     paths = steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")).filter("node > start")
     found = None
     for n in range(2, length + 1):
@@ -99,6 +100,7 @@ def prefixes(mounts: DataFrame, roots: DataFrame, rounds: int = 10) -> DataFrame
 
     Stops when a round finds nothing new, or after ``rounds``.
     """
+    mounts = materialize(mounts.select("parent", "child", "path"), "mounts")
     seen = roots.select("router", "prefix").distinct()
     frontier = seen
     for _ in range(rounds):

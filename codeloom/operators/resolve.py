@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import resolve_relative
+from codeloom.plans.shared import materialize
 
 # Endings that an import may leave out, and what compiled endings stand for.
 JS_ENDINGS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json", ".vue", ".d.ts")
@@ -118,7 +119,8 @@ def resolve(imports: DataFrame, files: DataFrame, rules: Rules) -> DataFrame:
     of Python's and PHP's the first in order is taken. A Go import names all
     files of its folder but tests.
     """
-    rows = candidates(imports, rules).withColumn("__id", F.monotonically_increasing_id())
+    # Written once: numbers given to rows must not change when the plan runs again.
+    rows = materialize(candidates(imports, rules).withColumn("__id", F.monotonically_increasing_id()), "resolve")
     tried = rows.filter("paths is not null").select("__id", "language", F.posexplode(F.array_distinct("paths")).alias("rank", "path"))
     found = tried.join(files.select("path").distinct(), "path", "left_semi")
     every = found.groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("f"))
@@ -137,7 +139,7 @@ def target_domain(resolved: DataFrame, files: DataFrame) -> DataFrame:
 
     ``files`` has path and domain.
     """
-    rows = resolved.withColumn("__id", F.monotonically_increasing_id())
+    rows = materialize(resolved.withColumn("__id", F.monotonically_increasing_id()), "resolve")
     owners = rows.filter("status = 'resolved'").select("__id", F.explode("files").alias("path")).join(files.select("path", "domain"), "path")
     one = owners.groupBy("__id").agg(F.min("domain").alias("lo"), F.max("domain").alias("hi")).filter("lo = hi").select("__id", F.col("lo").alias("target_domain"))
     return rows.join(one, "__id", "left").drop("__id")

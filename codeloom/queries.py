@@ -94,11 +94,10 @@ def dependencies_with_domains(c):
     return c.dependencies().join(c.files(), F.col("source_id") == F.col("file_id")).select("domain", "path", "line_number", "target", "is_external")
 
 
-@query(with_tables("files", "dependencies") + "SELECT target, line_number, path, domain FROM dependencies LEFT JOIN files ON source_id=file_id AND file_id%2=0 WHERE NOT is_external AND contains(lower(target), '/th')")
+@query(with_tables("files", "dependencies") + "SELECT target, line_number, path, domain FROM dependencies LEFT JOIN files ON source_id=file_id WHERE NOT is_external AND contains(lower(target), '/th')")
 def like_search(c):
-    own = c.files().filter("file_id % 2 = 0")
     rows = c.dependencies().filter(~F.col("is_external") & catalog.contains_ignoring_case(F.col("target"), "/TH"))
-    return rows.join(own, F.col("source_id") == F.col("file_id"), "left").select("target", "line_number", "path", "domain")
+    return rows.join(c.files(), F.col("source_id") == F.col("file_id"), "left").select("target", "line_number", "path", "domain")
 
 
 @query("SELECT doc_id, length(text) AS n FROM documents WHERE contains(lower(text), 'version') AND regexp_matches(text, '\\bversion\\b')")
@@ -262,14 +261,15 @@ def cycle_search(c):
 
 @query(
     with_tables("file_edges", recursive=True)
-    + """, mounts AS (SELECT src AS parent, dst AS child, '/r'||dst AS path FROM file_edges WHERE src<40 AND dst<400 AND src<dst),
-found(router, prefix, k) AS (SELECT DISTINCT parent, '/r'||parent, 0 FROM mounts UNION SELECT child, prefix||path, k+1 FROM found JOIN mounts ON router=parent WHERE k<10)
+    + """, mounts AS (SELECT src AS parent, dst AS child, '/r'||dst AS path FROM file_edges WHERE src<dst),
+found(router, prefix, k) AS (SELECT DISTINCT parent, '/r'||parent, 0 FROM mounts WHERE parent NOT IN (SELECT child FROM mounts) UNION SELECT child, prefix||path, k+1 FROM found JOIN mounts ON router=parent WHERE k<3)
 SELECT DISTINCT router, prefix FROM found"""
 )
 def prefix_fixpoint(c):
-    mounts = c.file_edges().filter("src < 40 and dst < 400 and src < dst").select(F.col("src").alias("parent"), F.col("dst").alias("child"), F.concat(F.lit("/r"), F.col("dst").cast("string")).alias("path"))
-    roots = mounts.select(F.col("parent").alias("router"), F.concat(F.lit("/r"), F.col("parent").cast("string")).alias("prefix"))
-    return graph.prefixes(mounts, roots)
+    mounts = c.file_edges().filter("src < dst").select(F.col("src").alias("parent"), F.col("dst").alias("child"), F.concat(F.lit("/r"), F.col("dst").cast("string")).alias("path"))
+    tops = mounts.select("parent").distinct().join(mounts.select(F.col("child").alias("parent")), "parent", "left_anti")
+    roots = tops.select(F.col("parent").alias("router"), F.concat(F.lit("/r"), F.col("parent").cast("string")).alias("prefix"))
+    return graph.prefixes(mounts, roots, rounds=3)
 
 
 _MATCH_SQL = "CASE WHEN http_method='GET' AND route_uri='/en/{id}' THEN 1 WHEN http_method='GET' AND norm='/en/:param' THEN 2 WHEN route_uri='/en/{id}' THEN 3 WHEN route_name='get._en_id_' THEN 4 END"
@@ -362,11 +362,14 @@ def duplicate_content(c):
     return c.table("documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
 
 
-@query("SELECT sha256(string_agg(line, ',' ORDER BY line)) AS fingerprint FROM (SELECT doc_id||':'||sha256(text) AS line FROM documents WHERE doc_id%100=0)")
+@query(
+    """SELECT sha256(string_agg(folder||':'||digest, ',' ORDER BY folder)) AS fingerprint FROM (
+  SELECT sha256(doc_id::VARCHAR)[1:3] AS folder, sha256(string_agg(doc_id||':'||sha256(text), ',' ORDER BY doc_id||':'||sha256(text))) AS digest FROM documents GROUP BY 1)"""
+)
 def inventory_fingerprint(c):
     from codeloom.sources.workspace import inventory_fingerprint as of
 
-    rows = c.table("documents").filter("doc_id % 100 = 0").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("content_hash"))
+    rows = c.table("documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("content_hash"))
     return of(rows)
 
 
@@ -443,12 +446,12 @@ def locate_symbol(c):
 
 @query(
     with_tables("files", "symbols")
-    + """SELECT file_id, name, line_start, line_end, least(line_end, line_start+19)::INT AS page_end, CASE WHEN line_start+19 < line_end THEN line_start+20 END::INT AS next_start_line FROM symbols WHERE file_id%50=0"""
+    + """SELECT file_id, name, line_start, line_end, least(line_end, line_start+19)::INT AS page_end, CASE WHEN line_start+19 < line_end THEN line_start+20 END::INT AS next_start_line FROM symbols"""
 )
 def symbol_page(c):
     from codeloom.functions.lines import page
 
-    return page(c.symbols().filter("file_id % 50 = 0"), 20).select("file_id", "name", "line_start", "line_end", "page_end", "next_start_line")
+    return page(c.symbols(), 20).select("file_id", "name", "line_start", "line_end", "page_end", "next_start_line")
 
 
 @query(

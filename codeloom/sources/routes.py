@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from codeloom.functions.masking import mask
 from codeloom.functions.text import join_uri
 from codeloom.operators.graph import prefixes
+from codeloom.operators.resolve import Rules, resolve
+from codeloom.plans.shared import materialize
 
 _VERBS = "get|post|put|patch|delete|options|head"
 _Q = r"['\"`](?P<uri>[^'\"`\n]*)['\"`]"
@@ -35,14 +37,19 @@ ROUTES = {
 # How routers are mounted below one another: parent, child and path.
 MOUNTS = {
     "express": (("typescript", "javascript"), r"\b(?P<parent>\w+)\.use\(\s*['\"`](?P<path>[^'\"`\n]*)['\"`]\s*,(?:[^;\n]*,)?\s*(?P<child>\w+)\s*\)"),
-    "fastapi": (("python",), r"\b(?P<parent>\w+)\.include_router\(\s*(?P<child>\w+)(?:[^)\n]*prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"])?"),
-    "flask": (("python",), r"\b(?P<parent>\w+)\.register_blueprint\(\s*(?P<child>\w+)(?:[^)\n]*url_prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"])?"),
+    "fastapi": (("python",), r"\b(?P<parent>\w+)\.include_router\(\s*(?P<child>[\w.]+)(?:[^)\n]*prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"])?"),
+    "flask": (("python",), r"\b(?P<parent>\w+)\.register_blueprint\(\s*(?P<child>[\w.]+)(?:[^)\n]*url_prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"])?"),
     "go": (("go",), r"\b(?P<child>\w+)\s*:?=\s*(?P<parent>\w+)\.(?:Group|Route)\(\s*\"(?P<path>[^\"\n]*)\""),
 }
 # A router's own prefix, where it is made.
 OWN_PREFIX = {"python": r"\b(?P<router>\w+)\s*=\s*(?:APIRouter|Blueprint)\([^)\n]*?(?:url_)?prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"]"}
 # The actions of a resource route, as (verb, suffix, action).
 RESOURCE = (("GET", "", "index"), ("POST", "", "store"), ("GET", "/{id}", "show"), ("PUT", "/{id}", "update"), ("DELETE", "/{id}", "destroy"), ("GET", "/create", "create"), ("GET", "/{id}/edit", "edit"))
+#: What a file brings in: a module's own value, or names of it, each perhaps under another name.
+IMPORTS = {
+    "js": r"\bimport\s+(?P<own>\w+)?\s*,?\s*(?:\{(?P<names>[^}]*)\})?\s*from\s*['\"](?P<module>[^'\"]+)['\"]|\b(?:const|let|var)\s+(?:(?P<own2>\w+)|\{(?P<names2>[^}]*)\})\s*=\s*require\(\s*['\"](?P<module2>[^'\"]+)['\"]\s*\)",
+    "python": r"^[ \t]*from\s+(?P<module>[.\w]+)\s+import\s+(?:\((?P<names2>[^)]*)\)|(?P<names>[\w ,\t]+))",
+}
 SCHEMA = "path string, framework string, kind string, http_method string, uri string, router string, parent string, handler string, middlewares array<string>, line int"
 
 
@@ -51,6 +58,22 @@ def _words(rest: str) -> list[str]:
     return [p for p in parts if re.fullmatch(r"[\w.$]+", p)]
 
 
+def imports_of(language: str, source: str) -> Iterator[tuple[str, str, str]]:
+    """Names that a source brings in: the name here, the module, and the name there (empty for the module itself)."""
+    kind = "python" if language == "python" else "js" if language in ("typescript", "javascript") else None
+    for m in re.finditer(IMPORTS[kind], source, re.M) if kind else ():
+        g = m.groupdict()
+        module = g.get("module") or g.get("module2")
+        if own := g.get("own") or g.get("own2"):
+            yield own, module, ""
+        for part in re.split(r"[,\n]", g.get("names") or g.get("names2") or ""):
+            words = part.replace(":", " as ").split()
+            if words:
+                yield words[-1], module, words[0]
+                if kind == "python":  # the name may be a module of the package
+                    yield words[-1], module + ("" if module.endswith(".") else ".") + words[0], ""
+
+
 def facts_of(path: str, language: str, source: str) -> Iterator[tuple]:
     """Routes, mounts and router prefixes of one file."""
     blank = mask(source, ("#",) if language == "python" else ("//", "/*"))
@@ -82,6 +105,8 @@ def facts_of(path: str, language: str, source: str) -> Iterator[tuple]:
     for framework, (languages, pattern) in MOUNTS.items():
         for m in re.finditer(pattern, blank, re.M) if language in languages else ():
             yield path, framework, "mount", None, m["path"] or "", m["child"], m["parent"], None, [], line(m.start())
+    for here, module, there in imports_of(language, blank):
+        yield path, language, "import", None, module, here, None, there, [], 0
     for m in re.finditer(OWN_PREFIX.get(language, r"(?!)"), blank):
         yield path, "python", "prefix", None, m["path"], m["router"], None, None, [], line(m.start())
 
@@ -98,21 +123,45 @@ def route_facts(files: DataFrame) -> DataFrame:
     return files.select("path", "language", "content").mapInPandas(run, SCHEMA)
 
 
+def _mounts(facts: DataFrame, files: DataFrame, routers: DataFrame) -> DataFrame:
+    """parent_key, child_key, uri of every mount: the child is the router that the file imports under its name, else its own, else the only one of that name."""
+    mounts = facts.filter("kind = 'mount'").select("path", "parent", "uri", F.col("router").alias("child"), F.split("router", r"\.").alias("parts")).distinct()
+    mounts = mounts.select("path", "parent", "uri", "child", F.col("parts")[0].alias("here"), F.get("parts", F.lit(1)).alias("attr"))
+    brought = facts.filter("kind = 'import'").select(F.col("path").alias("source"), F.col("framework").alias("language"), F.col("uri").alias("target"), F.col("router").alias("here"), F.col("handler").alias("there")).distinct()
+    resolved = resolve(brought, files, Rules()).filter("status = 'resolved'").select(F.col("source").alias("path"), "here", "there", F.col("files")[0].alias("file"))
+    only = routers.groupBy(F.col("path").alias("file")).agg(F.min("router").alias("only"), F.count("*").alias("n")).filter("n = 1").select("file", "only")
+    named = routers.select(F.col("path").alias("file"), F.col("router").alias("wanted"), F.lit(True).alias("there_is"))
+    wanted = F.coalesce("attr", F.nullif("there", F.lit("")), "child")
+    imported = mounts.join(resolved, ["path", "here"]).withColumn("wanted", wanted).join(named, ["file", "wanted"], "left").join(only, "file", "left")
+    imported = imported.select("path", "child", F.concat_ws("#", "file", F.when(F.col("there_is"), F.col("wanted")).otherwise(F.col("only"))).alias("k"), "only", "there_is").filter("there_is or only is not null")
+    imported = imported.groupBy("path", "child").agg(F.min("k").alias("by_import"))
+    own = routers.select("path", F.col("router").alias("child"), F.concat_ws("#", "path", "router").alias("by_file"))
+    alone = routers.groupBy(F.col("router").alias("child")).agg(F.min(F.concat_ws("#", "path", "router")).alias("by_name"), F.count("*").alias("n")).filter("n = 1").drop("n")
+    found = mounts.join(imported, ["path", "child"], "left").join(own, ["path", "child"], "left").join(alone, "child", "left")
+    key = F.coalesce("by_import", "by_file", "by_name")
+    return found.filter(key.isNotNull()).select(F.concat_ws("#", "path", "parent").alias("parent"), key.alias("child"), "uri")
+
+
 def routes(files: DataFrame, rounds: int = 10) -> DataFrame:
     """Routes with their whole URIs: http_method, route_uri, handler, framework, path, line, middlewares.
 
-    A router's name is taken as one router over all files. Prefixes go from
-    routers that nobody mounts down the mounts, for at most ``rounds`` levels.
+    A router is one of a file and a name. Prefixes go from routers that nobody
+    mounts down the mounts, for at most ``rounds`` levels.
     """
-    facts = route_facts(files).cache()
-    mounts = facts.filter("kind = 'mount'").select("parent", F.col("router").alias("child"), F.col("uri").alias("path"))
-    own = facts.filter("kind = 'prefix'").groupBy("router").agg(F.min("uri").alias("own"))
-    named = facts.filter("kind = 'route'").select("router").unionByName(mounts.select(F.col("parent").alias("router"))).distinct()
-    tops = named.join(mounts.select(F.col("child").alias("router")), "router", "left_anti").withColumn("prefix", F.lit(""))
-    below = mounts.join(own.withColumnRenamed("router", "child"), "child", "left").select("parent", "child", F.concat_ws("/", "path", "own").alias("path"))
+    facts = materialize(route_facts(files), "routes")
+    made = facts.filter("kind in ('route', 'prefix')").select("path", "router")
+    parents = facts.filter("kind = 'mount'").select("path", F.col("parent").alias("router"))
+    # A group of a router is a router of its file.
+    groups = facts.filter("kind = 'mount' and framework = 'go'").select("path", "router")
+    routers = made.unionByName(parents).unionByName(groups).filter("router <> ''").distinct()
+    mounts = materialize(_mounts(facts, files, routers), "mounts")
+    keyed = F.concat_ws("#", "path", "router")
+    own = facts.filter("kind = 'prefix'").groupBy(keyed.alias("router")).agg(F.min("uri").alias("own"))
+    tops = routers.select(keyed.alias("router")).join(mounts.select(F.col("child").alias("router")), "router", "left_anti")
+    below = mounts.join(own.withColumnRenamed("router", "child"), "child", "left").select("parent", "child", F.concat_ws("/", "uri", "own").alias("path"))
     tops = tops.join(own, "router", "left").select("router", F.coalesce("own", F.lit("")).alias("prefix"))
-    reached = prefixes(below, tops, rounds)
-    rows = facts.filter("kind = 'route'").join(reached, "router", "left")
+    reached = prefixes(below, tops, rounds).withColumnRenamed("router", "router_key")
+    rows = facts.filter("kind = 'route'").withColumn("router_key", keyed).join(reached, "router_key", "left")
     uri = join_uri(F.coalesce("prefix", F.lit("")), F.regexp_replace(F.regexp_replace("uri", r"^\^", ""), r"\$\z", ""))
     return rows.select("http_method", uri.alias("route_uri"), "handler", "framework", "path", "line", "middlewares").distinct()
 

@@ -20,6 +20,7 @@ from codeloom.sources.extract import dependencies_of, extract, symbols_of
 SCHEMA_VERSION = 1
 #: Part of every file's change key: a new extractor reads all files again.
 PARSER_REVISION = 1
+POINTER = "_VERSION-"
 
 
 class CatalogStore:
@@ -31,9 +32,16 @@ class CatalogStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _newest(self):
+        """The pointer of the highest number, or none."""
+        if not self._fs.exists(self._path(self.root)):
+            return None
+        found = [f.getPath() for f in self._fs.listStatus(self._path(self.root)) if f.getPath().getName().startswith(POINTER)]
+        return max(found, key=lambda p: int(p.getName().removeprefix(POINTER)), default=None)
+
     def _pointer(self) -> dict:
-        at = self._path(f"{self.root}/_CURRENT")
-        if not self._fs.exists(at):
+        at = self._newest()
+        if at is None:
             return {"schema": SCHEMA_VERSION, "version": 0, "tables": {}}
         stream = self._fs.open(at)
         try:
@@ -67,11 +75,11 @@ class CatalogStore:
         out = self._fs.create(fresh, True)
         out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "version": version, "tables": places}).encode()))
         out.close()
-        current = self._path(f"{self.root}/_CURRENT")
-        if self._fs.exists(current):
-            self._fs.delete(current, False)
-        if not self._fs.rename(fresh, current):
-            raise RuntimeError("the pointer could not be moved")
+        # Pointers are numbered and never replaced: until the rename, readers have the version before; of two writers one fails.
+        next_ = self._path(f"{self.root}/{POINTER}{version}")
+        if self._fs.exists(next_) or not self._fs.rename(fresh, next_):
+            self._fs.delete(fresh, False)
+            raise RuntimeError(f"another writer published version {version}")
         return version
 
 

@@ -68,3 +68,18 @@ def test_behaviour(spark):
     got = spark.createDataFrame([(body,)], "b string").select(facts(F.col("b")).alias("f")).first().f
     assert got.guards == ["update", "abort_guard"] and got.has_transaction
     assert (got.events, got.jobs, got.mutations) == (["OrderPlaced"], ["SendMailJob"], ["order.status", "order.update()"])
+
+
+def test_behaviour_of_several_marks(spark):
+    body = """
+        @UseGuards(AuthGuard, Other)
+        Gate::authorize("see"); abort_unless($a, 1);
+        broadcast(new Seen($x)); Event::dispatch(new Done()); this.eventEmitter.emit('user.made', u);
+        this.queue.add('mail', {}); dispatch(new CleanTask()); $request->name = 1; $a->b == 2;
+        await this.db.transaction(async () => {}); $user->delete();
+    """
+    got = spark.createDataFrame([(body,), (None,), ("",)], "b string").select(facts(F.col("b")).alias("f")).collect()
+    f = got[0].f
+    assert (f.guards, f.has_transaction, f.events) == (["AuthGuard", "see", "abort_guard"], True, ["Seen", "Done", "user.made"])
+    assert (f.jobs, f.mutations) == (["mail", "CleanTask"], ["user.delete()"])
+    assert (got[2].f.guards, got[2].f.has_transaction, got[2].f.mutations) == ([], False, [])

@@ -29,3 +29,16 @@ def test_routes(spark):
     assert {(r.http_method, r.route_uri, r.handler) for r in rows} == WANT
     chain = next(r.chain for r in rows if r.http_method == "POST" and "orders" in r.route_uri)
     assert [(n.stage, n.symbol) for n in chain] == [("ingress", "POST /api/v1/orders/:id"), ("validation", "check"), ("validation", "guard.admin"), ("controller", "ctl.save")]
+
+
+def test_routers_of_one_name_keep_their_files_prefixes(spark):
+    files = [
+        ("app/main.py", "python", "from app.routers import users\nfrom .routers.orders import router as orders_router\napp = FastAPI()\napp.include_router(users.router, prefix='/users')\napp.include_router(orders_router, prefix='/orders')"),
+        ("app/routers/users.py", "python", "router = APIRouter()\n@router.get('/list')\ndef users(): ...\n"),
+        ("app/routers/orders.py", "python", "router = APIRouter()\n@router.get('/list')\ndef orders(): ...\n"),
+        ("s/index.ts", "typescript", "import cats from './cats';\nconst { router: dogs } = require('./dogs');\nconst app = express();\napp.use('/cats', cats);\napp.use('/dogs', dogs);"),
+        ("s/cats.ts", "typescript", "const router = express.Router();\nrouter.get('/all', x);\nexport default router;"),
+        ("s/dogs.ts", "typescript", "const router = express.Router();\nrouter.get('/all', y);\nmodule.exports = { router };"),
+    ]
+    found = routes(spark.createDataFrame(files, "path string, language string, content string")).collect()
+    assert {(r.route_uri, r.handler) for r in found} == {("/users/list", "users"), ("/orders/list", "orders"), ("/cats/all", "x"), ("/dogs/all", "y")}

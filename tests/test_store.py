@@ -38,6 +38,38 @@ def test_a_failed_write_leaves_the_version(spark, tmp_path):
     assert store.version() == 1 and store.read("t").count() == 3 and store.tables() == {"t"}
 
 
+def test_a_crash_before_the_pointer_moves_leaves_the_version(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path))
+    store.publish({"t": spark.range(3)})
+
+    class Crash:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, *_):
+            raise OSError("lost")
+
+    broken = CatalogStore(spark, str(tmp_path))
+    broken._fs = Crash(broken._fs)
+    with pytest.raises(OSError, match="lost"):
+        broken.publish({"t": spark.range(9)})
+    assert store.version() == 1 and store.read("t").count() == 3
+    assert store.publish({"u": spark.range(2)}) == 2 and store.tables() == {"t", "u"}
+
+
+def test_of_two_writers_of_one_version_one_fails(spark, tmp_path):
+    one, two = CatalogStore(spark, str(tmp_path)), CatalogStore(spark, str(tmp_path))
+    before = two._pointer()
+    one.publish({"t": spark.range(3)})
+    two._pointer = lambda: before
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.publish({"t": spark.range(4)})
+    assert one.read("t").count() == 3
+
+
 def test_upserts(spark):
     schema = "http_method string, route_uri string, name string"
     base = spark.createDataFrame([("GET", "/a", "old"), ("GET", "/b", "old")], schema)

@@ -10,7 +10,8 @@ from codeloom.operators import policy, symbols
     ("asked", "want"),
     [
         ("Call to undefined method App\\A::go()", ("App\\A", "go", "method")), ("'User' object has no attribute 'name'", ("User", "name", None)), ("A::b()", ("A", "b", "method")),
-        ("a->b", ("a", "b", "method")), ("a.b", ("a", "b", None)), ("run()", (None, "run", "function")), (" Order ", (None, "Order", None)),
+        ("a->b", ("a", "b", "method")), ("a.b", ("a", "b", None)), ("run()", (None, "run", "function")), ("Method OrderController::calculateTotal() does not exist", ("OrderController", "calculateTotal", "method")),
+        ("App/A->go()", ("App/A", "go", "method")), ("a.b.c", (None, "a.b.c", None)), (" Order ", (None, "Order", None)),
     ],
 )
 def test_questions(asked, want):
@@ -22,13 +23,13 @@ def test_hints_and_calls(spark):
     body = "Cart::add($x); // Log::no()\n$this->repo->save($y); this.mail.send(1); this.db.query('A::b()'); Cart::add(2);"
     row = spark.createDataFrame([("function f(Order $o, ?User $u, int $n)", "run(a: Box, b: string)", body)], "a string, b string, c string")
     got = row.select(symbols.type_hints(F.col("a")), symbols.type_hints(F.col("b")), symbols.outbound_calls(F.col("c"))).first()
-    assert list(got) == [["Order", "User"], ["Box"], ["Cart::add", "repo.save", "mail.send"]]
+    assert list(got) == [["Order", "User"], ["Box"], ["Cart::add", "Repo::save", "Mail::send"]]
 
 
 def test_calls_resolve_only_when_one_fits(spark):
     known = spark.createDataFrame([("Cart::add",), ("Box::add",), ("Repo::save",)], "name string")
-    calls = spark.createDataFrame([("x", "add"), ("x", "save"), ("x", "none")], "caller string, member string")
-    assert {r.member: (r.target, r.n_candidates) for r in symbols.resolve_calls(calls, known).collect()} == {"add": (None, 2), "save": ("Repo::save", 1), "none": (None, 0)}
+    calls = spark.createDataFrame([("x", "add"), ("x", "save"), ("x", "none"), ("x", "Box::add")], "caller string, member string")
+    assert {r.member: (r.target, r.n_candidates) for r in symbols.resolve_calls(calls, known).collect()} == {"add": (None, 2), "save": ("Repo::save", 1), "none": (None, 0), "Box::add": ("Box::add", 1)}
 
 
 def test_staged_audit(spark):
