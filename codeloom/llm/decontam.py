@@ -121,27 +121,29 @@ def _bits(h: Column, bits: int) -> list[Column]:
     return [(F.shiftrightunsigned(h, 20 * p) if p else h).bitwiseAND(F.lit(bits - 1)) for p in range(PROBES)]
 
 
-def window_filter(hashes: DataFrame, distinct: int) -> Callable[[Column], Column]:
+class Sieve:
     """A test that every hash of ``hashes`` (h) passes, and few others; its size is bounded."""
-    bits = LEAST_BITS
-    while bits < min(MOST_BITS, 24 * distinct):
-        bits *= 2
-    places = hashes.select(F.explode(F.array(*_bits(F.col("h"), bits))).alias("at"))
-    words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
-    found = [0] * (bits // 64)
-    for r in words.collect():
-        found[r["word"]] = r["bits"]
-    held = F.from_json(F.lit(json.dumps(found)), "array<bigint>")
-
-    def passes(h: Column) -> Column:
-        tests = [F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in _bits(h, bits)]
+
+    def __init__(self, hashes: DataFrame, distinct: int):
+        self.bits = LEAST_BITS
+        while self.bits < min(MOST_BITS, 24 * distinct):
+            self.bits *= 2
+        places = hashes.select(F.explode(F.array(*_bits(F.col("h"), self.bits))).alias("at"))
+        words = places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+        found = [0] * (self.bits // 64)
+        for r in words.collect():
+            found[r["word"]] = r["bits"]
+        self.held = F.from_json(F.lit(json.dumps(found)), "array<bigint>")
+
+    def passes(self, h: Column, held: Column | None = None) -> Column:
+        """Whether a hash passes; ``held`` is :attr:`held` where that is bound to a variable."""
+        held = self.held if held is None else held
+        tests = [F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1 for at in _bits(h, self.bits)]
         both = tests[0]
         for t in tests[1:]:
             both = both & t
         return both
 
-    return passes
-
 
 def _ends(first: Column, last: Column) -> Column:
     """One number of the first and last token hash of a window, which a filter tests before the window's hash is made."""
@@ -210,16 +212,20 @@ def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     if not asked:
         return docs.sparkSession.createDataFrame([], "row bigint, doc_id bigint, item_id bigint, n_matched bigint, n_windows bigint, coverage double, reparameterised boolean")
     distinct = wanted.select("h").distinct().count()
-    passes = (window_filter(wanted.select(F.col("ends").alias("h")), distinct), window_filter(wanted.select("h"), distinct))
+    ends, whole = Sieve(wanted.select(F.col("ends").alias("h")), distinct), Sieve(wanted.select("h"), distinct)
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
 
     def windows(marked: Column) -> Column:
-        return F.concat(*[_windows(marked, size, reading, passes) for exact, size in asked for reading in (("exact",) if exact else ("plain", "named"))])
+        def sifted(e: Column, w: Column) -> Column:
+            keep = (lambda h: ends.passes(h, e), lambda h: whole.passes(h, w))
+            return F.concat(*[_windows(marked, size, reading, keep) for exact, size in asked for reading in (("exact",) if exact else ("plain", "named"))])
+
+        return let(ends.held, lambda e: let(whole.held, lambda w: sifted(e, w)))
 
     near = let(valued_template(F.col("text"), starts=True), windows)
     # Only windows that pass the filter leave the scan.
     met = rows.filter("text is not null").select("row", "doc_id", F.inline(near)).drop("ends")
-    pairs = salted_lookup(met, wanted.drop("ends"), ["h"], F.col("row"), "inner").filter(F.size("slots") == F.size("islots"))
+    pairs = salted_lookup(met, wanted.drop("ends"), ["h"], F.col("row"), "inner", hint="merge").filter(F.size("slots") == F.size("islots"))
     # Two branches read the pairs; written once, they cost one scan of the texts.
     pairs = materialize(pairs.withColumn("shift", F.col("pos") - F.col("ipos")), "decontam-pairs")
     # What starts a sentence may be no name, so its clash spares the windows that do without it.
