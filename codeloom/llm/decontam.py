@@ -41,9 +41,9 @@ NAME, NUMBER, UNIT, INNER = "\ue000", "\ue001", "\ue002", "\ue003"
 START = "\ue004"
 #: Units of measure and money, in lower case.
 UNITS = "mm cm dm m km in ft yd mi mg g kg t lb lbs oz ml cl l gal ms s sec min h hr hrs hours minutes seconds days weeks months years meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres percent degrees dollars cents euros usd eur gbp kb mb gb tb hz khz mhz ghz w kw kwh v mph kmh".split()
-#: Bits of a window filter, at most 512 KB of the plan, and probes of each window. Beyond some 500,000 distinct windows
+#: Bits of a window filter, at most 128 KB of the plan, and probes of each window. Beyond some 100,000 distinct windows
 #: more others pass, which costs their join and no result.
-LEAST_BITS, MOST_BITS, PROBES = 1 << 12, 1 << 22, 3
+LEAST_BITS, MOST_BITS, PROBES = 1 << 12, 1 << 20, 3
 
 
 @dataclass(frozen=True)

@@ -44,7 +44,6 @@ from pyspark.sql import functions as F
 
 from codeloom.llm._bytes import mix, utf8, windows, words
 from codeloom.llm._tables import bound_batches, spare, table
-from codeloom.llm.decontam import Sieve
 from codeloom.operators.components import connected_components
 from codeloom.plans.shared import materialize, remove_table
 from codeloom.plans.skew import salted_lookup
@@ -482,8 +481,17 @@ def kept_one_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     gone = materialize(groups.join(best, "component_id").filter("key <> b.key").select("key").distinct(), "nd-gone")
     once = materialize(best.select(F.col("b.key").alias("key")), "nd-once")
     # Texts whose key passes the filter meet the lists; all others stay where they are.
-    passes = Sieve(gone.unionByName(once).select(F.col("key").alias("h")), gone.count() + once.count()).passes
-    listed = docs.filter(passes(row)).withColumn(key, row).join(gone.withColumnRenamed("key", key), key, "left_anti")
+    bits = spark.sparkContext.broadcast(bit_filter(gone.unionByName(once).select(F.col("key").alias("k"))))
+    keyed = docs.select(row.alias(key), *docs.columns)
+
+    def sifted(pass_: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_passes(bits.value, batch.column(0).to_numpy(zero_copy_only=False)) == pass_))
+
+        return keyed.mapInArrow(run, keyed.schema)
+
+    listed = sifted(True).join(gone.withColumnRenamed("key", key), key, "left_anti")
     listed = listed.join(once.select(F.col("key").alias(key), F.lit(True).alias(flag)), key, "left")
     repeated = listed.filter(F.col(flag)).dropDuplicates([key])
-    return docs.filter(~passes(row)).unionByName(listed.filter(F.col(flag).isNull()).unionByName(repeated).select(*docs.columns))
+    return sifted(False).select(*docs.columns).unionByName(listed.filter(F.col(flag).isNull()).unionByName(repeated).select(*docs.columns))
