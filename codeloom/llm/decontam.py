@@ -177,9 +177,10 @@ def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
     for documents whose spelling does not show names.
     """
     numbered = items.filter("text is not null").select(F.monotonically_increasing_id().alias("item_row"), "item_id", "text")
-    marked = numbered.select("item_row", "item_id", "text", valued_template(F.col("text"), starts=True).alias("marked"))
+    # Written at each step: many branches read the same few rows, and the driver holds every branch's plan.
+    marked = materialize(numbered.select("item_row", "item_id", valued_template(F.col("text"), starts=True).alias("marked"), valued_template(F.col("text"), names=False).alias("worded")), "decontam-marked")
     named = F.exists("marked", lambda w: w.startswith(START))
-    variants = ((F.col("marked"), "plain", F.lit(True)), (F.col("marked"), "named", named), (valued_template(F.col("text"), names=False), "plain", F.lit(True)))
+    variants = ((F.col("marked"), "plain", F.lit(True)), (F.col("marked"), "named", named), (F.col("worded"), "plain", F.lit(True)))
     sized = lambda v, when: marked.withColumn("v", v).filter(when).withColumn("size", F.least(F.size("v"), F.lit(settings.window))).filter("size > 0")
 
     def windows(v: Column, reading: str, when: Column) -> DataFrame:
@@ -194,10 +195,10 @@ def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
     literal = F.size(F.filter("slots", lambda w: ~_is_slot(w)))
     several = [windows(*v) for v in variants]
     kept = several[0].unionByName(several[1]).unionByName(several[2]).filter(literal >= F.least(F.lit(settings.literals), F.col("size")))
-    kept = kept.groupBy("item_row", "pos", "h").agg(*[F.min(c).alias(c) for c in ("item_id", "loose", "size", "slots", "ends")]).withColumn("exact", F.lit(False))
+    kept = materialize(kept.groupBy("item_row", "pos", "h").agg(*[F.min(c).alias(c) for c in ("item_id", "loose", "size", "slots", "ends")]).withColumn("exact", F.lit(False)), "decontam-windows")
     worded = F.exists("marked", lambda w: ~_is_slot(w))
     bare = windows(F.col("marked"), "exact", worded).join(kept.select("item_row").distinct(), "item_row", "left_anti")
-    kept = kept.unionByName(bare.withColumn("exact", F.lit(True)))
+    kept = materialize(kept.unionByName(bare.withColumn("exact", F.lit(True))), "decontam-windows")
     totals = kept.groupBy("item_row").agg(F.countDistinct("pos").alias("n_windows"))
     return kept.join(totals, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "exact", F.col("loose").alias("iloose"), "n_windows", "ends")
 
