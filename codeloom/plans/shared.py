@@ -49,6 +49,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def remove_table(*tables: DataFrame) -> None:
-    """Delete the files behind frames that :func:`materialize` returned, when nothing reads them any more."""
+    """Delete the files behind frames that :func:`materialize` returned, when nothing reads them any more.
+
+    The shuffles that made them go as well: Spark deletes a shuffle's files
+    when the driver has collected its plan, which is asked for here.
+    """
     for df in tables:
         remove(df.sparkSession, df._scratch_path)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
