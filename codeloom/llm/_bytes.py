@@ -55,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes of text worked on at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _cut(data: np.ndarray, at: int) -> int:

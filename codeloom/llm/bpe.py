@@ -38,9 +38,9 @@ from codeloom.llm._tables import bound_batches, table
 MAX_STEPS = 1 << 19
 MAX_STATES = 1 << 18
 #: Pairs of tokens kept whose compatibility is known.
-MAX_PAIRS = 1 << 18
+MAX_PAIRS = 1 << 17
 #: Bytes of known chunks kept by one worker, about; beyond, those not used since half of them were read are dropped.
-MAX_STORE = 64 << 20
+MAX_STORE = 48 << 20
 #: Bytes read between two looks for certain tokens.
 LOOKAHEAD = 256
 #: Bytes of pieces that are read side by side.
