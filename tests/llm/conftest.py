@@ -5,6 +5,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from hypothesis import settings
+
+# Times depend on the machine; what is tested is results.
+settings.register_profile("untimed", deadline=None)
+settings.load_profile("untimed")
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, n long, word string"
 
