@@ -22,6 +22,8 @@ are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
+import gc
 import hashlib
 from array import array
 from collections.abc import Iterator
@@ -464,6 +466,17 @@ def utf8_feed(state: int, data: bytes) -> tuple[int, str]:
     return state, "".join(out)
 
 
+@contextlib.contextmanager
+def rare_collections() -> Iterator[None]:
+    """Look for cycles of objects rarely meanwhile: the stores are many small tuples, and none of them is in a cycle."""
+    before = gc.get_threshold()
+    gc.set_threshold(200_000, 20, 100)
+    try:
+        yield
+    finally:
+        gc.set_threshold(*before)
+
+
 _made: dict[str, Bpe] = {}
 
 
@@ -497,6 +510,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep_ids: b
         yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with rare_collections():
+            yield from encoded(batches)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocabulary, ranks.value, pattern)
         name = bpe.names.__getitem__
         for batch in batches:
