@@ -36,13 +36,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm._tables import bound_batches, table
 
-#: Transitions and states kept by one worker (some 80 MB); beyond, they are dropped and made again.
-MAX_STEPS = 1 << 19
-MAX_STATES = 1 << 18
+#: Transitions and states kept by one worker (some 160 MB); beyond, they are dropped and made again.
+MAX_STEPS = 1 << 20
+MAX_STATES = 1 << 19
 #: Pairs of tokens kept whose compatibility is known.
 MAX_PAIRS = 1 << 17
 #: Bytes of known chunks kept by one worker, about; beyond, those not used since half of them were read are dropped.
-MAX_STORE = 48 << 20
+MAX_STORE = 96 << 20
 #: Bytes read between two looks for certain tokens.
 LOOKAHEAD = 256
 #: Bytes of pieces that are read side by side.
