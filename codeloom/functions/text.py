@@ -140,6 +140,22 @@ def join_uri(prefix: Column, path: Column) -> Column:
     return F.when(joined == "/", joined).otherwise(F.regexp_replace(joined, r"/\z", ""))
 
 
+#: What a handler's name does to a resource: the collection itself, or one item of it.
+ACTION_URI = (("store|create", ""), ("show|get|find|update|edit|patch|delete|destroy|remove", "/:id"))
+
+
+def inferred_uri(path: Column, method: Column) -> Column:
+    """The URI that a controller's file and method suggest: the file's name as a plural, then what the method acts on."""
+    file = F.element_at(F.split(path, "/"), -1)
+    base = F.lower(F.regexp_replace(F.regexp_replace(file, r"(?i)controller\.[^.]+\z", ""), r"\.[^.]+\z", ""))
+    resource = F.when(base == "", "/resource").otherwise(F.concat(F.lit("/"), base, F.lit("s")))
+    tail = None
+    for words, end in ACTION_URI:
+        does = F.lower(method).rlike(words)
+        tail = F.when(does, end) if tail is None else tail.when(does, end)
+    return F.concat(resource, tail.otherwise(F.concat(F.lit("/"), method)))
+
+
 def tokens(text: Column, least: int = 2) -> Column:
     """Lower-case words of a camelCase or separated name, of at least ``least`` characters."""
     parted = F.regexp_replace(text, r"([a-z0-9])([A-Z])", r"$1 $2")

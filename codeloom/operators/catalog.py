@@ -118,3 +118,43 @@ def suggest(targets: DataFrame, name: str, query: str, limit: int = 10, least: f
     from codeloom.functions.similarity import similarity
 
     return targets.select(F.col(name).alias("name")).distinct().withColumn("score", F.round(similarity(F.lit(query), F.col("name")), 4)).filter(F.col("score") >= least).orderBy(F.desc("score"), "name").limit(limit)
+
+
+#: The columns that tell one declaration from every other.
+IDENTITY = ("path", "name", "kind", "signature", "line_start", "line_end", "content_hash", "language")
+
+
+def same_identity(actual: DataFrame, wanted: DataFrame, columns: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """Rows of ``actual`` that a row of ``wanted`` equals in all identity columns; null equals null."""
+    asked = wanted.select(*[F.col(c).alias(f"__{c}") for c in columns]).distinct()
+    alike = F.lit(True)
+    for c in columns:
+        alike = alike & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return actual.join(asked, alike, "left_semi")
+
+
+def reuse_members(names: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Each requested ``name`` with its symbol's kind, path, domain, methods and properties.
+
+    Of several symbols of a name the first by path and line counts; its members
+    are the file's ``name::...``, in order of lines. A name without a symbol is
+    of kind ``unknown``.
+    """
+    asked = names.select("name").distinct()
+    roots = symbols.join(asked, "name", "left_semi").join(files.select("file_id", "path", "domain"), "file_id")
+    first = roots.groupBy("name").agg(F.min(F.struct("path", "line_start", "file_id", "kind", "domain")).alias("r")).select("name", "r.file_id", "r.kind", "r.path", "r.domain")
+    parts = F.split("name", "::")
+    holders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "::"))
+    shown = F.col("signature" if "signature" in symbols.columns else "name").alias("member")
+    own = symbols.filter(F.contains("name", F.lit("::"))).select("file_id", shown, F.col("kind").alias("member_kind"), F.col("line_start").alias("at"), F.explode(holders).alias("name"))
+    met = first.select("name", "file_id").join(own, ["name", "file_id"])
+    listed = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("member_kind") == kind, F.struct("at", "member")))), lambda m: m["member"]), ",")
+    members_of = met.groupBy("name").agg(listed("method").alias("methods"), listed("property").alias("properties"))
+    out = asked.join(first.drop("file_id"), "name", "left").join(members_of, "name", "left")
+    return out.select("name", F.coalesce("kind", F.lit("unknown")).alias("kind"), "path", "domain", F.coalesce("methods", F.lit("")).alias("methods"), F.coalesce("properties", F.lit("")).alias("properties"))
+
+
+def overlay(base: Column, over: Column) -> Column:
+    """Two maps as one, where a key of the second replaces the first's; a null map is empty."""
+    rest = F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k))
+    return F.when(base.isNull(), over).when(over.isNull(), base).otherwise(F.map_concat(rest, over))

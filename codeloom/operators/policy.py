@@ -52,3 +52,63 @@ def proposed(imports: DataFrame, domains: DataFrame, policy: DataFrame, strict:
     rows = imports.join(F.broadcast(known), "src", "left")
     unmapped = rows.filter("mapped is null").select("file").distinct().select("file", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(1).alias("line"), F.lit("unmapped_domain").alias("rule"))
     return audit(rows.filter("mapped").drop("mapped"), policy, strict).select("file", "src", "dst", "line", "rule").unionByName(unmapped)
+
+
+def touchpoint_violations(changes: DataFrame, feature: str, features: dict[str, list[str]]) -> DataFrame:
+    """A violation for each changed ``file`` outside the feature's touchpoints; an unknown feature allows none."""
+    known = feature in features
+    rule = "touchpoint_violation" if known else "unknown_feature"
+    outside = touchpoints(changes.select("file").distinct(), "file", features.get(feature, [])).filter(~F.col("allowed"))
+    return outside.select("file", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(1).alias("line"), F.lit(rule).alias("rule"))
+
+
+def evaluate(imports: DataFrame, domains: DataFrame, policy: DataFrame, feature: str | None = None, features: dict[str, list[str]] | None = None, strict: bool = True) -> DataFrame:
+    """A change's violations: files outside a feature's touchpoints, then what its proposed imports violate."""
+    found = proposed(imports, domains, policy, strict)
+    return found if feature is None else touchpoint_violations(imports, feature, features or {}).unionByName(found)
+
+
+def full_audit(edges: DataFrame, policy: DataFrame, cycles: DataFrame, strict: bool = True) -> DataFrame:
+    """All violations of a domain graph (src, dst, rule, cycle): of the policy, and one for each cycle.
+
+    A cycle ``a -> b -> ... -> a`` counts from its first node to its second.
+    """
+    own = audit(edges, policy, strict).select("src", "dst", "rule", F.lit(None).cast("string").alias("cycle"))
+    nodes = F.split("cycle", " -> ")
+    return own.unionByName(cycles.select(F.get(nodes, F.lit(0)).alias("src"), F.get(nodes, F.lit(1)).alias("dst"), F.lit("circular_dependency").alias("rule"), "cycle"))
+
+
+def check_scope(scope: str | None = None, file: str | None = None, files: tuple[str, ...] = (), domain: str | None = None, staged: bool = False, proposed_imports: tuple[str, ...] = ()) -> str:
+    """The scope of a boundary check (file, staged, domain or all); arguments that contradict it raise ``ValueError``."""
+    targets = file is not None or bool(files)
+    chosen = scope or ("staged" if staged else "file" if targets else "domain" if domain else "all")
+    wrong = {
+        "unknown scope": chosen not in ("file", "staged", "domain", "all"),
+        "one file or several, not both": file is not None and bool(files),
+        "blank file": any(not f.strip() for f in (*files, *([file] if file is not None else []))),
+        "staged needs the scope staged": staged and chosen != "staged",
+        "the scope file needs a file": chosen == "file" and not targets,
+        f"the scope {chosen} takes no files": chosen != "file" and targets,
+        "the scope domain needs a domain": chosen == "domain" and not domain,
+        "the scope all takes no domain": chosen == "all" and bool(domain),
+        "proposed imports need the scope file": chosen != "file" and bool(proposed_imports),
+    }
+    reasons = [reason for reason, holds in wrong.items() if holds]
+    if reasons:
+        raise ValueError("; ".join(reasons))
+    return chosen
+
+
+def of_domain(violations: DataFrame, domain: str) -> DataFrame:
+    """Violations that have the domain on either side."""
+    return violations.filter((F.col("src") == domain) | (F.col("dst") == domain))
+
+
+def relevant(files: DataFrame, domain: str | None = None, requested: tuple[str, ...] = ()) -> DataFrame:
+    """Files (path, domain) that a check of a domain and of requested files concerns; no request means all."""
+    fits = F.lit(True)
+    if domain is not None:
+        fits = fits & (F.col("domain") == domain)
+    if requested:
+        fits = fits & F.col("path").isin(*requested)
+    return files.filter(fits)

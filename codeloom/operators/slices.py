@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import normalise_uri, stage_rank
@@ -39,3 +39,30 @@ def ordered_chains(nodes: DataFrame, key: str) -> DataFrame:
     """Each chain's nodes (stage, symbol) by stage rank, then by their own order."""
     node = F.struct(stage_rank(F.col("stage")).alias("rank"), "seq", "stage", "symbol")
     return nodes.groupBy(key).agg(F.array_sort(F.collect_list(node)).alias("chain"))
+
+
+def ranked(slices: DataFrame, score: Column, most: int = 4, key: str = "slice_id") -> DataFrame:
+    """The slice that scores best (``primary``) and the next three (``alternative``), ties by id.
+
+    When no slice scores, the first five by id are the alternatives and
+    ``found`` is false. Both are top-k plans; neither sorts the whole table.
+    """
+    scored = slices.withColumn("score", score)
+    best = scored.filter("score > 0").orderBy(F.desc("score"), key).limit(most).withColumn("found", F.lit(True))
+    other = scored.orderBy(key).limit(5).withColumn("found", F.lit(False)).join(F.broadcast(best.select(F.lit(False).alias("found")).limit(1)), "found", "left_anti")
+    first = F.row_number().over(Window.partitionBy("found").orderBy(F.desc("score"), key)) == 1
+    return best.unionByName(other).withColumn("role", F.when(F.col("found") & first, "primary").otherwise("alternative"))
+
+
+def derived_feature(slices: DataFrame, nodes: DataFrame, term: str, key: str = "conv_id") -> DataFrame:
+    """Touchpoints and symbols of the slices whose URI or name holds ``term``: (kind, value), each once.
+
+    A slice counts once per method and URI, the last by id. ``nodes`` is its
+    chain's (key, symbol, file); null symbols and files are left out.
+    """
+    asked = F.lit(term.lower())
+    fits = slices.filter(F.contains(F.lower("route_uri"), asked) | F.contains(F.lower("route_name"), asked))
+    last = fits.groupBy("http_method", "route_uri").agg(F.max_by(key, "slice_id").alias(key))
+    met = nodes.join(last.select(key).distinct(), key, "left_semi")
+    each = F.explode(F.array(F.struct(F.lit("touchpoint").alias("kind"), F.col("file").alias("value")), F.struct(F.lit("symbol").alias("kind"), F.col("symbol").alias("value"))))
+    return met.select(each.alias("x")).select("x.kind", "x.value").filter("value is not null").distinct()

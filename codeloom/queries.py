@@ -494,3 +494,150 @@ FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 'docker swarm' WHEN 'vi
 def platform_tags(c):
     spelled = F.when(F.col("event_type") == "click", "docker swarm").when(F.col("event_type") == "view", "AWS Lambda").when(F.col("event_type") == "error", "K8S").otherwise(F.col("event_type"))
     return c.table("events").select("event_id", text.platform_tag(spelled).alias("tag"))
+
+
+_IMPACT_SQL = (
+    with_tables("files", "symbols")
+    + """, imports AS (SELECT l_orderkey % (SELECT count(*) FROM documents) AS file_id, (l_linenumber-1)*50+2 AS line_number,
+  CASE WHEN l_linenumber=7 THEN 'pkg/doc_'||(l_partkey % (SELECT count(*) FROM documents))||'.py' ELSE 'lib/'||replace(p_brand,'#','') END AS target FROM lineitem JOIN part ON l_partkey=p_partkey),
+owners AS (SELECT DISTINCT file_id FROM symbols WHERE name='Brand7::m101'),
+found AS (SELECT DISTINCT file_id, line_number FROM imports WHERE file_id NOT IN (SELECT file_id FROM owners) AND EXISTS (SELECT 1 FROM owners)
+  AND (regexp_matches(target,'\\bBrand7\\b') OR replace(split_part(target,'/',2),'.py','') IN (SELECT 'doc_'||file_id FROM owners))),
+calls AS (SELECT file_id, n AS line_number FROM (SELECT doc_id AS file_id, unnest(l) AS line, unnest(range(1,len(l)+1)) AS n FROM
+  (SELECT doc_id, string_split_regex(replace(text,'version','x.m101('), '\\r\\n|\\n|\\r') AS l FROM documents WHERE doc_id IN (SELECT file_id FROM found))) WHERE contains(line,'.m101(')),
+places AS (SELECT file_id, line_number, bool_or(i) AS imported FROM (SELECT *, true AS i FROM found UNION ALL SELECT *, false FROM calls) GROUP BY 1,2),
+callers AS (SELECT path, line_number::INT AS line, coalesce(name, path||':'||line_number) AS caller, coalesce(kind, CASE WHEN imported THEN 'import' ELSE 'call' END) AS kind, CASE WHEN imported THEN domain END AS domain FROM
+  (SELECT p.*, s.name, s.kind, row_number() OVER (PARTITION BY p.file_id, line_number ORDER BY line_end-line_start, line_start, s.name, s.kind) AS k FROM places p LEFT JOIN symbols s ON s.file_id=p.file_id AND line_number BETWEEN line_start AND line_end) JOIN files USING (file_id) WHERE k=1)
+"""
+)
+
+
+def _impact(c: Catalog) -> DataFrame:
+    from codeloom.operators.impact import symbol_impact
+
+    docs = c.table("documents")
+    n = docs.count()
+    box = F.replace("p_brand", F.lit("#"), F.lit(""))
+    doc = F.concat(F.lit("pkg/doc_"), (F.col("l_partkey") % n).cast("string"), F.lit(".py"))
+    item = c.table("lineitem").join(c.table("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    imports = item.select((F.col("l_orderkey") % n).alias("file_id"), ((F.col("l_linenumber") - 1) * 50 + 2).alias("line_number"), F.when(F.col("l_linenumber") == 7, doc).otherwise(F.concat(F.lit("lib/"), box)).alias("target"))
+    contents = docs.select(F.col("doc_id").alias("file_id"), F.replace("text", F.lit("version"), F.lit("x.m101(")).alias("content"))
+    return symbol_impact(c.symbols(), c.files(), imports.withColumn("statement", F.concat(F.lit("import "), "target")), "Brand7::m101", contents)
+
+
+@query(_IMPACT_SQL + "SELECT * FROM callers")
+def symbol_impact(c):
+    return _impact(c)
+
+
+@query(_IMPACT_SQL + """SELECT count(*) AS total_dependents, count(DISTINCT path) AS affected_files, count(DISTINCT domain) AS n_domains,
+  CASE WHEN count(DISTINCT path)>5 OR count(DISTINCT domain)>2 THEN 'high' WHEN count(DISTINCT path)>=2 OR count(DISTINCT domain)>=2 THEN 'medium' ELSE 'low' END AS risk FROM callers""")
+def symbol_impact_risk(c):
+    from codeloom.operators.impact import impact_risk
+
+    return impact_risk(_impact(c))
+
+
+@query(
+    with_tables("files", "symbols")
+    + """, asked AS (SELECT DISTINCT replace(p_brand,'#','') AS name FROM part UNION SELECT 'Nobody'),
+first AS (SELECT * FROM (SELECT s.name, s.file_id, kind, path, domain, row_number() OVER (PARTITION BY s.name ORDER BY path, line_start, kind) AS k FROM symbols s JOIN files USING (file_id) WHERE s.name IN (SELECT name FROM asked)) WHERE k=1)
+SELECT a.name, coalesce(any_value(f.kind),'unknown') AS kind, any_value(path) AS path, any_value(domain) AS domain,
+  coalesce(string_agg(CASE WHEN m.kind='method' THEN m.name END, ',' ORDER BY m.line_start, m.name),'') AS methods, coalesce(string_agg(CASE WHEN m.kind='property' THEN m.name END, ',' ORDER BY m.line_start, m.name),'') AS properties
+FROM asked a LEFT JOIN first f ON f.name=a.name LEFT JOIN symbols m ON m.file_id=f.file_id AND starts_with(m.name, a.name||'::') GROUP BY a.name"""
+)
+def reuse_members(c):
+    names = c.table("part").select(F.replace("p_brand", F.lit("#"), F.lit("")).alias("name")).distinct()
+    return catalog.reuse_members(names.unionByName(c.spark.range(1).select(F.lit("Nobody").alias("name"))), c.symbols(), c.files())
+
+
+def _ranked(c: Catalog, asked: str) -> DataFrame:
+    from codeloom.operators.slices import ranked, token_score
+
+    score = token_score(asked, F.concat_ws(" ", "route_uri", "route_name"), F.col("route_uri"), F.col("http_method"))
+    return ranked(c.slices(), score).select("slice_id", "score", "found", "role")
+
+
+@query(
+    with_tables("slices")
+    + """, scored AS (SELECT slice_id, list_sum([CASE WHEN contains(lower(route_uri||' '||route_name), t) THEN 1 + CASE WHEN contains(lower(route_uri), t) THEN 2 ELSE 0 END + CASE WHEN contains(lower(http_method), t) THEN 2 ELSE 0 END ELSE 0 END FOR t IN ['update','html','put']])::BIGINT AS score FROM slices)
+SELECT slice_id, score, true AS found, CASE WHEN row_number() OVER (ORDER BY score DESC, slice_id)=1 THEN 'primary' ELSE 'alternative' END AS role FROM scored WHERE score>0 ORDER BY score DESC, slice_id LIMIT 4"""
+)
+def slice_ranked(c):
+    return _ranked(c, "Ubah the update html put")
+
+
+@query(with_tables("slices") + "SELECT slice_id, 0::BIGINT AS score, false AS found, 'alternative' AS role FROM slices ORDER BY slice_id LIMIT 5")
+def slice_ranked_miss(c):
+    return _ranked(c, "zzyzx")
+
+
+@query(
+    with_tables("slices", "chain_nodes")
+    + """, last AS (SELECT max_by(conv_id, slice_id) AS conv_id FROM slices WHERE contains(lower(route_uri),'en/') OR contains(lower(route_name),'en/') GROUP BY http_method, route_uri),
+met AS (SELECT * FROM chain_nodes WHERE conv_id IN (SELECT conv_id FROM last))
+SELECT 'touchpoint' AS kind, stage||'/'||conv_id AS value FROM met UNION SELECT 'symbol', symbol FROM met"""
+)
+def derived_feature(c):
+    from codeloom.operators.slices import derived_feature as of
+
+    return of(c.slices(), c.chain_nodes().withColumn("file", F.concat_ws("/", "stage", "conv_id")), "EN/")
+
+
+@query("SELECT p_partkey, unnest(map_keys(m)) AS key, unnest(map_values(m)) AS value FROM (SELECT p_partkey, map_concat(MAP {'size': p_size, p_brand: 1}, MAP {p_brand: 2, 'more': 3}) AS m FROM part)")
+def merged_manifests(c):
+    base = F.create_map(F.lit("size"), F.col("p_size"), F.col("p_brand"), F.lit(1))
+    over = F.create_map(F.col("p_brand"), F.lit(2), F.lit("more"), F.lit(3))
+    return c.table("part").select("p_partkey", F.explode(catalog.overlay(base, over)).alias("key", "value"))
+
+
+@query(
+    """SELECT p_partkey, '/'||r||'s'||CASE WHEN regexp_matches(lower(m),'store|create') THEN '' WHEN regexp_matches(lower(m),'show|get|find|update|edit|patch|delete|destroy|remove') THEN '/:id' ELSE '/'||m END AS uri
+FROM (SELECT p_partkey, lower(replace(p_name,' ','')) AS r, (['storeAll','findOne','editIt','Destroy','export'])[p_partkey%5+1] AS m FROM part)"""
+)
+def inferred_routes(c):
+    method = F.element_at(F.array(*[F.lit(m) for m in ("storeAll", "findOne", "editIt", "Destroy", "export")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("app/http/"), F.replace("p_name", F.lit(" "), F.lit("")), F.when(F.col("p_partkey") % 2 == 0, "Controller.php").otherwise(".ts"))
+    return c.table("part").select("p_partkey", text.inferred_uri(path, method).alias("uri"))
+
+
+@query(
+    with_tables("policy", "domain_edges")
+    + """, imports AS (SELECT src||'/api/x.py' AS file, CASE WHEN weight%3=0 THEN 'nowhere' ELSE src END AS src, dst, weight::INT AS line FROM domain_edges)
+SELECT DISTINCT file, NULL::VARCHAR AS src, NULL::VARCHAR AS dst, 1 AS line, 'touchpoint_violation' AS rule FROM imports WHERE NOT (starts_with(file,'nation_1') OR file='nation_6/api/x.py')
+UNION ALL SELECT DISTINCT file, NULL, NULL, 1, 'unmapped_domain' FROM imports WHERE src='nowhere'
+UNION ALL SELECT file, src, dst, line, CASE WHEN forbidden THEN 'forbidden_dependency' ELSE 'disallowed_dependency' END FROM imports JOIN policy USING (src,dst) WHERE forbidden OR NOT allowed"""
+)
+def boundary_evaluate(c):
+    src = F.when(F.col("weight") % 3 == 0, "nowhere").otherwise(F.col("src"))
+    imports = c.domain_edges().select(F.concat("src", F.lit("/api/x.py")).alias("file"), src.alias("src"), "dst", F.col("weight").cast("int").alias("line"))
+    return policy.evaluate(imports, c.domains(), c.policy(), "checkout", {"checkout": ["nation_1*/**/*.py", "nation_6/api/x.py"]})
+
+
+@query(with_tables("policy", "domain_edges") + "SELECT src, dst, CASE WHEN forbidden THEN 'forbidden_dependency' ELSE 'disallowed_dependency' END AS rule FROM domain_edges JOIN policy USING (src,dst) WHERE (forbidden OR NOT allowed) AND (src='nation_6' OR dst='nation_6')")
+def boundary_domain(c):
+    return policy.of_domain(policy.audit(c.domain_edges(), c.policy()), "nation_6").select("src", "dst", "rule")
+
+
+@query(
+    with_tables("files", "symbols")
+    + """, actual AS (SELECT path, name, kind, name||'()' AS signature, line_start, line_end, CASE WHEN file_id%2=0 THEN NULL ELSE content_hash END AS content_hash, ext AS language, file_id FROM symbols JOIN files USING (file_id)),
+wanted AS (SELECT path, name, kind, signature, line_start, line_end, CASE WHEN file_id%5=0 THEN 'other' ELSE content_hash END AS content_hash, language FROM actual WHERE file_id%3=0)
+SELECT file_id, name, line_start, line_end FROM actual a WHERE EXISTS (SELECT 1 FROM wanted w WHERE w.path=a.path AND w.name=a.name AND w.kind=a.kind AND w.signature=a.signature AND w.line_start=a.line_start AND w.line_end=a.line_end AND w.content_hash IS NOT DISTINCT FROM a.content_hash AND w.language=a.language)"""
+)
+def identity_match(c):
+    hash_ = F.when(F.col("file_id") % 2 != 0, F.col("content_hash"))
+    files = c.files().select("file_id", "path", hash_.alias("content_hash"), F.col("ext").alias("language"))
+    actual = c.symbols().join(files, "file_id").withColumn("signature", F.concat("name", F.lit("()")))
+    wanted = actual.filter("file_id % 3 = 0").withColumn("content_hash", F.when(F.col("file_id") % 5 == 0, "other").otherwise(F.col("content_hash")))
+    return catalog.same_identity(actual, wanted).select("file_id", "name", "line_start", "line_end")
+
+
+@query(
+    """SELECT *, n_nodes>6 OR n_hosts>1 OR n_subservices>0 OR n_addresses>0 AS distributed FROM (SELECT count(*) AS n_nodes, count(*) FILTER (WHERE s_suppkey%4=0) AS n_hosts, count(*) FILTER (WHERE s_suppkey%5=0) AS n_subservices, count(*) FILTER (WHERE s_suppkey%7=0) AS n_addresses FROM supplier)"""
+)
+def distributed_nodes(c):
+    from codeloom.operators.topology import is_distributed
+
+    key = F.col("s_suppkey")
+    return is_distributed(c.table("supplier").select(F.when(key % 4 == 0, "host").otherwise("app").alias("layer"), F.when(key % 5 == 0, key - 1).alias("parent"), F.when(key % 7 == 0, "a.b").otherwise("local").alias("address")))
