@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import bpe, ctw, decontam, fingerprint, html, langid, neardup, pii, urlfilter, warc
+from codeloom.llm import bpe, ctw, decontam, divergence, drake, fingerprint, gracededup, html, langid, neardup, pii, urlfilter, warc
 
 
 def queries() -> dict:
@@ -18,9 +18,17 @@ def queries() -> dict:
         "op8_url_filter": urlfilter.op8_url_filter,
         "op9_lm_score": ctw.op9_lm_score,
         "op10_decontaminate": decontam.op10_decontaminate,
+        "op11_exact_dedup": gracededup.op11_exact_dedup,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_centroid_clusters": drake.op13_centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op8_url_filter": urlfilter.OP8_SQL}
+    return {
+        "op8_url_filter": urlfilter.OP8_SQL,
+        "op11_exact_dedup": gracededup.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
+        "op13_centroid_clusters": drake.OP13_SQL,
+    }
