@@ -1,9 +1,10 @@
 """Routes of web frameworks as facts of source lines: one row per route, with its handler and middlewares.
 
-Each framework is a table of patterns with named groups; a file's routes come
-from one Arrow pass. Prefixes of routers, blueprints and groups are facts as
-well (mounts), and :func:`codeloom.operators.graph.prefixes` carries them to the
-routes.
+Frameworks of JavaScript and PHP are read from nested scopes, by
+:mod:`codeloom.sources.braceroutes`; the others are a table of patterns with
+named groups, read in one Arrow pass. Prefixes of routers, plugins, blueprints,
+groups and classes are facts as well (mounts), and
+:func:`codeloom.operators.graph.prefixes` carries them to the routes.
 """
 
 from __future__ import annotations
@@ -20,31 +21,26 @@ from codeloom.functions.text import join_uri
 from codeloom.operators.graph import prefixes
 from codeloom.operators.resolve import Rules, resolve
 from codeloom.plans.shared import materialize
+from codeloom.sources.braceroutes import brace_facts
 
 _VERBS = "get|post|put|patch|delete|options|head"
 _Q = r"['\"`](?P<uri>[^'\"`\n]*)['\"`]"
 # How each framework writes a route; ``router`` is what it hangs on.
 ROUTES = {
-    "express": (("typescript", "javascript"), rf"\b(?P<router>\w*(?i:app|router|server|api)\w*)\.(?P<verb>{_VERBS})\(\s*{_Q}\s*,(?P<rest>[^;\n]*)"),
     "fastapi": (("python",), rf"^[ \t]*@(?P<router>\w+)\.(?P<verb>{_VERBS})\(\s*{_Q}[^\n]*\n(?:[ \t]*@[^\n]*\n)*[ \t]*(?:async\s+)?def\s+(?P<handler>\w+)"),
     "flask": (("python",), rf"^[ \t]*@(?P<router>\w+)\.route\(\s*{_Q}(?P<args>[^\n]*)\n(?:[ \t]*@[^\n]*\n)*[ \t]*(?:async\s+)?def\s+(?P<handler>\w+)"),
     "django": (("python",), r"\b(?:path|re_path)\(\s*r?['\"](?P<uri>[^'\"\n]*)['\"]\s*,\s*(?!include)(?P<handler>[\w.]+)"),
-    "laravel": (("php",), rf"\bRoute::(?P<verb>{_VERBS}|any)\(\s*{_Q}\s*,\s*(?:\[\s*(?P<cls>[\w\\]+)::class\s*,\s*['\"](?P<handler>\w+)['\"]\s*\]|['\"](?P<both>[\w\\]+@\w+)['\"])"),
-    "symfony": (("php",), r"#\[Route\(\s*(?:path:\s*)?['\"](?P<uri>[^'\"\n]*)['\"](?P<args>[^\n]*)\]\s*(?:#\[[^\n]*\]\s*)*(?:public\s+)?function\s+(?P<handler>\w+)"),
     "nestjs": (("typescript",), rf"@(?P<verb>(?i:{_VERBS}))\(\s*(?:['\"`](?P<uri>[^'\"`\n]*)['\"`])?\s*\)\s*(?:@[^\n]*\s*)*(?:public\s+)?(?:async\s+)?(?P<handler>\w+)\s*\("),
     "go": (("go",), r"\b(?P<router>\w+)\.(?P<verb>GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete|HandleFunc)\(\s*\"(?P<uri>[^\"\n]*)\"\s*,\s*(?P<rest>[^\n]*)\)"),
 }
 # How routers are mounted below one another: parent, child and path.
 MOUNTS = {
-    "express": (("typescript", "javascript"), r"\b(?P<parent>\w+)\.use\(\s*['\"`](?P<path>[^'\"`\n]*)['\"`]\s*,(?:[^;\n]*,)?\s*(?P<child>\w+)\s*\)"),
     "fastapi": (("python",), r"\b(?P<parent>\w+)\.include_router\(\s*(?P<child>[\w.]+)(?:[^)\n]*prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"])?"),
     "flask": (("python",), r"\b(?P<parent>\w+)\.register_blueprint\(\s*(?P<child>[\w.]+)(?:[^)\n]*url_prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"])?"),
     "go": (("go",), r"\b(?P<child>\w+)\s*:?=\s*(?P<parent>\w+)\.(?:Group|Route)\(\s*\"(?P<path>[^\"\n]*)\""),
 }
 # A router's own prefix, where it is made.
 OWN_PREFIX = {"python": r"\b(?P<router>\w+)\s*=\s*(?:APIRouter|Blueprint)\([^)\n]*?(?:url_)?prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"]"}
-# The actions of a resource route, as (verb, suffix, action).
-RESOURCE = (("GET", "", "index"), ("POST", "", "store"), ("GET", "/{id}", "show"), ("PUT", "/{id}", "update"), ("DELETE", "/{id}", "destroy"), ("GET", "/create", "create"), ("GET", "/{id}/edit", "edit"))
 #: What a file brings in: a module's own value, or names of it, each perhaps under another name.
 IMPORTS = {
     "js": r"\bimport\s+(?P<own>\w+)?\s*,?\s*(?:\{(?P<names>[^}]*)\})?\s*from\s*['\"](?P<module>[^'\"]+)['\"]|\b(?:const|let|var)\s+(?:(?P<own2>\w+)|\{(?P<names2>[^}]*)\})\s*=\s*require\(\s*['\"](?P<module2>[^'\"]+)['\"]\s*\)",
@@ -87,9 +83,7 @@ def facts_of(path: str, language: str, source: str) -> Iterator[tuple]:
             if named := re.search(r"methods\s*[=:]\s*[\[{(]([^\])}]*)", g.get("args") or ""):
                 verbs = re.findall(r"\w+", named[1].upper())
             chain = _words(g.get("rest") or "")
-            handler = g.get("both") or g.get("handler") or (chain[-1] if chain else "")
-            if g.get("cls"):
-                handler = f"{g['cls'].split(chr(92))[-1]}@{handler}"
+            handler = g.get("handler") or (chain[-1] if chain else "")
             prefix = ""
             if framework == "nestjs":
                 above = list(re.finditer(r"@Controller\(\s*(?:['\"`]([^'\"`\n]*)['\"`])?", blank[: m.start()]))
@@ -98,10 +92,6 @@ def facts_of(path: str, language: str, source: str) -> Iterator[tuple]:
                 prefix = above[-1][1] or ""
             for verb in verbs:
                 yield path, framework, "route", {"ANY": "GET", "HANDLEFUNC": "GET"}.get(verb, verb), f"{prefix}/{g.get('uri') or ''}" if prefix else g.get("uri") or "", g.get("router") or "", None, handler, chain[:-1], line(m.start())
-    if language == "php":
-        for m in re.finditer(r"\bRoute::(?P<kind>apiResource|resource)\(\s*['\"](?P<uri>[^'\"\n]*)['\"]\s*,\s*(?P<cls>[\w\\]+)::class", blank):
-            for verb, suffix, action in RESOURCE[: 5 if m["kind"] == "apiResource" else 7]:
-                yield path, "laravel", "route", verb, m["uri"] + suffix, "", None, f"{m['cls'].split(chr(92))[-1]}@{action}", [], line(m.start())
     for framework, (languages, pattern) in MOUNTS.items():
         for m in re.finditer(pattern, blank, re.M) if language in languages else ():
             yield path, framework, "mount", None, m["path"] or "", m["child"], m["parent"], None, [], line(m.start())
@@ -128,12 +118,15 @@ def _mounts(facts: DataFrame, files: DataFrame, routers: DataFrame) -> DataFrame
     mounts = facts.filter("kind = 'mount'").select("path", "parent", "uri", F.col("router").alias("child"), F.split("router", r"\.").alias("parts")).distinct()
     mounts = mounts.select("path", "parent", "uri", "child", F.col("parts")[0].alias("here"), F.get("parts", F.lit(1)).alias("attr"))
     brought = facts.filter("kind = 'import'").select(F.col("path").alias("source"), F.col("framework").alias("language"), F.col("uri").alias("target"), F.col("router").alias("here"), F.col("handler").alias("there")).distinct()
-    resolved = resolve(brought, files, Rules()).filter("status = 'resolved'").select(F.col("source").alias("path"), "here", "there", F.col("files")[0].alias("file"))
+    resolved = resolve(brought, files, Rules()).filter("status = 'resolved'").select(F.col("source").alias("path"), "language", "here", "there", F.col("files")[0].alias("file"))
     only = routers.groupBy(F.col("path").alias("file")).agg(F.min("router").alias("only"), F.count("*").alias("n")).filter("n = 1").select("file", "only")
-    named = routers.select(F.col("path").alias("file"), F.col("router").alias("wanted"), F.lit(True).alias("there_is"))
-    wanted = F.coalesce("attr", F.nullif("there", F.lit("")), "child")
-    imported = mounts.join(resolved, ["path", "here"]).withColumn("wanted", wanted).join(named, ["file", "wanted"], "left").join(only, "file", "left")
-    imported = imported.select("path", "child", F.concat_ws("#", "file", F.when(F.col("there_is"), F.col("wanted")).otherwise(F.col("only"))).alias("k"), "only", "there_is").filter("there_is or only is not null")
+    # A module's own value is what it exports as its default.
+    known = routers.select(F.col("path").alias("file"), F.col("router").alias("wanted"), F.col("router").alias("means"))
+    aliases = facts.filter("kind = 'alias'").select(F.col("path").alias("file"), F.lit("default").alias("wanted"), F.col("router").alias("means"))
+    known = known.unionByName(aliases).groupBy("file", "wanted").agg(F.min("means").alias("means"))
+    wanted = F.coalesce("attr", F.nullif("there", F.lit("")), F.when(F.col("language") != "python", "default"), "child")
+    imported = mounts.join(resolved, ["path", "here"]).withColumn("wanted", wanted).join(known, ["file", "wanted"], "left").join(only, "file", "left")
+    imported = imported.withColumn("means", F.coalesce("means", "only")).filter("means is not null").select("path", "child", F.concat_ws("#", "file", "means").alias("k"))
     imported = imported.groupBy("path", "child").agg(F.min("k").alias("by_import"))
     own = routers.select("path", F.col("router").alias("child"), F.concat_ws("#", "path", "router").alias("by_file"))
     alone = routers.groupBy(F.col("router").alias("child")).agg(F.min(F.concat_ws("#", "path", "router")).alias("by_name"), F.count("*").alias("n")).filter("n = 1").drop("n")
@@ -148,7 +141,7 @@ def routes(files: DataFrame, rounds: int = 10) -> DataFrame:
     A router is one of a file and a name. Prefixes go from routers that nobody
     mounts down the mounts, for at most ``rounds`` levels.
     """
-    facts = materialize(route_facts(files), "routes")
+    facts = materialize(route_facts(files).unionByName(brace_facts(files)), "routes")
     made = facts.filter("kind in ('route', 'prefix')").select("path", "router")
     parents = facts.filter("kind = 'mount'").select("path", F.col("parent").alias("router"))
     # A group of a router is a router of its file.

@@ -1,5 +1,7 @@
 """Routes of frameworks, with prefixes over files."""
 
+import pytest
+
 from codeloom.sources.routes import chains, routes
 
 FILES = [
@@ -42,3 +44,135 @@ def test_routers_of_one_name_keep_their_files_prefixes(spark):
     ]
     found = routes(spark.createDataFrame(files, "path string, language string, content string")).collect()
     assert {(r.route_uri, r.handler) for r in found} == {("/users/list", "users"), ("/orders/list", "orders"), ("/cats/all", "x"), ("/dogs/all", "y")}
+
+
+CASES = {}
+
+
+def case(make):
+    """A case's files and routes; all cases' files are read in one run, each in a folder of its own."""
+    CASES[make.__name__] = make()
+    return make
+
+
+@pytest.fixture(scope="module")
+def found_in(spark):
+    files = [(f"{name}/{path}" if path else path, language, content) for name, (own, _) in CASES.items() for path, language, content in own]
+    rows = routes(spark.createDataFrame(files, "path string, language string, content string")).collect()
+    return lambda name: {(r.http_method, r.route_uri, r.handler, tuple(r.middlewares)) for r in rows if r.path and r.path.startswith(f"{name}/")}
+
+
+@case
+def sibling_plugins_keep_their_own_prefixes():
+    server = """
+import Fastify, { FastifyInstance } from "fastify";
+const server = Fastify();
+async function userRoutes(fastify: FastifyInstance) {
+  fastify.get("/list", (req, reply) => reply.send([]));
+  fastify.post<{ Body: Dto }>("/create", { preHandler: [auth, limit] }, (req, reply) => reply.send({}));
+}
+async function itemRoutes(fastify: FastifyInstance) {
+  fastify.get("/list", (req, reply) => reply.send([]));
+  fastify.get("/detail/:id", (req, reply) => reply.send({}));
+}
+server.register(userRoutes, { prefix: "/users" });
+server.register(itemRoutes, { prefix: "/items" });
+"""
+    return [("src/server.ts", "typescript", server)], {("GET", "/users/list", "closure", ()), ("POST", "/users/create", "closure", ("auth", "limit")), ("GET", "/items/list", "closure", ()), ("GET", "/items/detail/:id", "closure", ())}
+
+
+@case
+def plugins_nest_over_files_and_inline():
+    files = [
+        ("src/app.ts", "typescript", 'import Fastify from "fastify";\nimport apiPlugin from "./routes/api";\nconst app = Fastify();\napp.register(apiPlugin, { prefix: "/api/v1" });\n'),
+        ("src/routes/api.ts", "typescript", 'import authPlugin from "./auth";\nexport default async function (fastify: FastifyInstance) {\n  fastify.get("/ping", async () => ({ ping: "pong" }));\n  fastify.register(authPlugin, { prefix: "/auth" });\n}\n'),
+        ("src/routes/auth.ts", "typescript", 'export default async function (fastify: FastifyInstance) {\n  fastify.post("/login", async (req, reply) => ({ token: "x" }));\n}\n'),
+        (
+            "src/inline.ts",
+            "typescript",
+            'const other = fastify();\nother.register(async (one) => {\n  one.get("/a", ha);\n  one.register(async (two) => { two.route({ method: ["PUT", "POST"], url: "/b", handler: hb, onRequest: check }); }, { prefix: "/two" });\n}, { prefix: "/one" });\nother.get("/c", hc);\nexport const wrapped = fp(async (inst) => { inst.get("/w", hw); });\nother.register(wrapped, { prefix: "/wrap" });\nother.register(fp(wrapped));',
+        ),
+    ]
+    return files, {("GET", "/api/v1/ping", "closure", ()), ("POST", "/api/v1/auth/login", "closure", ()), ("GET", "/one/a", "ha", ()), ("PUT", "/one/two/b", "hb", ("check",)), ("POST", "/one/two/b", "hb", ("check",)), ("GET", "/c", "hc", ()), ("GET", "/wrap/w", "hw", ()), ("GET", "/w", "hw", ())}
+
+
+@case
+def hono_and_elysia():
+    files = [
+        ("h/users.ts", "typescript", 'import { Hono } from "hono";\nconst userRoutes = new Hono();\nuserRoutes.get("/", listUsers);\nuserRoutes.post("/:id", validate("json", schema), save);\nexport default userRoutes;'),
+        ("h/index.ts", "typescript", 'import { Hono } from "hono";\nimport users from "./users";\nconst main = new Hono().basePath("/api");\nmain.route("/users", users);\nmain.get("/health", (c) => c.text("ok"));'),
+        (
+            "e/app.ts",
+            "typescript",
+            'import { Elysia } from "elysia";\nconst plugin = new Elysia({ prefix: "/v2" }).get("/x", hx);\nconst el = new Elysia().use(plugin)\n  .get("/ping", () => "pong")\n  .group("/admin", (g) => g.get("/stats", stats).group("/deep", (d) => d.delete("/it", gone)));',
+        ),
+    ]
+    return files, {("GET", "/api/users", "listUsers", ()), ("POST", "/api/users/:id", "save", ("validate",)), ("GET", "/api/health", "closure", ()), ("GET", "/v2/x", "hx", ()), ("GET", "/ping", "closure", ()), ("GET", "/admin/stats", "stats", ()), ("DELETE", "/admin/deep/it", "gone", ())}
+
+
+@case
+def express_route_chains_and_clients():
+    source = """
+const app = express();
+app.route('/books').get(list).post(auth, add);
+const svc = express.Router();
+svc.get('/made', made);
+app.use('/svc', svc);
+apiClient.get('/remote', { timeout: 3 });
+apiClient.get('/called', back);
+axios.post('/far', data);
+app.get('env');
+cache.get('/key', fallback);
+// app.get('/no', x)
+const text = "app.get('/string', x)";
+"""
+    return [("a.js", "javascript", source)], {("GET", "/books", "list", ()), ("POST", "/books", "add", ("auth",)), ("GET", "/svc/made", "made", ())}
+
+
+@case
+def laravel_groups():
+    source = r"""<?php
+use App\Http\Controllers\UserController;
+Route::prefix('admin')->middleware(['auth', 'can:edit'])->group(function () {
+    Route::get('/u', [UserController::class, 'index']);
+    Route::prefix('deep')->group(function () { Route::post('hook', HookController::class); });
+});
+Route::group(['prefix' => 'v1', 'middleware' => 'api'], function () {
+    Route::delete('/x/{id}', 'XController@gone');
+});
+Route::middleware('auth')->get('/me', function () { return 1; });
+Route::get('/plain', [UserController::class, 'plain'])->middleware('web')->name('plain');
+# Route::get('/comment', 'A@b');
+"""
+    return [("routes/web.php", "php", source)], {
+        ("GET", "/admin/u", "UserController@index", ()), ("POST", "/admin/deep/hook", "HookController@__invoke", ()), ("DELETE", "/v1/x/{id}", "XController@gone", ()), ("GET", "/me", "closure", ("auth",)), ("GET", "/plain", "UserController@plain", ("web",)),
+    }
+
+
+@case
+def symfony_class_prefixes():
+    source = r"""<?php
+namespace App\Controller;
+#[Route('/api/orders', name: 'api_orders_')]
+#[IsGranted('ROLE_USER')]
+final class OrderController extends AbstractController
+{
+    #[Route('', name: 'index', methods: ['GET'])]
+    public function index(): Response { return new Response(); }
+    #[Route(path: '/{id}', methods: ['GET', 'DELETE'])]
+    public function show(int $id): Response { if (true) { return x(); } return y(); }
+}
+class Plain { #[Route('/p')] public function p() {} }
+"""
+    return [("src/C.php", "php", source)], {("GET", "/api/orders", "index", ()), ("GET", "/api/orders/{id}", "show", ()), ("DELETE", "/api/orders/{id}", "show", ()), ("GET", "/p", "p", ())}
+
+
+@case
+def odd_sources():
+    files = [("n.ts", "typescript", None), ("e.ts", "typescript", ""), ("o.ts", "typescript", "app.get('/x', h"), ("c.ts", "typescript", "}}} app.get('/y', h) {{{"), ("q.php", "php", "Route::get('/z, [A::class, 'm']);"), (None, "typescript", "app.get('/k', h);")]
+    return files, {("GET", "/x", "h", ()), ("GET", "/y", "h", ())}
+
+
+@pytest.mark.parametrize("name", list(CASES))
+def test_case(found_in, name):
+    assert found_in(name) == CASES[name][1]
