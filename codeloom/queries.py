@@ -272,6 +272,81 @@ def prefix_fixpoint(c):
     return graph.prefixes(mounts, roots, rounds=3)
 
 
+_SCOPE_SQL = """tree AS (SELECT l_orderkey AS path, l_linenumber AS n, 'p'||l_partkey%9 AS p, floor(log2(l_linenumber))::INT AS d FROM lineitem),
+spans AS (SELECT path, n AS scope, CASE WHEN p='p0' THEN '' ELSE p END AS prefix, (n-(1<<d))*(64>>d) AS s, (n-(1<<d)+1)*(64>>d)-d AS e FROM tree)"""
+
+
+@query(
+    f"""WITH {_SCOPE_SQL}
+SELECT i.path, i.scope, '/'||coalesce(string_agg(o.prefix, '/' ORDER BY o.s, o.e DESC, o.prefix) FILTER (o.prefix<>''), '') AS uri, count(*)::INT AS depth
+FROM spans i JOIN spans o ON i.path=o.path AND o.s<=i.s AND i.e<=o.e GROUP BY i.path, i.scope"""
+)
+def scope_prefixes(c):
+    """Scopes of an order: its lines as a binary tree by their numbers, whose spans nest."""
+    from codeloom.sources.scopes import fold_prefixes
+
+    n = F.col("l_linenumber").cast("int")
+    d = F.floor(F.log2(n)).cast("int")
+    at, width = n - F.expr("shiftleft(1, cast(floor(log2(l_linenumber)) as int))"), F.expr("shiftright(64, cast(floor(log2(l_linenumber)) as int))")
+    prefix = F.when(F.col("l_partkey") % 9 == 0, "").otherwise(F.concat(F.lit("p"), (F.col("l_partkey") % 9).cast("string")))
+    spans = c.table("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("scope"), prefix.alias("prefix"), (at * width).alias("start"), ((at + 1) * width - d).alias("end"))
+    return fold_prefixes(spans)
+
+
+_CHAIN_SQL = """, steps AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place FROM file_edges),
+walk(start, node, via, way) AS (SELECT DISTINCT src, src, src, []::BIGINT[] FROM steps UNION ALL SELECT start, dst, node, list_append(way, place) FROM walk JOIN steps ON node=src WHERE len(way)<{depth} AND dst<>start),
+met AS (SELECT start, node, min(way) AS way, len(min(way)) AS depth FROM (SELECT *, min(len(way)) OVER (PARTITION BY start, node) AS least FROM walk WHERE len(way)>0) WHERE len(way)=least GROUP BY start, node),
+placed AS (SELECT start, node AS file, depth, row_number() OVER (PARTITION BY start ORDER BY depth, way) AS place FROM met)
+SELECT start, file, depth::INT AS depth, place::INT AS place FROM placed WHERE place<={room}"""
+
+
+def _chains(c, depth: int, room: int) -> DataFrame:
+    from codeloom.operators.chain import discovered
+
+    edges = c.file_edges()
+    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    steps = edges.select("src", "dst", F.row_number().over(order).alias("place"))
+    starts = edges.select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(room).alias("room")).distinct()
+    return discovered(starts, steps, depth).select("start", "file", "depth", "place")
+
+
+@query(with_tables("file_edges", recursive=True) + _CHAIN_SQL.format(depth=5, room=23))
+def chain_depth5(c):
+    return _chains(c, 0, 23)
+
+
+@query(with_tables("file_edges", recursive=True) + _CHAIN_SQL.format(depth=1, room=23))
+def chain_depth1(c):
+    return _chains(c, 1, 23)
+
+
+@query(with_tables("file_edges", recursive=True) + _CHAIN_SQL.format(depth=8, room=23))
+def chain_depth8(c):
+    return _chains(c, 9, 23)
+
+
+@query(
+    with_tables("file_edges", recursive=True)
+    + """, names AS (SELECT p_partkey AS file, lower(substring(p_brand, 1, 7)) AS name, p_partkey%7=0 AS declares FROM part),
+words AS (SELECT DISTINCT src, dst, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS place, a.name AS here, b.name AS there FROM file_edges JOIN names a ON src=a.file JOIN names b ON dst=b.file),
+walk(ask, name, node, way, visited, hit) AS (SELECT file, name, file, []::BIGINT[], [file], false FROM names
+  UNION ALL SELECT ask, walk.name, dst, list_append(way, place), list_append(visited, dst), declares AND n.name=walk.name FROM walk JOIN words ON node=src AND (walk.name=here OR walk.name=there) JOIN names n ON n.file=dst
+  WHERE NOT hit AND len(visited)<5 AND NOT list_contains(visited, dst))
+SELECT ask, node AS file, len(way)::INT AS hops FROM (SELECT *, row_number() OVER (PARTITION BY ask ORDER BY way) AS k FROM walk WHERE hit) WHERE k=1"""
+)
+def reexport_chase(c):
+    """Parts ask for their group of brands over the edges that mention it; every seventh part declares its own."""
+    from codeloom.operators.reexport import chase
+
+    edges = c.file_edges()
+    order = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    names = c.table("part").select(F.col("p_partkey").alias("file"), F.lower(F.replace(F.substring("p_brand", 1, 7), F.lit("#"), F.lit(""))).alias("name"))
+    a, b = names.select(F.col("file").alias("src"), F.col("name").alias("here")), names.select(F.col("file").alias("dst"), F.col("name").alias("there"))
+    words = edges.select("src", "dst", F.row_number().over(order).alias("place")).join(a, "src").join(b, "dst").select("src", "dst", "place", F.explode(F.array_distinct(F.array("here", "there"))).alias("word"))
+    asks = names.select(F.col("file").alias("ask"), "file", "name")
+    return chase(asks, words, names.filter("file % 7 = 0")).select("ask", "file", "hops")
+
+
 _MATCH_SQL = "CASE WHEN http_method='GET' AND route_uri='/en/{id}' THEN 1 WHEN http_method='GET' AND norm='/en/:param' THEN 2 WHEN route_uri='/en/{id}' THEN 3 WHEN route_name='get._en_id_' THEN 4 END"
 
 
