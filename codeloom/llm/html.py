@@ -5,7 +5,8 @@ commas, to its ancestors, less the further up they are; a container's points
 are discounted by its link density. The best container is kept, with those of
 its siblings that score well beside it; menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out
-before the points are given.
+before the points are given. What a class word leaves out comes back when less
+than a fifth of the page's points would remain without it.
 
 Cases: a null page is an empty one with empty text; a page cut off anywhere,
 with tags unclosed or closed twice, is read to its end; a page without markup
@@ -40,10 +41,19 @@ SAME_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = frozenset("ul ol dl table div article section main body html td th blockquote".split())
 #: Words of a class, id or role that mark what is not the article.
 UNLIKELY = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|breadcrumbs?|comments?|commentlist|disqus|replies|reply|responses|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|menus?|menubar|nav|navbar|navigation|pager|pagination|sidebars?|side-?bar|widgets?|related|recommended|share|sharing|social|footer|foot|header|masthead|toolbar|skip|login|search|contentinfo|complementary|discussion|feedback|outbrain|taboola|shoutbox)(?![a-z])"
+    r"(?<![a-z])(?:ads?|ad-?(?:box|slot|unit|space|wrap|container)|adverts?|advertisements?|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?s?|breadcrumbs?|comments?|commentlist|disqus|replies|reply|responses|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|menus?|menubar|nav|navbar|navigation|pager|pagination|sidebars?|side-?bar|widgets?|related|recommended|share|sharing|social|footer|foot|header|masthead|toolbar|skip|login|search|contentinfo|complementary|discussion|feedback|outbrain|taboola|shoutbox)(?![a-z])"
 )
 #: Those of them that may as well name an article's subject: what they leave out comes back when nearly all of the page's points are in it.
 WEAK = re.compile(r"(?<![a-z])(?:alert|discussion|feedback|foot|notices?|promo(?:tion)?s?|related|replies|reply|responses|search|share|sharing|skip|social|subscription|widgets?)(?![a-z])")
+#: Words of a class that tell a state or a layout of the element, not what it holds.
+STATE = re.compile(r"(?:has|no|with|without|hide|show|layout)-.*|.*-(?:open|opened|closed|enabled|disabled)")
+#: What these leave out comes back only around an article's own marks.
+NEVER = re.compile(r"(?<![a-z])(?:comments?|commentlist|disqus|sidebars?|side-?bar|adverts?|ads?)(?![a-z])")
+MARKS = frozenset(("h1", "article", "main"))
+#: Words of a class that mark the opening of an article.
+LEAD = re.compile(r"(?<![a-z])(?:lead|lede|intro|introduction|summary|standfirst|dek|deck|subtitle|abstract|excerpt)(?![a-z])")
+#: The part of the page's points that a left-out element must hold to come back.
+BACK_SHARE = 0.8
 LIKELY = re.compile(r"(?<![a-z])(?:article|body|content|entry|main|post|story|text)(?![a-z])")
 #: Never left out for their class: they hold the whole page.
 WHOLE = frozenset(("html", "body", "article", "main"))
@@ -65,15 +75,17 @@ PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6 li td blockquote dd dt figcaptio
 class Node:
     """An element: children are nodes and, as strings, text."""
 
-    __slots__ = ("chars", "children", "container", "kept", "linked", "order", "parent", "points", "tag")
+    __slots__ = ("at", "chars", "children", "container", "kept", "lead", "left", "linked", "mass", "order", "parent", "points", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, order: int):
+    def __init__(self, tag: str, parent: Node | None, order: int, at: int = 0, left: str = "", lead: bool = False):
         self.tag, self.parent, self.order = tag, parent, order
+        #: Where it begins in the page, why its class would leave it out, and whether it opens the article.
+        self.at, self.left, self.lead = at, left, lead
         self.children: list[Node | str] = []
         #: The nearest element around it that is no part of a line.
         self.container = None if parent is None else parent if parent.tag not in INLINE else parent.container
-        #: Points, and the characters in it and those of them in links.
-        self.points, self.chars, self.linked, self.kept = 0.0, 0, 0, False
+        #: Points, all points given inside, and the characters in it and those of them in links.
+        self.points, self.mass, self.chars, self.linked, self.kept = 0.0, 0.0, 0, 0, False
 
     def score(self) -> float:
         return self.points * (1 - self.linked / self.chars) if self.chars else 0.0
@@ -99,29 +111,36 @@ class Open:
         return self.count.get(tag, 0) > 0
 
 
-def _unlikely(tag: str, attributes: str) -> re.Pattern | bool:
-    """Whether an element and all in it is left out; the weak words if for these alone."""
+def _unlikely(tag: str, attributes: str) -> tuple[str, bool]:
+    """Why an element and all in it is left out (``always``, or for its class ``never``, ``strong`` or ``weak``; else empty), and whether it opens the article."""
     if tag in DROPPED:
-        return True
+        return "always", False
     if not attributes or tag in WHOLE:
-        return False
-    weak = False
+        return "", False
+    why, lead = "", False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id", "role", "itemprop", "data-role"):
             words = value.replace("_", "-")
+            if name in ("class", "id"):
+                lead = lead or LEAD.search(words) is not None
+                words = " ".join(w for w in words.split() if not STATE.fullmatch(w))
             if UNLIKELY.search(words) and not (LIKELY.search(words) and name != "role" and not re.search(r"comment|sidebar|advert|(?<![a-z])ads?(?![a-z])", words)):
-                if name == "role" or UNLIKELY.search(WEAK.sub("", words)):
-                    return True
-                weak = True
+                if name == "role":
+                    return "always", False
+                own = "never" if NEVER.search(words) else "strong" if UNLIKELY.search(WEAK.sub("", words)) else "weak"
+                why = max(why, own, key=("", "weak", "strong", "never").index)
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-            return True
-    return WEAK if weak else False
+            return "always", False
+    return why, lead
 
 
-def parse(page: str, keep_weak: bool = False) -> tuple[list[Node], bool]:
-    """The elements of a page in order, the root first, without what is never the article's; and whether weak words left any out."""
-    nodes, weak = [Node("#root", None, 0)], False
+def parse(page: str, keep: frozenset[str] = frozenset(), back: frozenset[int] = frozenset()) -> tuple[list[Node], set[str]]:
+    """The elements of a page in order, the root first, without what is never the article's; and why classes left any out.
+
+    ``keep`` names reasons that leave nothing out, ``back`` places in the page whose elements stay.
+    """
+    nodes, reasons = [Node("#root", None, 0)], set()
     at, here, end = 0, nodes[0], len(page)
     stack, known = [here], Open()
     skip = Open()  # open elements inside a left-out one, itself first
@@ -179,19 +198,19 @@ def parse(page: str, keep_weak: bool = False) -> tuple[list[Node], bool]:
                     nodes.append(Node(tag, here, len(nodes)))
                 here.children.append("\n" if tag == "br" else nodes[-1])
             continue
-        unlikely = _unlikely(tag, attributes)
-        if unlikely is WEAK:
-            weak = True
-        if unlikely and not (unlikely is WEAK and keep_weak):
+        why, lead = _unlikely(tag, attributes)
+        if why not in ("", "always"):
+            reasons.add(why)
+        if why and why not in keep and found.start() not in back:
             skip.push(tag)
             continue
-        node = Node(tag, here, len(nodes))
+        node = Node(tag, here, len(nodes), found.start(), why, lead)
         nodes.append(node)
         here.children.append(node)
         stack.append(node)
         known.push(tag)
         here = node
-    return nodes, weak
+    return nodes, reasons
 
 
 def _blocks(top: Node) -> list[tuple[Node, str, int]]:
@@ -237,6 +256,7 @@ def weigh(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
         if len(text) < LEAST_CHARS:
             continue
         points = (1 + text.count(",") + min(len(text) / CHARS_A_POINT, MOST_POINTS)) * (1 - linked / len(text))
+        owner.mass += points
         # A text of its own in a container counts for the container itself.
         node = owner.container if owner.tag in PARAGRAPHS and owner.parent else owner
         for share in SHARES:
@@ -248,6 +268,7 @@ def weigh(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
     for node in reversed(nodes[1:]):
         node.parent.chars += node.chars
         node.parent.linked += node.linked
+        node.parent.mass += node.mass
 
 
 def article(nodes: list[Node]) -> tuple[str, float]:
@@ -266,14 +287,19 @@ def article(nodes: list[Node]) -> tuple[str, float]:
             break
         up = up.parent
     best.kept, own = True, None
-    if best.parent is not None and best.tag not in ("article", "main", "body", "html", "#root"):
+    marked = best.tag in ("article", "main")
+    if best.parent is not None and best.tag not in ("body", "html", "#root"):
+        inside = best.parent.tag not in ("body", "html", "#root")
         for other in best.parent.children:
             if isinstance(other, Node) and other is not best and other.chars:
-                reads = other.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol") and other.linked / other.chars < SIBLING_LINKS
-                if reads or other.score() >= SIBLING_SHARE * best.score():
-                    other.kept, own = True, best.parent
+                reads = (other.lead or other.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol")) and other.linked / other.chars < SIBLING_LINKS and (inside or not marked)
+                # Beside an article only other articles and sections are taken for their points.
+                alike = other.score() >= SIBLING_SHARE * best.score() and (not marked or other.tag in ("article", "main", "section"))
+                if reads or alike:
+                    other.kept = True
+                    own = own if marked else best.parent
         # Sections further up belong to it when they score like its siblings.
-        inner, outer = best.parent, best.parent.parent
+        inner, outer = best.parent, None if marked else best.parent.parent
         while outer is not None and inner.tag not in ("body", "html", "#root"):
             for other in outer.children:
                 if isinstance(other, Node) and other is not inner and other.tag in ("section", "div") and other.score() >= SIBLING_SHARE * best.score() and other.linked < SIBLING_LINKS * other.chars:
@@ -284,12 +310,34 @@ def article(nodes: list[Node]) -> tuple[str, float]:
     return " ".join(text for owner, text, linked in blocks if owner.kept or owner is own and linked < SIBLING_LINKS * len(text)), points
 
 
+def wrappers(page: str, mass: float) -> frozenset[int]:
+    """Where those elements begin that a class leaves out though nearly all of the page's points lie in them.
+
+    ``mass`` is what remains without them. Words such as ``comments`` and
+    ``sidebar`` bring nothing back but around a title or an article.
+    """
+    nodes, _ = parse(page, frozenset(("weak", "strong", "never")))
+    weigh(nodes, _blocks(nodes[0]))
+    whole = nodes[0].mass
+    if not whole or mass >= (1 - BACK_SHARE) * whole:
+        return frozenset()
+    heads = {id(n) for n in nodes if n.tag in MARKS}
+    for node in reversed(nodes[1:]):  # what holds a mark
+        if id(node) in heads:
+            heads.add(id(node.parent))
+    return frozenset(n.at for n in nodes if n.left and n.mass >= BACK_SHARE * whole and (n.left != "never" or id(n) in heads))
+
+
 def main_text(page: str) -> str:
     """The article's text."""
-    nodes, weak = parse(page)
+    nodes, reasons = parse(page)
     text, points = article(nodes)
-    if weak:
-        other, gained = article(parse(page, keep_weak=True)[0])
+    back = wrappers(page, nodes[0].mass) if reasons & {"strong", "never"} else frozenset()
+    if back:
+        nodes, reasons = parse(page, back=back)
+        text, points = article(nodes)
+    if "weak" in reasons:
+        other, gained = article(parse(page, frozenset(("weak",)), back)[0])
         if gained > WEAK_GAIN * points:
             return other
     return text
