@@ -53,13 +53,15 @@ def type_hints(signature: Column) -> Column:
 def outbound_calls(body: Column) -> Column:
     """Calls that a body makes on classes and on its own object's properties, as ``Class::method``; a property stands for the class of its name.
 
-    Comments and strings are left out, and so is ``this.db``.
+    Comments and strings are left out, and so is ``this.db``; of a class with a namespace the last part counts.
     """
-    code = F.regexp_replace(F.regexp_replace(body, r"(?s)/\*.*?\*/|//[^\n]*", " "), r"'[^'\n]*'|\"[^\"\n]*\"", "''")
+    strings = "|".join(rf"{q}[^{q}\\]*+(?:\\(?s:.)[^{q}\\]*+)*+(?:{q}|\z)" for q in "'\"`")
+    code = F.regexp_replace(body, rf"{strings}|/\*(?s:.*?)(?:\*/|\z)|//[^\n]*", " '' ")
 
     def target(c: Column) -> Column:
         prop = F.regexp_extract(c["on"], r"^(?:\$this->|this\.)(\w+)$", 1)
-        owner = F.when((c["mark"] == "::") & c["on"].rlike(r"^[A-Z]\w*$"), c["on"])
+        named = F.regexp_extract(c["on"], r"^\\?(?:\w+\\)*([A-Z]\w*)$", 1)
+        owner = F.when((c["mark"] == "::") & (named != ""), named)
         owner = owner.when((prop != "") & ~((c["on"] == "this.db") & (c["mark"] == ".")), F.concat(F.upper(F.substring(prop, 1, 1)), F.substring(prop, 2, 1 << 20)))
         return F.concat(owner, F.lit("::"), c["name"])
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators import catalog, graph, policy, slices, topology
-from codeloom.operators.impact import impact_risk, mentions_file, parse_target, symbol_impact
+from codeloom.operators.impact import impact_risk, mentions_file, parse_target, receiver, symbol_impact
 
 
 def tables(spark):
@@ -53,8 +53,16 @@ def test_impact_of_one_file_and_of_empty_tables(spark):
 
 def test_targets_and_files_by_name(spark):
     assert [parse_target(q) for q in ("A::b", " A@b ", "A")] == [("A", "b"), ("A", "b"), ("A", "")]
-    said = spark.createDataFrame([("from shop.cart import X",), ("import '../shop/Cart.js'",), ("import mycart",), ("carts",)], "s string")
-    assert [r[0] for r in said.select(F.col("s").rlike(mentions_file("shop/cart.py"))).collect()] == [True, True, False, False]
+    said = spark.createDataFrame([("from shop.cart import X",), ("import '../shop/Cart.js'",), ("import mycart",), ("carts",), ("cart",), ("x/cart;",), ("require(\"cart\")",), ("my cart",), (None,)], "s string")
+    assert [r[0] for r in said.select(mentions_file(F.col("s"), "shop/cart.py")).collect()] == [True, True, False, False, True, True, True, False, None]
+    said = spark.createDataFrame([("./user.service",), ("./user.service.js",), ("./user",), ("a\\user.service",)], "s string")
+    assert [r[0] for r in said.select(mentions_file(F.col("s"), "a/user.service.ts")).collect()] == [True, True, False, True]
+
+
+def test_receivers(spark):
+    said = ["func (c *Store) Save()", "func (Store) Save()", "func (s *Stack[K, V]) Push(v V)", "func Save(c *Store)", "func(c Store) x()", "def f(Store)", "func", ""]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "i int, s string")
+    assert [r[0] for r in rows.orderBy("i").select(receiver(F.col("s"))).collect()] == ["Store", "Store", "Stack", "", "Store", "", "", ""]
 
 
 def test_reused_symbols(spark):

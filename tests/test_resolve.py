@@ -80,6 +80,13 @@ def test_behaviour_of_several_marks(spark):
     """
     got = spark.createDataFrame([(body,), (None,), ("",)], "b string").select(facts(F.col("b")).alias("f")).collect()
     f = got[0].f
-    assert (f.guards, f.has_transaction, f.events) == (["AuthGuard", "see", "abort_guard"], True, ["Seen", "Done", "user.made"])
+    assert (f.guards, f.has_transaction, f.events) == (["AuthGuard", "Other", "see", "abort_guard"], True, ["Seen", "Done", "user.made"])
     assert (f.jobs, f.mutations) == (["mail", "CleanTask"], ["user.delete()"])
     assert (got[2].f.guards, got[2].f.has_transaction, got[2].f.mutations) == ([], False, [])
+
+
+def test_all_guards_and_every_way_to_dispatch(spark):
+    body = "@UseGuards(AuthGuard('jwt'), RolesGuard, new ScopeGuard(a, b))\nrun() { ProcessPayment::dispatchSync($x); Bus::dispatch(new PayJob($y, f(1))); MailJob::dispatchIf(true); dispatch(new Late()); el.dispatchEvent(new Event('x')); Event::dispatch(Seen::class); }"
+    f = spark.createDataFrame([(body,)], "b string").select(facts(F.col("b")).alias("f")).first().f
+    assert f.guards == ["AuthGuard", "RolesGuard", "ScopeGuard"]
+    assert f.jobs == ["ProcessPayment", "PayJob", "MailJob", "Late"] and f.events == ["Seen"]

@@ -26,6 +26,13 @@ def test_hints_and_calls(spark):
     assert list(got) == [["Order", "User"], ["Box"], ["Cart::add", "Repo::save", "Mail::send"]]
 
 
+def test_calls_behind_strings_and_namespaces(spark):
+    bodies = [r"\App\Services\Pay::run(); $u = 'http://x'; Log::put(1);", r"$s = 'it\'s Cart::add(1)'; Box::open();", "const q = `Cart::add(1) ${x}`; Box::open();", "/* Cart::a() */ Box::open(); // Cart::b()", "App\\Pay::go('a', \"b // c\"); Box::open();", None]
+    rows = spark.createDataFrame([(i, b.replace("\\\\", "\\") if b else b) for i, b in enumerate(bodies)], "i int, b string")
+    got = [r[0] for r in rows.orderBy("i").select(symbols.outbound_calls(F.col("b"))).collect()]
+    assert got == [["Pay::run", "Log::put"], ["Box::open"], ["Box::open"], ["Box::open"], ["Pay::go", "Box::open"], None]
+
+
 def test_calls_resolve_only_when_one_fits(spark):
     known = spark.createDataFrame([("Cart::add",), ("Box::add",), ("Repo::save",)], "name string")
     calls = spark.createDataFrame([("x", "add"), ("x", "save"), ("x", "none"), ("x", "Box::add")], "caller string, member string")
