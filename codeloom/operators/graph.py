@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.plans.shared import materialize
+from codeloom.plans.skew import salted_lookup
 
 
 def first_evidence(edges: DataFrame, order: list[Column]) -> DataFrame:
@@ -39,21 +40,73 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int = 5, most: int | N
     return seen
 
 
-def cycle_members(edges: DataFrame, length: int = 6) -> DataFrame:
-    """Nodes on a cycle of at most ``length`` edges, with the shortest such length.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes on any cycle, of whatever length; a component is named by its least node.
 
-    Searches forward from each node with the least node of the path kept, so a
-    cycle is found from its least node only.
+    Each round gives every node the least node that reaches it, then walks back
+    from those names inside their colour: what they reach and is reached by
+    them is a component. The rest goes on, without the edges between colours.
+    Loops do not count. Nodes and edges stay in tables; only counts reach the
+    driver. A round's steps are as many as its longest shortest way, which
+    shortcuts over names already known make fewer.
     """
-    steps = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), "edges")
-    paths = steps.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")).filter("node > start")
+    live = materialize(edges.filter("src <> dst").select("src", "dst").distinct(), "live")
     found = None
-    for n in range(2, length + 1):
-        ahead = paths.join(steps, F.col("node") == F.col("src"))
-        closed = ahead.filter("dst = start").select(F.explode("path").alias("node"), F.lit(n).alias("length"))
+    while not live.isEmpty():
+        # What has no way in, or none out, is on no cycle.
+        live = materialize(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"), "live")
+        nodes = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+        colour = materialize(nodes.withColumn("colour", F.col("node")), "colour")
+        while True:
+            ahead = live.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("told"))
+            stepped = colour.join(ahead, "node", "left").select("node", "colour", F.least("colour", F.coalesce("told", "colour")).alias("own"))
+            names = stepped.select(F.col("node").alias("own"), F.col("own").alias("further"))
+            # Many nodes share a name, so the name's own row is spread.
+            hopped = salted_lookup(stepped, names, ["own"], F.col("node"))
+            after = materialize(hopped.select("node", F.least("own", F.coalesce("further", "own")).alias("colour"), F.col("colour").alias("was")), "colour")
+            colour = after.select("node", "colour")
+            if after.filter("colour <> was").isEmpty():
+                break
+        ends = live.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("there")), "dst")
+        inside = materialize(ends.filter("colour = there").select("src", "dst", "colour"), "inside")
+        reached = colour.filter("node = colour")
+        frontier = reached
+        while True:
+            back = inside.join(frontier.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            frontier = materialize(back.join(reached.select("node"), "node", "left_anti"), "back")
+            if frontier.isEmpty():
+                break
+            reached = reached.unionByName(frontier)
+        whole = materialize(reached, "component")
+        found = whole if found is None else found.unionByName(whole)
+        live = materialize(inside.join(whole.select(F.col("node").alias("src")), "src", "left_anti").join(whole.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "live")
+    if found is None:
+        return live.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    large = found.groupBy("colour").agg(F.count("*").alias("n")).filter("n > 1")
+    return found.join(large.select("colour"), "colour", "left_semi").select("node", F.col("colour").alias("component"))
+
+
+def cycle_members(edges: DataFrame, length: int | None = None) -> DataFrame:
+    """Nodes on a cycle (of at most ``length`` edges, where given), with the shortest such length.
+
+    Every node is searched from at once and stops when its cycle closes. The
+    pairs met are at most the square of the nodes, so this is for domain and
+    module graphs; :func:`strong_components` tells who is on a cycle at any size.
+    """
+    steps = materialize(edges.filter("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "edges")
+    seen = frontier = materialize(steps.select(F.col("node").alias("start"), F.col("next").alias("node")), "cycle")
+    found, n = None, 1
+    while not frontier.isEmpty() and (length is None or n < length):
+        n += 1
+        met = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
+        closed = materialize(met.filter("start = node").select("node", F.lit(n).alias("length")), "closed")
         found = closed if found is None else found.unionByName(closed)
-        paths = materialize(ahead.filter(F.expr("dst > start and not array_contains(path, dst)")).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")), "cycle")
-    return found.groupBy("node").agg(F.min("length").alias("length"))
+        fresh = met.join(seen, ["start", "node"], "left_anti").join(closed.select(F.col("node").alias("start")), "start", "left_anti")
+        frontier = materialize(fresh, "cycle")
+        seen = seen.unionByName(frontier)
+    if found is None:
+        return steps.select("node", F.lit(2).alias("length")).limit(0)
+    return found
 
 
 def cycles(edges: DataFrame) -> DataFrame:

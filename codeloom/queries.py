@@ -245,13 +245,22 @@ def bfs_capped25(c):
 
 @query(
     with_tables("domain_edges", recursive=True)
-    + """, walk(start, node, path) AS (SELECT src, dst, [src,dst] FROM domain_edges WHERE dst>src
-  UNION ALL SELECT start, dst, list_append(path, dst) FROM walk JOIN domain_edges ON node=src WHERE dst>start AND NOT list_contains(path,dst) AND len(path)<4),
-rings AS (SELECT path FROM walk JOIN domain_edges ON node=src AND dst=start)
-SELECT node, min(length)::INT AS length FROM (SELECT unnest(path) AS node, len(path) AS length FROM rings) GROUP BY 1"""
+    + """, walk(start, node, length) AS (SELECT src, dst, 1 FROM domain_edges UNION SELECT start, dst, length+1 FROM walk JOIN domain_edges ON node=src WHERE start<>node AND length<(SELECT count(*) FROM nation))
+SELECT start AS node, min(length)::INT AS length FROM walk WHERE start=node GROUP BY 1"""
 )
 def cycle_members(c):
-    return graph.cycle_members(c.domain_edges(), length=4)
+    return graph.cycle_members(c.domain_edges())
+
+
+@query(
+    with_tables("file_edges", recursive=True)
+    + """, steps AS (SELECT src, max(dst) AS dst FROM file_edges GROUP BY src),
+walk(start, node) AS (SELECT src, dst FROM steps UNION SELECT start, dst FROM walk JOIN steps ON node=src)
+SELECT a.start AS node, min(a.node) AS component FROM walk a JOIN walk b ON a.start=b.node AND a.node=b.start GROUP BY 1"""
+)
+def strong_components(c):
+    """Cycles of any length where every part has one successor."""
+    return graph.strong_components(c.file_edges().groupBy("src").agg(F.max("dst").alias("dst")))
 
 
 @query()
@@ -262,14 +271,14 @@ def cycle_search(c):
 @query(
     with_tables("file_edges", recursive=True)
     + """, mounts AS (SELECT src AS parent, dst AS child, '/r'||dst AS path FROM file_edges WHERE src<dst),
-found(router, prefix, k) AS (SELECT DISTINCT parent, '/r'||parent, 0 FROM mounts WHERE parent NOT IN (SELECT child FROM mounts) UNION SELECT child, prefix||path, k+1 FROM found JOIN mounts ON router=parent WHERE k<3)
+found(router, prefix, k) AS (SELECT DISTINCT parent, '/r'||parent, 0 FROM mounts WHERE parent NOT IN (SELECT child FROM mounts) UNION SELECT child, prefix||path, k+1 FROM found JOIN mounts ON router=parent WHERE k<10)
 SELECT DISTINCT router, prefix FROM found"""
 )
 def prefix_fixpoint(c):
     mounts = c.file_edges().filter("src < dst").select(F.col("src").alias("parent"), F.col("dst").alias("child"), F.concat(F.lit("/r"), F.col("dst").cast("string")).alias("path"))
     tops = mounts.select("parent").distinct().join(mounts.select(F.col("child").alias("parent")), "parent", "left_anti")
     roots = tops.select(F.col("parent").alias("router"), F.concat(F.lit("/r"), F.col("parent").cast("string")).alias("prefix"))
-    return graph.prefixes(mounts, roots, rounds=3)
+    return graph.prefixes(mounts, roots, rounds=10)
 
 
 _SCOPE_SQL = """tree AS (SELECT l_orderkey AS path, l_linenumber AS n, 'p'||l_partkey%9 AS p, floor(log2(l_linenumber))::INT AS d FROM lineitem),

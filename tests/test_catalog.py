@@ -1,5 +1,7 @@
 """Catalog operators on small hand-made tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,19 @@ def test_slices_and_topology(spark):
     schema = "id int, status string, platform string"
     out = merge(spark.createDataFrame([(1, "VERIFIED", "p"), (2, "DETECTED", "p"), (3, "DETECTED", "p")], schema), spark.createDataFrame([(1, "DETECTED", "q"), (2, "DETECTED", "q"), (4, "DETECTED", "q")], schema), "id")
     assert {r.id: r.platform for r in out.collect()} == {1: "p", 2: "q", 3: "p", 4: "q"}
+
+
+def test_strong_components_match_reachability(spark):
+    rnd = random.Random(2)
+    pairs = {(rnd.randrange(40), rnd.randrange(40)) for _ in range(55)} | {(100 + i, 100 + (i + 1) % 9) for i in range(9)} | {(3, 100), (7, 7)}
+    reach = {a: {b for x, b in pairs if x == a} for a in {n for p in pairs for n in p}}
+    for _ in range(8):
+        reach = {a: bs | {c for b in bs for c in reach[b]} for a, bs in reach.items()}
+    same = {a: {b for b in reach[a] if a in reach.get(b, ())} | {a} for a in reach}
+    want = {(a, min(s)) for a, s in same.items() if len(s) > 1}
+    edges = spark.createDataFrame(sorted(pairs), "src int, dst int")
+    assert {tuple(r) for r in graph.strong_components(edges).collect()} == want
+    lengths = {r.node: r.length for r in graph.cycle_members(edges).collect()}
+    assert set(lengths) == {a for a, _ in want} and {lengths[100 + i] for i in range(9)} == {9}
+    assert {r.node for r in graph.cycle_members(edges, 4).collect()} == {a for a, n in lengths.items() if n <= 4}
+    assert graph.strong_components(edges.limit(0)).collect() == [] and graph.cycle_members(edges.limit(0)).collect() == []
