@@ -13,7 +13,10 @@ one: windows that hold such a word come twice, with the word and with a name.
 
 A window needs ``Settings.literals`` tokens that are no placeholder. An item of
 fewer tokens than a window is one window of its own length. An item without a
-window of enough literals is found where all its tokens stand, values included.
+window of enough literals is one template as a whole, when it has from
+``short_tokens`` to ``short_most`` tokens and one of them is a literal: its
+slots must then meet in number, type and order. Any other is found where all
+its tokens stand, values included.
 
 Cases: null and empty texts, and items without a single word, have no windows
 and find nothing; an item that occurs several times in a text counts
@@ -52,6 +55,9 @@ class Settings:
 
     window: int = 8
     literals: int = 4
+    #: Tokens of an item that is one template whole.
+    short_tokens: int = 4
+    short_most: int = 16
     #: The part of an item's windows that must meet.
     coverage: float = 0.3
 
@@ -192,15 +198,27 @@ def item_windows(items: DataFrame, settings: Settings) -> DataFrame:
         short = rows.filter(F.col("size") < settings.window).select("item_row", "item_id", "size", F.lit(0).alias("pos"), whole.alias("h"), F.transform("v", READINGS[reading][0]).alias("slots"), loose, ends.alias("ends"))
         return long.unionByName(short)
 
+    def wholes(v: Column, reading: str, when: Column) -> DataFrame:
+        rows = marked.withColumn("v", v).filter(when).withColumn("size", F.size("v")).filter(F.col("size").between(settings.short_tokens, settings.short_most))
+        hashes = F.transform("v", READINGS[reading][1])
+        return rows.select("item_row", "item_id", "size", F.lit(0).alias("pos"), _window_hash([hashes], False).alias("h"), F.transform("v", READINGS[reading][0]).alias("slots"), F.lit(reading == "named").alias("loose"), _ends(F.element_at(hashes, 1), F.element_at(hashes, -1)).alias("ends"))
+
     literal = F.size(F.filter("slots", lambda w: ~_is_slot(w)))
     several = [windows(*v) for v in variants]
     kept = several[0].unionByName(several[1]).unionByName(several[2]).filter(literal >= F.least(F.lit(settings.literals), F.col("size")))
     kept = materialize(kept.groupBy("item_row", "pos", "h").agg(*[F.min(c).alias(c) for c in ("item_id", "loose", "size", "slots", "ends")]).withColumn("exact", F.lit(False)), "decontam-windows")
+    # Items without such a window, whole.
+    short = [wholes(*v).join(kept.select("item_row").distinct(), "item_row", "left_anti") for v in variants]
+    short = short[0].unionByName(short[1]).unionByName(short[2]).filter(literal >= 1)
+    short = short.groupBy("item_row", "pos", "h").agg(*[F.min(c).alias(c) for c in ("item_id", "loose", "size", "slots", "ends")]).withColumn("exact", F.lit(False))
+    kept = materialize(kept.unionByName(short), "decontam-windows")
     worded = F.exists("marked", lambda w: ~_is_slot(w))
     bare = windows(F.col("marked"), "exact", worded).join(kept.select("item_row").distinct(), "item_row", "left_anti")
     kept = materialize(kept.unionByName(bare.withColumn("exact", F.lit(True))), "decontam-windows")
     totals = kept.groupBy("item_row").agg(F.countDistinct("pos").alias("n_windows"))
-    return kept.join(totals, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "exact", F.col("loose").alias("iloose"), "n_windows", "ends")
+    # Names that a capital inside a sentence makes certain.
+    sure = marked.select("item_row", F.array_distinct(F.filter("marked", lambda w: w.startswith(NAME))).alias("sure"))
+    return kept.join(totals, "item_row").join(sure, "item_row").select("item_row", "item_id", F.col("pos").alias("ipos"), "size", "h", F.col("slots").alias("islots"), "exact", F.col("loose").alias("iloose"), "n_windows", "ends", "sure")
 
 
 def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -229,15 +247,16 @@ def find(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     pairs = salted_lookup(met, wanted.drop("ends"), ["h"], F.col("row"), "inner", hint="merge").filter(F.size("slots") == F.size("islots"))
     # Two branches read the pairs; written once, they cost one scan of the texts.
     pairs = materialize(pairs.withColumn("shift", F.col("pos") - F.col("ipos")), "decontam-pairs")
-    # What starts a sentence may be no name, so its clash spares the windows that do without it.
+    # What starts a sentence may be no name, so its clash spares the windows that do without it; a certain name's clash spares none.
     certain = F.when(F.col("loose") | F.col("iloose"), F.array(F.lit(True))).otherwise(F.array(F.lit(False), F.lit(True)))
     pairs = pairs.withColumn("broad", F.explode(certain))
     slots = pairs.select(
-        "row", "item_row", "shift", "broad", F.explode(F.filter(F.arrays_zip("islots", "slots"), lambda s: _is_slot(s["islots"]))).alias("s")
-    ).groupBy("row", "item_row", "shift", "broad", F.col("s.islots").alias("own")).agg(F.min("s.slots").alias("a"), F.max("s.slots").alias("b"))
-    alignments = slots.groupBy("row", "item_row", "shift", "broad").agg(F.max(F.col("a") != F.col("b")).alias("clash"), F.max(F.col("a") != F.col("own")).alias("changed"))
+        "row", "item_row", "shift", "broad", "sure", F.explode(F.filter(F.arrays_zip("islots", "slots"), lambda s: _is_slot(s["islots"]))).alias("s")
+    ).groupBy("row", "item_row", "shift", "broad", F.col("s.islots").alias("own")).agg(F.min("s.slots").alias("a"), F.max("s.slots").alias("b"), F.max(F.array_contains("sure", F.col("s.islots"))).alias("certain"))
+    alignments = slots.groupBy("row", "item_row", "shift", "broad").agg(F.max(F.col("a") != F.col("b")).alias("clash"), F.max(F.col("a") != F.col("own")).alias("changed"), F.max(F.col("certain") & (F.col("a") != F.col("b"))).alias("veto"))
+    vetoes = alignments.filter("broad and veto").select("row", "item_row", "shift")
     matched = pairs.groupBy("row", "doc_id", "item_row", "item_id", "exact", "n_windows", "shift", "broad").agg(F.collect_set("ipos").alias("at"))
-    fits = matched.join(alignments, ["row", "item_row", "shift", "broad"], "left").filter(~F.coalesce("clash", F.lit(False)))
+    fits = matched.join(alignments, ["row", "item_row", "shift", "broad"], "left").filter(~F.coalesce("clash", F.lit(False))).join(vetoes, ["row", "item_row", "shift"], "left_anti")
     # Exact items have all their windows on one alignment.
     union, best = F.size(F.array_distinct(F.flatten(F.collect_list("at")))), F.max(F.size("at"))
     found = fits.groupBy("row", "doc_id", "item_row", "item_id", "exact", "n_windows").agg(

@@ -1,5 +1,8 @@
 """Templates, consistency of slots, and the stage."""
 
+import random
+
+from pyspark.sql import functions as F
 from tests.llm.conftest import DOCS, doc_rows
 
 import corpus_pipeline
@@ -62,4 +65,69 @@ def test_names_that_start_sentences_and_items_short_of_words(spark):
         (13, "What is 12 + 16 * 3? Solve 3 x + 4 = 18"),
     ]
     found = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {(r.doc_id, r.item_id, r.reparameterised) for r in found.collect()} == {(10, 1, True), (11, 2, False), (12, 3, False)}
+    assert {(r.doc_id, r.item_id, r.reparameterised) for r in found.collect()} == {(10, 1, True), (11, 2, False), (12, 3, False), (13, 2, True), (13, 3, True)}
+
+
+def found_pairs(spark, docs, items):
+    rows = decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {(r.doc_id, r.item_id) for r in rows.collect()}
+
+
+def test_a_certain_name_may_not_stand_for_two(spark):
+    item = "Tom has 5 red apples and 3 pears in a bag. Tom buys some more. How many apples of Tom's are left?"
+    both = item.replace("Tom", "Bob")
+    mixed = item.replace("Tom has", "Bob has").replace("Tom's", "Tim's")
+    assert found_pairs(spark, [(1, both), (2, mixed), (3, item)], [(1, item)]) == {(1, 1), (3, 1)}
+
+
+FORMS = ["What is {a} + {b}?", "{n} ran {a} km.", "How much is {a} times {b}?", "Solve {a} x + {b} = {c}.", "{n} has {a} apples and {m} has {b} pears. How many fruits have they?", "A box of {a} kg costs {b} dollars. What do {c} boxes cost?"]
+NAMES = ["Tom", "Anna", "Boris", "Maria", "Chen", "Olga", "Peter", "Ravi"]
+
+
+def test_planted_items_with_other_values_are_found(spark):
+    """Recall and precision of short re-parameterised items, each in a document of its own among clean ones."""
+    rnd = random.Random(6)
+
+    def fill(form):
+        n, m = rnd.sample(NAMES, 2)
+        return form.format(n=n, m=m, **dict(zip("abc", rnd.sample(range(2, 99), 3), strict=True)))
+
+    items = [(i, fill(f)) for i, f in enumerate(FORMS)]
+    prose = [" ".join(rnd.choice(FILL.split()) for _ in range(40)) + ". In 1990 about 12 people came and Anna saw 3 km of it. " for _ in range(20)]
+    planted = [(i, prose[i % 20] + fill(FORMS[i % len(FORMS)]) + " " + prose[(i + 7) % 20]) for i in range(120)]
+    clean = [(1000 + i, p + prose[(i + 3) % 20]) for i, p in enumerate(prose)]
+    got = found_pairs(spark, planted + clean, items)
+    right = {(i, i % len(FORMS)) for i in range(120)}
+    assert len(got & right) >= 0.9 * len(right) and len(got & right) >= 0.9 * len(got)
+
+
+def plain(tokens, item, size):
+    """Whether a document's tokens hold an item's whole template, slots meeting one to one in value."""
+    kind = lambda w: w[0] if "\ue000" <= w[0] < "\ue003" else w
+    for at in range(len(tokens) - size + 1):
+        own = tokens[at : at + size]
+        if [kind(w) for w in own] == [kind(w) for w in item]:
+            stands = {}
+            if all(stands.setdefault(i, d) == d for i, d in zip(item, own, strict=True)):
+                return True
+    return False
+
+
+def test_short_items_match_a_plain_search(spark):
+    """Texts without capitals, so that templates are the same in all readings."""
+    rnd = random.Random(9)
+    words = ["add", "take", "of", "3", "4", "5 km", "7 kg", "what", "is"]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 7)))) for i in range(25)]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(60))) for i in range(25)]
+    read = lambda rows: {r[0]: r[1] for r in spark.createDataFrame(rows, "i long, t string").select("i", decontam.valued_template(F.col("t"))).collect()}
+    ts, ds = read(items), read(docs)
+    literal = lambda w: not "\ue000" <= w[0] < "\ue003"
+    want = set()
+    for i, t in ts.items():
+        n = sum(map(literal, t))
+        if n >= min(4, len(t)) and len(t) < 8 or len(t) >= 4 and n >= 1:
+            want |= {(d, i) for d, own in ds.items() if plain(own, t, len(t))}
+        elif n:
+            strip = lambda w: w.strip("\ue000\ue001\ue002")
+            want |= {(d, i) for d, own in ds.items() if any([strip(w) for w in own[a : a + len(t)]] == [strip(w) for w in t] for a in range(len(own)))}
+    assert found_pairs(spark, docs, items) == want and want
