@@ -8,6 +8,7 @@ small tables parsed by the driver.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,12 @@ from codeloom.plans.shared import materialize
 JS_ENDINGS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json", ".vue", ".d.ts")
 COMPILED = {".js": (".ts", ".tsx", ".d.ts"), ".mjs": (".mts",), ".cjs": (".cts",), ".jsx": (".tsx",)}
 NODE_BUILTINS = tuple("assert buffer child_process cluster crypto dgram dns events fs http http2 https module net os path perf_hooks process querystring readline stream string_decoder timers tls tty url util v8 vm worker_threads zlib bun".split())
-PYTHON_STDLIB = tuple("abc argparse ast asyncio base64 bisect collections contextlib copy csv dataclasses datetime decimal enum functools glob hashlib heapq html http importlib inspect io itertools json logging math multiprocessing operator os pathlib pickle queue random re shutil signal socket sqlite3 ssl statistics string struct subprocess sys tempfile threading time traceback typing unittest urllib uuid warnings weakref xml zipfile zlib".split())
+#: The standard library of the Python that runs the driver.
+PYTHON_STDLIB = tuple(sorted(sys.stdlib_module_names))
+# Classes and interfaces that PHP itself declares.
+PHP_CLASSES = tuple(
+    "ArgumentCountError ArithmeticError ArrayAccess ArrayIterator ArrayObject Attribute BackedEnum CachingIterator Closure Collator Countable CURLFile DateInterval DatePeriod DateTime DateTimeImmutable DateTimeInterface DateTimeZone DirectoryIterator DivisionByZeroError DOMDocument DOMElement DOMNode DOMXPath DomainException Error ErrorException Exception Fiber FilesystemIterator FilterIterator Generator InvalidArgumentException Iterator IteratorAggregate IteratorIterator JsonException JsonSerializable LengthException LimitIterator Locale LogicException MessageFormatter mysqli NumberFormatter OuterIterator OutOfBoundsException OutOfRangeException OverflowException ParseError PDO PDOException PDOStatement Phar RangeException RecursiveDirectoryIterator RecursiveIteratorIterator Reflection ReflectionClass ReflectionException ReflectionFunction ReflectionMethod ReflectionNamedType ReflectionObject ReflectionProperty RegexIterator RuntimeException Serializable SimpleXMLElement SoapClient SplDoublyLinkedList SplFileInfo SplFileObject SplFixedArray SplHeap SplMaxHeap SplMinHeap SplObjectStorage SplPriorityQueue SplQueue SplStack SplSubject SplObserver stdClass Stringable Throwable Transliterator Traversable TypeError UnderflowException UnexpectedValueException UnitEnum UnhandledMatchError ValueError WeakMap WeakReference XMLReader XMLWriter ZipArchive".split()
+)
 
 
 @dataclass(frozen=True)
@@ -38,6 +44,10 @@ class Rules:
     go_module: str | None = None
 
 
+def _among(name: Column, names: tuple[str, ...]) -> Column:
+    return name.isin(*names) if names else F.lit(False)
+
+
 def _folder(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"^(.*)/[^/]*\z", 1), r"^/", "")
 
@@ -75,7 +85,7 @@ def candidates(imports: DataFrame, rules: Rules) -> DataFrame:
     package = F.regexp_extract(target, r"^((?:@[^/]+/)?[^/]+)", 1)
     aliased = F.flatten(F.transform(_aliased(target, rules), _js_candidates))
     js_paths = F.when(relative, _js_candidates(joined)).when(F.size(_aliased(target, rules)) > 0, aliased).when(target.startswith("@/"), _js_candidates(F.concat(F.lit("src/"), F.substring(target, F.lit(3), F.length(target)))))
-    js_status = F.when(F.regexp_replace(package, "^(?:node|bun):", "").isin(*NODE_BUILTINS) | target.rlike("^(?:node|bun):"), "external").when(package.isin(*rules.js_packages, ""), "external")
+    js_status = F.when(F.regexp_replace(package, "^(?:node|bun):", "").isin(*NODE_BUILTINS) | target.rlike("^(?:node|bun):"), "external").when(_among(package, rules.js_packages), "external")
 
     dots = F.length(F.regexp_extract(target, r"^(\.+)", 1))
     dotted = F.replace(F.regexp_replace(target, r"^\.+", ""), F.lit("."), F.lit("/"))
@@ -93,7 +103,8 @@ def candidates(imports: DataFrame, rules: Rules) -> DataFrame:
         fits = F.startswith(target, F.lit(prefix))
         psr = F.when(fits, to) if psr is None else psr.when(fits, to)
     php_paths = psr if psr is not None else F.lit(None).cast("array<string>")
-    php_status = F.when(F.regexp_extract(target, r"^\\?([^\\]+)", 1).isin(*rules.php_vendors, ""), "external")
+    bare = F.regexp_replace(target, r"^\\", "")
+    php_status = F.when(_among(F.regexp_extract(target, r"^\\?([^\\]+)", 1), rules.php_vendors) | bare.isin(*PHP_CLASSES), "external")
 
     own = F.lit(rules.go_module or "\0")
     inside = (target == own) | F.startswith(target, F.concat(own, F.lit("/")))

@@ -356,6 +356,78 @@ def reexport_chase(c):
     return chase(asks, words, names.filter("file % 7 = 0")).select("ask", "file", "hops")
 
 
+_LEGACY_SQL = """, asks AS (SELECT file_id, path AS source, CASE file_id%6 WHEN 0 THEN './doc_'||(file_id+200) WHEN 1 THEN '../services/doc_'||(file_id+1)||'.'||ext WHEN 2 THEN upper(path) WHEN 3 THEN regexp_replace(path,'[.][^/.]+$','') WHEN 4 THEN 'models/doc_'||(file_id-2) ELSE 'zod' END AS target FROM files),
+stems AS (SELECT lower(regexp_replace(path,'[.][^/.]+$','')) AS stem, path FROM files),
+shaped AS (SELECT *, regexp_replace(source,'/[^/]*$','') AS dir FROM asks),
+joined AS (SELECT *, lower(CASE WHEN target LIKE './%' THEN dir||substring(target,2) WHEN target LIKE '../%' THEN regexp_replace(dir,'/[^/]*$','')||substring(target,3) END) AS j, lower(target) AS a FROM shaped),
+hits AS (SELECT joined.file_id, 1 AS step, path FROM joined JOIN files f ON lower(f.path)=j UNION ALL SELECT j.file_id, 2, path FROM joined j JOIN stems ON stem=regexp_replace(j.j,'[.][^/.]+$','')
+  UNION ALL SELECT j.file_id, 3, path FROM joined j JOIN files f ON lower(f.path)=a UNION ALL SELECT j.file_id, 4, path FROM joined j JOIN stems ON stem=regexp_replace(a,'[.][^/.]+$','')
+  UNION ALL SELECT j.file_id, 5, path FROM joined j JOIN stems ON ends_with(stem, '/'||a))
+SELECT file_id, step, file FROM joined LEFT JOIN (SELECT file_id, step, path AS file, row_number() OVER (PARTITION BY file_id ORDER BY step, path) AS k FROM hits) h USING (file_id) WHERE k=1 OR k IS NULL"""
+
+
+@query(with_tables("files") + _LEGACY_SQL)
+def legacy_files(c):
+    from codeloom.operators.legacy import resolve_files
+
+    files, i = c.files(), F.col("file_id")
+    target = (
+        F.when(i % 6 == 0, F.concat(F.lit("./doc_"), (i + 200).cast("string")))
+        .when(i % 6 == 1, F.concat(F.lit("../services/doc_"), (i + 1).cast("string"), F.lit("."), "ext"))
+        .when(i % 6 == 2, F.upper("path"))
+        .when(i % 6 == 3, F.regexp_replace("path", r"\.[^/.]+\z", ""))
+        .when(i % 6 == 4, F.concat(F.lit("models/doc_"), (i - 2).cast("string")))
+        .otherwise("zod")
+    )
+    asks = files.select("file_id", F.col("path").alias("source"), target.alias("target"))
+    return resolve_files(asks, files.select("path")).select("file_id", "step", "file")
+
+
+_CASCADE_SQL = r""", doms AS (SELECT name, root_path AS root, row_number() OVER (ORDER BY name) AS place FROM domains),
+syms AS (SELECT s.name, min(f.domain) AS domain FROM symbols s JOIN files f USING (file_id) WHERE kind='class' GROUP BY 1),
+asks AS (SELECT file_id, path, domain, CASE file_id%8 WHEN 0 THEN '../models/x' WHEN 1 THEN '@pkg/'||domain||'/deep' WHEN 2 THEN replace(d.root_path,'/','.')||'.y' WHEN 3 THEN path WHEN 4 THEN 'App\Brand'||(10*(1+file_id//8%5)+1+file_id//40%6) WHEN 5 THEN 'lib/'||upper(d.root_path)||'/z' WHEN 6 THEN '.x' ELSE 'zod' END AS target FROM files f JOIN domains d ON d.name=f.domain),
+named AS (SELECT a.file_id, s.domain FROM asks a JOIN syms s ON s.name=substring(a.target,5))
+SELECT a.file_id, CASE file_id%8 WHEN 4 THEN n.domain WHEN 5 THEN (SELECT arg_min(name, place) FROM doms WHERE contains('/'||lower(a.target), '/'||root||'/')) WHEN 7 THEN NULL ELSE a.domain END AS domain,
+  (CASE file_id%8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 6 WHEN 4 THEN CASE WHEN n.domain IS NOT NULL THEN 7 END WHEN 5 THEN 8 WHEN 6 THEN 1 END)::INT AS step FROM asks a LEFT JOIN named n USING (file_id)"""
+
+
+@query(with_tables("files", "symbols") + _CASCADE_SQL)
+def legacy_domains(c):
+    """Each step of the cascade, hit by the files of one remainder."""
+    from codeloom.operators.legacy import resolve_domains
+
+    files, i = c.files(), F.col("file_id")
+    order = Window.orderBy("name")  # a fixed list of nations and regions
+    domains = c.domains().select("name", F.col("root_path").alias("root"), F.row_number().over(order).alias("place"))
+    symbols = c.symbols().filter("kind = 'class'").join(files, "file_id").select("name", "domain")
+    packages = domains.select(F.concat(F.lit("@pkg/"), "name").alias("name"), F.col("name").alias("domain"))
+    rows = files.join(domains.select(F.col("name").alias("domain"), "root"), "domain")
+    target = (
+        F.when(i % 8 == 0, "../models/x")
+        .when(i % 8 == 1, F.concat(F.lit("@pkg/"), "domain", F.lit("/deep")))
+        .when(i % 8 == 2, F.concat(F.replace("root", F.lit("/"), F.lit(".")), F.lit(".y")))
+        .when(i % 8 == 3, F.col("path"))
+        .when(i % 8 == 4, F.concat(F.lit("App\\Brand"), ((F.floor(i / 8) % 5 + 1) * 10 + 1 + F.floor(i / 40) % 6).cast("string")))
+        .when(i % 8 == 5, F.concat(F.lit("lib/"), F.upper("root"), F.lit("/z")))
+        .when(i % 8 == 6, ".x")
+        .otherwise("zod")
+    )
+    asks = rows.select("file_id", F.col("path").alias("source"), target.alias("target"))
+    return resolve_domains(asks, domains, files.select("path", "domain"), symbols, packages).select("file_id", "domain", "step")
+
+
+@query(
+    with_tables("files")
+    + """, sized AS (SELECT file_id, path, file_id%16 AS lane, coalesce(sum(size_bytes) OVER (PARTITION BY file_id%16 ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT//65536 AS part FROM files),
+cut AS (SELECT *, (row_number() OVER (PARTITION BY lane, part ORDER BY path)-1)//50 AS slice FROM sized)
+SELECT file_id, (dense_rank() OVER (ORDER BY lane, part, slice)-1)::INT AS batch FROM cut"""
+)
+def commit_batches(c):
+    from codeloom.sources.commits import Limits, packed
+
+    return packed(c.files(), Limits(50, 1 << 16), lane=F.col("file_id") % 16).select("file_id", "batch")
+
+
 _MATCH_SQL = "CASE WHEN http_method='GET' AND route_uri='/en/{id}' THEN 1 WHEN http_method='GET' AND norm='/en/:param' THEN 2 WHEN route_uri='/en/{id}' THEN 3 WHEN route_name='get._en_id_' THEN 4 END"
 
 

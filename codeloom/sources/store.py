@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.operators.catalog import replace_rows, snapshot_diff
@@ -59,21 +60,75 @@ class CatalogStore:
         """Names of the current tables; none when they were written under another schema."""
         return set(self._pointer()["tables"])
 
+    def _read(self, place: str | dict[str, str]) -> DataFrame:
+        """A table at its place, or at the places of its buckets."""
+        if isinstance(place, str):
+            return self.spark.read.parquet(f"{self.root}/{place}")
+        return self.spark.read.parquet(*[f"{self.root}/{p}" for p in sorted(set(place.values()))])
+
     def read(self, name: str) -> DataFrame:
         """A table of the current version."""
-        return self.spark.read.parquet(f"{self.root}/{self._pointer()['tables'][name]}")
+        return self._read(self._pointer()["tables"][name])
+
+    def marks(self) -> dict[str, str]:
+        """Values kept with the current version."""
+        return self._pointer().get("marks", {})
+
+    def last(self, stream: str) -> int:
+        """The last batch of a stream that was committed, else -1."""
+        return self._pointer().get("batches", {}).get(stream, -1)
 
-    def publish(self, tables: dict[str, DataFrame]) -> int:
+    def committed(self, batch: tuple[str, int]) -> bool:
+        """Whether a batch (stream, number) is part of the current version."""
+        return batch[1] <= self.last(batch[0])
+
+    def publish(self, tables: dict[str, DataFrame], marks: dict[str, str | None] | None = None) -> int:
         """Write the given tables and make them, with all others as they are, the next version."""
         now = self._pointer()
-        version = now["version"] + 1
-        places = dict(now["tables"])
+        folder = f"v{now['version'] + 1}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            places[name] = f"v{version}-{uuid.uuid4().hex[:8]}/{name}"
-            df.write.parquet(f"{self.root}/{places[name]}")
+            df.write.parquet(f"{self.root}/{folder}/{name}")
+        return self._commit(now, {name: f"{folder}/{name}" for name in tables}, marks)
+
+    def replace_buckets(self, tables: dict[str, tuple[DataFrame, str, DataFrame]], buckets: list[int], bucket_of: Callable[[Column], Column], batch: tuple[str, int], marks: dict[str, str | None] | None = None) -> int:
+        """The next version: of each table (fresh rows, key, touched paths) the given buckets are written anew, without the rows of touched paths.
+
+        A table that is not in buckets yet is dealt whole.
+        """
+        now = self._pointer()
+        folder = f"v{now['version'] + 1}-{uuid.uuid4().hex[:8]}"
+        places = {}
+        for name, (fresh, key, touched) in tables.items():
+            place = now["tables"].get(name, {})
+            whole = isinstance(place, str)
+            held = {} if whole else dict(place)
+            parts = [held[str(b)] for b in buckets if str(b) in held]
+            rows = fresh
+            if whole or parts:
+                old = self._read(place if whole else dict(enumerate(parts)))
+                rows = old.join(touched.select(F.col("path").alias(key)), key, "left_anti").unionByName(fresh)
+            at = f"{folder}/{name}"
+            dealt = rows.withColumn("__bucket", bucket_of(F.col(key)))
+            # A bucket is one file a task; an empty one has none.
+            dealt.repartition(max(len(buckets), 1), "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{at}")
+            made = {f.getPath().getName().split("=")[1] for f in self._fs.listStatus(self._path(f"{self.root}/{at}")) if "=" in f.getPath().getName()}
+            held = {b: p for b, p in held.items() if int(b) not in buckets} | {b: f"{at}/__bucket={b}" for b in made}
+            if not held:
+                rows.limit(0).write.parquet(f"{self.root}/{at}/none")
+                held = {"none": f"{at}/none"}
+            elif "none" in held and len(held) > 1:
+                del held["none"]
+            places[name] = held
+        return self._commit(now, places, marks, batch)
+
+    def _commit(self, now: dict, tables: dict, marks: dict[str, str | None] | None, batch: tuple[str, int] | None = None) -> int:
+        """Make the tables' new places, the marks and the batch's number the next version."""
+        version = now["version"] + 1
+        kept = {k: v for k, v in (now.get("marks", {}) | (marks or {})).items() if v is not None}
+        batches = now.get("batches", {}) | ({batch[0]: batch[1]} if batch else {})
         fresh = self._path(f"{self.root}/_NEXT-{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "version": version, "tables": places}).encode()))
+        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "version": version, "tables": now["tables"] | tables, "marks": kept, "batches": batches}).encode()))
         out.close()
         # Pointers are numbered and never replaced: until the rename, readers have the version before; of two writers one fails.
         next_ = self._path(f"{self.root}/{POINTER}{version}")

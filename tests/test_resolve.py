@@ -90,3 +90,9 @@ def test_all_guards_and_every_way_to_dispatch(spark):
     f = spark.createDataFrame([(body,)], "b string").select(facts(F.col("b")).alias("f")).first().f
     assert f.guards == ["AuthGuard", "RolesGuard", "ScopeGuard"]
     assert f.jobs == ["ProcessPayment", "PayJob", "MailJob", "Late"] and f.events == ["Seen"]
+
+
+def test_standard_names_and_empty_targets(spark):
+    asks = [("m.py", "python", "bz2"), ("m.py", "python", "calendar"), ("m.py", "python", "nowhere"), ("m.php", "php", "Exception"), ("m.php", "php", "\\Closure"), ("m.php", "php", "PDO"), ("m.php", "php", "Unknown\\Lib"), ("m.ts", "typescript", ""), ("m.php", "php", "")]
+    rows = resolve(spark.createDataFrame(asks, "source string, language string, target string"), spark.createDataFrame([("m.py",)], "path string"), Rules()).collect()
+    assert {(r.language, r.target): r.status for r in rows} == {(g, t): "external" if t in ("bz2", "calendar", "Exception", "\\Closure", "PDO") else "unresolved" for _, g, t in asks}
