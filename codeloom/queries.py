@@ -428,6 +428,38 @@ def commit_batches(c):
     return packed(c.files(), Limits(50, 1 << 16), lane=F.col("file_id") % 16).select("file_id", "batch")
 
 
+_DISCOVERY_SQL = """WITH f AS (SELECT 'r'||doc_id%60 AS repo, doc_id%60%5 AS kind, doc_id//60 AS q FROM documents),
+d AS (SELECT DISTINCT repo, kind, CASE kind WHEN 0 THEN (['apps','packages','libs'])[q%3+1] WHEN 3 THEN (['pkg','internal','cmd'])[q%3+1] ELSE '' END AS top,
+  CASE kind WHEN 0 THEN (['web','core','api'])[q//3%3+1] WHEN 1 THEN 'm'||q%4 WHEN 2 THEN (['core','cli','types','util'])[q%4+1] WHEN 3 THEN (['pkg','store','run'])[q%3+1] ELSE (['shop','bank'])[q%2+1] END AS sub FROM f),
+n AS (SELECT *, CASE WHEN kind=0 AND count(*) OVER (PARTITION BY repo, sub)>1 THEN top||'-'||sub WHEN top='cmd' THEN 'cmd-run' ELSE sub END AS name FROM d),
+pairs AS (SELECT a.repo, a.name, string_agg(b.name, ',' ORDER BY b.name) FILTER (CASE a.kind WHEN 0 THEN a.top='apps' AND b.top<>'apps' WHEN 2 THEN a.sub<>'types' AND (b.sub='types' OR (a.sub<>'core' AND b.sub='core')) WHEN 3 THEN (a.top='internal' AND b.top='pkg') OR (a.top='cmd' AND b.top<>'cmd') ELSE false END) AS allowed,
+  string_agg(b.name, ',' ORDER BY b.name) FILTER (CASE a.kind WHEN 0 THEN a.top<>'apps' AND b.top='apps' WHEN 2 THEN (a.sub='core' AND b.sub='cli') OR (a.sub='types' AND b.sub IN ('cli','core')) ELSE false END) AS forbidden
+  FROM n a JOIN n b ON a.repo=b.repo GROUP BY a.repo, a.name)
+SELECT repo, (kind+1)::INT AS tier, name, CASE kind WHEN 0 THEN top||'/'||sub WHEN 1 THEN 'src/modules/'||sub WHEN 2 THEN 'src/'||sub WHEN 3 THEN CASE top WHEN 'pkg' THEN 'pkg' ELSE top||'/'||sub END ELSE sub END AS root,
+  CASE kind WHEN 1 THEN 'common,root,shared' ELSE coalesce(allowed,'') END AS allowed, CASE WHEN kind=3 AND top='pkg' THEN 'cmd,internal' WHEN kind=3 AND top='internal' THEN 'cmd' ELSE coalesce(forbidden,'') END AS forbidden
+FROM n JOIN pairs USING (repo, name)"""
+
+
+@query(_DISCOVERY_SQL)
+def domain_discovery(c):
+    """Documents as the files of sixty repositories, twelve of each layout."""
+    from codeloom.operators.discovery import discover
+
+    i, kind, q = F.col("doc_id"), F.col("doc_id") % 60 % 5, F.floor(F.col("doc_id") / 60)
+    pick = lambda at, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (at % len(values) + 1).cast("int"))
+    folder = (
+        F.when(kind == 0, F.concat_ws("/", pick(q, "apps", "packages", "libs"), pick(F.floor(q / 3), "web", "core", "api")))
+        .when(kind == 1, F.concat(F.lit("src/modules/m"), (q % 4).cast("string")))
+        .when(kind == 2, F.concat(F.lit("src/"), pick(q, "core", "cli", "types", "util")))
+        .when(kind == 3, pick(q, "pkg", "internal/store", "cmd/run"))
+        .otherwise(pick(q, "shop", "bank"))
+    )
+    repo = F.concat(F.lit("r"), (i % 60).cast("string"))
+    files = c.table("documents").select(repo.alias("repo"), F.concat(folder, F.lit("/f"), i.cast("string")).alias("path"), F.lit(True).alias("is_source"), kind.alias("kind"))
+    repos = files.select("repo", F.when(F.col("kind") == 3, "go").otherwise("typescript").alias("language"), F.lit(None).cast("string").alias("framework"), (F.col("kind") == 0).alias("is_monorepo")).distinct()
+    return discover(files, repos).select("repo", "tier", "name", "root", F.array_join("allowed", ",").alias("allowed"), F.array_join("forbidden", ",").alias("forbidden"))
+
+
 _MATCH_SQL = "CASE WHEN http_method='GET' AND route_uri='/en/{id}' THEN 1 WHEN http_method='GET' AND norm='/en/:param' THEN 2 WHEN route_uri='/en/{id}' THEN 3 WHEN route_name='get._en_id_' THEN 4 END"
 
 
