@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import touchpoint_regex
+from codeloom.operators.graph import strong_components
 
 
 def audit(edges: DataFrame, policy: DataFrame, strict: bool = True) -> DataFrame:
@@ -46,6 +47,19 @@ def staged_audit(baseline: DataFrame, staged: DataFrame, policy: DataFrame, stri
     return audit(after, policy, strict).join(touched, "file", "left_semi")
 
 
+def staged_cycles(baseline: DataFrame, staged: DataFrame) -> DataFrame:
+    """(src, dst, component) of domain edges on a cycle after a commit, where a staged file has the edge; arguments as in :func:`staged_audit`.
+
+    Cycles have any length; a component is named by its least domain.
+    """
+    touched = staged.select("file").distinct()
+    own = staged.filter("status <> 'D' and dst is not null").select("src", "dst").distinct()
+    after = baseline.join(touched, "file", "left_anti").select("src", "dst").unionByName(own).filter("src <> dst").distinct()
+    on = strong_components(after)
+    met = own.filter("src <> dst").join(on.select(F.col("node").alias("src"), "component"), "src").join(on.select(F.col("node").alias("dst"), F.col("component").alias("there")), "dst")
+    return met.filter("component = there").select("src", "dst", "component")
+
+
 def proposed(imports: DataFrame, domains: DataFrame, policy: DataFrame, strict: bool = True) -> DataFrame:
     """Violations of proposed imports (file, src, dst, line): an unmapped source is one violation at line 1."""
     known = domains.select(F.col("name").alias("src"), F.lit(True).alias("mapped"))

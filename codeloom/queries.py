@@ -460,6 +460,20 @@ def domain_discovery(c):
     return discover(files, repos).select("repo", "tier", "name", "root", F.array_join("allowed", ",").alias("allowed"), F.array_join("forbidden", ",").alias("forbidden"))
 
 
+@query(
+    """WITH c AS (SELECT user_id, event_type AS name, event_id AS seq, event_id%3=0 AS fills, 't'||event_id%7 AS type FROM events),
+s AS (SELECT user_id, name, arg_max(type, seq) FILTER (NOT fills) AS defined, arg_min(type, seq) FILTER (fills) AS filled, min(seq) AS first FROM c GROUP BY 1,2)
+SELECT user_id, name, coalesce(defined, filled) AS type, (row_number() OVER (PARTITION BY user_id ORDER BY first, name))::INT AS place FROM s"""
+)
+def schema_fold(c):
+    """Events as changes of a user's fields; every third only fills in."""
+    from codeloom.operators.schema import fold
+
+    i = F.col("event_id")
+    changes = c.table("events").select("user_id", F.col("event_type").alias("name"), F.concat(F.lit("t"), (i % 7).cast("string")).alias("field"), (i % 3 == 0).alias("fills"), "event_id")
+    return fold(changes, "user_id", ["event_id"]).select("user_id", "name", F.col("field").alias("type"), "place")
+
+
 _MATCH_SQL = "CASE WHEN http_method='GET' AND route_uri='/en/{id}' THEN 1 WHEN http_method='GET' AND norm='/en/:param' THEN 2 WHEN route_uri='/en/{id}' THEN 3 WHEN route_name='get._en_id_' THEN 4 END"
 
 
