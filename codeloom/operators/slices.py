@@ -22,6 +22,64 @@ def match(slices: DataFrame, query: str) -> DataFrame:
     return slices.withColumn("match_rank", rank.when(F.col("route_name") == name, 4)).filter("match_rank is not null")
 
 
+def trace(slices: DataFrame, query: str, key: str = "slice_id") -> DataFrame:
+    """Slices that a query names, by the first step that names any: with ``step``, ``confidence`` and ``role``.
+
+    Steps: method and URI, literal else with parameters alike (1); URI, literal
+    else alike (2); route name (3); a trigger such as ``JOB name`` (4);
+    ``Controller@action``, or a controller alone (5); a symbol or file of the
+    chain, the action or the controller (6). A method with a URI looks no
+    further than its step. ``slices`` has http_method, route_uri, route_name,
+    controller_class, action_name and chain, an array of (symbol, file). Of
+    several the least by ``key`` is ``primary``; steps 3 to 6 give that one
+    alone. One pass over the slices; nothing matches null columns.
+    """
+    asked = query.strip()
+    low = asked.lower()
+    text = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    none = F.lit(False)
+    uri = F.coalesce("route_uri", F.lit(""))
+    alike = lambda u: normalise_uri(uri) == normalise_uri(F.lit(u))
+    verbed = re.fullmatch(r"(?i)(GET|POST|PUT|PATCH|DELETE)\s+(/\S+)", asked)
+    tests: list[tuple[int, Column, Column]] = []  # step, whether it fits, whether literally
+    if verbed:
+        same = F.upper("http_method") == verbed[1].upper()
+        tests.append((1, same & alike(verbed[2]), same & (uri == verbed[2])))
+    else:
+        tests.append((2, alike(asked), uri == asked))
+        name = text(F.col("route_name"))
+        tests.append((3, (name != "") & (name == low), name == low))
+        trigger = re.fullmatch(r"(?i)(JOB|CLI|EVENT)\s+([A-Za-z0-9_:-]+)", asked)
+        if trigger:
+            kind, target = trigger[1], trigger[2].lower()
+            names = (text(F.col("controller_class")) == target) | text(uri).isin(target, f"{kind.lower()}:{target}")
+            tests.append((4, (F.upper("http_method") == kind.upper()) & names, names))
+        action = re.fullmatch(r"([A-Za-z0-9_\\/.]+?)(?:(?:@|::)([A-Za-z0-9_]+))?", asked)
+        if action:
+            owner = re.sub(r"(?i)\.(?:php|ts|js)$", "", re.split(r"[\\/]", action[1])[-1]).lower()
+            cls = text(F.col("controller_class"))
+            fits = (cls == owner) | cls.endswith("\\" + owner) | cls.endswith("/" + owner)
+            if action[2]:
+                fits = fits & (text(F.col("action_name")) == action[2].lower())
+            elif not owner.endswith("controller"):
+                fits = fits & (cls == owner)
+            tests.append((5, fits & (F.lit(owner) != ""), fits))
+        inside = F.exists(F.coalesce("chain", F.array().cast("array<struct<symbol:string,file:string>>")), lambda n: F.contains(text(n["symbol"]), F.lit(low)) | F.contains(text(n["file"]), F.lit(low)))
+        tests.append((6, ((text(F.col("action_name")) == low) | (text(F.col("controller_class")) == low) | inside) & F.lit(low != ""), none))
+    # A literal match comes before one that is alike.
+    place = F.coalesce(*[x for step, fits, exact in tests for x in ([F.when(fits & exact, 2 * step), F.when(fits, 2 * step + 1)])])
+    met = slices.withColumn("place", place).filter("place is not null")
+    least = met.agg(F.min("place").alias("place"))
+    best = met.join(F.broadcast(least), "place")  # one row
+    one, many = "first_" + key, "many_" + key
+    facts = best.groupBy("place").agg(F.min(key).alias(one), (F.count("*") > 1).alias(many))  # one row
+    step = F.floor(F.col("place") / 2).cast("int")
+    # A method's URI that several slices have is no exact answer.
+    exact = (F.col("place") % 2 == 0) & ~((step == 1) & F.col(many))
+    shown = best.join(F.broadcast(facts), "place").withColumn("role", F.when(F.col(key) == F.col(one), "primary").otherwise("alternative")).withColumn("confidence", F.when(exact, "exact").otherwise("inferred")).withColumn("step", step)
+    return shown.filter((F.col("role") == "primary") | (F.col("step") <= 2)).drop("place", one, many)
+
+
 def token_score(query: str, corpus: Column, uri: Column, action: Column) -> Column:
     """One point for each word of the query in a slice's text, two more if in its URI, two more if in its action."""
     from codeloom.functions.text import STOP_WORDS

@@ -487,6 +487,37 @@ def slice_match(c):
     return match(c.slices(), "GET /en/{id}").orderBy("match_rank", "slice_id").limit(20).select("slice_id", "http_method", "route_uri", "match_rank")
 
 
+_TRACE_SQL = r""", owned AS (SELECT *, 'App\Http\Page'||slice_id%40||'Controller' AS controller_class, (['index','show','store','drop'])[slice_id%4+1] AS action_name FROM slices),
+said AS (SELECT slice_id, {test} AS fits FROM owned)
+SELECT slice_id, {step} AS step, {confidence} AS confidence, CASE WHEN k=1 THEN 'primary' ELSE 'alternative' END AS role FROM (SELECT *, row_number() OVER (ORDER BY slice_id) AS k FROM said WHERE fits) WHERE {kept}"""
+
+
+def _traced(c, asked: str) -> DataFrame:
+    from codeloom.operators.slices import trace
+
+    i = F.col("slice_id")
+    owner = F.concat(F.lit("App\\Http\\Page"), (i % 40).cast("string"), F.lit("Controller"))
+    action = F.element_at(F.array(*[F.lit(a) for a in ("index", "show", "store", "drop")]), (i % 4 + 1).cast("int"))
+    chain = F.array(F.struct(F.concat(owner, F.lit("::"), action).alias("symbol"), F.concat(F.lit("app/page"), (i % 40).cast("string"), F.lit(".php")).alias("file")))
+    rows = c.slices().select("slice_id", "http_method", "route_uri", "route_name", owner.alias("controller_class"), action.alias("action_name"), chain.alias("chain"))
+    return trace(rows, asked).select("slice_id", "step", "confidence", "role")
+
+
+@query(with_tables("slices") + _TRACE_SQL.format(test="http_method='GET' AND route_uri='/en/{{id}}'", step=1, confidence="CASE WHEN count(*) OVER () > 1 THEN 'inferred' ELSE 'exact' END", kept="true").replace("{{", "{").replace("}}", "}"))
+def slice_trace_route(c):
+    return _traced(c, "get /en/{id}")
+
+
+@query(with_tables("slices") + _TRACE_SQL.format(test=r"controller_class='App\Http\Page7Controller' AND action_name='drop'", step=5, confidence="'exact'", kept="k=1"))
+def slice_trace_action(c):
+    return _traced(c, "Page7Controller@drop")
+
+
+@query(with_tables("slices") + _TRACE_SQL.format(test="contains('app/page'||slice_id%40||'.php', 'page3')", step=6, confidence="'inferred'", kept="k=1"))
+def slice_trace_symbol(c):
+    return _traced(c, "app/page3")
+
+
 @query(
     with_tables("slices")
     + """SELECT slice_id, score FROM (SELECT slice_id, list_sum([CASE WHEN contains(lower(route_uri||' '||route_name), t) THEN 1 + CASE WHEN contains(lower(route_uri), t) THEN 2 ELSE 0 END + CASE WHEN contains(lower(http_method), t) THEN 2 ELSE 0 END ELSE 0 END FOR t IN ['update','html','put']])::BIGINT AS score FROM slices) WHERE score>0"""

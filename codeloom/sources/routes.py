@@ -29,7 +29,7 @@ _Q = r"['\"`](?P<uri>[^'\"`\n]*)['\"`]"
 ROUTES = {
     "fastapi": (("python",), rf"^[ \t]*@(?P<router>\w+)\.(?P<verb>{_VERBS})\(\s*{_Q}[^\n]*\n(?:[ \t]*@[^\n]*\n)*[ \t]*(?:async\s+)?def\s+(?P<handler>\w+)"),
     "flask": (("python",), rf"^[ \t]*@(?P<router>\w+)\.route\(\s*{_Q}(?P<args>[^\n]*)\n(?:[ \t]*@[^\n]*\n)*[ \t]*(?:async\s+)?def\s+(?P<handler>\w+)"),
-    "django": (("python",), r"\b(?:path|re_path)\(\s*r?['\"](?P<uri>[^'\"\n]*)['\"]\s*,\s*(?!include)(?P<handler>[\w.]+)"),
+    "django": (("python",), r"\b(?:path|re_path|url)\(\s*r?['\"](?P<uri>[^'\"\n]*)['\"]\s*,\s*(?!include)(?P<handler>[\w.]+)"),
     "nestjs": (("typescript",), rf"@(?P<verb>(?i:{_VERBS}))\(\s*(?:['\"`](?P<uri>[^'\"`\n]*)['\"`])?\s*\)\s*(?:@[^\n]*\s*)*(?:public\s+)?(?:async\s+)?(?P<handler>\w+)\s*\("),
     "go": (("go",), r"\b(?P<router>\w+)\.(?P<verb>GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete|HandleFunc)\(\s*\"(?P<uri>[^\"\n]*)\"\s*,\s*(?P<rest>[^\n]*)\)"),
 }
@@ -39,6 +39,11 @@ MOUNTS = {
     "flask": (("python",), r"\b(?P<parent>\w+)\.register_blueprint\(\s*(?P<child>[\w.]+)(?:[^)\n]*url_prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"])?"),
     "go": (("go",), r"\b(?P<child>\w+)\s*:?=\s*(?P<parent>\w+)\.(?:Group|Route)\(\s*\"(?P<path>[^\"\n]*)\""),
 }
+# A URL configuration that includes a module's, or a router's; and a router's view sets, with the routes of each.
+INCLUDE = r"\b(?:path|re_path|url)\(\s*r?['\"](?P<path>[^'\"\n]*)['\"]\s*,\s*include\(\s*\(?\s*(?:['\"](?P<module>[\w.]+)['\"]|(?P<router>\w+)(?:\.urls)?)"
+VIEWSET = r"\b(?P<router>\w+)\.register\(\s*r?['\"](?P<uri>[^'\"\n]*)['\"]\s*,\s*(?:\w+\.)*(?P<cls>\w+)"
+VIEWS = (("GET", "", "list"), ("POST", "", "create"), ("GET", "/{id}", "retrieve"), ("PUT", "/{id}", "update"), ("PATCH", "/{id}", "partial_update"), ("DELETE", "/{id}", "destroy"))
+URLCONF = "urlpatterns"
 # A router's own prefix, where it is made.
 OWN_PREFIX = {"python": r"\b(?P<router>\w+)\s*=\s*(?:APIRouter|Blueprint)\([^)\n]*?(?:url_)?prefix\s*=\s*['\"](?P<path>[^'\"\n]*)['\"]"}
 #: What a file brings in: a module's own value, or names of it, each perhaps under another name.
@@ -90,8 +95,18 @@ def facts_of(path: str, language: str, source: str) -> Iterator[tuple]:
                 if not above:
                     continue
                 prefix = above[-1][1] or ""
+            router = URLCONF if framework == "django" else g.get("router") or ""
             for verb in verbs:
-                yield path, framework, "route", {"ANY": "GET", "HANDLEFUNC": "GET"}.get(verb, verb), f"{prefix}/{g.get('uri') or ''}" if prefix else g.get("uri") or "", g.get("router") or "", None, handler, chain[:-1], line(m.start())
+                yield path, framework, "route", {"ANY": "GET", "HANDLEFUNC": "GET"}.get(verb, verb), f"{prefix}/{g.get('uri') or ''}" if prefix else g.get("uri") or "", router, None, handler, chain[:-1], line(m.start())
+    for m in re.finditer(INCLUDE, blank) if language == "python" else ():
+        # A module's configuration is its ``urlpatterns``, imported under a name of its own.
+        child = m["router"] or f"include:{m['module'].replace('.', '/')}"
+        yield path, "django", "mount", None, m["path"].removeprefix("^"), child, URLCONF, None, [], line(m.start())
+        if m["module"]:
+            yield path, language, "import", None, m["module"], child, None, URLCONF, [], 0
+    for m in re.finditer(VIEWSET, blank) if language == "python" else ():
+        for verb, suffix, action in VIEWS:
+            yield path, "django", "route", verb, m["uri"] + suffix, m["router"], None, f"{m['cls']}@{action}", [], line(m.start())
     for framework, (languages, pattern) in MOUNTS.items():
         for m in re.finditer(pattern, blank, re.M) if language in languages else ():
             yield path, framework, "mount", None, m["path"] or "", m["child"], m["parent"], None, [], line(m.start())

@@ -93,6 +93,30 @@ def test_ranked_slices(spark):
     assert slices.ranked(rows.limit(0), F.lit(1)).count() == 0
 
 
+TRACED = [
+    (1, "GET", "/orders", "orders.index", "App\\OrderController", "index", [("OrderController::index", "app/order.php")]),
+    (2, "POST", "/orders/{id}/pay", "orders.pay", "App\\OrderController", "pay", [("PayUseCase", "app/pay.php"), (None, None)]),
+    (3, "GET", "/orders/{id}", None, "OrderController", "show", None),
+    (4, "GET", "/orders/:order", None, None, None, []),
+    (5, "JOB", "job:cleanup", None, "CleanupJob", "handle", None),
+    (6, "POST", "/orders", None, "App\\OrderController", "store", None),
+]
+
+
+@pytest.mark.parametrize(
+    ("asked", "want"),
+    [
+        ("get /orders", [(1, 1, "exact", "primary")]), ("GET /orders/{x}", [(3, 1, "inferred", "primary"), (4, 1, "inferred", "alternative")]), ("GET /orders/{id}", [(3, 1, "exact", "primary")]), ("PUT /orders", []),
+        ("/orders", [(1, 2, "exact", "primary"), (6, 2, "exact", "alternative")]), ("/orders/:any/pay", [(2, 2, "inferred", "primary")]), ("Orders.Pay", [(2, 3, "exact", "primary")]), ("job Cleanup", [(5, 4, "exact", "primary")]),
+        ("OrderController@store", [(6, 5, "exact", "primary")]), ("OrderController", [(1, 5, "exact", "primary")]), ("src/OrderController.php", [(1, 5, "exact", "primary")]), ("PayUse", [(2, 6, "inferred", "primary")]), ("pay.php", [(2, 6, "inferred", "primary")]),
+        ("handle", [(5, 6, "inferred", "primary")]), ("nothing of it", []), ("", []),
+    ],
+)
+def test_slice_trace(spark, asked, want):
+    rows = spark.createDataFrame(TRACED, "slice_id int, http_method string, route_uri string, route_name string, controller_class string, action_name string, chain array<struct<symbol:string,file:string>>")
+    assert [(r.slice_id, r.step, r.confidence, r.role) for r in slices.trace(rows, asked).orderBy("slice_id").collect()] == want
+
+
 def test_derived_feature(spark):
     rows = spark.createDataFrame([(1, "GET", "/cart", "get.cart", 7), (2, "GET", "/cart", "get.cart", 8), (3, "GET", "/x", "get.x", 9)], "slice_id long, http_method string, route_uri string, route_name string, conv_id long")
     nodes = spark.createDataFrame([(7, "Old", "o.py"), (8, "Cart::show", "c.py"), (8, "Cart::show", None), (9, "X", "x.py")], "conv_id long, symbol string, file string")

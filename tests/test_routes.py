@@ -167,6 +167,18 @@ class Plain { #[Route('/p')] public function p() {} }
     return [("src/C.php", "php", source)], {("GET", "/api/orders", "index", ()), ("GET", "/api/orders/{id}", "show", ()), ("DELETE", "/api/orders/{id}", "show", ()), ("GET", "/p", "p", ())}
 
 
+@case
+def django_includes():
+    files = [
+        ("site/urls.py", "python", "from django.urls import include, path\nurlpatterns = [path('', views.home), path('shop/', include('django_includes.shop.urls')), path('api/', include(router.urls)), re_path(r'^old/', include(('django_includes.legacy.urls', 'legacy')))]\nrouter = DefaultRouter()\nrouter.register(r'users', views.UserViewSet)\n"),
+        ("shop/urls.py", "python", "urlpatterns = [path('cart/<int:id>/', views.cart), path('more/', include('django_includes.shop.deep.urls'))]"),
+        ("shop/deep/urls.py", "python", "urlpatterns = [path('x/', views.x)]"),
+        ("legacy/urls.py", "python", "urlpatterns = [re_path(r'^y/$', views.y)]"),
+    ]
+    users = {(v, f"/api/users{s}", f"UserViewSet@{a}", ()) for v, s, a in (("GET", "", "list"), ("POST", "", "create"), ("GET", "/{id}", "retrieve"), ("PUT", "/{id}", "update"), ("PATCH", "/{id}", "partial_update"), ("DELETE", "/{id}", "destroy"))}
+    return files, users | {("GET", "/", "views.home", ()), ("GET", "/shop/cart/<int:id>", "views.cart", ()), ("GET", "/shop/more/x", "views.x", ()), ("GET", "/old/y", "views.y", ())}
+
+
 @case
 def odd_sources():
     files = [("n.ts", "typescript", None), ("e.ts", "typescript", ""), ("o.ts", "typescript", "app.get('/x', h"), ("c.ts", "typescript", "}}} app.get('/y', h) {{{"), ("q.php", "php", "Route::get('/z, [A::class, 'm']);"), (None, "typescript", "app.get('/k', h);")]
