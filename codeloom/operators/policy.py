@@ -63,7 +63,7 @@ def staged_cycles(baseline: DataFrame, staged: DataFrame) -> DataFrame:
 def proposed(imports: DataFrame, domains: DataFrame, policy: DataFrame, strict: bool = True) -> DataFrame:
     """Violations of proposed imports (file, src, dst, line): an unmapped source is one violation at line 1."""
     known = domains.select(F.col("name").alias("src"), F.lit(True).alias("mapped"))
-    rows = imports.join(F.broadcast(known), "src", "left")
+    rows = imports.join(known, "src", "left")
     unmapped = rows.filter("mapped is null").select("file").distinct().select("file", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(1).alias("line"), F.lit("unmapped_domain").alias("rule"))
     return audit(rows.filter("mapped").drop("mapped"), policy, strict).select("file", "src", "dst", "line", "rule").unionByName(unmapped)
 
