@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merge(saved: DataFrame, detected: DataFrame, key: str) -> DataFrame:
+def merge(saved: DataFrame, detected: DataFrame, key: str | list[str]) -> DataFrame:
     """A verified saved row stands; else the detected one does; rows of one side stay."""
-    names = [c for c in saved.columns if c != key]
-    a = saved.select(key, F.struct(*names).alias("a"))
-    b = detected.select(key, F.struct(*names).alias("b"))
+    key = [key] if isinstance(key, str) else key
+    names = [c for c in saved.columns if c not in key]
+    a = saved.select(*key, F.struct(*names).alias("a"))
+    b = detected.select(*key, F.struct(*names).alias("b"))
     keep = F.coalesce(F.col("a.status") == "VERIFIED", F.lit(False)) | F.col("b").isNull()
-    return a.join(b, key, "full").select(key, *[F.when(keep, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in names])
+    return a.join(b, key, "full").select(*key, *[F.when(keep, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in names])
 
 
 def is_distributed(nodes: DataFrame, most: int = 6) -> DataFrame:
