@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text
 from codeloom.operators import catalog, graph, policy
 from codeloom.plans.projection import Catalog, with_tables
+from codeloom.plans.shared import materialize
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -874,3 +875,118 @@ def distributed_nodes(c):
 
     key = F.col("s_suppkey")
     return is_distributed(c.table("supplier").select(F.when(key % 4 == 0, "host").otherwise("app").alias("layer"), F.when(key % 5 == 0, key - 1).alias("parent"), F.when(key % 7 == 0, "a.b").otherwise("local").alias("address")))
+
+
+#: Files of the repositories that customers stand for: (modulus, remainder, path, content).
+_ENV_FILES = (
+    (1, 0, "README.md", "x"),
+    (3, 0, "composer.json", '{"require":{"php":"^8.2","laravel/framework":"^11"}}'),
+    (4, 0, "package.json", '{"dependencies":{"@inertiajs/vue3":"1","pg":"8"},"engines":{"node":">=20"}}'),
+    (4, 1, "package.json", '{"devDependencies":{"better-sqlite3":"9","@sentry/vue":"7"}}'),
+    (5, 0, "go.mod", "module x\nrequire github.com/lib/pq v1"),
+    (6, 0, "public/.htaccess", "RewriteEngine On"),
+    (10, 0, ".htaccess", "LSCache on"),
+    (7, 0, ".env", "DB_CONNECTION=MySQL\nCLOUDFLARE_KEY=x"),
+    (14, 0, ".env.example", "DB_CONNECTION=pgsql\nOTEL_HOST=x"),
+    (7, 1, ".env.example", "# c\nDB_PORT=5432\nREDIS_HOST='r'\nSENTRY_DSN="),
+    (8, 0, "Dockerfile", "FROM x"),
+    (8, 1, "fly.toml", ""),
+    (9, 0, "backend/composer.json", "{}"),
+    (9, 0, "frontend/package.json", "{}"),
+    (9, 1, "apps/web/nginx.conf", ""),
+    (9, 1, "services/pay/go.mod", ""),
+    (11, 0, "nginx.conf", ""),
+    (13, 0, "wrangler.toml", ""),
+)
+_ENV_SQL = "WITH given(m, r, path, content) AS (VALUES " + ", ".join("({}, {}, '{}', '{}')".format(m, r, p, c.replace("'", "''")) for m, r, p, c in _ENV_FILES) + """),
+files AS (SELECT c_custkey AS repo, path, content FROM customer JOIN given ON c_custkey%m=r),
+spots AS (SELECT repo, '' AS unit, '' AS service, 'repository' AS kind, path, content FROM files
+  UNION ALL SELECT repo, 'backend', 'backend', 'backend', substr(path, 9), content FROM files WHERE starts_with(path,'backend/')
+  UNION ALL SELECT repo, 'frontend', 'frontend', 'frontend', substr(path, 10), content FROM files WHERE starts_with(path,'frontend/')
+  UNION ALL SELECT repo, 'apps/web', 'apps-web', 'frontend', substr(path, 10), content FROM files WHERE starts_with(path,'apps/web/')
+  UNION ALL SELECT repo, 'services/pay', 'services-pay', 'service', substr(path, 14), content FROM files WHERE starts_with(path,'services/pay/')),
+units AS (SELECT repo, unit, service, kind, list(path) AS p, max(content) FILTER (path='composer.json') AS composer, max(content) FILTER (path='package.json') AS package, coalesce(max(content) FILTER (path='go.mod'),'') AS gomod,
+  coalesce(max(content) FILTER (path='.htaccess'),'') AS ht, coalesce(max(content) FILTER (path='.env'),'') AS env, coalesce(max(content) FILTER (path='.env.example'),'') AS example FROM spots GROUP BY 1,2,3,4),
+read AS (SELECT *, chr(10)||example||chr(10)||env AS texts, CASE WHEN example<>'' THEN example ELSE env END AS shown, coalesce(contains(package,'@inertiajs/vue3'), false) AS inertia,
+  lower(regexp_extract(CASE WHEN contains(env,'DB_CONNECTION') THEN env ELSE example END, 'DB_CONNECTION=(.*)', 1)) AS conn FROM units),
+gateways AS (SELECT *, CASE WHEN list_contains(p,'public/.htaccess') THEN ['Apache / LiteSpeed Web Server','shared_hosting','public/.htaccess'] WHEN list_contains(p,'.htaccess') AND contains(ht,'LSCache') THEN ['LiteSpeed Web Server','shared_hosting','.htaccess']
+  WHEN list_contains(p,'nginx.conf') THEN ['Nginx Reverse Proxy','vps','nginx.conf'] END AS g FROM read),
+stores AS (SELECT repo, string_agg(label,' + ' ORDER BY place) FILTER (k=1) AS labels, list(DISTINCT source) AS sources FROM (SELECT *, row_number() OVER (PARTITION BY repo, split_part(label,' ',1) ORDER BY place) AS k FROM (
+  SELECT repo, 1 AS place, CASE WHEN conn='mysql' THEN 'MySQL / MariaDB' ELSE 'PostgreSQL' END AS label, '.env' AS source FROM read WHERE unit='' AND (conn IN ('mysql','pgsql') OR contains(texts,'DB_PORT=5432'))
+  UNION ALL SELECT repo, 2, 'Redis (Cache & Queues)', '.env' FROM read WHERE unit='' AND contains(texts,'REDIS_HOST')
+  UNION ALL SELECT repo, 3, 'PostgreSQL', 'package.json' FROM read WHERE unit='' AND contains(package,'"pg"')
+  UNION ALL SELECT repo, 4, 'SQLite (Embedded / Local WAL)', 'package.json' FROM read WHERE unit='' AND contains(package,'"better-sqlite3"')
+  UNION ALL SELECT repo, 5, 'PostgreSQL', 'go.mod' FROM read WHERE unit='' AND contains(gomod,'lib/pq'))) GROUP BY repo),
+layers AS (
+  SELECT repo, unit, service, kind, 'gateway' AS layer, coalesce(g[1],'Standard Ingress / Unknown Web Server') AS platform, coalesce(g[2],'unspecified') AS tag, CASE WHEN g IS NULL THEN 'AMBIGUOUS' ELSE 'DETECTED' END AS status, coalesce(g[3],'') AS found FROM gateways
+  UNION ALL SELECT repo, unit, service, kind, 'runtime', CASE WHEN composer IS NOT NULL THEN 'PHP '||CASE WHEN contains(composer,'^8.2') THEN '^8.2' ELSE '>=8.1' END||' (FPM / FastCGI)'||CASE WHEN contains(composer,'laravel') THEN ' + Laravel' ELSE '' END||CASE WHEN inertia THEN ' + Inertia/Vue' ELSE '' END
+    WHEN list_contains(p,'go.mod') THEN 'Golang (Compiled Native Binary)' WHEN package IS NOT NULL THEN 'Node.js ('||CASE WHEN contains(package,'>=20') THEN '>=20' ELSE '>=18' END||') / Bun' ELSE 'Generic Runtime' END, NULL,
+    CASE WHEN composer IS NULL AND package IS NULL AND NOT list_contains(p,'go.mod') THEN 'UNRESOLVED' ELSE 'DETECTED' END, CASE WHEN composer IS NOT NULL THEN CASE WHEN inertia THEN 'composer.json,package.json' ELSE 'composer.json' END WHEN list_contains(p,'go.mod') THEN 'go.mod' WHEN package IS NOT NULL THEN 'package.json' ELSE '' END FROM gateways
+  UNION ALL SELECT repo, unit, service, kind, 'edge', CASE WHEN list_contains(p,'wrangler.toml') THEN 'Cloudflare (Workers / Pages / Edge)' WHEN contains(texts,'CLOUDFLARE_') THEN 'Cloudflare (Edge Proxy, WAF & Bot Mitigation)' ELSE 'Direct Ingress / Unresolved Edge' END,
+    CASE WHEN list_contains(p,'wrangler.toml') OR contains(texts,'CLOUDFLARE_') THEN 'cdn_edge' ELSE 'unspecified' END, CASE WHEN list_contains(p,'wrangler.toml') OR contains(texts,'CLOUDFLARE_') THEN 'DETECTED' ELSE 'AMBIGUOUS' END, CASE WHEN list_contains(p,'wrangler.toml') THEN 'wrangler.toml' WHEN contains(texts,'CLOUDFLARE_') THEN '.env' ELSE '' END FROM gateways WHERE unit=''
+  UNION ALL SELECT repo, unit, service, kind, 'host', CASE WHEN list_contains(p,'Dockerfile') THEN 'Containerized Compute (Docker / Dedicated VPS)' WHEN list_contains(p,'fly.toml') THEN 'Fly.io MicroVMs' WHEN contains(g[3],'.htaccess') THEN 'Shared Hosting (Hostinger / cPanel) or Unmanaged VPS' ELSE 'Virtual Server / Unknown Host' END,
+    CASE WHEN list_contains(p,'Dockerfile') THEN 'docker' WHEN list_contains(p,'fly.toml') THEN 'paas' WHEN contains(g[3],'.htaccess') THEN 'shared_hosting' ELSE 'unspecified' END, CASE WHEN list_contains(p,'Dockerfile') OR list_contains(p,'fly.toml') THEN 'DETECTED' WHEN contains(g[3],'.htaccess') THEN 'AMBIGUOUS' ELSE 'UNRESOLVED' END,
+    CASE WHEN list_contains(p,'Dockerfile') THEN 'Dockerfile / docker-compose.yml' WHEN list_contains(p,'fly.toml') THEN 'fly.toml' WHEN contains(g[3],'.htaccess') THEN g[3] ELSE '' END FROM gateways WHERE unit=''
+  UNION ALL SELECT repo, unit, service, kind, 'storage', coalesce(labels,'Relational Database / Storage'), CASE WHEN labels IS NULL THEN 'unspecified' ELSE 'managed_db' END, CASE WHEN labels IS NULL THEN 'AMBIGUOUS' ELSE 'DETECTED' END, coalesce(array_to_string(list_sort(sources),','),'') FROM gateways LEFT JOIN stores USING (repo) WHERE unit=''
+  UNION ALL SELECT repo, unit, service, kind, 'telemetry', CASE WHEN contains(shown,'SENTRY_DSN') THEN 'Sentry Error & Performance Monitoring' WHEN contains(shown,'OTEL_') THEN 'OpenTelemetry Distributed Tracing' ELSE 'Application Log Files (Local / Daily)' END, NULL, 'DETECTED',
+    CASE WHEN contains(shown,'SENTRY_DSN') THEN 'Sentry SDK in dependencies / .env' WHEN contains(shown,'OTEL_') THEN 'OpenTelemetry SDK' ELSE 'Standard Framework Logger' END FROM gateways WHERE unit=''),
+many AS (SELECT DISTINCT repo FROM units WHERE unit<>''),
+nodes AS (
+  SELECT repo, layer||':primary' AS id, layer, platform, coalesce(tag,'unspecified') AS tag, NULL AS role, status, CASE layer WHEN 'gateway' THEN 'runtime:primary' WHEN 'runtime' THEN 'storage:primary' ELSE '' END AS linked FROM layers WHERE unit='' AND (layer NOT IN ('gateway','runtime') OR repo NOT IN (SELECT repo FROM many))
+  UNION ALL SELECT repo, layer||':'||service, layer, platform, coalesce(tag,'unspecified'), CASE WHEN layer='runtime' THEN CASE kind WHEN 'frontend' THEN 'frontend_spa' ELSE 'web_api' END END, status, CASE WHEN layer='gateway' THEN 'runtime:'||service WHEN kind='backend' THEN 'storage:primary' ELSE 'runtime:backend' END FROM layers WHERE unit<>'' AND (layer='runtime' OR status='DETECTED')),
+counted AS (SELECT repo, bool_or(tag='cdn_edge' OR contains(lower(platform),'cloudflare')) AS proxied, bool_or(tag='shared_hosting') AS shared, bool_or(coalesce(role='frontend_spa', false)) AS front, bool_or(coalesce(role='web_api', false)) AS back, count(*) AS n_nodes, count(*) FILTER (layer='runtime' AND role IS DISTINCT FROM 'frontend_spa') AS backends FROM nodes GROUP BY repo),
+asked AS (SELECT repo, layer FROM nodes WHERE status IN ('AMBIGUOUS','UNRESOLVED')),
+pending AS (SELECT repo, layer FROM asked UNION ALL SELECT repo, layer FROM layers WHERE unit='' AND status IN ('AMBIGUOUS','UNRESOLVED') AND (repo, layer) NOT IN (SELECT repo, layer FROM asked))
+"""
+
+
+def _environment(c: Catalog) -> DataFrame:
+    from codeloom.operators import environment
+
+    given = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(r).alias("r"), F.lit(p).alias("path"), F.lit(x).alias("content")) for m, r, p, x in _ENV_FILES])
+    files = c.table("customer").select(F.col("c_custkey").alias("repo"), F.inline(F.filter(given, lambda g: F.col("c_custkey") % g["m"] == g["r"]))).select("repo", "path", "content")
+    return materialize(environment.layers(environment.marked(files)), "environment")
+
+
+@query(_ENV_SQL + "SELECT repo, unit, layer, platform, tag, status, found FROM layers")
+def environment_layers(c):
+    """Customers as repositories of a few files each; the layers of all and of their services."""
+    return _environment(c).select("repo", "unit", "layer", "platform", "tag", "status", F.array_join(F.array_sort("detected_from"), ",").alias("found"))
+
+
+@query(_ENV_SQL + "SELECT repo, id, layer, platform, tag, role, status, linked FROM nodes")
+def environment_nodes(c):
+    from codeloom.operators import environment
+
+    found = _environment(c)
+    return environment.nodes(found, environment.of_repositories(found)).select("repo", "id", "layer", "platform", "tag", "role", "status", F.array_join("connected_to", ",").alias("linked"))
+
+
+@query(
+    _ENV_SQL
+    + """SELECT repo, 'Perimeter Bot Protection & Trusted Proxy Invariant' AS rule, id FROM counted JOIN nodes USING (repo) WHERE proxied AND layer IN ('edge','runtime')
+UNION ALL SELECT repo, 'Shared Hosting Background Execution Invariant', id FROM counted JOIN nodes USING (repo) WHERE (shared OR repo IN (SELECT repo FROM layers WHERE unit='' AND layer='host' AND tag='shared_hosting')) AND layer IN ('host','runtime')
+UNION ALL SELECT repo, 'LiteSpeed Cache vs Inertia Dynamic State Invariant', id FROM layers g JOIN layers r USING (repo) LEFT JOIN nodes n ON n.repo=g.repo AND n.layer IN ('gateway','runtime') WHERE g.unit='' AND r.unit='' AND g.layer='gateway' AND r.layer='runtime' AND g.tag='shared_hosting' AND contains(r.platform,'Inertia')
+UNION ALL SELECT repo, 'Cross-Domain Cookie & CORS Security Invariant', id FROM counted JOIN nodes USING (repo) WHERE front AND back AND layer IN ('gateway','runtime')
+UNION ALL SELECT repo, 'Distributed Database Migration Concurrency Invariant', id FROM counted JOIN nodes USING (repo) WHERE backends>1 AND layer='runtime' AND role IS DISTINCT FROM 'frontend_spa'"""
+)
+def environment_rules(c):
+    from codeloom.operators import environment
+
+    found = _environment(c)
+    own = environment.of_repositories(found)
+    return environment.interplays(own, environment.nodes(found, own))
+
+
+@query(
+    _ENV_SQL
+    + """SELECT repo, distributed, n_nodes, n_pending, overall_status, 'Architecture Plane: ['||CASE WHEN distributed THEN 'Distributed Multi-Node ('||n_nodes||' nodes)' ELSE 'Monolithic Single-Node' END||']. Pipeline: '||way||'. Status: '||overall_status||'.' AS summary FROM (
+  SELECT c.repo, n_nodes>6 OR c.repo IN (SELECT repo FROM many) AS distributed, n_nodes, coalesce(k,0) AS n_pending, CASE WHEN k IS NULL THEN 'RESOLVED' ELSE 'NEEDS_CLARIFICATION' END AS overall_status, way FROM counted c LEFT JOIN (SELECT repo, count(*) AS k FROM pending GROUP BY repo) q ON q.repo=c.repo
+  JOIN (SELECT repo, string_agg('['||upper(layer[1])||layer[2:]||': '||platform||']', ' ➔ ' ORDER BY layer='storage', layer='runtime', layer='host', layer='gateway') AS way FROM layers WHERE unit='' AND layer<>'telemetry' GROUP BY repo) w ON w.repo=c.repo)"""
+)
+def environment_summary(c):
+    from codeloom.operators import environment
+
+    found = _environment(c)
+    own = environment.of_repositories(found)
+    return environment.summary(own, environment.nodes(found, own), found.filter("unit <> ''").select("repo"))
