@@ -11,7 +11,10 @@ The tree is dealt over ``BUCKETS`` buckets by the last two bytes of a context, s
 all that lies below such a pair is in one bucket; what all pairs have together,
 the depths none and one, has at most 2**16 nodes and is broadcast. Texts are read
 in chunks. The distinct grams of a chunk go to their buckets and come back with
-their log probabilities, so no task holds more than a bucket or a chunk.
+their log probabilities, so no task holds more than a bucket or a chunk. A bucket whose
+chunks bring more than ``PART_BYTES`` is divided by the third byte of context into
+as many parts as that needs, at most ``PARTS``; the nodes of two bytes, at most
+255 for each pair, are then summed over its parts and sent back to each.
 ``fit`` and ``weigh`` hold a tree of ``MAX_CONTEXTS`` contexts on one machine;
 the tests compare the two.
 
@@ -53,6 +56,8 @@ BINS = 8
 HELD = 1 << 20
 #: Bytes of text of a chunk, about, and parts of the tree.
 CHUNK, BUCKETS = 1 << 24, 256
+#: Packed bytes that a bucket may receive before it is divided, and its parts at most.
+PART_BYTES, PARTS = 1 << 24, 256
 EDGE = 0xFF
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5EED0FED0E11D0C5)
@@ -423,8 +428,8 @@ def _node(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.nd
     return (ones + 0.5) / (zeros + ones + 1), 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.log(0.5) + np.logaddexp(own, below)
 
 
-def grow(keys: np.ndarray, counts: np.ndarray) -> tuple[list[tuple], tuple]:
-    """The nodes (keys, chance, stop) of ``DEPTH`` bytes, then fewer, to two; and the sums (keys, zeros, ones, below) of one byte."""
+def grow(keys: np.ndarray, counts: np.ndarray, least: int = 2) -> tuple[list[tuple], tuple]:
+    """The nodes (keys, chance, stop) of ``DEPTH`` bytes, then fewer, to ``least``; and the sums (keys, zeros, ones, below) of one byte less."""
     nodes, zeros, ones = [], [], []
     for level in range(8):
         node, one = _decision(keys, level)
@@ -434,11 +439,11 @@ def grow(keys: np.ndarray, counts: np.ndarray) -> tuple[list[tuple], tuple]:
     own, zeros, ones = _summed(np.concatenate(nodes), np.concatenate(zeros), np.concatenate(ones))
     weight = _kt(zeros, ones)
     levels = [(own, (ones + 0.5) / (zeros + ones + 1), np.ones(len(own)))]
-    for depth in range(DEPTH - 1, 1, -1):
+    for depth in range(DEPTH - 1, least - 1, -1):
         own, zeros, ones, below = _summed(own & _mask(depth), zeros, ones, weight)
         chance, stop, weight = _node(zeros, ones, below)
         levels.append((own, chance, stop))
-    return levels, _summed(own & _mask(1), zeros, ones, weight)
+    return levels, _summed(own & _mask(least - 1), zeros, ones, weight)
 
 
 def byte_logs(levels: list[tuple], keys: np.ndarray) -> np.ndarray:
@@ -460,39 +465,101 @@ def byte_logs(levels: list[tuple], keys: np.ndarray) -> np.ndarray:
     return total
 
 
-def merge_buckets(parts: DataFrame) -> DataFrame:
-    """(bucket, keys, counts, top) of each bucket: its distinct grams, and its sums for contexts of one byte."""
-    schema = "bucket int, keys binary, counts binary, node array<bigint>, zeros array<double>, ones array<double>, below array<double>"
+def divided(parts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(bucket, part, chunk, keys, counts) of all chunks, and how many parts each bucket that is divided has.
 
-    def finish(bucket: int, tally: Tally) -> pa.RecordBatch:
+    At most ``BUCKETS`` sums reach the driver.
+    """
+    sizes = parts.groupBy("bucket").agg(F.sum(F.octet_length("keys") + F.octet_length("counts")).alias("n")).filter(F.col("n") > PART_BYTES).collect()
+    ways = {r["bucket"]: min(PARTS, -(-r["n"] // PART_BYTES)) for r in sizes}
+    plain = F.lit(0).alias("part")
+    if not ways:
+        return parts.select("bucket", plain, "chunk", "keys", "counts"), ways
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, chunk, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                keys, counts = unpack_keys(keys), unpack(counts)
+                part = mix(keys >> np.uint64(24) & np.uint64(0xFF)) % np.uint64(ways[bucket])
+                for i in np.unique(part):
+                    own = part == i
+                    yield pa.RecordBatch.from_pylist([{"bucket": bucket, "part": int(i), "chunk": chunk, "keys": pack_keys(keys[own]), "counts": pack(counts[own])}], schema)
+
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+    large = F.col("bucket").isin(*ways)
+    split = parts.filter(large).select("bucket", "chunk", "keys", "counts").mapInArrow(run, "bucket int, part int, chunk bigint, keys binary, counts binary")
+    return parts.filter(~large).select("bucket", plain, "chunk", "keys", "counts").unionByName(split), ways
+
+
+_SUMS = "node array<bigint>, zeros array<double>, ones array<double>, below array<double>"
+
+
+def _sums(node: np.ndarray, *sums: np.ndarray) -> list[pa.Array]:
+    """The columns of ``_SUMS`` of one row."""
+    return [pa.array([node.astype(np.int64)], pa.list_(pa.int64())), *(pa.array([x], pa.list_(pa.float64())) for x in sums)]
+
+
+def merge_buckets(parts: DataFrame, ways: dict[int, int]) -> DataFrame:
+    """(bucket, part, keys, counts, sums) of each part: its distinct grams, and its sums for contexts of one byte, or of two where a bucket is divided."""
+
+    def finish(place: tuple[int, int], tally: Tally) -> pa.RecordBatch:
         keys, counts = tally.merge()
         learned = counts > 0
-        node, *sums = grow(keys[learned], counts[learned])[1]
-        own = [pa.array([bucket], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack(counts)], pa.binary()), pa.array([node.astype(np.int64)], pa.list_(pa.int64()))]
-        own += [pa.array([x], pa.list_(pa.float64())) for x in sums]
-        return pa.RecordBatch.from_arrays(own, ["bucket", "keys", "counts", "node", "zeros", "ones", "below"])
+        sums = grow(keys[learned], counts[learned], 3 if place[0] in ways else 2)[1]
+        own = [pa.array([place[0]], pa.int32()), pa.array([place[1]], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([pack(counts)], pa.binary()), *_sums(*sums)]
+        return pa.RecordBatch.from_arrays(own, ["bucket", "part", "keys", "counts", "node", "zeros", "ones", "below"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, tally = None, Tally()
+        place, tally = None, Tally()
         for batch in batches:
-            for own, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if own != bucket:
-                    if bucket is not None:
-                        yield finish(bucket, tally)
-                    bucket, tally = own, Tally()
+            for bucket, part, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if (bucket, part) != place:
+                    if place is not None:
+                        yield finish(place, tally)
+                    place, tally = (bucket, part), Tally()
                 tally.add(unpack_keys(keys), unpack(counts).astype(np.int64))
                 if tally.size > 2 * HELD and tally.size > 2 * len(tally.keys[0]):
                     tally.merge()
+        if place is not None:
+            yield finish(place, tally)
+
+    own = parts.select("bucket", "part", "keys", "counts").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    return materialize(own.mapInArrow(run, f"bucket int, part int, keys binary, counts binary, {_SUMS}"), "ctw-buckets")
+
+
+def middle(merged: DataFrame, ways: dict[int, int]) -> DataFrame:
+    """(bucket, parts, keys, chance, stop, sums) of each divided bucket: its nodes of two bytes over all its parts, and its sums for contexts of one."""
+
+    def finish(bucket: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(rows)
+        keys, zeros, ones, below = _summed(own["node"].to_numpy().astype(np.uint64), *(own[c].to_numpy() for c in ("zeros", "ones", "below")))
+        chance, stop, weight = _node(zeros, ones, below)
+        head = [pa.array([bucket], pa.int32()), pa.array([ways[bucket]], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack_keys(keys), chance.tobytes(), stop.tobytes()))]
+        return pa.RecordBatch.from_arrays([*head, *_sums(*_summed(keys & _mask(1), zeros, ones, weight))], ["bucket", "parts", "keys", "chance", "stop", "node", "zeros", "ones", "below"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            of = batch.column("bucket").to_numpy()
+            edges = [0, *map(int, np.flatnonzero(np.diff(of)) + 1), batch.num_rows] if batch.num_rows else []
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if of[start] != bucket:
+                    if bucket is not None:
+                        yield finish(bucket, held)
+                    bucket, held = int(of[start]), []
+                held.append(batch.slice(start, stop - start))
         if bucket is not None:
-            yield finish(bucket, tally)
+            yield finish(bucket, held)
 
-    own = parts.select("bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket")
-    return materialize(own.mapInArrow(run, schema), "ctw-buckets")
+    each = merged.filter(F.col("bucket").isin(*ways)).select("bucket", F.inline(F.arrays_zip("node", "zeros", "ones", "below")))
+    summed = each.groupBy("bucket", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")])
+    own = summed.repartition("bucket").sortWithinPartitions("bucket")
+    return materialize(own.mapInArrow(run, f"bucket int, parts int, keys binary, chance binary, stop binary, {_SUMS}"), "ctw-middle")
 
 
-def top_levels(merged: DataFrame) -> list[tuple]:
+def top_levels(sums: DataFrame) -> list[tuple]:
     """The nodes of one byte and of none; at most 2**16 rows reach the driver."""
-    each = merged.select(F.inline(F.arrays_zip("node", "zeros", "ones", "below")))
+    each = sums.select(F.inline(F.arrays_zip("node", "zeros", "ones", "below")))
     rows = each.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
     levels = []
     own, zeros, ones, below = rows["node"].to_numpy().astype(np.uint64), *(rows[c].to_numpy() for c in ("zeros", "ones", "below"))
@@ -503,23 +570,38 @@ def top_levels(merged: DataFrame) -> list[tuple]:
     return levels
 
 
-def chunk_logs(parts: DataFrame, merged: DataFrame) -> DataFrame:
+def chunk_logs(parts: DataFrame) -> DataFrame:
     """The rows of ``READ`` with the log probability of each gram of each chunk."""
-    top = parts.sparkSession.sparkContext.broadcast(top_levels(merged))
+    dealt, ways = divided(parts)
+    merged = merge_buckets(dealt, ways)
+    sums = ["node", "zeros", "ones", "below"]
+    between = middle(merged, ways) if ways else None
+    ends = merged.select(*sums) if between is None else merged.filter(~F.col("bucket").isin(*ways)).select(*sums).unionByName(between.select(*sums))
+    top = parts.sparkSession.sparkContext.broadcast(top_levels(ends))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = logs = None
+        pair = []
         for batch in batches:
-            for bucket, chunk, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if chunk is None:
-                    # A bucket's own row comes before those of its chunks.
+            for bucket, chunk, keys, counts, chance, stop in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "keys", "counts", "chance", "stop")), strict=True):
+                # A divided bucket's nodes of two bytes come first, then a part's own row, then those of its chunks.
+                if chance is not None:
+                    pair = [(unpack_keys(keys), np.frombuffer(chance), np.frombuffer(stop))]
+                elif chunk is None:
                     every, n = unpack_keys(keys), unpack(counts).astype(np.int64)
-                    logs = byte_logs(grow(every[n > 0], n[n > 0])[0] + top.value, every).astype("<f4")
+                    between = pair if bucket in ways else []
+                    logs = byte_logs(grow(every[n > 0], n[n > 0], 3 if between else 2)[0] + between + top.value, every).astype("<f4")
                 else:
                     yield _batch(1, chunk=[chunk], bucket=[bucket], keys=[keys], logs=[logs[np.searchsorted(every, unpack_keys(keys))].tobytes()])
 
-    own = merged.select("bucket", F.lit(None).cast("bigint").alias("chunk"), "keys", "counts").unionByName(parts.select("bucket", "chunk", "keys", F.lit(None).cast("binary").alias("counts")))
-    return own.repartition("bucket").sortWithinPartitions("bucket", F.asc_nulls_first("chunk")).mapInArrow(run, READ)
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    nodes = [none("binary", "chance"), none("binary", "stop")]
+    own = merged.select("bucket", "part", F.lit(1).alias("kind"), none("bigint", "chunk"), "keys", "counts", *nodes)
+    own = own.unionByName(dealt.select("bucket", "part", F.lit(2).alias("kind"), "chunk", "keys", none("binary", "counts"), *nodes))
+    if between is not None:
+        each = between.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), none("bigint", "chunk"), "keys", none("binary", "counts"), "chance", "stop")
+        own = own.unionByName(each)
+    return own.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind").mapInArrow(run, READ)
 
 
 class Lookup:
@@ -577,7 +659,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     shared = spark.sparkContext.broadcast((keys[order], np.log10(ns[order] + 0.5)))
     chunks = read_chunks(docs, train)
     parts = chunks.filter("bucket is not null")
-    logs_of = chunk_logs(parts, merge_buckets(parts))
+    logs_of = chunk_logs(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = shared.value

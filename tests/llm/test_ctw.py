@@ -109,7 +109,10 @@ def test_a_bounded_tree_is_a_distribution(spark, monkeypatch, most):
     assert np.allclose((10.0 ** model.table.astype(float)).sum(1), 1, atol=1e-4)
 
 
-def test_no_context_is_dropped(spark, folder, monkeypatch):
+@pytest.mark.parametrize("part_bytes", [ctw.PART_BYTES, 300, 1])
+def test_no_context_is_dropped(spark, folder, monkeypatch, part_bytes):
+    """With a small bound some buckets are divided, or all into as many parts as there may be."""
+    monkeypatch.setattr(ctw, "PART_BYTES", part_bytes)
     rnd = random.Random(5)
     texts = ["".join(rnd.choices("abcd e", k=60)) for _ in range(60)]
     docs = spark.createDataFrame([(t,) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1], "text string")
