@@ -990,3 +990,39 @@ def environment_summary(c):
     found = _environment(c)
     own = environment.of_repositories(found)
     return environment.summary(own, environment.nodes(found, own), found.filter("unit <> ''").select("repo"))
+
+
+#: Manifests of the repositories that suppliers stand for: (modulus, remainder, path, content).
+_PROJECT_FILES = (
+    (1, 0, "README.md", "x"),
+    (6, 0, "composer.json", '{"require":{"symfony/symfony":"6"}}'),
+    (12, 0, "artisan", ""),
+    (24, 0, "resources/views/a.blade.php", ""),
+    (6, 1, "go.mod", "require github.com/go-chi/chi"),
+    (6, 2, "requirements.txt", "Flask==3"),
+    (12, 2, "wsgi.py", ""),
+    (3, 0, "package.json", '{"dependencies":{"vue":"3"}}'),
+    (6, 5, "package.json", '{"dependencies":{"express":"4"},"devDependencies":{"astro":"5"}}'),
+    (6, 4, "tsconfig.json", "{}"),
+    (7, 0, "apps/web/a.ts", ""),
+    (14, 0, "libs/util/b.ts", ""),
+    (13, 0, "nx.json", ""),
+)
+
+
+@query(
+    "WITH given(m, r, path, content) AS (VALUES " + ", ".join(f"({m}, {r}, '{p}', '{x}')" for m, r, p, x in _PROJECT_FILES) + """),
+f AS (SELECT s_suppkey AS repo, list(path) AS p, coalesce(string_agg(content, ''),'') AS texts FROM supplier JOIN given ON s_suppkey%m=r GROUP BY 1),
+l AS (SELECT *, CASE WHEN list_contains(p,'composer.json') OR list_contains(p,'artisan') THEN 'php' WHEN list_contains(p,'go.mod') THEN 'go' WHEN list_contains(p,'requirements.txt') THEN 'python' WHEN list_contains(p,'package.json') OR list_contains(p,'tsconfig.json') THEN 'typescript' ELSE 'generic' END AS language,
+  list_contains(p,'nx.json') OR (list_contains(p,'apps/web/a.ts') AND list_contains(p,'libs/util/b.ts')) AS is_monorepo FROM f),
+w AS (SELECT *, CASE language WHEN 'php' THEN CASE WHEN list_contains(p,'artisan') THEN 'laravel' WHEN contains(texts,'symfony/symfony') THEN 'symfony' ELSE 'generic-php' END WHEN 'go' THEN 'chi' WHEN 'python' THEN CASE WHEN list_contains(p,'wsgi.py') THEN 'django' ELSE 'flask' END
+  WHEN 'typescript' THEN CASE WHEN contains(texts,'astro') THEN 'astro' WHEN contains(texts,'"vue"') THEN 'vue' ELSE 'generic-node' END ELSE 'generic' END AS framework FROM l)
+SELECT repo, language, framework, is_monorepo, CASE WHEN is_monorepo THEN 'monorepo' WHEN framework='astro' OR (framework='laravel' AND list_contains(p,'resources/views/a.blade.php')) THEN 'fullstack' WHEN framework='vue' THEN 'frontend' WHEN language IN ('go','python','php') THEN 'backend' ELSE 'generic' END AS project_type FROM w"""
+)
+def project_types(c):
+    """Suppliers as repositories of a few manifests each."""
+    from codeloom.operators.projects import classify
+
+    given = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(r).alias("r"), F.lit(p).alias("path"), F.lit(x).alias("content")) for m, r, p, x in _PROJECT_FILES])
+    files = c.table("supplier").select(F.col("s_suppkey").alias("repo"), F.inline(F.filter(given, lambda g: F.col("s_suppkey") % g["m"] == g["r"]))).select("repo", "path", "content")
+    return classify(files)
