@@ -139,3 +139,14 @@ def test_strong_components_match_reachability(spark):
     assert set(lengths) == {a for a, _ in want} and {lengths[100 + i] for i in range(9)} == {9}
     assert {r.node for r in graph.cycle_members(edges, 4).collect()} == {a for a, n in lengths.items() if n <= 4}
     assert graph.strong_components(edges.limit(0)).collect() == [] and graph.cycle_members(edges.limit(0)).collect() == []
+
+
+def test_single_successors_take_few_rounds(spark, monkeypatch):
+    """A way of 120 parts into a ring of 40, a second ring, a way to nowhere: both directions, in rounds as few as a length's digits."""
+    pairs = [(i, i + 1) for i in range(159)] + [(159, 120)] + [(1000 - i, 1000 - (i + 1) % 3) for i in range(3)] + [(2000, 2001), (2001, 2002), (3, 3)]
+    want = {(i, 120) for i in range(120, 160)} | {(i, 998) for i in range(998, 1001)}
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name, keep=graph.materialize: (written.append(name), keep(df, name))[1])
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    assert {tuple(r) for r in graph.strong_components(edges).collect()} == want and len(written) < 20
+    assert {tuple(r) for r in graph.strong_components(edges.selectExpr("dst AS src", "src AS dst")).collect()} == want and len(written) < 40
