@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom import queries
 from codeloom.functions import text
 from codeloom.operators import catalog, graph, policy, slices
 from codeloom.operators.components import connected_components
@@ -150,3 +151,15 @@ def test_single_successors_take_few_rounds(spark, monkeypatch):
     edges = spark.createDataFrame(pairs, "src int, dst int")
     assert {tuple(r) for r in graph.strong_components(edges).collect()} == want and len(written) < 20
     assert {tuple(r) for r in graph.strong_components(edges.selectExpr("dst AS src", "src AS dst")).collect()} == want and len(written) < 40
+
+
+def _orders(folder):
+    """Lines of five orders, each a way over parts."""
+    ways = [(7, 8, 9, 10), (100, 8, 12, 9), (77, 100, 8), (0, 7, 12), (12, 13, 14, 13)]
+    return folder(lineitem=([(o, p, 1, n) for o, way in enumerate(ways) for n, p in enumerate(way)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"))
+
+
+def test_prefix_rounds_read_tables_not_the_orders(spark, folder):
+    found = queries.queries()["prefix_fixpoint"](spark, _orders(folder))
+    assert "l_partkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.prefix for r in found.collect() if r.router >= 12} == {"/r77", "/r77/r100"} | {way + end for way in ("/r0/r7/r12", "/r0/r7/r8/r12") for end in ("", "/r13", "/r13/r14")}
