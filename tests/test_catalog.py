@@ -163,3 +163,21 @@ def test_prefix_rounds_read_tables_not_the_orders(spark, folder):
     found = queries.queries()["prefix_fixpoint"](spark, _orders(folder))
     assert "l_partkey" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.prefix for r in found.collect() if r.router >= 12} == {"/r77", "/r77/r100"} | {way + end for way in ("/r0/r7/r12", "/r0/r7/r8/r12") for end in ("", "/r13", "/r13/r14")}
+
+
+def test_search_rounds_read_tables_not_the_orders(spark, folder):
+    at = _orders(folder)
+    near = [(0, 0), (7, 1), (8, 2), (12, 2), (9, 3), (13, 3), (10, 4), (14, 4)]
+    for name in ("bfs_depth5", "bfs_capped25"):
+        found = queries.queries()[name](spark, at)
+        assert "l_partkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.depth, r.node) for r in found.collect() if r.start == 0) == sorted((d, n) for n, d in near)
+
+
+def test_a_full_start_is_not_searched_from(spark, monkeypatch):
+    """Ten parts around the start fill its room; the long way behind them takes no more rounds."""
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, name, keep=graph.materialize: (written.append(name), keep(df, name))[1])
+    edges = spark.createDataFrame([(0, n) for n in range(1, 11)] + [(n, n + 1) for n in range(10, 20)], "src int, dst int")
+    rows = graph.reachable(edges, edges.filter("src = 0").select(F.col("src").alias("node")), depth=8, most=5).collect()
+    assert sorted((r.depth, r.node) for r in rows) == [(0, 0), (1, 1), (1, 2), (1, 3), (1, 4)] and written.count("bfs") == 3
