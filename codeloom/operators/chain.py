@@ -46,25 +46,29 @@ def discovered(starts: DataFrame, imports: DataFrame, depth: int | None = None,
     """
     steps = materialize(imports.filter("src <> dst").groupBy("src", "dst").agg(F.min("place").alias("step")).select(F.col("src").alias("node"), F.col("dst").alias("next"), "step"), "chain-steps")
     begun = starts.select("start", "node", F.col("room").cast("int").alias("room"))
-    frontier = materialize(begun.select("start", "node", F.lit(0).alias("place"), "room"), "chain-level")
-    seen = frontier.select("start", "node")
+    frontier = materialize(begun.select("start", "node", F.lit(0).alias("place"), "room", F.lit(0).alias("last")), "chain-level")
+    seen = frontier.select("start", F.col("node").alias("file"))
     found = None
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("p", "int"), ("step", steps.schema["step"].dataType), ("via", steps.schema["node"].dataType), ("room", "int"), ("last", "int"))]
+    by_file = Window.partitionBy("start", "file").orderBy(F.asc_nulls_first("p"), "step", "via")
+    order, by_import, own = Window.partitionBy("start").orderBy("p", "step", "file"), Window.partitionBy("start").orderBy("p", "step"), Window.partitionBy("start")
     for level in range(1, held_depth(depth) + 1):
+        open_ = frontier.filter("room > 0")
+        if level > 1 and open_.isEmpty():
+            break
         # A file that many chains have reached is a hot key of the left side, which Spark splits by its size.
-        met = frontier.filter("room > 0").join(steps, "node").select("start", F.col("next").alias("file"), F.struct(F.col("place").alias("p"), "step", F.col("node").alias("via")).alias("by"), "room")
-        first = met.groupBy("start", "file", "room").agg(F.min("by").alias("by")).join(seen.withColumnRenamed("node", "file"), ["start", "file"], "left_anti")
-        order = Window.partitionBy("start").orderBy("by.p", "by.step", "file")
-        by_import = Window.partitionBy("start").orderBy("by.p", "by.step")
-        ranked = first.withColumn("k", F.row_number().over(order)).withColumn("k0", F.rank().over(by_import)).filter("k0 <= room")
-        own = F.max("place").alias("last")
-        last = frontier.groupBy("start").agg(own)
-        taken = materialize(ranked.join(last, "start").select("start", "file", F.col("by.via").alias("via"), F.lit(level).alias("depth"), (F.col("last") + F.col("k")).cast("int").alias("place"), "room", "k"), "chain-level")
+        met = open_.join(steps, "node").select("start", F.col("next").alias("file"), F.col("place").alias("p"), "step", F.col("node").alias("via"), "room", "last")
+        # One shuffle a level: all that is decided is decided within a chain, which holds few rows. Seen files have no place and come first.
+        both = met.unionByName(seen.select("start", "file", *nothing)).repartition("start")
+        first = both.withColumn("k", F.row_number().over(by_file)).filter("k = 1 and p is not null")
+        ranked = first.withColumn("k", F.row_number().over(order)).withColumn("k0", F.rank().over(by_import)).filter("k0 <= room").withColumn("used", F.max("k").over(own))
+        taken = materialize(ranked.select("start", "file", "via", F.lit(level).alias("depth"), (F.col("last") + F.col("k")).cast("int").alias("place"), (F.col("room") - F.col("used")).alias("room"), (F.col("last") + F.col("used")).alias("last")), "chain-level")
         if taken.isEmpty():
             break
-        found = taken.select("start", "file", "via", "depth", "place") if found is None else found.unionByName(taken.select("start", "file", "via", "depth", "place"))
-        used = taken.groupBy("start").agg(F.max("k").alias("used"))
-        frontier = taken.join(used, "start").select("start", F.col("file").alias("node"), "place", (F.col("room") - F.col("used")).alias("room"))
-        seen = seen.unionByName(frontier.select("start", "node"))
+        more = taken.select("start", "file", "via", "depth", "place")
+        found = more if found is None else found.unionByName(more)
+        frontier = taken.withColumnRenamed("file", "node")
+        seen = seen.unionByName(taken.select("start", "file"))
     if found is None:
         return begun.select("start", F.col("node").alias("file"), F.lit("").alias("via"), F.lit(0).alias("depth"), F.lit(0).alias("place")).limit(0)
     return found

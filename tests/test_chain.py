@@ -36,6 +36,16 @@ def test_search_keeps_the_order_of_a_queue(spark):
             assert [(r.file, r.via, r.depth) for r in rows if r.start == name] == walk(node, edges, {0: 5, 9: 8}.get(depth, depth), room)
 
 
+def test_a_level_is_shuffled_once_by_chain(spark, monkeypatch):
+    """What is dealt by chain is dealt once a level, and a full chain takes no further level."""
+    plans = []
+    monkeypatch.setattr(chain, "materialize", lambda df, name, keep=chain.materialize: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1])
+    edges = spark.createDataFrame([(f"f{i}", f"f{i + 1}", 0) for i in range(9)], IMPORTS)
+    rows = chain.discovered(spark.createDataFrame([("c", "f0", 2)], "start string, node string, room int"), edges, 8).orderBy("place").collect()
+    levels = [p for name, p in plans if name == "chain-level"][1:]
+    assert [r.file for r in rows] == ["f1", "f2"] and len(levels) == 2 and all(p.count("hashpartitioning(start") == 1 for p in levels)
+
+
 def tables(spark):
     files = [("a/user.controller.ts", "controller"), ("a/user.service.ts", "service"), ("a/user.repository.ts", "repository"), ("a/user.entity.ts", "model"), ("a/plain.ts", "other")]
     symbols = [("a/user.service.ts", "help", "function", 1, 0), ("a/user.service.ts", "UserService", "class", 5, 1), ("a/user.repository.ts", "UserRepository", "class", 2, 0), ("a/user.entity.ts", "save", "function", 9, 1), ("a/user.entity.ts", "x", "variable", 3, 0)]
