@@ -108,6 +108,8 @@ _RULES = (*EDGE, *GATEWAY, *HOST, *TELEMETRY, *ENV_STORES, *STORES)
 _MARKS = tuple(dict.fromkeys(m for rule in _RULES for m in rule[0])) + ORM + INERTIA + ("npm:@types/bun",)
 _ENV = ".env", ".env.example"
 _PARSED = (*_ENV, "composer.json", "package.json", "go.mod", "prisma/schema.prisma")
+#: Repositories a task takes: their texts repeat, so the bytes of a shuffle, by which Spark joins its parts, tell little of their rows.
+REPOSITORIES = 25_000
 #: Paths in a unit that any rule reads.
 PATHS = tuple(dict.fromkeys([m.removeprefix("file:") for m in _MARKS if m.startswith("file:")] + [*_PARSED, BUN_CONNECTION, *BUN_ENTRIES]))
 _JSON = "dependencies map<string,string>, devDependencies map<string,string>, require map<string,string>, engines map<string,string>"
@@ -285,7 +287,7 @@ def nodes(found: DataFrame, own: DataFrame, saved: DataFrame | None = None) -> D
     other layers. Verified nodes of ``saved`` stand, and those found nowhere stay.
     """
     none, empty = F.lit(None).cast("string"), _strings(())
-    many = found.filter("unit <> ''").select("repo").distinct().withColumn("many", F.lit(True))
+    many = found.filter("unit <> ''").select("repo").distinct().withColumn("many", F.lit(True)).hint("merge")
     layer, tag = F.col("layer"), F.coalesce("tag", F.lit("unspecified"))
     pick = lambda table: F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), layer)
     rows = own.join(many, "repo", "left").withColumn("name", F.when(F.col("many"), F.try_element_at(F.create_map(*[F.lit(v) for kv in NODES_OF_MANY.items() for v in kv]), layer)).otherwise(pick(NODES)))
@@ -354,14 +356,23 @@ def pending(own: DataFrame, nodes_: DataFrame) -> DataFrame:
     """(repo, place, question): open questions of nodes, then those of layers that no node of the repository asks."""
     is_open = F.col("status").isin(*OPEN) & (F.coalesce("question", F.lit("")) != "")
     asked = nodes_.filter(is_open).select("repo", F.col("id").alias("place"), "question")
-    rest = own.filter(is_open).join(asked.select("repo", "question").distinct(), ["repo", "question"], "left_anti")
+    # Questions repeat, so a side whose bytes let Spark broadcast it may be very many rows: these joins are by sorting.
+    rest = own.filter(is_open).join(asked.select("repo", "question").distinct().hint("merge"), ["repo", "question"], "left_anti")
     return asked.unionByName(rest.select("repo", F.col("layer").alias("place"), "question"))
 
 
+def dealt(rows: DataFrame, repositories: int) -> DataFrame:
+    """``rows`` dealt by repo over tasks in keeping with the number of repositories, at least as many as a shuffle has."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-repositories // REPOSITORIES)), "repo")
+
+
 def summary(own: DataFrame, nodes_: DataFrame, services_: DataFrame, most: int = 6) -> DataFrame:
     """(repo, distributed, n_nodes, n_pending, overall_status, summary) of each repository; ``services_`` has the repo of each service."""
+    # A repository has a row for each of its six layers; all that joins its wide row is dealt alike.
+    by_repo = dealt(own, own.filter(F.col("layer") == LAYERS[0]).count())
     asked = pending(own, nodes_).groupBy("repo").agg(F.count("*").alias("asked"))
-    rows = _wide(own).join(_counted(nodes_), "repo", "left").join(asked, "repo", "left").join(services_.select("repo").distinct().withColumn("many", F.lit(True)), "repo", "left")
+    rows = _wide(by_repo).join(_counted(nodes_).hint("merge"), "repo", "left").join(asked.hint("merge"), "repo", "left").join(services_.select("repo").distinct().withColumn("many", F.lit(True)).hint("merge"), "repo", "left")
     count = F.coalesce("n_nodes", F.lit(0))
     spread = F.coalesce((count > most) | (F.col("hosts") > 1) | (F.col("addresses") > 0), F.lit(False)) | F.coalesce("many", F.lit(False))
     n = F.coalesce("asked", F.lit(0))

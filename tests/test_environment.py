@@ -133,3 +133,12 @@ def test_empty(spark, found):
     own = env.of_repositories(none)
     nodes = env.nodes(none, own)
     assert own.isEmpty() and nodes.isEmpty() and env.interplays(own, nodes).isEmpty() and env.summary(own, nodes, none).isEmpty()
+
+
+def test_tasks_keep_with_the_number_of_repositories(spark, monkeypatch):
+    monkeypatch.setattr(env, "REPOSITORIES", 2)
+    found = env.layers(env.marked(spark.createDataFrame([(i, "Dockerfile", "x") for i in range(19)], "repo int, path string, content string"))).localCheckpoint()
+    own = env.of_repositories(found)
+    rows = env.summary(own, env.nodes(found, own), found.filter("unit <> ''").select("repo"))
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.rdd.getNumPartitions() == 10 and sorted(r.repo for r in rows.collect()) == list(range(19))
