@@ -8,7 +8,7 @@ before what it has found.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.plans.shared import materialize
@@ -24,6 +24,15 @@ def words_of(imports: DataFrame) -> DataFrame:
     return imports.select("src", "dst", "place", F.explode(F.array_distinct(F.concat(names, parts))).alias("word")).filter("word <> ''")
 
 
+def _short(word: Column) -> Column:
+    return F.regexp_replace(word, r"controller\z", "")
+
+
+def _stems(word: str) -> Column:
+    """A row for each stem that meets ``word``: itself, and what is left without a final controller."""
+    return F.explode(F.array_distinct(F.array(word, _short(F.col(word))))).alias("stem")
+
+
 def chase(asks: DataFrame, words: DataFrame, declared: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(ask, file, symbol, hops) of each of ``asks`` (ask, file, name): the first file on its way that declares the name; none when no way does.
 
@@ -32,30 +41,30 @@ def chase(asks: DataFrame, words: DataFrame, declared: DataFrame, longest: int =
     last part counts. Case is ignored, and so is a final ``controller``. A way
     never visits a file twice and is at most ``longest`` files long.
     """
-    steps = materialize(words.select(F.col("src").alias("node"), F.col("dst").alias("next"), "place", "word").distinct(), "reexports")
-    last = F.lower(F.element_at(F.split("name", r"::|\.|#|\\"), -1))
-    symbols = materialize(declared.groupBy("file", last.alias("word")).agg(F.min("name").alias("symbol")).withColumnRenamed("file", "next"), "declared")
-    lower = F.lower("name")
-    short = F.regexp_replace(lower, r"controller\z", "")
-    keys = F.filter(F.array_distinct(F.array(lower, short, F.concat(short, F.lit("controller")))), lambda k: k != "")
-    path = F.array().cast("array<bigint>")
-    frontier = materialize(asks.select("ask", F.col("file").alias("node"), lower.alias("name"), F.explode(keys).alias("word"), path.alias("way"), F.array("file").alias("visited")), "chase")
-    found = None
+    # A name and its word with or without a final controller have one stem, so an import is met by stem, once for each file it leads to.
+    own = words.filter("word <> ''").select(F.col("src").alias("node"), F.col("dst").alias("next"), "place", _stems("word"))
+    least = own.groupBy("node", "next", "stem").agg(F.min("place").cast("bigint").alias("place"))
+    # What the file at its end declares is told there once, not anew for each way and round.
+    last = declared.select(F.col("file").alias("next"), F.lower(F.element_at(F.split("name", r"::|\.|#|\\"), -1)).alias("word"), F.col("name").alias("symbol")).filter("word is not null")
+    ends = last.select("next", "word", "symbol", _stems("word")).groupBy("next", "stem")
+    told = ends.agg(F.min(F.when(F.col("word") == F.col("stem"), F.col("symbol"))).alias("plain"), F.min(F.when(F.col("word") != F.col("stem"), F.col("symbol"))).alias("full"))
+    # Asks, imports and declarations grow together and their files are small, so no side is broadcast by its size on disk.
+    steps = materialize(least.join(told.hint("merge"), ["next", "stem"], "left"), "reexports")
+    name, path = F.lower("name"), F.array().cast("array<bigint>")
+    frontier = asks.select("ask", F.col("file").alias("node"), _short(name).alias("stem"), (_short(name) != name).alias("long"), path.alias("way"), F.array("file").alias("visited"))
+    hits = None
     for hop in range(1, longest):
-        met = frontier.join(steps, ["node", "word"]).filter(~F.array_contains("visited", F.col("next")))
-        ways = met.groupBy("ask", "name", "node", "next", "visited", "way").agg(F.min("place").alias("place")).withColumn("way", F.concat("way", F.array(F.col("place").cast("bigint"))))
-        named = F.explode(F.array_distinct(F.array("name", F.regexp_replace("name", r"controller\z", "")))).alias("word")
-        hits = ways.select("ask", "next", "name", "way", named).join(symbols, ["next", "word"]).groupBy("ask", "next", "way").agg(F.min(F.struct((F.col("word") != F.col("name")).alias("off"), "symbol")).alias("hit"))
-        ways = materialize(ways.join(hits, ["ask", "next", "way"], "left"), "chase")
-        new = ways.filter("hit is not null").select("ask", F.col("next").alias("file"), F.col("hit.symbol").alias("symbol"), F.lit(hop).alias("hops"), "way")
-        every = new if found is None else found.unionByName(new)
-        found = materialize(every.withColumn("k", F.row_number().over(Window.partitionBy("ask").orderBy("way", "file"))).filter("k = 1").drop("k"), "chase-found")
+        met = frontier.join(steps.hint("merge"), ["node", "stem"]).filter(~F.array_contains("visited", F.col("next")))
+        symbol = F.when(F.col("long"), F.coalesce("full", "plain")).otherwise(F.col("plain"))
+        met = met.select("ask", "next", "stem", "long", F.concat("way", F.array("place")).alias("way"), "visited", symbol.alias("symbol"))
         if hop + 1 == longest:
+            met = met.filter("symbol is not null").drop("stem", "long", "visited")
+        ways = materialize(met, "chase")
+        new = ways.filter("symbol is not null").select("ask", "way", F.col("next").alias("file"), "symbol", F.lit(hop).alias("hops"))
+        hits = new if hits is None else hits.unionByName(new)
+        if hop + 1 == longest or ways.filter("symbol is null").isEmpty():
             break
-        open_ = ways.filter("hit is null").join(found.select("ask", F.col("way").alias("best")), "ask", "left").filter(F.col("best").isNull() | (F.col("way") < F.col("best")))
-        keyed = open_.withColumn("short", F.regexp_replace("name", r"controller\z", ""))
-        keys = F.filter(F.array_distinct(F.array("name", "short", F.concat("short", F.lit("controller")))), lambda k: k != "")
-        frontier = materialize(keyed.select("ask", F.col("next").alias("node"), "name", F.explode(keys).alias("word"), "way", F.concat("visited", F.array("next")).alias("visited")), "chase")
-        if frontier.isEmpty():
-            break
-    return found.select("ask", "file", "symbol", "hops")
+        best = hits.groupBy("ask").agg(F.min("way").alias("best"))
+        open_ = ways.filter("symbol is null").join(best.hint("merge"), "ask", "left").filter(F.col("best").isNull() | (F.col("way") < F.col("best")))
+        frontier = open_.select("ask", F.col("next").alias("node"), "stem", "long", "way", F.concat("visited", F.array("next")).alias("visited"))
+    return hits.groupBy("ask").agg(F.min(F.struct("way", "file", "symbol", "hops")).alias("hit")).select("ask", "hit.file", "hit.symbol", "hit.hops")

@@ -118,3 +118,43 @@ def test_chase_matches_a_depth_first_walk(spark):
     got = reexport.chase(spark.createDataFrame(asks, "ask int, file string, name string"), spark.createDataFrame(rows, "src string, dst string, place int, word string"), spark.createDataFrame(declared, "file string, name string"))
     want = {(a, hit) for a, f, n in asks if (hit := search(f, n, [f]))}
     assert {(r.ask, r.file) for r in got.collect()} == want and want
+
+
+def test_chase_settles_an_import_once(spark, monkeypatch):
+    """Places and declared names are told in the table of imports; a hop joins its ways to that table and to the best hits, and is written once."""
+    plans = []
+    monkeypatch.setattr(reexport, "materialize", lambda df, name, keep=reexport.materialize: (plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())), keep(df, name))[1])
+    words = [("f0", "f1", 0, "a"), ("f1", "f2", 0, "a"), ("f2", "f3", 0, "a"), ("f3", "f4", 0, "a"), ("f0", "f5", 1, "a")]
+    tables = [spark.createDataFrame(r, c) for r, c in (([(1, "f0", "A")], "ask int, file string, name string"), (words, "src string, dst string, place int, word string"), ([("f4", "A")], "file string, name string"))]
+    assert [tuple(r) for r in reexport.chase(*tables).collect()] == [(1, "f4", "A", 4)]
+    hops = [p for name, p in plans if name == "chase"]
+    assert [name for name, _ in plans] == ["reexports"] + ["chase"] * 4
+    assert [p.count("Join ") for p in hops] == [1, 2, 2, 2] and [p.count("Aggregate ") for p in hops] == [0, 1, 1, 1]
+
+
+def test_chase_meets_names_with_and_without_controller(spark):
+    """A name and a word may each end in controller; a declaration of the whole name comes before one of its stem."""
+    rnd = random.Random(3)
+    names = ["order", "ordercontroller", "user", "usercontroller", "controller", "controllercontroller"]
+    edges = sorted({(f"f{rnd.randrange(12)}", f"f{rnd.randrange(12)}") for _ in range(50)})
+    rows = [(s, d, i, w) for i, (s, d) in enumerate(edges) for w in rnd.sample(names, 2)]
+    declared = sorted({(f"f{rnd.randrange(12)}", f"n::{n}") for n in names for _ in range(2)})
+
+    def search(node, name, visited):
+        short = name.removesuffix("controller")
+        words = {name, short, short + "controller"} - {""}
+        if len(visited) >= 5:
+            return None
+        for dst in dict.fromkeys(d for s, d, _, w in sorted(rows, key=lambda r: r[2]) if s == node and w in words):
+            if dst in visited:
+                continue
+            hit = next((f"n::{w}" for w in (name, short) if (dst, f"n::{w}") in declared), None)
+            found = (dst, hit, len(visited)) if hit else search(dst, name, [*visited, dst])
+            if found:
+                return found
+        return None
+
+    asks = [(i, f"f{i % 12}", names[i % 6].title()) for i in range(12)] + [(i, f"f{i % 12}", names[i % 5]) for i in range(12, 60)]
+    got = reexport.chase(spark.createDataFrame(asks, "ask int, file string, name string"), spark.createDataFrame(rows, "src string, dst string, place int, word string"), spark.createDataFrame(declared, "file string, name string"))
+    want = {(a, *hit) for a, f, n in asks if (hit := search(f, n.lower(), [f]))}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
