@@ -20,6 +20,9 @@ The links of a class are counted afterwards, over all pairs inside its
 component: blocks of classes meet, a product of their incidence matrices gives
 all intersections, and only the counts leave a task.
 
+What two branches of a later step read is written first, so that no plan repeats
+the steps before it and the driver holds small plans only.
+
 Shingles are compared by 64-bit hashes; class digests have 128 bits.
 
 Cases: a null or empty text, or one of white space, has no shingles, no class and
@@ -248,16 +251,17 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """The distinct pairs (a, b) of classes that are similar enough, by their whole sets.
+    """The distinct pairs (a, b) of classes that are similar enough, by their whole sets, written; ``pairs`` has each pair once.
 
     The pairs of one ``a`` are dealt over :data:`SALTS` groups, and its text
-    goes once to each group in use, not to each pair.
+    goes once to each group in use, not to each pair. Pairs and texts meet by
+    sorting at every size, so that no list of pairs goes through the driver.
     """
-    keyed = pairs.distinct().withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    keyed = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")), "nd-pairs")
     own = texts.select(F.col("node").alias("other"), "class", "text")
     first = keyed.select("a", "salt").distinct().withColumn("other", F.col("a")).withColumn("kind", F.lit(0))
     second = keyed.select("a", "salt", F.col("b").alias("other"), F.lit(1).alias("kind"))
-    rows = first.unionByName(second).join(own, "other").select("a", "salt", "kind", "other", "class", "text")
+    rows = first.unionByName(second).join(own.hint("merge"), "other").select("a", "salt", "kind", "other", "class", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, hub = None, None
@@ -277,7 +281,9 @@ def verify(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
                         b.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "a bigint, b bigint").distinct()
+    found = materialize(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "a bigint, b bigint").distinct(), "nd-links")
+    remove_table(keyed)
+    return found
 
 
 def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -292,17 +298,18 @@ def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFr
     star = shared.alias("x").join(hubs.alias("y"), "token").filter("x.node <> y.node").filter(_could_meet("x", "y", settings.percent))
     asked = F.least("x.matches", "y.matches").alias("asked")
     star = materialize(star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), asked).distinct(), "nd-star")
-    linked = materialize(verify(match_prefixes(star, nodes, settings), texts, settings), "nd-links")
+    linked = verify(match_prefixes(star, nodes, settings), texts, settings)
     labels = materialize(connected_components(linked, "a", "b"), "nd-labels")
     labelled = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_tokens = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    blocks = F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")
+    open_tokens = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), blocks).filter("lo <> hi").select("token", "blocks")
     rest = materialize(labelled.join(open_tokens, "token"), "nd-rest")
     remove_table(hubs, shared, wanted)
-    across = across_pairs(rest, settings)
     known = star.select("a", "b").unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = match_prefixes(across.join(known, ["a", "b"], "left_anti"), nodes, settings)
-    later = materialize(verify(left, texts, settings), "nd-links")
+    left = materialize(across_pairs(rest, settings).join(known, ["a", "b"], "left_anti"), "nd-left")
     remove_table(star, rest)
+    later = verify(match_prefixes(left, nodes, settings), texts, settings)
+    remove_table(left)
     if later.isEmpty():
         return linked, labels, texts
     return linked.unionByName(later), joined_components(labels, later), texts
@@ -311,11 +318,10 @@ def links(docs: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFr
 def across_pairs(rest: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (a, b, asked) of classes of two components that share a prefix shingle.
 
-    The classes of a shingle are dealt over blocks, and each two blocks of it
-    meet in a task of their own.
+    The classes of a shingle are dealt over its ``blocks``, and each two blocks
+    of it meet in a task of their own.
     """
-    blocks = rest.groupBy("token").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     low = dealt.withColumn("lo", F.col("block")).withColumn("hi", F.explode(every))
     high = dealt.withColumn("hi", F.col("block")).withColumn("lo", F.explode(every))
@@ -326,12 +332,12 @@ def across_pairs(rest: DataFrame, settings: Settings) -> DataFrame:
 def joined_components(labels: DataFrame, later: DataFrame) -> DataFrame:
     """Components (node, component) when the links ``later`` come to those of ``labels``: only components are linked anew."""
     ends = later.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-    every = labels.unionByName(ends.select("node", F.col("node").alias("component")))
+    every = materialize(labels.unionByName(ends.select("node", F.col("node").alias("component"))), "nd-ends")
     one = lambda side: every.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
     merged = connected_components(later.join(one("a"), "a").join(one("b"), "b"), "c_a", "c_b").select(F.col("node").alias("component"), F.col("component").alias("into"))
     found = salted_lookup(every, merged, ["component"], F.col("node")).select("node", F.coalesce("into", "component").alias("component"))
     made = materialize(found, "nd-labels")
-    remove_table(labels)
+    remove_table(labels, every)
     return made
 
 
@@ -354,8 +360,8 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_pairs(labels: DataFrame, nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(component, sa, ba, sb, bb, side, node): the pairs of blocks in which all similar pairs of a component meet, each with its classes.
+def block_pairs(labels: DataFrame, nodes: DataFrame, settings: Settings) -> tuple[DataFrame, tuple[DataFrame, ...]]:
+    """(component, sa, ba, sb, bb, side, node): the pairs of blocks in which all similar pairs of a component meet, each with its classes; and the tables it reads.
 
     Sizes are cut into steps that similar sets are at most one apart.
     """
@@ -367,18 +373,18 @@ def block_pairs(labels: DataFrame, nodes: DataFrame, settings: Settings) -> Data
     groups = sized.groupBy("component", "step").count().join(most, "component")
     groups = materialize(groups.select("component", "step", F.ceil(F.col("count") / MEMBERS).cast("int").alias("blocks")), "nd-blocks")
     own = salted_lookup(sized, groups, ["component", "step"], F.col("node"), "inner")
-    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("component", "step", "block", "node")
+    own = materialize(own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("component", "step", "block", "node"), "nd-dealt")
     each = groups.select("component", "step", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     meets = (F.col("y.step") == F.col("x.step") + 1) | ((F.col("y.step") == F.col("x.step")) & (F.col("y.block") >= F.col("x.block")))
     pairs = each.alias("x").join(each.alias("y"), "component").filter(meets)
     pairs = pairs.select("component", F.col("x.step").alias("sa"), F.col("x.block").alias("ba"), F.col("y.step").alias("sb"), F.col("y.block").alias("bb"))
-    first = pairs.withColumn("side", F.lit(0)).withColumn("step", F.col("sa")).withColumn("block", F.col("ba"))
-    second = pairs.filter("sa <> sb or ba <> bb").withColumn("side", F.lit(1)).withColumn("step", F.col("sb")).withColumn("block", F.col("bb"))
-    return own.join(first.unionByName(second), ["component", "step", "block"]).select("component", "sa", "ba", "sb", "bb", "side", "node")
+    end = lambda side, step, block: F.struct(F.lit(side).alias("side"), F.col(step).alias("step"), F.col(block).alias("block"))
+    ends = pairs.withColumn("end", F.explode(F.array(end(0, "sa", "ba"), end(1, "sb", "bb")))).filter("end.side = 0 or sa <> sb or ba <> bb").select(*pairs.columns, "end.*")
+    return own.join(ends, ["component", "step", "block"]).select("component", "sa", "ba", "sb", "bb", "side", "node"), (groups, own)
 
 
 def link_counts(labels: DataFrame, nodes: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """(node, n_links): how many classes each class of a component is similar to."""
+    """(node, n_links), written: how many classes each class of a component is similar to."""
     key = ["component", "sa", "ba", "sb", "bb"]
 
     def counted(members: dict[int, tuple[int, np.ndarray]], both: bool) -> pa.RecordBatch:
@@ -412,10 +418,14 @@ def link_counts(labels: DataFrame, nodes: DataFrame, texts: DataFrame, settings:
         if members:
             yield counted(members, held[1:3] != held[3:5])
 
-    rows = block_pairs(labels, nodes, settings).join(texts.select("node", "class", "text"), "node").select(*key, "side", "node", "class", "text")
+    pairs, read = block_pairs(labels, nodes, settings)
+    rows = pairs.join(texts.select("node", "class", "text"), "node").select(*key, "side", "node", "class", "text")
     counts = rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "node bigint, n_links bigint")
     two = labels.groupBy("component").agg(F.count("*").alias("members"), F.min("node").alias("a"), F.max("node").alias("b")).filter("members = 2")
-    return counts.unionByName(two.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("bigint").alias("n_links"))).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    found = counts.unionByName(two.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("bigint").alias("n_links"))).groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    found = materialize(found, "nd-degrees")
+    remove_table(*read)
+    return found
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), count_links: bool = True) -> DataFrame:
@@ -439,11 +449,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), count_link
         degrees = made.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     own = classes.join(nodes.select("class", "node"), "class").join(labels, "node", "left").join(degrees, "node", "left")
-    own = own.filter("class_size > 1 or component is not null")
+    own = materialize(own.filter("class_size > 1 or component is not null").select("class", "class_size", "least", "component", "n_links"), "nd-classes")
     least = own.filter("component is not null").groupBy("component").agg(F.min("least").alias("component_least"))
     # Rows of a class or component of one need no lookup.
     lookup = materialize(own.join(least, "component", "left").select("class", "class_size", F.coalesce("component_least", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "nd-lookup")
-    remove_table(nodes, labels, texts)
+    remove_table(nodes, labels, texts, own, *([degrees] if count_links else []))
     joined = rows.join(lookup, "class", "left")
     return joined.select(
         "doc_id",

@@ -41,16 +41,18 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Returns ``node, component`` for the nodes that have an edge to another
     node; null ends and self-loops are ignored and an empty list gives an empty
     table. No round gathers a node's neighbours into one row: each is a
-    partial-aggregated minimum and a salted join, and its edges are written to
-    the shared folder, so lineage does not grow with the rounds.
+    partial-aggregated minimum and a salted join, and the edges of either half
+    are written to the shared folder, so that lineage does not grow with the
+    rounds and the second half, which reads its edges thrice, repeats nothing.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v")
     current = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     for _ in range(MAX_ROUNDS):
         if _settled(current):
             break
-        after = materialize(_small_star(_large_star(current)), "cc")
-        remove_table(current)
+        large = materialize(_large_star(current), "cc")
+        after = materialize(_small_star(large), "cc")
+        remove_table(current, large)
         current = after
     else:
         raise RuntimeError("components did not settle")

@@ -8,6 +8,8 @@ from tests.llm.conftest import DOCS, doc_rows
 
 import corpus_pipeline
 from codeloom.llm import neardup
+from codeloom.operators import components as cc
+from codeloom.plans import shared
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -89,6 +91,23 @@ def test_repeated_and_null_ids(spark, folder):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in out) == [(-1, 1, -1), (-1, 2, 5), (5, 2, 5), (5, 2, 5), (7, 0, 7), (7, 0, 7)]
 
 
+def test_plans_stay_small(spark, monkeypatch):
+    """No step's plan repeats the steps before it: plans are what the driver's memory holds."""
+    plans = {}
+
+    def planned(df, name, *rest):
+        tree = df._jdf.queryExecution().executedPlan().toString()
+        plans[name] = max(plans.get(name, 0), sum("Exchange" in line and "Reused" not in line for line in tree.splitlines()))
+        return shared.materialize(df, name, *rest)
+
+    monkeypatch.setattr(neardup, "materialize", planned)
+    monkeypatch.setattr(cc, "materialize", planned)
+    docs = spark.createDataFrame(corpus(2), "doc_id long, text string")
+    out = neardup.near_duplicates(docs, neardup.Settings(4, 85, cost=1))
+    planned(out, "result").collect()
+    assert {"nd-links", "cc", "nd-lookup"} < set(plans) and max(plans.values()) <= 16, plans
+
+
 def test_overlap_is_least():
     for n in range(1, 60):
         for m in range(1, 60):
